@@ -116,7 +116,7 @@ def zero_as_missing(c) -> Column:
 
 def safe_date(c, fmt: str = "dd/MM/yyyy") -> Column:
     """Strict date parse; bad text -> NULL."""
-    return F.try_to_date(_c(c), F.lit(fmt))
+    return F.try_to_date(_c(c), fmt)
 
 
 def safe_date_from_parts(y, m, d=1) -> Column:

@@ -39,7 +39,8 @@ def blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int
     return cut_lineage(ranged)
 
 
-def _block_summary(b: DataFrame, keys: Sequence[str], order: Sequence[str], value: str | None) -> DataFrame:
+def _block_summary(b: DataFrame, keys: Sequence[str], order: Sequence[str], value: str | None,
+                   with_sum: bool = False) -> DataFrame:
     """One row per (block, key): row count, first and last value, running offsets."""
     ordk = F.struct(*_cols(order))
     aggs = [F.count(F.lit(1)).alias("_n")]
@@ -47,8 +48,9 @@ def _block_summary(b: DataFrame, keys: Sequence[str], order: Sequence[str], valu
         aggs += [
             F.min_by(F.col(value), ordk).alias("_head"),
             F.max_by(F.col(value), ordk).alias("_tail"),
-            F.sum(F.col(value)).alias("_bsum"),
         ]
+        if with_sum:
+            aggs.append(F.sum(F.col(value)).alias("_bsum"))
     s = b.groupBy(_BLK, *keys).agg(*aggs)
     wk = Window.partitionBy(*keys).orderBy(_BLK)
     before = wk.rowsBetween(Window.unboundedPreceding, -1)
@@ -57,8 +59,9 @@ def _block_summary(b: DataFrame, keys: Sequence[str], order: Sequence[str], valu
         s = (
             s.withColumn("_next_head", F.lead("_head").over(wk))
             .withColumn("_prev_tail", F.lag("_tail").over(wk))
-            .withColumn("_sum_before", F.sum("_bsum").over(before))
         )
+        if with_sum:
+            s = s.withColumn("_sum_before", F.sum("_bsum").over(before))
     return s
 
 
@@ -91,7 +94,7 @@ def ordered_columns(
             local = local.withColumn("_llag", F.lag(value).over(w))
         if running_sum:
             local = local.withColumn("_lsum", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    summary = _block_summary(b, keys, order, value)
+    summary = _block_summary(b, keys, order, value, with_sum=bool(running_sum))
     out = local.join(summary, [_BLK, *keys], "inner")
     if row_number:
         out = out.withColumn(row_number, (F.col("_off") + F.col("_lrn")).cast("int"))

@@ -108,5 +108,162 @@ CROSS JOIN latest CROSS JOIN fx_last
 """
 
 
+# --- parsing, dedup, edit logs, series --------------------------------------
+
+_NUM_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
+def _safe_numeric_sql(c: str, dash_is_zero: bool) -> str:
+    t = f"regexp_replace(regexp_replace({c}, '^\\s+', ''), '\\s+$', '')"
+    s = f"replace({t}, ',', '.')"
+    missing = f"{t} = '' OR {t} IN ('...', '..', '*', 'X')" + ("" if dash_is_zero else f" OR {t} = '-'")
+    dash = f"WHEN {t} = '-' THEN 0.0::DOUBLE " if dash_is_zero else ""
+    return (f"CASE WHEN {missing} THEN NULL {dash}"
+            f"WHEN regexp_full_match({s}, '{_NUM_RE}') THEN TRY_CAST({s} AS DOUBLE) END")
+
+
+ORACLE["safe_numeric_sentinels"] = f"""
+WITH d AS (
+  SELECT l_orderkey, l_linenumber,
+         CASE l_linenumber WHEN 1 THEN '...' WHEN 2 THEN '-'
+              WHEN 3 THEN ' ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ',5 '
+              WHEN 4 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || 'd'
+              WHEN 5 THEN '' WHEN 6 THEN 'X'
+              ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS raw,
+         l_discount, l_tax
+  FROM lineitem)
+SELECT l_orderkey, l_linenumber, raw,
+       {_safe_numeric_sql('raw', False)} AS num,
+       {_safe_numeric_sql('raw', True)} AS num_dash_zero,
+       NULLIF(l_discount, 0) AS discount_or_null,
+       NULLIF(l_tax, 0) AS tax_or_null
+FROM d
+"""
+
+ORACLE["safe_date_parse"] = """
+WITH d AS (
+  SELECT o_orderkey,
+         CASE o_orderkey % 4 WHEN 1 THEN '31/02/' || CAST(year(o_orderdate) AS VARCHAR) WHEN 2 THEN 'n/a'
+              ELSE strftime(o_orderdate, '%d/%m/%Y') END AS date_str,
+         CAST(year(o_orderdate) AS INTEGER) AS y, CAST(o_orderkey % 14 AS INTEGER) AS m
+  FROM orders),
+p AS (SELECT *, CAST(try_strptime(date_str, '%d/%m/%Y') AS DATE) AS parsed FROM d)
+SELECT o_orderkey, date_str, parsed,
+       CASE WHEN m BETWEEN 1 AND 12 THEN make_date(y, m, 1) END AS from_parts,
+       make_date(y, 12, 31) AS year_end,
+       CAST(year(parsed) AS INTEGER) AS reference_year,
+       CAST(month(parsed) AS INTEGER) AS reference_month,
+       CAST(quarter(parsed) AS INTEGER) AS quarter,
+       CASE WHEN month(parsed) <= 6 THEN 1 ELSE 2 END AS semester,
+       last_day(parsed) AS month_end_date,
+       strftime(parsed, '%Y-%m') AS year_month,
+       month(parsed) = 12 AS is_year_end,
+       ['Janeiro','Fevereiro','Março','Abril','Maio','Junho','Julho','Agosto','Setembro','Outubro','Novembro','Dezembro'][month(parsed)] AS month_name_pt
+FROM p WHERE parsed IS NOT NULL
+"""
+
+ORACLE["latest_wins"] = """
+SELECT * FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1
+"""
+
+ORACLE["latest_batch"] = """
+WITH e AS (SELECT *, CAST(ts AS DATE) AS batch_date FROM events)
+SELECT * FROM e QUALIFY batch_date = max(batch_date) OVER (PARTITION BY event_type)
+"""
+
+ORACLE["two_stage_dedup"] = """
+WITH e AS (SELECT *, CAST(ts AS DATE) AS batch_date, CAST(hour(ts) AS INTEGER) AS batch_hour FROM events),
+b AS (SELECT * FROM e QUALIFY batch_hour = max(batch_hour) OVER (PARTITION BY event_type, batch_date))
+SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1
+"""
+
+TIMELINE_CTE = """
+tl AS (
+  SELECT user_id, event_id, event_type,
+         CAST(row_number() OVER w AS INTEGER) AS version,
+         ts AS valid_from,
+         lead(ts) OVER w AS valid_to
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+)"""
+
+ORACLE["scd2_timeline"] = f"WITH {TIMELINE_CTE} SELECT *, valid_to IS NULL AS is_current FROM tl"
+ORACLE["scd2_current"] = f"WITH {TIMELINE_CTE} SELECT *, valid_to IS NULL AS is_current FROM tl WHERE valid_to IS NULL"
+ORACLE["scd2_cleared"] = f"WITH {TIMELINE_CTE} SELECT *, valid_to IS NULL AS is_current FROM tl WHERE event_type <> 'error'"
+
+LOG_CTE = """
+log AS (
+  SELECT *, event_type <> 'error' AS active,
+         CASE WHEN event_type = 'view' THEN 'oculto' WHEN event_type = 'click' THEN 'visivel' END AS visibilidade,
+         CASE WHEN value > 90 THEN 'Fazer Ingestão mas deixar indisponível'
+              WHEN value < 10 THEN 'Fazer Ingestão e deixar disponível' END AS ciclo_de_vida,
+         CASE WHEN event_type <> 'error' THEN event_type END AS group_name
+  FROM events
+),
+cur AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+hidden AS (
+  SELECT user_id FROM cur
+  WHERE active AND coalesce(visibilidade,
+        CASE ciclo_de_vida WHEN 'Fazer Ingestão mas deixar indisponível' THEN 'oculto'
+                           WHEN 'Fazer Ingestão e deixar disponível' THEN 'visivel' END, 'visivel') = 'oculto'
+)"""
+
+ORACLE["catalog_current"] = f"WITH {LOG_CTE} SELECT user_id, event_id, event_type, value, ts FROM cur WHERE active"
+ORACLE["hidden_registry"] = f"WITH {LOG_CTE} SELECT user_id FROM hidden"
+ORACLE["visibility_gate"] = f"""
+WITH {LOG_CTE},
+li AS (SELECT l_suppkey, l_returnflag, {REVENUE_CENTS} AS cents FROM lineitem)
+SELECT l_returnflag, count(*) AS n_rows, round(sum(cents) / 100.0::DOUBLE, 2) AS revenue
+FROM li WHERE NOT EXISTS (SELECT 1 FROM hidden h WHERE h.user_id = li.l_suppkey)
+GROUP BY 1
+"""
+ORACLE["orphans"] = f"""
+WITH {LOG_CTE},
+lg AS (SELECT user_id, group_name AS last_group_name FROM log WHERE group_name IS NOT NULL
+       QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT c.user_id, c.ts AS removed_at, lg.last_group_name
+FROM cur c LEFT JOIN lg ON c.user_id = lg.user_id
+WHERE NOT c.active AND c.user_id IN (SELECT o_custkey FROM orders)
+"""
+
+ORACLE["idempotent_append"] = """
+SELECT event_id % 1000 AS change_id, event_id, user_id, event_type FROM events
+QUALIFY row_number() OVER (PARTITION BY event_id % 1000 ORDER BY ts, event_id) = 1
+"""
+ORACLE["change_id_conflicts"] = """
+SELECT event_id % 1000 AS change_id, count(DISTINCT user_id) AS n_keys FROM events
+GROUP BY 1 HAVING count(DISTINCT user_id) > 1
+"""
+
+ORACLE["chain_index"] = f"""
+WITH {INDEX_CTES}
+SELECT series_code, reference_date, reference_year, reference_month,
+       round(monthly_pct_change, 6) AS monthly_pct_change, round(index_value, 6) AS index_value
+FROM idx
+"""
+
+ORACLE["month_gaps"] = """
+WITH m AS (SELECT DISTINCT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS reference_date FROM orders),
+l AS (SELECT *, lag(reference_date) OVER (PARTITION BY o_custkey ORDER BY reference_date) AS prev_date FROM m)
+SELECT o_custkey, reference_date, prev_date, CAST(date_diff('month', prev_date, reference_date) AS INTEGER) AS gap_months
+FROM l WHERE date_diff('month', prev_date, reference_date) > 1
+"""
+
+ORACLE["year_end_index"] = f"""
+WITH {INDEX_CTES}, {FX_CTES}, {DEFLATION_CTES}
+SELECT reference_year, round(ipca_year_end, 6) AS ipca_year_end, round(igpm_year_end, 6) AS igpm_year_end,
+       round(igpdi_year_end, 6) AS igpdi_year_end FROM year_end
+"""
+ORACLE["latest_index"] = f"""
+WITH {INDEX_CTES}, {FX_CTES}, {DEFLATION_CTES}
+SELECT round(ipca_current, 6) AS ipca_current, round(igpm_current, 6) AS igpm_current,
+       round(igpdi_current, 6) AS igpdi_current FROM latest
+"""
+ORACLE["fx_year_average"] = f"""
+WITH {INDEX_CTES}, {FX_CTES}, {DEFLATION_CTES}
+SELECT reference_year, round(brl_per_usd_avg, 6) AS brl_per_usd_avg, round(brl_per_eur_avg, 6) AS brl_per_eur_avg FROM fx_year
+"""
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)

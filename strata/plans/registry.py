@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from strata.plans import twins
+    from strata.plans import twins, twins_logs  # noqa: F401  (modules register themselves)
+    from strata.plans.base import REGISTRY
 
-    return dict(twins.REGISTRY)
+    return dict(REGISTRY)

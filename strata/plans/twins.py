@@ -19,23 +19,9 @@ from strata.operators.deflate import (
     latest_index,
     year_end_index,
 )
+from strata.plans.base import r2, register
 from strata.plans.inputs import fx_series, index_series, revenue_cents, t
 
-REGISTRY: dict[str, callable] = {}
-
-
-def register(fn):
-    REGISTRY[fn.__name__] = fn
-    return fn
-
-
-def r2(c) -> F.Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 2)
-
-
-def r6(c) -> F.Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
-
 
 def nation_dim(spark: SparkSession, sf: str) -> DataFrame:
     """Nation is a fixed 25-row dimension, so broadcasting it is bounded."""
