@@ -265,5 +265,168 @@ SELECT reference_year, round(brl_per_usd_avg, 6) AS brl_per_usd_avg, round(brl_p
 """
 
 
+# --- lookups, harmonisation, roll-ups, quality, marts ------------------------
+
+REV = REVENUE_CENTS
+YEAR = "CAST(year(l_shipdate) AS INTEGER)"
+MONTH = "CAST(month(l_shipdate) AS INTEGER)"
+
+ORACLE["range_lookup"] = f"""
+WITH li AS (SELECT l_linestatus AS unit, {YEAR} AS year, sum({REV}) AS cents, count(*) AS n_rows FROM lineitem GROUP BY 1, 2),
+r AS (SELECT * FROM (VALUES ('F', 1995, 1997, 1.5::DOUBLE), ('F', 1998, 2001, 2.0::DOUBLE), ('O', 1995, 1999, 0.5::DOUBLE))
+      t(unit_of_measure, year_from, year_to, brl_factor))
+SELECT li.unit, li.year, li.n_rows, round(cents / 100.0::DOUBLE, 2) AS val, r.brl_factor,
+       round(cents / 100.0::DOUBLE * r.brl_factor, 2) AS val_converted
+FROM li LEFT JOIN r ON lower(trim(li.unit)) = lower(trim(r.unit_of_measure)) AND li.year BETWEEN r.year_from AND r.year_to
+"""
+
+ORACLE["factor_overlap_check"] = f"""
+WITH r AS (SELECT l_linestatus AS unit, l_returnflag AS flow, min({YEAR}) AS lo, max({YEAR}) AS hi FROM lineitem GROUP BY 1, 2)
+SELECT a.unit AS k, a.flow AS id_a, a.lo AS lo_a, a.hi AS hi_a, b.flow AS id_b, b.lo AS lo_b, b.hi AS hi_b,
+       'range_overlap' AS "check", 'error' AS severity
+FROM r a JOIN r b ON a.unit = b.unit AND a.flow < b.flow AND a.lo <= b.hi AND b.lo <= a.hi
+"""
+
+ORACLE["unit_harmonise"] = """
+WITH li AS (
+  SELECT p.p_brand AS product, l.l_quantity AS qty,
+         CASE WHEN l.l_returnflag = 'R' AND l.l_linestatus = 'O' THEN 'Caixas'
+              WHEN l.l_linestatus = 'F' THEN ' Toneladas' ELSE 'quilogramas' END AS unit_raw
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
+fam AS (SELECT * FROM (VALUES ('Toneladas', 'massa', 't', 1.0::DOUBLE), ('Quilogramas', 'massa', 't', 0.001::DOUBLE),
+                              ('Mil litros', 'volume', 'm³', 1.0::DOUBLE)) t(unit_raw, family, base_unit, to_base)),
+ov AS (SELECT * FROM (VALUES ('tpch', 'Brand#13', 'Quilogramas', 'massa', 't', 0.002::DOUBLE))
+       t(source, product_code, unit_raw, family, base_unit, to_base)),
+h AS (
+  SELECT li.product, li.qty, coalesce(ov.family, fam.family, 'desconhecida') AS family,
+         coalesce(ov.base_unit, fam.base_unit) AS base_unit, li.qty * coalesce(ov.to_base, fam.to_base) AS qty_base
+  FROM li LEFT JOIN fam ON lower(trim(li.unit_raw)) = lower(trim(fam.unit_raw))
+          LEFT JOIN ov ON li.product = ov.product_code AND lower(trim(li.unit_raw)) = lower(trim(ov.unit_raw)))
+SELECT product, family, base_unit, count(*) AS n_rows, sum(qty) AS qty_native, round(sum(qty_base), 6) AS qty_base
+FROM h GROUP BY 1, 2, 3
+"""
+
+ORACLE["succession_remap"] = """
+SELECT p_partkey, p_brand, coalesce(s.current_code, p_brand) AS current_brand
+FROM part LEFT JOIN (VALUES ('Brand#1', 'Brand#10'), ('Brand#2', 'Brand#20'), ('Brand#3', 'Brand#30')) s(reported_code, current_code)
+  ON p_brand = s.reported_code
+"""
+
+ORACLE["long_to_wide"] = f"""
+WITH long AS (
+  SELECT {YEAR} AS year, l_suppkey, l_returnflag AS flow, 'qty' AS variable, l_quantity AS v FROM lineitem
+  UNION ALL SELECT {YEAR}, l_suppkey, l_returnflag, 'val', {REV} FROM lineitem
+  UNION ALL SELECT {YEAR}, l_suppkey, l_returnflag, 'disc', NULLIF(l_discount, 0) FROM lineitem),
+agg AS (SELECT year, l_suppkey, flow, variable, sum(v) AS numeric_value FROM long GROUP BY 1, 2, 3, 4),
+wide AS (
+  SELECT year, l_suppkey, flow,
+         max(CASE WHEN variable = 'qty' THEN numeric_value END) AS qty,
+         max(CASE WHEN variable = 'val' THEN numeric_value END) AS val,
+         max(CASE WHEN variable = 'disc' THEN numeric_value END) AS disc
+  FROM agg GROUP BY 1, 2, 3)
+SELECT year, l_suppkey, flow, qty, round(val / 100.0::DOUBLE, 2) AS val, round(disc, 6) AS disc
+FROM wide WHERE qty IS NOT NULL OR val IS NOT NULL OR disc IS NOT NULL
+"""
+
+ORACLE["dominant_unit_rollup"] = f"""
+WITH li AS (
+  SELECT l_returnflag AS flow, {YEAR} AS year, {MONTH} AS month, l_suppkey, l_linestatus AS unit,
+         CASE WHEN l_linestatus = 'F' THEN 'finished' ELSE 'open' END AS unit_name, l_quantity AS qty, {REV} AS cents
+  FROM lineitem),
+r AS (SELECT *, first_value(unit) OVER (PARTITION BY flow, year, month, l_suppkey ORDER BY qty DESC NULLS LAST, unit) AS dom FROM li)
+SELECT flow, year, month, l_suppkey, max(dom) AS unit, max(CASE WHEN unit = dom THEN unit_name END) AS unit_name,
+       sum(CASE WHEN unit = dom THEN qty END) AS qty, round(sum(cents) / 100.0::DOUBLE, 2) AS value, count(*) AS source_rows
+FROM r GROUP BY 1, 2, 3, 4
+"""
+
+ORACLE["implied_price_flags"] = f"""
+WITH li AS (
+  SELECT l.l_orderkey, l.l_linenumber, l.l_returnflag AS flow, p.p_brand AS product, l.l_quantity AS qty,
+         {REV} / 100.0::DOUBLE AS value
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
+d AS (
+  SELECT *, CASE WHEN value / NULLIF(qty, 0) > 0 THEN ln(value / NULLIF(qty, 0)) END AS lp,
+         CASE WHEN value > 0 THEN ln(value) END AS lv, CASE WHEN qty > 0 THEN ln(qty) END AS lq
+  FROM li),
+s AS (
+  SELECT flow, product, quantile_cont(lp, 0.5) AS med_price, quantile_cont(lv, 0.5) AS med_val,
+         quantile_cont(lv, 0.75) AS p75_val, quantile_cont(lq, 0.5) AS med_qty, quantile_cont(lq, 0.75) AS p75_qty,
+         count(value / NULLIF(qty, 0)) AS n
+  FROM d GROUP BY 1, 2),
+x AS (
+  SELECT d.*, abs(lp - med_price) AS dev,
+         (lv - med_val) / NULLIF(p75_val - med_val, 0) AS vex,
+         (lq - med_qty) / NULLIF(p75_qty - med_qty, 0) AS qex,
+         (value IS NULL OR value <= 0 OR qty IS NULL OR qty <= 0 OR med_price IS NULL OR n < 100 OR value < 10000) AS guard
+  FROM d JOIN s USING (flow, product)),
+lv AS (
+  SELECT *,
+         CASE WHEN guard THEN NULL WHEN dev >= ln(2.0) AND abs(vex) >= abs(qex) THEN 'problematic'
+              WHEN vex >= 1.5 THEN 'outlier' END AS val_level,
+         CASE WHEN guard THEN NULL WHEN dev >= ln(2.0) AND abs(qex) > abs(vex) THEN 'problematic'
+              WHEN qex >= 1.5 THEN 'outlier' END AS qty_level
+  FROM x)
+SELECT l_orderkey, l_linenumber, flow, product, val_level, qty_level,
+       CASE WHEN qty IS NULL AND value IS NULL THEN 'INCOMPLETE' WHEN value IS NULL THEN 'MISSING_VALUE'
+            WHEN qty IS NULL THEN 'MISSING_QUANTITY' WHEN val_level = 'problematic' THEN 'PROBLEMATIC_VALUE'
+            WHEN qty_level = 'problematic' THEN 'PROBLEMATIC_QUANTITY' WHEN val_level = 'outlier' THEN 'OUTLIER_VALUE'
+            WHEN qty_level = 'outlier' THEN 'OUTLIER_QUANTITY' ELSE 'OK' END AS data_quality_flag
+FROM lv
+"""
+
+
+def _flag4(q: str, v: str) -> str:
+    return (f"CASE WHEN {q} IS NOT NULL AND {v} IS NOT NULL THEN 'OK' WHEN {q} IS NOT NULL THEN 'MISSING_VALUE' "
+            f"WHEN {v} IS NOT NULL THEN 'MISSING_QUANTITY' ELSE 'INCOMPLETE' END")
+
+
+ORACLE["quality_by_source"] = f"""
+WITH f AS (
+  SELECT 'lineitem' AS source, {_flag4('q', 'v')} AS data_quality_flag
+  FROM (SELECT NULLIF(l_tax, 0) AS q, NULLIF(l_discount, 0) AS v FROM lineitem)
+  UNION ALL
+  SELECT 'orders', {_flag4('q', 'v')}
+  FROM (SELECT NULLIF(o_custkey % 7, 0) AS q, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS v FROM orders)),
+c AS (SELECT source, data_quality_flag, count(*) AS n_rows FROM f GROUP BY 1, 2)
+SELECT *, round(CAST(n_rows AS DOUBLE) / CAST(sum(n_rows) OVER (PARTITION BY source) AS DOUBLE), 6) AS share FROM c
+"""
+
+ORACLE["mart_annual"] = f"""
+SELECT l_returnflag AS flow, {YEAR} AS year, p.p_brand AS product, s.s_nationkey AS reporter,
+       round(sum({REV}) / 100.0::DOUBLE, 2) AS value, sum(l_quantity) AS weight, count(*) AS source_rows,
+       count(DISTINCT month(l_shipdate)) AS n_months
+FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
+GROUP BY 1, 2, 3, 4
+"""
+
+ORACLE["mart_seasonality"] = f"""
+SELECT l_returnflag AS flow, {YEAR} AS year, {MONTH} AS month, round(sum({REV}) / 100.0::DOUBLE, 2) AS value,
+       sum(l_quantity) AS weight, count(*) AS source_rows
+FROM lineitem GROUP BY 1, 2, 3
+"""
+
+ORACLE["mart_bilateral"] = f"""
+SELECT l_returnflag AS flow, {YEAR} AS year, s.s_nationkey AS reporter, c.c_nationkey AS partner,
+       round(sum({REV}) / 100.0::DOUBLE, 2) AS value, sum(l_quantity) AS weight, count(*) AS source_rows
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+JOIN supplier s ON l.l_suppkey = s.s_suppkey
+GROUP BY 1, 2, 3, 4
+"""
+
+ORACLE["source_metadata"] = """
+SELECT 'lineitem' AS source, CAST(min(year(l_shipdate)) AS INTEGER) AS min_year, CAST(max(year(l_shipdate)) AS INTEGER) AS max_year,
+       count(*) AS n_rows, count(DISTINCT l_partkey) AS n_products, count(DISTINCT l_suppkey) AS n_states, max(l_shipdate) AS last_refresh
+FROM lineitem
+UNION ALL
+SELECT 'orders', CAST(min(year(o_orderdate)) AS INTEGER), CAST(max(year(o_orderdate)) AS INTEGER), count(*),
+       count(DISTINCT o_orderpriority), count(DISTINCT o_custkey), max(o_orderdate)
+FROM orders
+UNION ALL
+SELECT 'events', CAST(min(year(ts)) AS INTEGER), CAST(max(year(ts)) AS INTEGER), count(*),
+       count(DISTINCT event_type), count(DISTINCT user_id), max(ts)
+FROM events
+"""
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)
