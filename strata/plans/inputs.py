@@ -104,6 +104,7 @@ def trade_lines(
         F.col("l_returnflag").alias("flow"),
         F.col("l_linestatus").alias("unit"),
         F.col("l_quantity").alias("qty"),
+        F.col("l_tax").alias("tax"),
         revenue_cents().alias("value_cents"),
         F.year("l_shipdate").alias("year"),
         F.month("l_shipdate").alias("month"),

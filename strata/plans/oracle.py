@@ -428,5 +428,102 @@ FROM events
 """
 
 
+# --- parameterised reads -----------------------------------------------------
+
+GOLD_CTE = f"""
+g AS (
+  SELECT l.l_orderkey, l.l_linenumber, l.l_tax, l.l_returnflag AS flow, l.l_linestatus AS unit, l.l_quantity AS qty,
+         {REV} AS value_cents, {YEAR} AS year, {MONTH} AS month, p.p_brand AS product,
+         s.s_nationkey AS reporter, n.n_name AS state,
+         CASE WHEN l.l_linestatus = 'F' THEN 'massa' ELSE 'volume' END AS family
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  JOIN nation n ON s.s_nationkey = n.n_nationkey
+)"""
+_PRODUCTS = "('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5')"
+_STATES = "('NATION_1', 'NATION_2', 'NATION_3', 'NATION_4')"
+_MONEY = "round(sum(value_cents) / 100.0::DOUBLE, 2)"
+_FAMS = ("sum(CASE WHEN family = 'massa' THEN qty END) AS q_mass, sum(CASE WHEN family = 'volume' THEN qty END) AS q_vol, "
+         "sum(CASE WHEN family = 'contagem' THEN qty END) AS q_count")
+
+ORACLE["read_overview"] = f"""WITH {GOLD_CTE}
+SELECT year, {_MONEY} AS value, count(*) AS n_rows FROM g
+WHERE year BETWEEN 1996 AND 2000 AND product IN {_PRODUCTS} GROUP BY 1"""
+
+ORACLE["latest_year_by_nation"] = f"""WITH {GOLD_CTE}, f AS (SELECT * FROM g WHERE flow IN ('A', 'R'))
+SELECT state, {_MONEY} AS value, {_FAMS} FROM f WHERE year = (SELECT max(year) FROM f) GROUP BY 1"""
+
+ORACLE["read_state_yearly"] = f"""WITH {GOLD_CTE} SELECT state, year, {_MONEY} AS value FROM g GROUP BY 1, 2"""
+
+ORACLE["read_products_by_state"] = f"""WITH {GOLD_CTE},
+r AS (SELECT product, sum(value_cents) AS value FROM g WHERE state IN {_STATES} AND flow IN ('N')
+      GROUP BY 1 ORDER BY value DESC NULLS LAST, product LIMIT 100)
+SELECT product, round(value / 100.0::DOUBLE, 2) AS value,
+       CAST(row_number() OVER (ORDER BY value DESC NULLS LAST, product) AS INTEGER) AS rank FROM r"""
+
+ORACLE["read_seasonality"] = f"""WITH {GOLD_CTE}
+SELECT year, month, {_MONEY} AS value, sum(qty) AS weight FROM g
+WHERE year BETWEEN 1997 AND 2000 AND flow IN ('A', 'N') GROUP BY 1, 2"""
+
+ORACLE["read_months_present"] = f"""WITH {GOLD_CTE} SELECT year, count(DISTINCT month) AS n_months FROM g GROUP BY 1"""
+ORACLE["read_reporters_present"] = f"""WITH {GOLD_CTE}
+SELECT year, count(DISTINCT reporter) AS n_reporters FROM g WHERE flow = 'A' GROUP BY 1"""
+
+ORACLE["read_trade_overview"] = f"""WITH {GOLD_CTE}
+SELECT year, {_MONEY} AS value, sum(qty) AS weight, count(*) AS n_rows FROM g
+WHERE reporter IN (1, 2, 3) AND flow IN ('A', 'R') GROUP BY 1"""
+
+PARTNER_LINES = f"""
+pl AS (
+  SELECT c.c_nationkey AS partner, s.s_nationkey AS reporter, l.l_returnflag AS flow, l.l_quantity AS qty, {REV} AS v
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+  JOIN supplier s ON l.l_suppkey = s.s_suppkey
+)"""
+
+ORACLE["partner_ranking"] = f"""WITH {PARTNER_LINES},
+p AS (SELECT partner, sum(CASE WHEN flow = 'A' THEN v END) AS exports, sum(CASE WHEN flow = 'R' THEN v END) AS imports,
+             sum(v) AS total, sum(qty) AS weight, sum(v) / NULLIF(sum(qty), 0) AS unit_price
+      FROM pl GROUP BY 1 ORDER BY total DESC NULLS LAST, partner LIMIT 30)
+SELECT partner, round(exports / 100.0::DOUBLE, 2) AS exports, round(imports / 100.0::DOUBLE, 2) AS imports,
+       round(total / 100.0::DOUBLE, 2) AS total, weight, round(unit_price / 100.0::DOUBLE, 2) AS unit_price FROM p"""
+
+LINKS_CTE = """
+links AS (SELECT reporter, partner, sum(v) AS value FROM pl GROUP BY 1, 2
+          ORDER BY value DESC NULLS LAST, reporter, partner LIMIT 40)"""
+
+ORACLE["flow_links"] = f"""WITH {PARTNER_LINES}, {LINKS_CTE}
+SELECT reporter, partner, round(value / 100.0::DOUBLE, 2) AS value FROM links"""
+
+ORACLE["flow_nodes"] = f"""WITH {PARTNER_LINES}, {LINKS_CTE}
+SELECT reporter AS node, round(sum(value) / 100.0::DOUBLE, 2) AS value, 'origin' AS side FROM links GROUP BY 1
+UNION ALL
+SELECT partner AS node, round(sum(value) / 100.0::DOUBLE, 2) AS value, 'destination' AS side FROM links GROUP BY 1"""
+
+ORACLE["country_universes"] = """
+SELECT s_nationkey AS nation, count(*) AS n_rows, 'reporter' AS role FROM supplier GROUP BY 1
+UNION ALL
+SELECT c_nationkey AS nation, count(*) AS n_rows, 'partner' AS role FROM customer GROUP BY 1"""
+
+_FLAGGED = f"""{GOLD_CTE},
+fl AS (SELECT *, {_flag4('NULLIF(l_tax, 0)', 'value_cents')} AS data_quality_flag FROM g)"""
+
+ORACLE["read_quality_timeseries"] = f"""WITH {_FLAGGED}
+SELECT year, data_quality_flag, count(*) AS n_rows FROM fl GROUP BY 1, 2"""
+ORACLE["read_quality_by_product"] = f"""WITH {_FLAGGED}
+SELECT product, data_quality_flag, count(*) AS n_rows FROM fl GROUP BY 1, 2"""
+
+ORACLE["read_product_timeseries"] = f"""WITH {GOLD_CTE}
+SELECT product, year, {_MONEY} AS value, sum(qty) AS qty_native, {_FAMS} FROM g GROUP BY 1, 2"""
+
+ORACLE["read_cross_annual"] = f"""WITH {GOLD_CTE}
+SELECT year, sum(qty) AS measure FROM g WHERE flow = 'A' AND product IN {_PRODUCTS} AND reporter = 7 GROUP BY 1"""
+
+ORACLE["read_products"] = "SELECT p_brand, max(p_name) AS name, count(*) AS n_codes FROM part GROUP BY 1"
+
+_BROWSE_WHERE = "o_orderstatus = 'F' AND o_totalprice >= 100000.0 AND contains(lower(o_orderpriority), 'urgent')"
+ORACLE["browse_page"] = f"""SELECT * FROM orders WHERE {_BROWSE_WHERE}
+ORDER BY o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority LIMIT 500 OFFSET 100"""
+ORACLE["browse_count"] = f"SELECT count(*) AS n_rows FROM orders WHERE {_BROWSE_WHERE}"
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)
