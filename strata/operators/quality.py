@@ -81,11 +81,26 @@ def implied_price_levels(
         .withColumn("_lv", safe_ln(value))
         .withColumn("_lq", safe_ln(qty))
     )
-    price = exact_percentiles(d, group, "_lp", {"_q_ln_med_price": 0.5})
-    val = exact_percentiles(d, group, "_lv", {"_q_ln_med_val": 0.5, "_q_p75_val": 0.75})
-    qt = exact_percentiles(d, group, "_lq", {"_q_ln_med_qty": 0.5, "_q_p75_qty": 0.75})
+    # One ranked pass for all three measures: rows are stacked as
+    # (group, measure, value) so a single range-partitioned scan serves them.
+    stacked = d.select(
+        *group,
+        F.explode(F.array(
+            F.struct(F.lit("p").alias("_m"), F.col("_lp").alias("_x")),
+            F.struct(F.lit("v").alias("_m"), F.col("_lv").alias("_x")),
+            F.struct(F.lit("q").alias("_m"), F.col("_lq").alias("_x")),
+        )).alias("_s"),
+    ).select(*group, "_s._m", "_s._x")
+    pct = exact_percentiles(stacked, [*group, "_m"], "_x", {"_p50": 0.5, "_p75": 0.75})
+    med = pct.groupBy(*group).agg(
+        F.max(F.when(F.col("_m") == "p", F.col("_p50"))).alias("_q_ln_med_price"),
+        F.max(F.when(F.col("_m") == "v", F.col("_p50"))).alias("_q_ln_med_val"),
+        F.max(F.when(F.col("_m") == "v", F.col("_p75"))).alias("_q_p75_val"),
+        F.max(F.when(F.col("_m") == "q", F.col("_p50"))).alias("_q_ln_med_qty"),
+        F.max(F.when(F.col("_m") == "q", F.col("_p75"))).alias("_q_p75_qty"),
+    )
     n = d.groupBy(*group).agg(F.count(safe_divide(value, qty)).alias("_q_n"))
-    stats = n.join(price, list(group), "left").join(val, list(group), "left").join(qt, list(group), "left")
+    stats = n.join(med, list(group), "left")
     s = d.join(stats, list(group), "left")
 
     v, q = F.col(value), F.col(qty)
