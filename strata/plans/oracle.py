@@ -525,5 +525,194 @@ ORDER BY o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orde
 ORACLE["browse_count"] = f"SELECT count(*) AS n_rows FROM orders WHERE {_BROWSE_WHERE}"
 
 
+# --- analyses and statistics -------------------------------------------------
+
+SUPP_LINES = f"""
+sl AS (
+  SELECT {YEAR} AS year, {MONTH} AS month, l.l_suppkey, l.l_returnflag AS flow, l.l_linestatus AS unit,
+         l.l_quantity AS qty, {REV} AS v, s.s_nationkey AS reporter
+  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
+)"""
+
+SETTLED = """
+cnt AS (SELECT year, count(DISTINCT l_suppkey) AS n FROM sl WHERE flow = 'A' GROUP BY 1),
+st AS (SELECT max(year) AS settled_year FROM cnt WHERE n >= 0.9 * (SELECT max(n) FROM cnt))"""
+
+ORACLE["settled_year"] = f"""WITH {SUPP_LINES}, cnt AS (SELECT year, count(DISTINCT l_suppkey) AS n FROM sl WHERE flow = 'A' GROUP BY 1)
+SELECT max(year) AS settled_year, max(mx) AS max_reporters FROM cnt, (SELECT max(n) AS mx FROM cnt) m WHERE n >= 0.9 * mx"""
+
+ORACLE["market_share"] = f"""WITH {SUPP_LINES}, {SETTLED},
+world AS (SELECT year, sum(v) AS wv FROM sl WHERE flow = 'A' GROUP BY 1),
+country AS (SELECT year, sum(v) AS cv FROM sl WHERE flow = 'A' AND reporter = 7 GROUP BY 1)
+SELECT year, round(cv / 100.0::DOUBLE, 2) AS country_value, round(wv / 100.0::DOUBLE, 2) AS world_value,
+       round(CASE WHEN wv = 0 THEN 0.0 ELSE cv / wv END, 6) AS share
+FROM country JOIN world USING (year) CROSS JOIN st WHERE year <= settled_year"""
+
+ORACLE["share_by_group"] = f"""WITH {SUPP_LINES}, {SETTLED},
+li AS (SELECT {YEAR} AS year, p.p_type AS level, s.s_nationkey AS reporter, {REV} AS v
+       FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN part p ON l.l_partkey = p.p_partkey
+       WHERE l.l_returnflag = 'A'),
+world AS (SELECT year, level, sum(v) AS wv FROM li GROUP BY 1, 2),
+country AS (SELECT year, level, sum(v) AS cv FROM li WHERE reporter = 7 GROUP BY 1, 2),
+j AS (SELECT * FROM country JOIN world USING (year, level) CROSS JOIN st WHERE year <= settled_year)
+SELECT level, year, round(CASE WHEN wv = 0 THEN 0.0 ELSE cv / wv END, 6) AS share FROM j
+QUALIFY year = max(year) OVER (PARTITION BY level)"""
+
+ORACLE["export_coefficient"] = f"""WITH {SUPP_LINES},
+li AS (SELECT *, CASE WHEN unit = 'F' THEN 'massa' ELSE 'volume' END AS family FROM sl),
+prod AS (SELECT reporter, year, sum(qty) AS produced FROM li WHERE family = 'massa' GROUP BY 1, 2),
+expo AS (SELECT reporter, year, sum(qty) AS exported FROM li WHERE flow = 'A' AND unit = 'O' GROUP BY 1, 2),
+bs AS (SELECT coalesce(p.reporter, e.reporter) AS reporter, coalesce(p.year, e.year) AS year,
+              coalesce(produced, 0.0) AS produced, coalesce(exported, 0.0) AS exported
+       FROM prod p FULL OUTER JOIN expo e ON p.reporter = e.reporter AND p.year = e.year),
+fams AS (SELECT year FROM li WHERE flow <> 'A' GROUP BY 1 HAVING string_agg(DISTINCT family, ',' ORDER BY family) = 'massa'),
+nat AS (SELECT -1 AS reporter, year, sum(produced) AS produced, sum(exported) AS exported FROM bs
+        WHERE year IN (SELECT year FROM fams) GROUP BY year)
+SELECT reporter, year, produced, exported, round(exported / NULLIF(produced, 0) * 100, 6) AS coefficient
+FROM (SELECT * FROM bs UNION ALL SELECT * FROM nat)"""
+
+ORACLE["price_spread"] = f"""
+WITH o AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, sum(floor(o_totalprice)) / count(*) AS farm_price FROM orders GROUP BY 1),
+e AS (SELECT {YEAR} AS year, sum({REV}) / 100.0::DOUBLE / sum(l_quantity) AS fob_price FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
+SELECT year, round(farm_price, 6) AS farm_price, round(fob_price, 6) AS fob_price, round(fob_price - farm_price, 6) AS spread,
+       round(fob_price / NULLIF(farm_price, 0), 6) AS markup
+FROM o JOIN e USING (year)"""
+
+ORACLE["trade_mirror"] = f"""
+WITH li AS (SELECT {YEAR} AS year, l.l_returnflag AS flow, s.s_nationkey AS reporter, c.c_nationkey AS partner, {REV} AS v
+            FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN orders o ON l.l_orderkey = o.o_orderkey
+            JOIN customer c ON o.o_custkey = c.c_custkey),
+a AS (SELECT year, sum(v) AS a FROM li WHERE flow = 'A' AND reporter = 7 GROUP BY 1),
+b AS (SELECT year, sum(v) AS b FROM li WHERE flow = 'R' AND partner = 7 GROUP BY 1),
+c AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, sum(round(o_totalprice * 100)) AS c FROM orders
+      WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7) GROUP BY 1)
+SELECT year, round(a / 100.0::DOUBLE, 2) AS reporter_exports, round(b / 100.0::DOUBLE, 2) AS partner_imports,
+       round(c / 100.0::DOUBLE, 2) AS orders_placed,
+       round(abs(a - b) / NULLIF((a + b) / 2.0::DOUBLE, 0) * 100.0::DOUBLE, 6) AS discrepancy_pct
+FROM a JOIN b USING (year) LEFT JOIN c USING (year)"""
+
+LEVELS = f"""
+lv AS (SELECT {YEAR} AS year, p.p_type AS level, sum({REV}) AS value, sum(l_quantity) AS weight,
+              sum({REV}) / NULLIF(sum(l_quantity), 0) AS unit_price
+       FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey WHERE l_returnflag = 'A' GROUP BY 1, 2)"""
+
+ORACLE["value_added"] = f"""WITH {LEVELS}
+SELECT year, level, round(value / 100.0::DOUBLE, 2) AS value, weight, round(unit_price / 100.0::DOUBLE, 6) AS unit_price FROM lv"""
+
+ORACLE["premium"] = f"""WITH {LEVELS},
+r AS (SELECT *, CASE level WHEN 'ECONOMY' THEN 1 WHEN 'STANDARD' THEN 2 WHEN 'SMALL' THEN 3 WHEN 'MEDIUM' THEN 4
+                           WHEN 'LARGE' THEN 5 WHEN 'PROMO' THEN 6 END AS rk FROM lv WHERE unit_price IS NOT NULL),
+rr AS (SELECT * FROM r WHERE rk IS NOT NULL AND year = (SELECT max(year) FROM r WHERE rk IS NOT NULL))
+SELECT year, arg_max(level, rk) AS top_level, arg_min(level, rk) AS base_level,
+       round(arg_max(unit_price, rk) / NULLIF(arg_min(unit_price, rk), 0), 6) AS premium
+FROM rr GROUP BY 1"""
+
+ORACLE["predominant_level"] = f"""WITH {LEVELS}
+SELECT year, level, round(value / sum(value) OVER (PARTITION BY year), 6) AS share FROM lv
+QUALIFY row_number() OVER (PARTITION BY year ORDER BY value DESC, level DESC) = 1"""
+
+ORACLE["market_nature_pivot"] = f"""
+WITH li AS (SELECT {YEAR} AS year, CASE WHEN l_linestatus = 'F' THEN 'commodity' ELSE 'processed' END AS nature, {REV} AS v FROM lineitem)
+SELECT year,
+       round(coalesce(sum(CASE WHEN nature = 'commodity' THEN v END), 0) / 100.0::DOUBLE, 2) AS commodity,
+       round(coalesce(sum(CASE WHEN nature = 'processed' THEN v END), 0) / 100.0::DOUBLE, 2) AS processed,
+       round(coalesce(sum(CASE WHEN nature = 'unclassified' THEN v END), 0) / 100.0::DOUBLE, 2) AS unclassified
+FROM li GROUP BY 1"""
+
+_MCOLS = ",\n       ".join(
+    f"round(max(CASE WHEN month = {m} THEN v END) / 100.0::DOUBLE, 2) AS m{m:02d}" for m in range(1, 13))
+ORACLE["seasonality_matrix"] = f"""
+WITH m AS (SELECT {YEAR} AS year, {MONTH} AS month, sum({REV}) AS v FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2)
+SELECT year, {_MCOLS},
+       round(avg(v) / 100.0::DOUBLE, 2) AS mean_month,
+       first(month ORDER BY v DESC, month ASC) AS peak_month,
+       first(month ORDER BY v ASC, month ASC) AS trough_month,
+       round((max(v) - min(v)) / 100.0::DOUBLE, 2) AS amplitude
+FROM m GROUP BY 1"""
+
+ORACLE["productivity"] = f"""
+WITH y AS (SELECT {YEAR} AS year, sum(l_quantity) AS production, sum(round(l_discount * 100)) AS area FROM lineitem GROUP BY 1),
+yy AS (SELECT *, production * 1000 / NULLIF(area, 0) AS yield FROM y),
+e AS (SELECT min(year) AS fy, max(year) AS ly, arg_min(yield, year) AS fv, arg_max(yield, year) AS lv FROM yy WHERE yield IS NOT NULL)
+SELECT year, production, area, round(yield, 6) AS yield,
+       round(CASE WHEN fv > 0 THEN (pow(lv / fv, 1.0::DOUBLE / (CASE WHEN ly - fy > 0 THEN ly - fy ELSE 1 END)) - 1) * 100
+             ELSE 0.0 END, 6) AS cagr_pct
+FROM yy, e"""
+
+ORACLE["region_rollup"] = f"""WITH {SUPP_LINES}, v AS (SELECT reporter, sum(v) AS value FROM sl GROUP BY 1)
+SELECT r_name, round(sum(value) / 100.0::DOUBLE, 2) AS value
+FROM v JOIN nation ON reporter = n_nationkey JOIN region ON n_regionkey = r_regionkey
+GROUP BY 1 HAVING sum(value) IS NOT NULL"""
+
+ORACLE["facet_rollup"] = """
+WITH cities AS (SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+                WHERE r_name IN ('AMERICA', 'EUROPE') AND c_mktsegment = 'BUILDING')
+SELECT n_name, round(sum(round(o_totalprice * 100)) / 100.0::DOUBLE, 2) AS value, count(DISTINCT c_custkey) AS n_cities
+FROM orders JOIN cities ON o_custkey = c_custkey GROUP BY 1"""
+
+ORACLE["top_others"] = f"""
+WITH pv AS (SELECT l_returnflag AS flow, p.p_brand AS product, sum({REV}) AS value FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY value DESC, product) AS rn, count(*) OVER (PARTITION BY flow) AS n FROM pv),
+b AS (SELECT flow, CASE WHEN n <= 7 OR rn <= 6 THEN product ELSE 'others' END AS bucket, sum(value) AS value FROM r GROUP BY 1, 2)
+SELECT flow, bucket, round(value / 100.0::DOUBLE, 2) AS value, round(value / sum(value) OVER (PARTITION BY flow), 6) AS share FROM b"""
+
+FLOW_YEAR = f"fy AS (SELECT l_returnflag AS flow, {YEAR} AS year, sum({REV}) AS value FROM lineitem GROUP BY 1, 2)"
+
+ORACLE["yoy"] = f"""WITH {FLOW_YEAR}, l AS (SELECT *, lag(value) OVER (PARTITION BY flow ORDER BY year) AS prev FROM fy)
+SELECT flow, year, round(value / 100.0::DOUBLE, 2) AS value,
+       round(CASE WHEN prev IS NULL THEN NULL WHEN prev = 0 THEN 0.0 ELSE (value - prev) / prev END, 6) AS yoy FROM l"""
+
+ORACLE["cagr"] = f"""WITH {FLOW_YEAR},
+e AS (SELECT flow, min(year) AS first_year, max(year) AS last_year, arg_min(value, year) AS fv, arg_max(value, year) AS lv
+      FROM fy WHERE value IS NOT NULL GROUP BY 1)
+SELECT flow, first_year, last_year,
+       round(CASE WHEN fv > 0 THEN (pow(lv / fv, 1.0::DOUBLE / (CASE WHEN last_year - first_year > 0 THEN last_year - first_year ELSE 1 END)) - 1) * 100
+             ELSE 0.0 END, 6) AS cagr_pct,
+       round(CASE WHEN fv > 0 THEN (lv - fv) / fv * 100 ELSE 0.0 END, 6) AS accum_pct
+FROM e"""
+
+ORACLE["base100"] = f"""WITH {FLOW_YEAR}
+SELECT flow, year, round(100.0::DOUBLE * (value / NULLIF(first_value(value) OVER (PARTITION BY flow ORDER BY year), 0)), 6) AS base100 FROM fy"""
+
+ORACLE["ratio_series"] = f"""WITH {FLOW_YEAR},
+r AS (SELECT a.year, 100.0::DOUBLE * (a.value / NULLIF(b.value, 0)) AS ratio FROM fy a JOIN fy b ON a.year = b.year AND a.flow = 'A' AND b.flow = 'R')
+SELECT year, round(ratio, 6) AS ratio, round(avg(ratio) OVER (), 6) AS mean_ratio FROM r"""
+
+ORACLE["growth_correlation"] = f"""WITH {FLOW_YEAR},
+p AS (SELECT a.flow AS flow_a, b.flow AS flow_b, a.year, a.value AS va, b.value AS vb FROM fy a JOIN fy b ON a.year = b.year AND a.flow < b.flow),
+l AS (SELECT *, lag(year) OVER w AS py, lag(va) OVER w AS pa, lag(vb) OVER w AS pb FROM p WINDOW w AS (PARTITION BY flow_a, flow_b ORDER BY year)),
+g AS (SELECT flow_a, flow_b, CASE WHEN pa = 0 THEN 0.0 ELSE (va - pa) / pa END AS ga, CASE WHEN pb = 0 THEN 0.0 ELSE (vb - pb) / pb END AS gb
+      FROM l WHERE year - py = 1)
+SELECT flow_a, flow_b,
+       round(CASE WHEN count(*) < 2 THEN 0.0 ELSE coalesce(covar_pop(ga, gb) / NULLIF(stddev_pop(ga) * stddev_pop(gb), 0), 0.0) END, 6) AS r,
+       count(*) AS n_pairs
+FROM g GROUP BY 1, 2"""
+
+ORACLE["ols_trend"] = f"""WITH {FLOW_YEAR},
+o AS (SELECT flow, regr_slope(value / 100.0::DOUBLE, year) AS slope, regr_intercept(value / 100.0::DOUBLE, year) AS intercept,
+             min(year) AS x0, max(year) AS x1 FROM fy GROUP BY 1)
+SELECT flow, round(slope, 2) AS slope, x0, x1, round(slope * x0 + intercept, 2) AS y0, round(slope * x1 + intercept, 2) AS y1 FROM o"""
+
+NATION_YEAR = f"""{SUPP_LINES}, nv AS (SELECT year, reporter, sum(v) AS value FROM sl GROUP BY 1, 2)"""
+
+ORACLE["gini"] = f"""WITH {NATION_YEAR},
+r AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY value) AS i FROM nv WHERE value > 0),
+g AS (SELECT year, sum(i * value) AS cum, count(*) AS n, sum(value) AS tot FROM r GROUP BY 1)
+SELECT year, n, round(CASE WHEN n < 2 OR tot = 0 THEN 0.0 ELSE 2.0::DOUBLE * cum / (n * tot) - (n + 1)::DOUBLE / n END, 6) AS gini FROM g"""
+
+ORACLE["hhi"] = f"""WITH {NATION_YEAR}, t AS (SELECT nv.*, sum(value) OVER (PARTITION BY year) AS tot FROM nv)
+SELECT year, round(coalesce(sum(CASE WHEN tot <> 0 THEN pow(value / NULLIF(tot, 0) * 100.0::DOUBLE, 2) END), 0.0), 6) AS hhi FROM t GROUP BY 1"""
+
+ORACLE["top_n_share"] = f"""WITH {NATION_YEAR},
+r AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY value DESC, reporter) AS rn FROM nv)
+SELECT year, round(coalesce(sum(CASE WHEN rn <= 5 THEN value END), 0.0) / CASE WHEN sum(value) = 0 THEN 1.0 ELSE sum(value) END, 6) AS top5_share
+FROM r GROUP BY 1"""
+
+ORACLE["lorenz"] = f"""WITH {NATION_YEAR}
+SELECT year, reporter, round(row_number() OVER w / count(*) OVER (PARTITION BY year), 6) AS pop_share,
+       round(sum(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(value) OVER (PARTITION BY year), 6) AS value_share
+FROM nv WHERE value > 0 WINDOW w AS (PARTITION BY year ORDER BY value, reporter)"""
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)
