@@ -89,3 +89,18 @@ def single_value_per_key(df: DataFrame, key: Sequence[str], col: str, name: str,
         F.array_join(F.sort_array(F.collect_set(col)), ", ").alias("values"),
     )
     return _tag(g.filter(F.col("n_values") > 1), name, severity)
+
+
+def run_suite(checks: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """One row per check: name, severity and the number of failing rows.
+
+    Each check is counted by its own aggregate; the report is their union,
+    so the whole suite is one Spark job with no driver-side loop over rows."""
+    from functools import reduce
+
+    parts = [
+        failing.agg(F.count(F.lit(1)).alias("n_failing")).select(
+            F.lit(name).alias("check"), F.lit(sev).alias("severity"), "n_failing")
+        for name, (failing, sev) in checks.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -86,6 +86,12 @@ def fx_series(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# The natural key of a line (the driver's lineitem has repeated
+# (orderkey, linenumber) pairs; these attributes together are unique).
+LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "tax",
+            "flow", "unit", "l_shipdate"]
+
+
 def trade_lines(
     spark: SparkSession,
     sf: str,
@@ -105,6 +111,9 @@ def trade_lines(
         F.col("l_linestatus").alias("unit"),
         F.col("l_quantity").alias("qty"),
         F.col("l_tax").alias("tax"),
+        F.col("l_extendedprice"),
+        F.col("l_discount"),
+        F.col("l_shipdate"),
         revenue_cents().alias("value_cents"),
         F.year("l_shipdate").alias("year"),
         F.month("l_shipdate").alias("month"),

@@ -714,5 +714,69 @@ SELECT year, reporter, round(row_number() OVER w / count(*) OVER (PARTITION BY y
 FROM nv WHERE value > 0 WINDOW w AS (PARTITION BY year ORDER BY value, reporter)"""
 
 
+# --- check suites, reconcile, incremental, streaming -------------------------
+
+MART_LINES = f"""
+li AS (SELECT l.l_returnflag AS flow, {YEAR} AS year, p.p_brand AS product, s.s_nationkey AS reporter, {REV} AS v, l.l_quantity AS qty
+       FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey),
+mart AS (SELECT flow, year, product, reporter, sum(v) AS v, sum(qty) AS qty FROM li GROUP BY 1, 2, 3, 4)"""
+
+
+def _diff(a: str, b: str) -> str:
+    return f"abs(coalesce({a}, 0) - coalesce({b}, 0)) > 1e-6 * greatest(abs(coalesce({a}, 0)), abs(coalesce({b}, 0)), 1.0)"
+
+
+ORACLE["conservation_checks"] = f"""WITH {MART_LINES},
+a AS (SELECT sum(v) AS av, sum(qty) AS aq FROM li), b AS (SELECT sum(v) AS bv, sum(qty) AS bq FROM mart),
+af AS (SELECT flow, sum(v) AS av FROM li GROUP BY 1), bf AS (SELECT flow, sum(v) AS bv FROM mart GROUP BY 1)
+SELECT 'value_qty_conserved' AS "check", 'error' AS severity, count(*) AS n_failing FROM a, b
+WHERE {_diff('av', 'bv')} OR {_diff('aq', 'bq')}
+UNION ALL
+SELECT 'value_conserved_per_flow', 'error', count(*) FROM af FULL OUTER JOIN bf ON af.flow = bf.flow WHERE {_diff('av', 'bv')}
+UNION ALL
+SELECT 'mart_has_rows', 'error', count(*) FROM (SELECT count(*) AS n FROM mart) WHERE n = 0"""
+
+ORACLE["grain_checks"] = f"""WITH {MART_LINES}
+SELECT 'mart_grain_unique' AS "check", 'error' AS severity,
+       (SELECT count(*) FROM (SELECT 1 FROM mart GROUP BY flow, year, product, reporter HAVING count(*) > 1)) AS n_failing
+UNION ALL SELECT 'lineitem_order_unique', 'warn', (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1))
+UNION ALL SELECT 'orders_not_null', 'error', (SELECT count(*) FROM orders WHERE o_orderkey IS NULL OR o_custkey IS NULL
+       OR o_orderstatus IS NULL OR o_totalprice IS NULL OR o_orderdate IS NULL OR o_orderpriority IS NULL)
+UNION ALL SELECT 'flow_accepted', 'error', (SELECT count(*) FROM lineitem WHERE l_returnflag IS NOT NULL AND l_returnflag NOT IN ('A', 'N', 'R'))
+UNION ALL SELECT 'priority_accepted', 'warn', (SELECT count(*) FROM orders WHERE o_orderpriority IS NOT NULL AND o_orderpriority NOT IN ('1-URGENT', '2-HIGH'))
+UNION ALL SELECT 'supplier_exists', 'error', (SELECT count(*) FROM lineitem WHERE l_suppkey IS NOT NULL
+       AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier))"""
+
+
+def _out(x: str, lo: float, hi: float) -> str:
+    return f"({x}) IS NOT NULL AND (({x}) < {lo} OR ({x}) > {hi})"
+
+
+ORACLE["bounded_checks"] = f"""
+SELECT 'implied_rate_bounded' AS "check", 'error' AS severity,
+       (SELECT count(*) FROM orders WHERE {_out('o_totalprice / 1000.0::DOUBLE', 1.0, 400.0)}) AS n_failing
+UNION ALL SELECT 'discount_bounded', 'warn', (SELECT count(*) FROM lineitem WHERE {_out('l_discount', 0.0, 0.08)})
+UNION ALL SELECT 'unit_price_bounded', 'warn',
+       (SELECT count(*) FROM lineitem WHERE {_out('l_extendedprice / NULLIF(l_quantity, 0)', 900.0, 2000.0)})"""
+
+ORACLE["reconcile_cells"] = """
+WITH li AS (SELECT l_orderkey, sum(l_quantity) AS qty FROM lineitem GROUP BY 1),
+live AS (SELECT * FROM li WHERE l_orderkey % 11 <> 0),
+src AS (SELECT l_orderkey, CASE WHEN l_orderkey % 7 = 0 THEN qty + 1 ELSE qty END AS qty FROM li WHERE l_orderkey % 10 <> 0),
+j AS (SELECT live.l_orderkey AS lk, src.l_orderkey AS sk, live.qty AS lv, src.qty AS sv
+      FROM live FULL OUTER JOIN src ON live.l_orderkey = src.l_orderkey)
+SELECT count(*) FILTER (WHERE lk IS NOT NULL AND sk IS NOT NULL) AS compared,
+       count(*) FILTER (WHERE lk IS NOT NULL AND sk IS NOT NULL AND lv IS DISTINCT FROM sv
+                        AND NOT (lv IS NOT NULL AND sv IS NOT NULL AND abs(lv - sv) <= 1e-9 * greatest(abs(lv), abs(sv)))) AS diverged,
+       count(*) FILTER (WHERE lk IS NULL) AS only_source,
+       count(*) FILTER (WHERE sk IS NULL) AS only_live
+FROM j"""
+
+ORACLE["incremental_equals_full"] = ORACLE["mart_seasonality"]
+
+ORACLE["stream_latest_equals_batch"] = """
+SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)
