@@ -76,3 +76,14 @@ def incremental_refresh(
     scoped = bronze.join(F.broadcast(affected), part, "left_semi")
     overwrite_partitions(build(scoped), target_path, part)
     return affected
+
+
+def set_fingerprint(df: DataFrame, keys: Sequence[str], code: str) -> DataFrame:
+    """A21 for data-sized sets: an order-independent fingerprint computed
+    map-side (XOR of a 60-bit SHA-256 prefix of each distinct code), plus
+    the set size.  ``scope_fingerprint`` reproduces the sorted-list format
+    but gathers the whole set of a scope in one task, so it is meant for
+    configured scopes of bounded size."""
+    distinct = df.select(*keys, F.col(code).cast("string").alias("_c")).distinct()
+    h = F.conv(F.substring(F.sha2(F.col("_c"), 256), 1, 15), 16, 10).cast("bigint")
+    return distinct.groupBy(*keys).agg(F.bit_xor(h).alias("fingerprint"), F.count(F.lit(1)).alias("n_codes"))

@@ -778,5 +778,70 @@ ORACLE["stream_latest_equals_batch"] = """
 SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
 
 
+# --- source bookkeeping and curation -----------------------------------------
+
+ORACLE["archive_roundtrip"] = """
+SELECT CAST(year(o_orderdate) AS VARCHAR) AS batch_id, count(*) AS rows, count(*) AS n_read FROM orders GROUP BY 1"""
+
+_HWM = "max(CAST(try_strptime(strftime(o_orderdate, '%d/%m/%Y'), '%d/%m/%Y') AS DATE))"
+ORACLE["bronze_high_water"] = f"""
+SELECT o_orderpriority AS series_code, {_HWM} AS hwm,
+       greatest(DATE '1996-01-01', CAST({_HWM} - INTERVAL 12 MONTH AS DATE)) AS window_start
+FROM orders GROUP BY 1"""
+
+ORACLE["new_codes"] = """
+SELECT p_partkey AS code FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE year(l_shipdate) = 1995)"""
+
+ORACLE["scope_fingerprint"] = """
+WITH d AS (SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS year, CAST(l_suppkey AS VARCHAR) AS c FROM lineitem)
+SELECT year, bit_xor(CAST(('0x' || substr(sha256(c), 1, 15)) AS BIGINT)) AS fingerprint, count(*) AS n_codes FROM d GROUP BY 1"""
+
+ORACLE["chunk_plan"] = """
+WITH m AS (SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS member FROM supplier),
+c AS (SELECT member, CAST(floor((row_number() OVER (ORDER BY member) - 1) / 25) AS INTEGER) AS chunk FROM m),
+ch AS (SELECT chunk, CAST(count(*) AS INTEGER) AS n_members, substr(sha1(string_agg(member, ',' ORDER BY member)), 1, 12) AS batch_hash
+       FROM c GROUP BY 1),
+y AS (SELECT CAST(unnest(range(min(year(l_shipdate)), max(year(l_shipdate)) + 1)) AS INTEGER) AS year FROM lineitem)
+SELECT year, chunk, n_members, batch_hash FROM y CROSS JOIN ch"""
+
+ORACLE["source_freshness"] = """
+WITH m AS (SELECT max(ts) AS newest FROM events),
+a AS (SELECT newest, (epoch(TIMESTAMP '2024-02-01 00:00:00') - floor(epoch(newest))) / 3600.0 AS age FROM m)
+SELECT newest, round(age, 6) AS age_hours, CASE WHEN age > 72.0 THEN 'error' WHEN age > 24.0 THEN 'warn' ELSE 'pass' END AS status FROM a"""
+
+ORACLE["groups_with_counts"] = f"""WITH {LOG_CTE},
+g AS (SELECT DISTINCT event_type AS group_id FROM events),
+m AS (SELECT group_name AS group_id, count(*) AS n FROM cur WHERE active GROUP BY 1)
+SELECT g.group_id, coalesce(m.n, 0) AS n_members FROM g LEFT JOIN m ON g.group_id = m.group_id"""
+
+CATALOG_CTE = f"""{LOG_CTE},
+cat AS (SELECT user_id, group_name AS group_id, CASE WHEN user_id % 2 = 0 THEN 'pevs' ELSE 'comex' END AS source FROM cur WHERE active)"""
+
+ORACLE["catalog_worklist"] = f"""WITH {CATALOG_CTE}
+SELECT group_id, count(*) AS n_codes, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM cat GROUP BY 1"""
+
+ORACLE["code_status"] = f"""WITH {CATALOG_CTE},
+d AS (SELECT o_custkey AS user_id, count(*) AS n_rows, CAST(min(year(o_orderdate)) AS INTEGER) AS first_year,
+             CAST(max(year(o_orderdate)) AS INTEGER) AS last_year FROM orders GROUP BY 1)
+SELECT cat.user_id, cat.group_id, cat.source, coalesce(d.n_rows, 0) AS n_rows, d.first_year, d.last_year, d.n_rows IS NOT NULL AS has_data
+FROM cat LEFT JOIN d ON cat.user_id = d.user_id"""
+
+ORACLE["level_worklist"] = f"""WITH {TIMELINE_CTE},
+lv AS (SELECT user_id AS code, event_type AS level FROM tl WHERE valid_to IS NULL)
+SELECT lv.level, count(*) AS n_codes FROM customer c LEFT JOIN lv ON c.c_custkey = lv.code GROUP BY 1"""
+
+ORACLE["matrix_with_mapping"] = """
+WITH cells AS (SELECT l_returnflag AS flow, l_linestatus AS unit, count(*) AS n_rows FROM lineitem GROUP BY 1, 2),
+mp AS (SELECT * FROM (VALUES ('A', 'F', 'external'), ('A', 'O', 'external'), ('N', 'F', 'domestic'), ('X', 'F', 'domestic')) t(flow, unit, market))
+SELECT coalesce(cells.flow, mp.flow) AS flow, coalesce(cells.unit, mp.unit) AS unit, n_rows, market
+FROM cells FULL OUTER JOIN mp ON cells.flow = mp.flow AND cells.unit = mp.unit"""
+
+ORACLE["auto_mark_orphans"] = f"""WITH {LOG_CTE},
+o AS (SELECT user_id, ts AS removed_at FROM cur WHERE NOT active AND user_id IN (SELECT o_custkey FROM orders))
+SELECT user_id, 'marked' AS status, TIMESTAMP '2024-02-01 00:00:00' AS edited_at,
+       'mark:' || CAST(user_id AS VARCHAR) || ':' || strftime(removed_at, '%Y%m%d%H%M%S') AS change_id
+FROM o"""
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)
