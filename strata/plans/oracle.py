@@ -843,5 +843,85 @@ SELECT user_id, 'marked' AS status, TIMESTAMP '2024-02-01 00:00:00' AS edited_at
 FROM o"""
 
 
+# --- more reads and joins ----------------------------------------------------
+
+ORDER_CENTS = "round(o_totalprice * 100)"
+
+ORACLE["municipio_yearly"] = f"""WITH {LOG_CTE}
+SELECT o.o_custkey AS city, n.n_name AS state, CAST(year(o.o_orderdate) AS INTEGER) AS year,
+       round(sum({ORDER_CENTS}) / 100.0::DOUBLE, 2) AS value
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+WHERE NOT EXISTS (SELECT 1 FROM hidden h WHERE h.user_id = o.o_custkey)
+GROUP BY 1, 2, 3"""
+
+ORACLE["geo_mesh"] = """
+SELECT c_custkey AS city_code, c_name AS city_name, n_name AS state_name, r_name AS region_name
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+
+ORACLE["productivity_read"] = f"""
+SELECT {YEAR} AS year, s.s_nationkey AS state, sum(l_quantity) AS production,
+       sum(round(l_discount * 100)) AS area_planted, sum(round(l_tax * 100)) AS area_harvested
+FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
+WHERE p.p_brand = 'Brand#7' GROUP BY 1, 2"""
+
+ORACLE["current_flow_market"] = f"""WITH {TIMELINE_CTE}
+SELECT user_id, event_type AS market, version, valid_from FROM tl WHERE valid_to IS NULL AND event_type <> 'error'"""
+
+ORACLE["comex_by_partner_latest"] = f"""
+WITH li AS (SELECT c.c_nationkey AS partner, {YEAR} AS year, l.l_returnflag AS flow, l.l_quantity AS qty, {REV} AS v
+            FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey),
+f AS (SELECT * FROM li WHERE flow IN ('A', 'N') AND year <= 2000)
+SELECT partner, round(sum(v) / 100.0::DOUBLE, 2) AS value, sum(qty) AS weight FROM f
+WHERE year = (SELECT max(year) FROM f) GROUP BY 1"""
+
+ORACLE["flow_market_values"] = f"""
+SELECT o.o_orderpriority AS regime, l.l_returnflag AS flow, round(sum({REV}) / 100.0::DOUBLE, 2) AS value, count(*) AS n_rows
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE o.o_orderpriority <> '5-LOW' GROUP BY 1, 2"""
+
+ORACLE["market_nature_series"] = f"""WITH {TIMELINE_CTE},
+cur AS (SELECT user_id, event_type AS market FROM tl WHERE valid_to IS NULL AND event_type <> 'error')
+SELECT cur.market, CAST(year(o.o_orderdate) AS INTEGER) AS year, round(sum({ORDER_CENTS}) / 100.0::DOUBLE, 2) AS value, count(*) AS n_rows
+FROM orders o JOIN cur ON o.o_custkey = cur.user_id GROUP BY 1, 2"""
+
+ORACLE["quality_by_source_read"] = f"SELECT * FROM ({ORACLE['quality_by_source']}) WHERE source = 'orders'"
+ORACLE["source_metadata_read"] = f"SELECT * FROM ({ORACLE['source_metadata']}) WHERE source = 'lineitem'"
+
+ORACLE["bilateral_named"] = f"""
+WITH m AS (SELECT {YEAR} AS year, s.s_nationkey AS reporter, c.c_nationkey AS partner, sum({REV}) AS cents
+           FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+           JOIN supplier s ON l.l_suppkey = s.s_suppkey GROUP BY 1, 2, 3)
+SELECT m.year, r.n_name AS reporter_name, p.n_name AS partner_name, round(cents / 100.0::DOUBLE, 2) AS value
+FROM m JOIN nation r ON m.reporter = r.n_nationkey JOIN nation p ON m.partner = p.n_nationkey"""
+
+ORACLE["codes_present_catalog"] = f"""
+WITH totals AS (SELECT p.p_brand AS product, sum({REV}) AS cents FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
+                WHERE l.l_returnflag = 'A' GROUP BY 1),
+cat AS (SELECT p_brand AS product, max(p_name) AS name FROM part WHERE p_size > 10 GROUP BY 1),
+named AS (SELECT t.product, cat.name FROM (SELECT DISTINCT product FROM totals) t JOIN cat ON t.product = cat.product)
+SELECT totals.product, named.name, round(cents / 100.0::DOUBLE, 2) AS value FROM totals LEFT JOIN named ON totals.product = named.product"""
+
+ORACLE["catalog_without_data"] = f"""WITH {LOG_CTE}
+SELECT user_id FROM cur WHERE active AND user_id NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 2001)"""
+
+ORACLE["seasonality_calendar"] = f"""
+WITH m AS (SELECT l_returnflag AS flow, {YEAR} AS year, {MONTH} AS month, sum({REV}) AS cents FROM lineitem GROUP BY 1, 2, 3)
+SELECT flow, year, month,
+       ['Janeiro','Fevereiro','Março','Abril','Maio','Junho','Julho','Agosto','Setembro','Outubro','Novembro','Dezembro'][month] AS month_name_pt,
+       CAST(quarter(make_date(year, month, 1)) AS INTEGER) AS quarter, round(cents / 100.0::DOUBLE, 2) AS value
+FROM m"""
+
+ORACLE["median_price_by_year"] = f"""
+WITH p AS (SELECT {YEAR} AS year, ({REV} / 100.0::DOUBLE) / NULLIF(l_quantity, 0) AS price FROM lineitem),
+m AS (SELECT year, quantile_cont(price, 0.5) AS median_price FROM p WHERE price IS NOT NULL GROUP BY 1)
+SELECT year, round(median_price, 6) AS median_price,
+       median_price < 0.1 * ((lag(median_price) OVER (ORDER BY year) + lead(median_price) OVER (ORDER BY year)) / 2) AS cliffed
+FROM m"""
+
+ORACLE["unit_list_per_product"] = """
+SELECT p.p_brand AS product, count(DISTINCT l.l_linestatus) AS n_values,
+       string_agg(DISTINCT l.l_linestatus, ', ' ORDER BY l.l_linestatus) AS "values", 'single_stat_unit' AS "check", 'warn' AS severity
+FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1 HAVING count(DISTINCT l.l_linestatus) > 1"""
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)
