@@ -923,5 +923,103 @@ SELECT p.p_brand AS product, count(DISTINCT l.l_linestatus) AS n_values,
 FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1 HAVING count(DISTINCT l.l_linestatus) > 1"""
 
 
+# --- dashboard compositions and domain checks --------------------------------
+
+ORACLE["overview_with_families"] = f"""WITH {GOLD_CTE},
+ov AS (SELECT year, sum(value_cents) AS cents, count(*) AS n_rows FROM g GROUP BY 1),
+pf AS (SELECT product, year, {_FAMS} FROM g GROUP BY 1, 2),
+fam AS (SELECT year, sum(q_mass) AS q_mass, sum(q_vol) AS q_vol, sum(q_count) AS q_count FROM pf GROUP BY 1)
+SELECT ov.year, round(cents / 100.0::DOUBLE, 2) AS value, n_rows, q_mass, q_vol, q_count FROM ov LEFT JOIN fam ON ov.year = fam.year"""
+
+ORACLE["latest_complete_year"] = f"""
+WITH m AS (SELECT {YEAR} AS year, count(DISTINCT {MONTH}) AS n_months FROM lineitem GROUP BY 1),
+l AS (SELECT arg_max(n_months, year) AS n_last, max(year) AS latest_year FROM m)
+SELECT latest_year, n_last, CASE WHEN n_last = 12 THEN latest_year ELSE latest_year - 1 END AS latest_complete_year FROM l"""
+
+ORACLE["export_unit_price"] = f"""
+WITH v AS (SELECT {YEAR} AS year, sum({REV}) AS cents FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),
+w AS (SELECT {YEAR} AS year, sum(l_quantity) AS weight FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'F' GROUP BY 1)
+SELECT v.year, round(cents / 1e8, 2) AS value_musd, weight / 1e3 AS weight_kt,
+       round((cents / 100.0::DOUBLE) / NULLIF(weight, 0), 6) AS unit_price
+FROM v LEFT JOIN w ON v.year = w.year"""
+
+ORACLE["quality_shares"] = f"""WITH {_FLAGGED},
+c AS (SELECT year, data_quality_flag, count(*) AS n_rows FROM fl GROUP BY 1, 2)
+SELECT year, data_quality_flag, n_rows, round(n_rows / sum(n_rows) OVER (PARTITION BY year), 6) AS share FROM c"""
+
+ORACLE["quality_mix"] = f"""WITH {_FLAGGED},
+c AS (SELECT data_quality_flag, count(*) AS n_rows FROM fl WHERE data_quality_flag IN ('OK', 'MISSING_QUANTITY') GROUP BY 1)
+SELECT data_quality_flag, n_rows, round(n_rows / sum(n_rows) OVER (), 6) AS share FROM c"""
+
+ORACLE["partner_top3"] = f"""WITH {PARTNER_LINES},
+p AS (SELECT flow, partner, sum(v) AS v FROM pl GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY v DESC, partner) AS rn FROM p)
+SELECT flow, count(*) AS n_partners, round(sum(v) / 100.0::DOUBLE, 2) AS total,
+       round(sum(CASE WHEN rn <= 3 THEN v END) / sum(v), 6) AS top3_share FROM r GROUP BY 1"""
+
+ORACLE["products_by_group"] = f"""WITH {LOG_CTE},
+p AS (SELECT p_partkey, p_type AS group_id, p_brand AS code, CASE WHEN p_size > 25 THEN 'massa' ELSE 'volume' END AS family
+      FROM part WHERE p_partkey NOT IN (SELECT user_id FROM hidden))
+SELECT group_id, count(*) AS n_parts, string_agg(DISTINCT code, ',' ORDER BY code) AS codes,
+       count(DISTINCT family) = 1 AS single_family
+FROM p GROUP BY 1"""
+
+ORACLE["basket_series"] = f"""WITH {GOLD_CTE}
+SELECT state, year, {_MONEY} AS value FROM g WHERE product IN {_PRODUCTS} AND state IN {_STATES} GROUP BY 1, 2"""
+
+ORACLE["coverage_shares"] = f"""WITH {GOLD_CTE},
+s AS (SELECT count(DISTINCT year) AS sy, count(DISTINCT state) AS ss FROM g WHERE year BETWEEN 1996 AND 1999 AND state IN {_STATES}),
+tt AS (SELECT count(DISTINCT year) AS ty, count(DISTINCT state) AS ts FROM g)
+SELECT round(sy / ty, 6) AS year_share, round(ss / ts, 6) AS state_share FROM s, tt"""
+
+ORACLE["herd_composition"] = f"""
+WITH s AS (SELECT p.p_brand AS product, {YEAR} AS year, sum(l_quantity) AS stock FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1, 2),
+last AS (SELECT product, arg_max(stock, year) AS stock, max(year) AS year FROM s GROUP BY 1)
+SELECT product, year, stock, round(stock / sum(stock) OVER (), 6) AS share FROM last"""
+
+ORACLE["top_states_heatmap"] = f"""WITH {GOLD_CTE},
+top AS (SELECT state FROM g GROUP BY 1 ORDER BY sum(value_cents) DESC, state LIMIT 12)
+SELECT state, year, {_MONEY} AS value FROM g WHERE state IN (SELECT state FROM top) GROUP BY 1, 2"""
+
+ORACLE["product_profile"] = f"""WITH {GOLD_CTE},
+yr AS (SELECT year, sum(value_cents) AS year_total FROM g GROUP BY 1),
+p AS (SELECT year, sum(value_cents) AS v, sum(qty) AS q FROM g WHERE product = 'Brand#11' GROUP BY 1),
+pk AS (SELECT first(year ORDER BY v DESC, year ASC) AS peak_year FROM p)
+SELECT p.year, round(v / 100.0::DOUBLE, 2) AS value, round(lag(v) OVER (ORDER BY p.year) / 100.0::DOUBLE, 2) AS previous,
+       round((v / 100.0::DOUBLE) / NULLIF(q, 0), 6) AS unit_price, round(v / year_total, 6) AS share_of_year, peak_year
+FROM p JOIN yr ON p.year = yr.year CROSS JOIN pk"""
+
+ORACLE["flow_headline"] = f"""WITH {PARTNER_LINES},
+o AS (SELECT reporter, sum(v) AS v FROM pl GROUP BY 1), d AS (SELECT partner, sum(v) AS v FROM pl GROUP BY 1)
+SELECT round((SELECT sum(v) FROM o) / 100.0::DOUBLE, 2) AS total,
+       (SELECT first(reporter ORDER BY v DESC, reporter ASC) FROM o) AS top_origin,
+       (SELECT first(partner ORDER BY v DESC, partner ASC) FROM d) AS top_destination"""
+
+ORACLE["stacked_year_max"] = f"""
+WITH fy AS (SELECT l_returnflag AS flow, {YEAR} AS year, sum({REV}) AS v FROM lineitem GROUP BY 1, 2),
+y AS (SELECT year, sum(v) AS total FROM fy GROUP BY 1)
+SELECT round(greatest(coalesce(max(total), 0.0), 0.0) / 100.0::DOUBLE, 2) AS stack_max FROM y"""
+
+ORACLE["domain_checks"] = f"""WITH {LOG_CTE},
+li AS (SELECT p.p_brand AS product, {YEAR} AS year, l.l_linestatus AS unit, l.l_discount, l.l_tax
+       FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
+cells AS (SELECT DISTINCT unit, year FROM li),
+r AS (SELECT * FROM (VALUES ('F', 1995, 1997, 1.5::DOUBLE), ('F', 1998, 2001, 2.0::DOUBLE), ('O', 1995, 1999, 0.5::DOUBLE))
+      t(unit_of_measure, year_from, year_to, brl_factor)),
+nf AS (SELECT cells.* FROM cells LEFT JOIN r ON lower(cells.unit) = lower(r.unit_of_measure) AND cells.year BETWEEN r.year_from AND r.year_to
+       WHERE r.brl_factor IS NULL),
+areas AS (SELECT product, year, sum(round(l_discount * 100)) AS planted, sum(round(l_tax * 100)) AS harvested FROM li GROUP BY 1, 2),
+fam AS (SELECT product FROM li GROUP BY 1 HAVING count(DISTINCT CASE WHEN unit = 'F' THEN 'massa' ELSE 'volume' END) > 1),
+cat AS (SELECT user_id AS code FROM cur WHERE active),
+conf AS (SELECT c_custkey AS code FROM customer WHERE c_custkey < 150),
+side AS (SELECT 1 FROM cat FULL OUTER JOIN conf ON cat.code = conf.code WHERE cat.code IS NULL OR conf.code IS NULL),
+orph AS (SELECT user_id FROM cur WHERE NOT active AND user_id IN (SELECT o_custkey FROM orders))
+SELECT 'monetary_unit_has_factor' AS "check", 'error' AS severity, (SELECT count(*) FROM nf) AS n_failing
+UNION ALL SELECT 'planted_ge_harvested', 'warn', (SELECT count(*) FROM areas WHERE planted < harvested)
+UNION ALL SELECT 'single_family_per_product', 'warn', (SELECT count(*) FROM fam)
+UNION ALL SELECT 'catalog_vs_configured', 'warn', (SELECT count(*) FROM side)
+UNION ALL SELECT 'orphans_unmarked', 'warn', (SELECT count(*) FROM orph)"""
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)
