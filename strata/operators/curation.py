@@ -32,13 +32,13 @@ def idempotent_intake(log: DataFrame, incoming: DataFrame, keys: Sequence[str],
     A change id already in the log is a no-op; within the batch the first
     delivery wins; a change id reused for a different key is a conflict."""
     first = first_seen(incoming, id_col, list(order))
-    seen = log.select(id_col, *[F.col(k).alias(f"_log_{k}") for k in keys])
-    accepted = first.join(seen.select(id_col), id_col, "left_anti")
+    seen = log.select(F.col(id_col).alias("_log_id"), *[F.col(k).alias(f"_log_{k}") for k in keys])
+    accepted = first.join(seen.select(F.col("_log_id").alias(id_col)).distinct(), id_col, "left_anti")
     differs = None
     for k in keys:
         c = ~F.col(k).eqNullSafe(F.col(f"_log_{k}"))
         differs = c if differs is None else differs | c
-    conflicts = first.join(seen, id_col, "inner").filter(differs)
+    conflicts = first.join(seen, (F.col(id_col) == F.col("_log_id")) & differs, "left_semi")
     return accepted, conflicts
 
 
