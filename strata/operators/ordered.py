@@ -18,12 +18,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.session import cut_lineage
 
 _BLK = "_blk"
+BLOCK = _BLK  # public name of the block-id column
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
@@ -31,12 +33,21 @@ def _cols(names: Sequence[str]) -> list[Column]:
 
 
 def blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
-    """Range-partition on ``keys + order`` and tag rows with their block id."""
+    """Range-partition on ``keys + order`` and tag rows with their block id.
+
+    Range partitioning evaluates its input twice (a sampling pass for the
+    bounds, then the shuffle), so the input is persisted for the duration
+    of the checkpoint job and released right after it.
+    """
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *_cols(keys), *_cols(order)).withColumn(
-        _BLK, F.spark_partition_id()
-    )
-    return cut_lineage(ranged)
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ranged = src.repartitionByRange(n, *_cols(keys), *_cols(order)).withColumn(
+            _BLK, F.spark_partition_id()
+        )
+        return cut_lineage(ranged)
+    finally:
+        src.unpersist()
 
 
 def _block_summary(b: DataFrame, keys: Sequence[str], order: Sequence[str], value: str | None,

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.columns import quality_flag, safe_divide, safe_ln
-from strata.operators.ordered import ordered_columns
+from strata.operators.ordered import BLOCK, blocked
 
 # The reference's defaults for the implied-price detector.
 MIN_OBS = 100
@@ -29,6 +29,12 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Map
 
     Returns one row per group with one column per entry of ``probs``.
     NULL values are ignored; a group with no values gets no row.
+
+    Plan: distinct (group, value) counts (combined map-side) ->
+    range-partitioned blocks pinned by a checkpoint -> one small per-block
+    summary (count, offset of earlier blocks, group total) -> a running
+    count inside each block -> the two values around each target rank are
+    picked by an aggregate.  No group is held in one task.
     """
     dist = (
         df.select(*keys, F.col(value).alias("_v"))
@@ -36,9 +42,15 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Map
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    ranked = ordered_columns(dist, keys, ["_v"], value="_c", running_sum="_cum")
-    totals = ranked.groupBy(*keys).agg(F.max("_cum").alias("_n"))
-    j = ranked.join(totals, list(keys))
+    b = blocked(dist, keys, ["_v"])
+    summary = b.groupBy(BLOCK, *keys).agg(F.sum("_c").alias("_bc"))
+    wk = Window.partitionBy(*keys)
+    summary = summary.withColumn(
+        "_off", F.coalesce(F.sum("_bc").over(wk.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ).withColumn("_n", F.sum("_bc").over(wk)).drop("_bc")
+    w = Window.partitionBy(BLOCK, *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    local = b.withColumn("_lcum", F.sum("_c").over(w))
+    j = local.join(summary, [BLOCK, *keys]).withColumn("_cum", F.col("_off") + F.col("_lcum"))
     first = F.col("_cum") - F.col("_c")
     aggs = []
     for name, p in probs.items():
@@ -82,22 +94,23 @@ def implied_price_levels(
         .withColumn("_lq", safe_ln(qty))
     )
     # One ranked pass for all three measures: rows are stacked as
-    # (group, measure, value) so a single range-partitioned scan serves them.
+    # (group, measure id, value) so a single range-partitioned scan serves them
+    # (0 = implied price, 1 = value, 2 = quantity, all as natural logs).
     stacked = d.select(
         *group,
         F.explode(F.array(
-            F.struct(F.lit("p").alias("_m"), F.col("_lp").alias("_x")),
-            F.struct(F.lit("v").alias("_m"), F.col("_lv").alias("_x")),
-            F.struct(F.lit("q").alias("_m"), F.col("_lq").alias("_x")),
+            F.struct(F.lit(0).alias("_m"), F.col("_lp").alias("_x")),
+            F.struct(F.lit(1).alias("_m"), F.col("_lv").alias("_x")),
+            F.struct(F.lit(2).alias("_m"), F.col("_lq").alias("_x")),
         )).alias("_s"),
     ).select(*group, "_s._m", "_s._x")
     pct = exact_percentiles(stacked, [*group, "_m"], "_x", {"_p50": 0.5, "_p75": 0.75})
     med = pct.groupBy(*group).agg(
-        F.max(F.when(F.col("_m") == "p", F.col("_p50"))).alias("_q_ln_med_price"),
-        F.max(F.when(F.col("_m") == "v", F.col("_p50"))).alias("_q_ln_med_val"),
-        F.max(F.when(F.col("_m") == "v", F.col("_p75"))).alias("_q_p75_val"),
-        F.max(F.when(F.col("_m") == "q", F.col("_p50"))).alias("_q_ln_med_qty"),
-        F.max(F.when(F.col("_m") == "q", F.col("_p75"))).alias("_q_p75_qty"),
+        F.max(F.when(F.col("_m") == 0, F.col("_p50"))).alias("_q_ln_med_price"),
+        F.max(F.when(F.col("_m") == 1, F.col("_p50"))).alias("_q_ln_med_val"),
+        F.max(F.when(F.col("_m") == 1, F.col("_p75"))).alias("_q_p75_val"),
+        F.max(F.when(F.col("_m") == 2, F.col("_p50"))).alias("_q_ln_med_qty"),
+        F.max(F.when(F.col("_m") == 2, F.col("_p75"))).alias("_q_p75_qty"),
     )
     n = d.groupBy(*group).agg(F.count(safe_divide(value, qty)).alias("_q_n"))
     stats = n.join(med, list(group), "left")
