@@ -38,22 +38,43 @@ def _map(col: str, mapping: dict[str, str]) -> F.Column:
     return expr
 
 
-def index_series(spark: SparkSession, sf: str) -> DataFrame:
+def orders_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """One pass over orders reduced to (status, priority, day) aggregates.
+
+    Both the index and the FX series derive from this summary, so the large
+    orders table is scanned once.  The summary is bounded by
+    statuses x priorities x days (not by the number of orders), so it is
+    cached: the consumers in the plan share one computation, and a lost
+    cached partition is recomputed deterministically from the scan.
+    """
+    o = t(spark, sf, "orders")
+    daily = o.groupBy(
+        "o_orderstatus", "o_orderpriority", F.to_date("o_orderdate").alias("day")
+    ).agg(
+        F.sum(F.floor("o_totalprice")).alias("price_sum"),
+        F.count(F.lit(1)).alias("n_orders"),
+        F.max(F.floor(F.col("o_totalprice") / F.lit(1000.0))).alias("rate_max"),
+    )
+    return daily.persist()
+
+
+def index_series(spark: SparkSession, sf: str, daily: DataFrame | None = None) -> DataFrame:
     """Silver index: (series_code, reference_date, reference_year,
     reference_month, monthly_pct_change, index_value).
 
     The monthly change is the change of the mean (floored) order price of
     the status; the index chains those changes from 100.
     """
-    o = t(spark, sf, "orders")
+    d = daily if daily is not None else orders_daily(spark, sf)
     monthly = (
-        o.select(
+        d.select(
             _map("o_orderstatus", DEFLATOR_OF_STATUS).alias("series_code"),
-            F.to_date(F.date_trunc("month", "o_orderdate")).alias("reference_date"),
-            F.floor("o_totalprice").alias("price"),
+            F.trunc("day", "month").alias("reference_date"),
+            "price_sum",
+            "n_orders",
         )
         .groupBy("series_code", "reference_date")
-        .agg(F.avg("price").alias("mean_price"))
+        .agg((F.sum("price_sum") / F.sum("n_orders")).alias("mean_price"))
     )
     pct = pct_change(monthly, ["series_code"], "reference_date", "mean_price", "monthly_pct_change")
     idx = chain_index(pct, ["series_code"], "reference_date", "monthly_pct_change")
@@ -67,18 +88,14 @@ def index_series(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def fx_series(spark: SparkSession, sf: str) -> DataFrame:
+def fx_series(spark: SparkSession, sf: str, daily: DataFrame | None = None) -> DataFrame:
     """Silver FX: (currency, reference_date, reference_year,
     reference_month, brl_per_foreign_unit), one fixing per currency and day."""
-    o = t(spark, sf, "orders")
+    d = daily if daily is not None else orders_daily(spark, sf)
     cur = _map("o_orderpriority", CURRENCY_OF_PRIORITY)
     return (
-        o.filter(cur.isNotNull())
-        .select(
-            cur.alias("currency"),
-            F.to_date("o_orderdate").alias("reference_date"),
-            F.floor(F.col("o_totalprice") / F.lit(1000.0)).cast("double").alias("rate"),
-        )
+        d.filter(cur.isNotNull())
+        .select(cur.alias("currency"), F.col("day").alias("reference_date"), F.col("rate_max").cast("double").alias("rate"))
         .groupBy("currency", "reference_date")
         .agg(F.max("rate").alias("brl_per_foreign_unit"))
         .withColumn("reference_year", F.year("reference_date"))

@@ -20,7 +20,7 @@ from strata.operators.deflate import (
     year_end_index,
 )
 from strata.plans.base import r2, register
-from strata.plans.inputs import fx_series, index_series, revenue_cents, t
+from strata.plans.inputs import fx_series, index_series, orders_daily, revenue_cents, t
 
 
 def nation_dim(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,8 +37,9 @@ def deflated_revenue_by_nation_year(spark: SparkSession, sf: str) -> DataFrame:
     Lines are pre-aggregated to (order, year) before the order join, so the
     largest shuffle carries one row per order-year instead of one per line.
     """
-    idx = index_series(spark, sf)
-    fx = fx_series(spark, sf)
+    daily = orders_daily(spark, sf)
+    idx = index_series(spark, sf, daily)
+    fx = fx_series(spark, sf, daily)
     per_order = (
         t(spark, sf, "lineitem")
         .groupBy("l_orderkey", F.year("l_shipdate").alias("reference_year"))
