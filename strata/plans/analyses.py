@@ -112,5 +112,11 @@ def region_rollup(values: DataFrame, hierarchy: DataFrame, key: str, region: str
 
 
 def share_of_total(df: DataFrame, keys: Sequence[str], value: str, out: str = "share") -> DataFrame:
-    """Value over the group total (window over the aggregated rows)."""
-    return df.withColumn(out, F.try_divide(F.col(value), F.sum(value).over(Window.partitionBy(*keys))))
+    """Value over the group total (aggregate joined back, so a big
+    group is summed map-side rather than buffered by a window)."""
+    if keys:
+        tot = df.groupBy(*keys).agg(F.sum(value).alias("_tot"))
+        j = df.join(tot, list(keys))
+    else:
+        j = df.crossJoin(F.broadcast(df.agg(F.sum(value).alias("_tot"))))
+    return j.withColumn(out, F.try_divide(F.col(value), F.col("_tot"))).drop("_tot")

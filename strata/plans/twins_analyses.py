@@ -276,7 +276,7 @@ def _nation_year(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def gini(spark: SparkSession, sf: str) -> DataFrame:
     """Gini of reporter-nation values per year."""
-    g = K.gini(_nation_year(spark, sf), ["year"], "value")
+    g = K.gini(_nation_year(spark, sf), ["year"], "value", tiebreak="reporter")
     return g.select("year", "n", r6("gini").alias("gini"))
 
 

@@ -69,13 +69,8 @@ def chunk_plan(spark: SparkSession, sf: str) -> DataFrame:
     li = t(spark, sf, "lineitem")
     span = li.agg(F.min(F.year("l_shipdate")).alias("y0"), F.max(F.year("l_shipdate")).alias("y1"))
     years = span.select(F.explode(F.sequence("y0", "y1")).alias("year"))
-    from pyspark.sql import Window
-
-    m = t(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("member")).distinct()
-    m = m.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy("member")) - 1) / 25).cast("int"))
-    chunks = m.groupBy("chunk").agg(F.array_sort(F.collect_list("member")).alias("members"))
-    chunks = chunks.select("chunk", F.size("members").alias("n_members"),
-                           F.substring(F.sha1(F.array_join("members", ",")), 1, 12).alias("batch_hash"))
+    members = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("member"))
+    chunks = raw.member_chunks(members, "member", 25)
     return years.crossJoin(chunks)
 
 

@@ -103,18 +103,25 @@ def stable_batch_id(members: Sequence[str], prefix: str = "") -> str:
     return f"{prefix}{h}"
 
 
+def member_chunks(members: DataFrame, member_col: str, size: int) -> DataFrame:
+    """Sorted members cut into fixed-size batches with a stable id per
+    batch (sha1 of its sorted member list).  The global position comes from
+    the range-partitioned ordered scan, not a single-task window."""
+    from strata.operators.ordered import ordered_columns
+
+    m = members.select(F.col(member_col).cast("string").alias("member")).distinct().withColumn("_all", F.lit(0))
+    m = ordered_columns(m, ["_all"], ["member"], row_number="_pos")
+    m = m.withColumn("chunk", F.floor((F.col("_pos") - 1) / size).cast("int"))
+    chunks = m.groupBy("chunk").agg(F.array_sort(F.collect_list("member")).alias("members"))
+    return chunks.select("chunk", F.size("members").alias("n_members"),
+                         F.substring(F.sha1(F.array_join("members", ",")), 1, 12).alias("batch_hash"))
+
+
 def chunk_plan(spark: SparkSession, year_from: int, year_to: int, members: DataFrame, member_col: str,
                size: int) -> DataFrame:
-    """Year x fixed-size batches of sorted members, with a stable id
-    per batch (sha1 of its sorted member list)."""
-    from pyspark.sql import Window
-
+    """Year x fixed-size batches of sorted members."""
     years = spark.range(1).select(F.explode(F.sequence(F.lit(year_from), F.lit(year_to))).alias("year"))
-    m = members.select(F.col(member_col).cast("string").alias("member")).distinct()
-    m = m.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy("member")) - 1) / size))
-    chunks = m.groupBy("chunk").agg(F.array_sort(F.collect_list("member")).alias("members"))
-    chunks = chunks.withColumn("batch_hash", F.substring(F.sha1(F.array_join("members", ",")), 1, 12))
-    return years.crossJoin(chunks)
+    return years.crossJoin(member_chunks(members, member_col, size))
 
 
 def expected_missing(expected: DataFrame, manifest: DataFrame, year_col: str, end_year: int) -> DataFrame:
