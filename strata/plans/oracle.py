@@ -1021,5 +1021,19 @@ UNION ALL SELECT 'catalog_vs_configured', 'warn', (SELECT count(*) FROM side)
 UNION ALL SELECT 'orphans_unmarked', 'warn', (SELECT count(*) FROM orph)"""
 
 
+
+def _resolved_sql(cap: int) -> str:
+    return f"""WITH {LOG_CTE},
+cat AS (SELECT user_id AS code FROM cur WHERE active AND coalesce(CASE WHEN event_type = 'signup' THEN 'pausada' END, 'ativa') <> 'pausada'),
+n AS (SELECT count(*) AS n FROM cat)
+SELECT code, 'catalog' AS origin FROM cat, n WHERE n.n BETWEEN 1 AND {cap}
+UNION ALL
+SELECT c_custkey AS code, 'configured' AS origin FROM customer, n WHERE c_custkey < 150 AND NOT (n.n BETWEEN 1 AND {cap})"""
+
+
+ORACLE["resolved_scope"] = _resolved_sql(1000)
+ORACLE["resolved_scope_fallback"] = _resolved_sql(10)
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -141,3 +141,24 @@ def auto_mark_orphans(spark: SparkSession, sf: str) -> DataFrame:
     orph = scd.orphans(_log(spark, sf), data, ["user_id"], "group_name", ts="ts", tiebreak="event_id")
     empty = spark.createDataFrame([], "user_id long, status string, edited_at timestamp, change_id string")
     return K.auto_mark_orphans(orph, empty, ["user_id"], NOW)
+
+
+def _resolved(spark: SparkSession, sf: str, cap: int) -> DataFrame:
+    from strata.operators.gate import resolve_scope
+
+    log = _log(spark, sf).withColumn("ingestao", F.when(F.col("event_type") == "signup", "pausada"))
+    cur = scd.current_catalog(log, ["user_id"], ts="ts", tiebreak="event_id")
+    conf = t(spark, sf, "customer").filter(F.col("c_custkey") < 150).select(F.col("c_custkey").alias("user_id"))
+    return resolve_scope(cur, conf, "user_id", cap)
+
+
+@register
+def resolved_scope(spark: SparkSession, sf: str) -> DataFrame:
+    """Active, not-paused catalogue codes (under the cap of 1000)."""
+    return _resolved(spark, sf, 1000)
+
+
+@register
+def resolved_scope_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Above the cap (10) the configured list is used instead."""
+    return _resolved(spark, sf, 10)
