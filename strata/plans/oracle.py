@@ -1035,5 +1035,25 @@ ORACLE["resolved_scope"] = _resolved_sql(1000)
 ORACLE["resolved_scope_fallback"] = _resolved_sql(10)
 
 
+ORACLE["dedup_prefer_real"] = """
+SELECT *, CAST(ts AS DATE) AS day FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY (event_type = 'error') ASC, ts DESC, event_id DESC) = 1"""
+
+ORACLE["name_state_split"] = r"""
+WITH d AS (
+  SELECT c_custkey,
+         CASE WHEN c_custkey % 2 = 0 THEN c_name || ' - ' || upper(substr(c_mktsegment, 1, 2)) ELSE c_name END AS municipio,
+         CAST(c_nationkey AS VARCHAR) || '.1 - ' || upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || ' Ção' AS descricao
+  FROM customer)
+SELECT c_custkey,
+       trim(regexp_replace(municipio, '\s-\s[A-Z]{2}$', '')) AS city_name,
+       NULLIF(regexp_extract(municipio, '\s-\s([A-Z]{2})$', 1), '') AS state_acronym,
+       trim(regexp_replace(descricao, '^([^-]+)\s-\s', '')) AS product_description,
+       lower(regexp_replace(regexp_replace(descricao, '^\s+', ''), '\s+$', '')) AS desc_key,
+       regexp_replace(regexp_replace(translate(lower(descricao), 'áàâãäéèêëíìîïóòôõöúùûüçñ', 'aaaaaeeeeiiiiooooouuuucn'),
+                                     '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug
+FROM d"""
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)

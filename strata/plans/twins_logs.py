@@ -234,3 +234,26 @@ def fx_year_average(spark: SparkSession, sf: str) -> DataFrame:
     f = DF.fx_year_average(fx_series(spark, sf))
     return f.select("reference_year", r6("brl_per_usd_avg").alias("brl_per_usd_avg"), r6("brl_per_eur_avg").alias("brl_per_eur_avg"))
 
+
+
+@register
+def dedup_prefer_real(spark: SparkSession, sf: str) -> DataFrame:
+    """One event per (user, day), preferring non-error rows over error
+    rows (boolean tie-break first), then the newest."""
+    e = t(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    return dedup.latest_wins(e, ["user_id", "day"], [dedup.prefer_not("event_type", "error"), "ts", "event_id"])
+
+
+@register
+def name_state_split(spark: SparkSession, sf: str) -> DataFrame:
+    """B09/B10/B39/B11: 'Name - UF' split (no match -> NULL UF), code-prefix
+    strip, join-key normalisation and ASCII slug on customer attributes."""
+    c = t(spark, sf, "customer")
+    raw = F.when(F.col("c_custkey") % 2 == 0,
+                 F.concat(F.col("c_name"), F.lit(" - "), F.upper(F.substring("c_mktsegment", 1, 2)))).otherwise(F.col("c_name"))
+    desc = F.concat(F.col("c_nationkey").cast("string"), F.lit(".1 - "), F.initcap("c_mktsegment"), F.lit(" Ção"))
+    d = c.select("c_custkey", raw.alias("municipio"), desc.alias("descricao"))
+    name, uf = C.split_name_state("municipio")
+    return d.select("c_custkey", name.alias("city_name"), uf.alias("state_acronym"),
+                    C.strip_code_prefix("descricao").alias("product_description"),
+                    C.norm_key("descricao").alias("desc_key"), C.slug("descricao").alias("slug"))
