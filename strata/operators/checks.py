@@ -104,3 +104,28 @@ def run_suite(checks: dict[str, tuple[DataFrame, str]]) -> DataFrame:
         for name, (failing, sev) in checks.items()
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def hierarchy_consistent(child: DataFrame, parent: DataFrame, child_key: str, child_parent: str, parent_key: str,
+                         child_attr: str, parent_attr: str, name: str = "hierarchy_consistent",
+                         severity: str = ERROR) -> DataFrame:
+    """Children whose denormalised ancestor attribute disagrees with the
+    parent row (NULL-safe)."""
+    p = parent.select(F.col(parent_key).alias("_pk"), F.col(parent_attr).alias("_pattr"))
+    j = child.join(p, F.col(child_parent) == F.col("_pk"), "left")
+    return _tag(j.filter(~F.col(child_attr).eqNullSafe(F.col("_pattr"))).drop("_pk", "_pattr"), name, severity)
+
+
+def family_base_coherent(units: DataFrame, name: str = "family_base_coherent", severity: str = ERROR) -> DataFrame:
+    """Every family maps to exactly one base unit."""
+    g = units.groupBy("family").agg(F.count_distinct("base_unit").alias("n_base"))
+    return _tag(g.filter(F.col("n_base") != 1), name, severity)
+
+
+def marts_present(spark, names: Sequence[str]) -> DataFrame:
+    """Each expected table exists and is non-empty (one row per name)."""
+    rows = []
+    for n in names:
+        exists = spark.catalog.tableExists(n)
+        rows.append((n, exists, spark.table(n).limit(1).count() > 0 if exists else False))
+    return spark.createDataFrame(rows, "table string, exists boolean, non_empty boolean")

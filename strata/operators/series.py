@@ -166,3 +166,12 @@ def ratio_series(a: DataFrame, b: DataFrame, year: str, va: str, vb: str) -> Dat
     """A / b x 100 on common years, with the mean ratio per result."""
     j = a.select(year, F.col(va).alias("va")).join(b.select(year, F.col(vb).alias("vb")), year, "inner")
     return j.withColumn("ratio", F.lit(100.0) * F.try_divide(F.col("va"), F.col("vb")))
+
+
+def index_paired_growth(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str = "growth") -> DataFrame:
+    """J06 (legacy): growth between consecutive *positions* of a series
+    (ignores calendar gaps, unlike ``growth_pairs``); 0 on a zero base."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    prev = F.lag(value).over(w)
+    return df.withColumn(out, F.when(prev.isNull(), F.lit(None).cast("double"))
+                         .when(prev == 0, F.lit(0.0)).otherwise((F.col(value) - prev) / prev))

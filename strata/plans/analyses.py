@@ -120,3 +120,35 @@ def share_of_total(df: DataFrame, keys: Sequence[str], value: str, out: str = "s
     else:
         j = df.crossJoin(F.broadcast(df.agg(F.sum(value).alias("_tot"))))
     return j.withColumn(out, F.try_divide(F.col(value), F.col("_tot"))).drop("_tot")
+
+
+def snapshot_bundle(mart: DataFrame, year: str, product: str, state: str, value: str, family: str, qty: str,
+                    flag: str | None = None) -> dict[str, DataFrame]:
+    """The read bundle of one filter set over one (already filtered) mart:
+    products, product series, yearly overview, by state, state x year and the
+    quality forms.  The mart is persisted for the bundle so the reads share
+    one scan; the caller unpersists it when the bundle is consumed."""
+    from strata.operators.rollup import family_sums
+
+    m = mart.persist()
+    out = {
+        "products": m.groupBy(product).agg(F.sum(value).alias("value")),
+        "product_series": m.groupBy(product, year).agg(F.sum(value).alias("value"), F.sum(qty).alias("qty")),
+        "overview": m.groupBy(year).agg(F.sum(value).alias("value"), F.count(F.lit(1)).alias("n_rows")),
+        "by_state": m.groupBy(state).agg(F.sum(value).alias("value"), *family_sums(family, qty)),
+        "state_year": m.groupBy(state, year).agg(F.sum(value).alias("value")),
+    }
+    if flag:
+        out["quality_by_year"] = m.groupBy(year, flag).agg(F.count(F.lit(1)).alias("n_rows"))
+        out["quality_by_product"] = m.groupBy(product, flag).agg(F.count(F.lit(1)).alias("n_rows"))
+        out["quality_total"] = m.groupBy(flag).agg(F.count(F.lit(1)).alias("n_rows"))
+    return out
+
+
+def metadata_with_overrides(meta: DataFrame, overrides: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """Source metadata where a non-null operator override wins per field."""
+    o = overrides.select(key, *[F.col(f).alias(f"_ov_{f}") for f in fields])
+    j = meta.join(o, key, "left")
+    for f in fields:
+        j = j.withColumn(f, F.coalesce(F.col(f"_ov_{f}"), F.col(f)))
+    return j.drop(*[f"_ov_{f}" for f in fields])

@@ -1055,5 +1055,21 @@ SELECT c_custkey,
 FROM d"""
 
 
+ORACLE["value_matrix_checks"] = f"""
+WITH g AS ({ORACLE['deflated_revenue_by_nation_year']}),
+x AS (SELECT *, val_yearfx_brl / NULLIF(val_yearfx_usd, 0) AS implied FROM g)
+SELECT 'eur_null_before_1999' AS "check", 'error' AS severity,
+       (SELECT count(*) FROM g WHERE reference_year < 1999 AND val_yearfx_eur IS NOT NULL) AS n_failing
+UNION ALL SELECT 'implied_usd_rate_bounded', 'error', (SELECT count(*) FROM x WHERE implied IS NOT NULL AND (implied < 100.0 OR implied > 400.0))
+UNION ALL SELECT 'real_values_present', 'warn', (SELECT count(*) FROM g WHERE val_real_ipca_brl IS NULL)"""
+
+ORACLE["unconvertible_quantities"] = """
+WITH li AS (SELECT l_quantity AS qty,
+                   CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'Caixas'
+                        WHEN l_linestatus = 'F' THEN ' Toneladas' ELSE 'quilogramas' END AS unit_raw FROM lineitem)
+SELECT unit_raw, count(*) AS n_rows, sum(qty) AS qty_native FROM li
+WHERE lower(trim(unit_raw)) NOT IN ('toneladas', 'quilogramas', 'mil litros') GROUP BY 1"""
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)

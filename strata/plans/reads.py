@@ -184,3 +184,52 @@ def browse(df: DataFrame, preds: Sequence[Column | None] = (), order: Sequence[s
 
 def browse_count(df: DataFrame, preds: Sequence[Column | None] = ()) -> DataFrame:
     return apply(df, *preds).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# ---------------------------------------------------------------------------
+# Registries that map a source or cross-metric to its mart and
+# columns.  They are configuration (a handful of rows), resolved on the
+# driver into column names; the data work stays in the reads above.
+# ---------------------------------------------------------------------------
+SOURCE_REGISTRY: dict[str, dict[str, str]] = {
+    "pevs": {"mart": "serving_pevs_annual", "code": "product_code", "name": "product_description",
+             "value": "val_real_ipca_brl"},
+    "pam": {"mart": "serving_pam_annual", "code": "product_code", "name": "product_description",
+            "value": "val_real_ipca_brl"},
+    "ppm": {"mart": "serving_ppm_annual", "code": "product_code", "name": "product_description",
+            "value": "val_real_ipca_brl"},
+    "comex": {"mart": "serving_comex_annual", "code": "ncm_code", "name": "ncm_description", "value": "val_fob_usd"},
+    "comtrade": {"mart": "serving_comtrade_annual", "code": "cmd_code", "name": "cmd_description",
+                 "value": "val_fob_usd"},
+}
+
+CROSS_METRICS: dict[str, dict[str, str]] = {
+    "production_value": {"source": "pevs", "measure": "val_real_ipca_brl", "flow": "", "reporter": ""},
+    "production_qty": {"source": "pevs", "measure": "qty_base", "flow": "", "reporter": ""},
+    "exports_value": {"source": "comex", "measure": "val_fob_usd", "flow": "export", "reporter": ""},
+    "exports_weight": {"source": "comex", "measure": "net_weight_kg", "flow": "export", "reporter": ""},
+    "imports_value": {"source": "comex", "measure": "val_fob_usd", "flow": "import", "reporter": ""},
+    "world_exports_value": {"source": "comtrade", "measure": "val_fob_usd", "flow": "export", "reporter": "all"},
+    "partner_imports_value": {"source": "comtrade", "measure": "val_fob_usd", "flow": "import", "reporter": "partners"},
+}
+
+
+def source_spec(source: str) -> dict[str, str]:
+    """The mart, code, name and default value column of a source."""
+    if source not in SOURCE_REGISTRY:
+        raise InvalidIdentifier(f"unknown source: {source!r}")
+    return SOURCE_REGISTRY[source]
+
+
+def cross_metric_spec(metric: str) -> dict[str, str]:
+    """The source, measure, flow and reporter rule of a cross metric."""
+    if metric not in CROSS_METRICS:
+        raise InvalidIdentifier(f"unknown metric: {metric!r}")
+    return CROSS_METRICS[metric]
+
+
+def cross_annual(df: DataFrame, year: str, measure: str, flow_col: str | None = None, flow: str | None = None,
+                 preds: Sequence[Column | None] = ()) -> DataFrame:
+    """One measure per year under the metric's flow and filters."""
+    p = list(preds) + ([F.col(flow_col) == flow] if flow_col and flow else [])
+    return apply(df, *p).groupBy(year).agg(F.sum(measure).alias("value"))

@@ -205,3 +205,33 @@ def domain_checks(spark: SparkSession, sf: str) -> DataFrame:
         "catalog_vs_configured": (side, CK.WARN),
         "orphans_unmarked": (orph, CK.WARN),
     })
+
+
+@register
+def value_matrix_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """L06/L18 on the flagship output: the euro year-FX value is NULL before
+    1999, and the implied year-FX USD rate (BRL / USD value) stays within
+    the range of the observed fixings."""
+    from strata.plans.twins import deflated_revenue_by_nation_year
+
+    g = deflated_revenue_by_nation_year(spark, sf)
+    implied = F.try_divide(F.col("val_yearfx_brl"), F.col("val_yearfx_usd"))
+    return CK.run_suite({
+        "eur_null_before_1999": (g.filter((F.col("reference_year") < 1999) & F.col("val_yearfx_eur").isNotNull()), CK.ERROR),
+        "implied_usd_rate_bounded": (CK.bounded(g, implied, 100.0, 400.0), CK.ERROR),
+        "real_values_present": (g.filter(F.col("val_real_ipca_brl").isNull()), CK.WARN),
+    })
+
+
+@register
+def unconvertible_quantities(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantities whose unit has no conversion (family
+    'desconhecida'), grouped by raw unit for curation."""
+    from strata.operators.units import harmonise_units
+    from strata.plans.twins_rollups import TWIN_UNIT_FAMILIES, _unit_raw
+
+    li = trade_lines(spark, sf).withColumn("unit_raw", _unit_raw())
+    fam = spark.createDataFrame(TWIN_UNIT_FAMILIES, "unit_raw string, family string, base_unit string, to_base double")
+    h = harmonise_units(li, "unit_raw", "qty", fam)
+    return h.filter(F.col("family") == "desconhecida").groupBy("unit_raw").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("qty").alias("qty_native"))

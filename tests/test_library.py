@@ -206,3 +206,45 @@ def test_streaming_jobs(spark):
     q.awaitTermination()
     got = spark.sql("SELECT k, max(newest) m FROM fresh_t GROUP BY k").collect()
     assert {r.k: r.m for r in got} == {"a": dt.datetime(2024, 1, 2, 1), "b": dt.datetime(2024, 1, 3, 5)}
+
+
+def test_registries_bundle_overrides_and_layout(spark):
+    from strata.operators import checks as CK
+    from strata.operators.series import index_paired_growth
+    from strata.plans import analyses as A
+    from strata.plans import reads as R
+    from strata.plans.layout import write_clustered
+    from strata.sources import seeds
+
+    assert R.source_spec("comex")["code"] == "ncm_code"
+    assert R.cross_metric_spec("exports_value")["flow"] == "export"
+    try:
+        R.source_spec("nope")
+        raise AssertionError("expected a rejection")
+    except R.InvalidIdentifier:
+        pass
+    mart = spark.createDataFrame(
+        [(2020, "SP", "a", 10.0, "massa", 1.0, "OK"), (2021, "SP", "a", 20.0, "massa", 2.0, "OK"),
+         (2021, "AC", "b", 5.0, "volume", 3.0, "MISSING_VALUE")],
+        "year int, state string, product string, value double, family string, qty double, flag string")
+    b = A.snapshot_bundle(mart, "year", "product", "state", "value", "family", "qty", "flag")
+    assert set(b) >= {"products", "overview", "by_state", "state_year", "quality_total"}
+    assert sorted(map(tuple, b["overview"].collect())) == [(2020, 10.0, 1), (2021, 25.0, 2)]
+    meta = spark.createDataFrame([("pevs", "Extrativa", 1990), ("pam", "Lavouras", 1974)], "source string, label string, min_year int")
+    ov = spark.createDataFrame([("pevs", "Extração vegetal", None)], "source string, label string, min_year int")
+    got = {r.source: (r.label, r.min_year) for r in A.metadata_with_overrides(meta, ov, "source", ["label", "min_year"]).collect()}
+    assert got == {"pevs": ("Extração vegetal", 1990), "pam": ("Lavouras", 1974)}
+    s = spark.createDataFrame([("x", 2000, 10.0), ("x", 2002, 0.0), ("x", 2003, 5.0)], "k string, y int, v double")
+    assert [r.growth for r in index_paired_growth(s, ["k"], "y", "v").orderBy("y").collect()] == [None, -1.0, 0.0]
+    assert CK.family_base_coherent(seeds.unit_families(spark)).count() == 0
+    child = spark.createDataFrame([("c1", "SP", "Sudeste"), ("c2", "SP", "Sul")], "city string, uf string, region string")
+    parent = spark.createDataFrame([("SP", "Sudeste")], "uf string, region string")
+    assert [r.city for r in CK.hierarchy_consistent(child, parent, "city", "uf", "uf", "region", "region").collect()] == ["c2"]
+    spark.createDataFrame([(1,)], "a int").createOrReplaceTempView("mart_present_v")
+    spark.createDataFrame([], "a int").createOrReplaceTempView("mart_empty_v")
+    pres = {r.table: (r.exists, r.non_empty) for r in CK.marts_present(spark, ["mart_present_v", "mart_empty_v", "missing_v"]).collect()}
+    assert pres == {"mart_present_v": (True, True), "mart_empty_v": (True, False), "missing_v": (False, False)}
+    path = _tmp() + "/gold"
+    write_clustered(mart, path, ["year"], ["state", "product"], files_per_partition=2)
+    back = spark.read.parquet(path)
+    assert back.count() == 3 and sorted(r.year for r in back.select("year").distinct().collect()) == [2020, 2021]
