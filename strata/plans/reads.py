@@ -36,13 +36,22 @@ def resolve_value_column(df: DataFrame, currency: str, correction: str, fallback
     return name if name in df.columns else fallback
 
 
-def year_between(col: str, y0: int | None = None, y1: int | None = None) -> Column | None:
-    """Optional year bounds."""
+def year_between(col: str, y0: int | None = None, y1: int | None = None, date_col: str | None = None) -> Column | None:
+    """Optional year bounds.
+
+    When the year is derived from a date or timestamp column, pass it as
+    ``date_col``: the bounds are then also stated on the raw column, a
+    predicate the Parquet scan can push down and use for row-group skipping
+    (a predicate on ``year(date)`` cannot be pushed)."""
     c = None
     if y0 is not None:
         c = F.col(col) >= F.lit(y0)
+        if date_col:
+            c = c & (F.col(date_col) >= F.lit(f"{y0}-01-01 00:00:00").cast("timestamp_ntz"))
     if y1 is not None:
         c2 = F.col(col) <= F.lit(y1)
+        if date_col:
+            c2 = c2 & (F.col(date_col) < F.lit(f"{y1 + 1}-01-01 00:00:00").cast("timestamp_ntz"))
         c = c2 if c is None else c & c2
     return c
 

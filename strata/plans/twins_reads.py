@@ -35,7 +35,7 @@ def _money(df: DataFrame, col: str = "value") -> DataFrame:
 def read_overview(spark: SparkSession, sf: str) -> DataFrame:
     """Years 1996-2000, five products -> per year value and rows."""
     g = gold(spark, sf)
-    return _money(R.overview(g, "year", "value_cents", [R.year_between("year", 1996, 2000), R.in_list("product", PRODUCTS)]))
+    return _money(R.overview(g, "year", "value_cents", [R.year_between("year", 1996, 2000, "l_shipdate"), R.in_list("product", PRODUCTS)]))
 
 
 @register
@@ -63,7 +63,7 @@ def read_products_by_state(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def read_seasonality(spark: SparkSession, sf: str) -> DataFrame:
     """Year x month value and weight, two flows, 1997-2000."""
-    g = R.apply(gold(spark, sf), R.year_between("year", 1997, 2000), R.in_list("flow", ["A", "N"]))
+    g = R.apply(gold(spark, sf), R.year_between("year", 1997, 2000, "l_shipdate"), R.in_list("flow", ["A", "N"]))
     return _money(g.groupBy("year", "month").agg(F.sum("value_cents").alias("value"), F.sum("qty").alias("weight")))
 
 
