@@ -346,3 +346,14 @@ def display_scale(family, qty) -> tuple[Column, Column]:
 def is_canonical_state(state_name_col) -> Column:
     """Real states only (pseudo-codes have no name)."""
     return _c(state_name_col).isNotNull()
+
+
+def normalise_region(c) -> Column:
+    """A region given by code (N, NE, ...) or display name -> display
+    name; anything else is kept as given."""
+    col = _c(c)
+    expr = None
+    for name, ab, _ in REGIONS:
+        cond = (F.upper(wtrim(col)) == ab) | (F.lower(wtrim(col)) == name.lower())
+        expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
+    return expr.otherwise(col)

@@ -129,3 +129,16 @@ def marts_present(spark, names: Sequence[str]) -> DataFrame:
         exists = spark.catalog.tableExists(n)
         rows.append((n, exists, spark.table(n).limit(1).count() > 0 if exists else False))
     return spark.createDataFrame(rows, "table string, exists boolean, non_empty boolean")
+
+
+def forbidden_values(df: DataFrame, col: str, values: Sequence, name: str = "forbidden_values",
+                     severity: str = WARN) -> DataFrame:
+    """Rows carrying a value that must not appear (e.g. a gross-weight unit)."""
+    return _tag(df.filter(F.lower(F.col(col)).isin([str(v).lower() for v in values])), name, severity)
+
+
+def series_nonempty(df: DataFrame, series: DataFrame, key: str, name: str = "series_nonempty",
+                    severity: str = ERROR) -> DataFrame:
+    """Configured series with no rows at all (a cold, fully empty series
+    is an error, while an empty delta window is not)."""
+    return _tag(series.select(key).join(df.select(key).distinct(), key, "left_anti"), name, severity)

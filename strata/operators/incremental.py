@@ -87,3 +87,25 @@ def set_fingerprint(df: DataFrame, keys: Sequence[str], code: str) -> DataFrame:
     distinct = df.select(*keys, F.col(code).cast("string").alias("_c")).distinct()
     h = F.conv(F.substring(F.sha2(F.col("_c"), 256), 1, 15), 16, 10).cast("bigint")
     return distinct.groupBy(*keys).agg(F.bit_xor(h).alias("fingerprint"), F.count(F.lit(1)).alias("n_codes"))
+
+
+def fx_window_start(hwm_date) -> F.Column:
+    """A18 (FX rule): re-read from the start of the high-water year, or of the
+    previous year when the high-water mark is in January."""
+    d = F.col(hwm_date) if isinstance(hwm_date, str) else hwm_date
+    return F.when(F.month(d) == 1, F.make_date(F.year(d) - 1, F.lit(1), F.lit(1))).otherwise(
+        F.make_date(F.year(d), F.lit(1), F.lit(1)))
+
+
+def scope_growth(manifest: DataFrame, current_scope: DataFrame, scope_col: str, year_col: str, code_col: str,
+                 latest_year: int, recent_years: int = 1) -> DataFrame:
+    """Settled batches whose scope gained codes since they were fetched,
+    plus every recent batch (always refetched).
+
+    ``manifest``: one row per batch with ``year_col`` and ``scope_col``
+    (array of codes fetched); ``current_scope``: the configured codes."""
+    cur = current_scope.agg(F.array_sort(F.collect_set(code_col)).alias("_now"))
+    j = manifest.crossJoin(F.broadcast(cur)).withColumn("added", F.array_except("_now", F.col(scope_col)))
+    recent = F.col(year_col) > F.lit(latest_year - recent_years)
+    return j.filter((F.size("added") > 0) | recent).withColumn(
+        "reason", F.when(recent, "recent").otherwise("scope_grew")).drop("_now")

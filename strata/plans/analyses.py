@@ -152,3 +152,41 @@ def metadata_with_overrides(meta: DataFrame, overrides: DataFrame, key: str, fie
     for f in fields:
         j = j.withColumn(f, F.coalesce(F.col(f"_ov_{f}"), F.col(f)))
     return j.drop(*[f"_ov_{f}" for f in fields])
+
+
+def build_crosswalk(codes: Mapping[str, DataFrame], catalog: DataFrame, code_col: str = "code",
+                    group_col: str = "group_id") -> tuple[DataFrame, DataFrame]:
+    """The (source, code) -> group bridge.
+
+    Distinct codes per source are tagged and unioned, inner-joined to the
+    catalogue (source, code, group), and checked: a code may belong to at
+    most one group (returns (crosswalk, violations))."""
+    tagged = None
+    for src, df in codes.items():
+        t = df.select(F.col(code_col).alias("code")).distinct().withColumn("source", F.lit(src))
+        tagged = t if tagged is None else tagged.unionByName(t)
+    cw = tagged.join(catalog.select("source", F.col(code_col).alias("code"), group_col), ["source", "code"]).distinct()
+    dup = cw.groupBy("source", "code").agg(F.count(F.lit(1)).alias("n_groups")).filter(F.col("n_groups") > 1)
+    return cw, dup
+
+
+def inventory(codes: Mapping[str, DataFrame], crosswalk: DataFrame, group_names: DataFrame,
+              code_col: str = "code", desc_col: str = "description") -> tuple[DataFrame, DataFrame]:
+    """(1) distinct (source, code, description) inventory; (2) counts
+    of codes per group and source, pivoted by source, with unlinked codes in
+    their own bucket."""
+    inv = None
+    for src, df in codes.items():
+        t = df.select(F.lit(src).alias("source"), F.col(code_col).alias("code"), F.col(desc_col).alias("description")).distinct()
+        inv = t if inv is None else inv.unionByName(t)
+    linked = inv.join(crosswalk.select("source", "code", "group_id"), ["source", "code"], "left").join(
+        group_names.select("group_id", "group_name"), "group_id", "left").withColumn(
+        "group_name", F.coalesce("group_name", F.lit("(sem agrupamento)")))
+    consolidated = linked.groupBy("group_name").pivot("source", sorted(codes)).agg(F.count(F.lit(1))).na.fill(0)
+    return inv, consolidated
+
+
+def rebuild_reference(published: DataFrame, curated: DataFrame, key: str, name_col: str) -> DataFrame:
+    """The published list with curated display names winning where present."""
+    c = curated.select(key, F.col(name_col).alias("_curated"))
+    return published.join(c, key, "left").withColumn(name_col, F.coalesce("_curated", name_col)).drop("_curated")

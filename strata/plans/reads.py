@@ -242,3 +242,14 @@ def cross_annual(df: DataFrame, year: str, measure: str, flow_col: str | None =
     """One measure per year under the metric's flow and filters."""
     p = list(preds) + ([F.col(flow_col) == flow] if flow_col and flow else [])
     return apply(df, *p).groupBy(year).agg(F.sum(measure).alias("value"))
+
+
+def domain_order(col: str, order: Sequence[str]) -> Column:
+    """a sort key placing known values in a fixed domain order (unknown last)."""
+    m = F.create_map(*[x for i, v in enumerate(order) for x in (F.lit(v), F.lit(i))])
+    return F.coalesce(m[F.col(col)], F.lit(len(order)))
+
+
+def code_order(col: str) -> list[Column]:
+    """numeric codes in numeric order first, then text codes."""
+    return [F.col(col).try_cast("bigint").asc_nulls_last(), F.col(col).asc()]

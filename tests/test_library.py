@@ -248,3 +248,39 @@ def test_registries_bundle_overrides_and_layout(spark):
     write_clustered(mart, path, ["year"], ["state", "product"], files_per_partition=2)
     back = spark.read.parquet(path)
     assert back.count() == 3 and sorted(r.year for r in back.select("year").distinct().collect()) == [2020, 2021]
+
+
+def test_small_rules(spark):
+    from strata.operators import checks as CK
+    from strata.plans import analyses as A
+    from strata.plans import reads as R
+
+    d = spark.createDataFrame([(dt.date(2024, 1, 15),), (dt.date(2024, 7, 1),)], "d date")
+    assert [r.s for r in d.select(I.fx_window_start("d").alias("s")).collect()] == [dt.date(2023, 1, 1), dt.date(2024, 1, 1)]
+    man = spark.createDataFrame([("b1", 2020, ["a", "b"]), ("b2", 2021, ["a", "b", "c"]), ("b3", 2024, ["a"])],
+                                "batch_id string, year int, scope array<string>")
+    now = spark.createDataFrame([("a",), ("b",), ("c",)], "code string")
+    g = {r.batch_id: (r.reason, r.added) for r in I.scope_growth(man, now, "scope", "year", "code", 2024).collect()}
+    assert g == {"b1": ("scope_grew", ["c"]), "b3": ("recent", ["b", "c"])}
+    df = spark.createDataFrame([("N",), ("nordeste",), ("Sul",), ("X",)], "r string")
+    assert [r.n for r in df.select(C.normalise_region("r").alias("n")).collect()] == ["Norte", "Nordeste", "Sul", "X"]
+    codes = spark.createDataFrame([("10",), ("9",), ("A1",), ("100",)], "c string")
+    assert [r.c for r in codes.orderBy(*R.code_order("c")).collect()] == ["9", "10", "100", "A1"]
+    lv = spark.createDataFrame([("x",), ("b",), ("a",)], "v string")
+    assert [r.v for r in lv.orderBy(R.domain_order("v", ["b", "a"])).collect()] == ["b", "a", "x"]
+    cat = spark.createDataFrame([("pevs", "1", "g1"), ("comex", "2", "g1"), ("comex", "2", "g2")],
+                                "source string, code string, group_id string")
+    cw, dup = A.build_crosswalk({"pevs": spark.createDataFrame([("1",), ("1",)], "code string"),
+                                 "comex": spark.createDataFrame([("2",), ("3",)], "code string")}, cat)
+    assert cw.count() == 3 and [(r.source, r.code) for r in dup.collect()] == [("comex", "2")]
+    inv, cons = A.inventory({"pevs": spark.createDataFrame([("1", "Açaí"), ("5", "X")], "code string, description string")},
+                            cw, spark.createDataFrame([("g1", "Frutas")], "group_id string, group_name string"))
+    assert inv.count() == 2 and sorted((r.group_name, r.pevs) for r in cons.collect()) == [("(sem agrupamento)", 1), ("Frutas", 1)]
+    pub = spark.createDataFrame([("076", "Brazil"), ("156", "China")], "m49 string, name string")
+    cur = spark.createDataFrame([("076", "Brasil")], "m49 string, name string")
+    assert sorted(r.name for r in A.rebuild_reference(pub, cur, "m49", "name").collect()) == ["Brasil", "China"]
+    units = spark.createDataFrame([("kg",), ("Quilograma Bruto",)], "u string")
+    assert CK.forbidden_values(units, "u", ["quilograma bruto"]).count() == 1
+    series = spark.createDataFrame([("433",), ("189",)], "series_code string")
+    rows = spark.createDataFrame([("433", 1.0)], "series_code string, v double")
+    assert [r.series_code for r in CK.series_nonempty(rows, series, "series_code").collect()] == ["189"]
