@@ -5,6 +5,9 @@ are SQL expressions (no Python at run time): the analyzer inlines them, so
 they compile into the same whole-stage code as the ``Column`` functions.
 The bodies are generated from the fixed value lists in ``columns`` so the
 Python and SQL forms cannot drift apart (a test pins them together).
+
+N03: like the reference, no user-defined Python functions, aggregates or
+table functions run in any plan; everything is built-in expressions.
 """
 
 from __future__ import annotations

@@ -48,7 +48,9 @@ def unique_combination(df: DataFrame, cols: Sequence[str], name: str = "unique_c
 def conserved(a: DataFrame, b: DataFrame, measures: Sequence[str], keys: Sequence[str] = (), rel_tol: float = 1e-6,
               name: str = "conservation", severity: str = ERROR) -> DataFrame:
     """Totals of ``measures`` agree between two layers (per key),
-    within a relative tolerance; returns the disagreeing totals."""
+    within a relative tolerance; returns the disagreeing totals.  Without
+    keys the two one-row totals are cross-joined (the C27 scalar-subquery
+    form)."""
     sa = (a.groupBy(*keys) if keys else a.groupBy()).agg(*[F.sum(m).alias(f"a_{m}") for m in measures])
     sb = (b.groupBy(*keys) if keys else b.groupBy()).agg(*[F.sum(m).alias(f"b_{m}") for m in measures])
     j = sa.join(sb, list(keys), "full_outer") if keys else sa.crossJoin(sb)

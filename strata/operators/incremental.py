@@ -42,8 +42,9 @@ def scope_fingerprint(df: DataFrame, keys: Sequence[str], code: str) -> DataFram
 
 
 def affected_partitions(bronze: DataFrame, target: DataFrame, part: str, ts: str, target_ts: str) -> DataFrame:
-    """Partitions with Bronze rows at or after the target's newest
-    ingestion time (>=, so a same-instant reload is never missed)."""
+    """Partitions with Bronze rows at or after the target's newest
+    ingestion time (>=, so a same-instant reload is never missed), as a
+    distinct set (UNION DISTINCT over all affected rows)."""
     hwm = target.agg(F.max(target_ts).alias("_hwm"))
     return (
         bronze.crossJoin(F.broadcast(hwm))

@@ -27,7 +27,8 @@ def settled_year(df: DataFrame, year: str, reporter: str, share: float = SETTLED
 
 
 def market_share(country: DataFrame, world: DataFrame, settled: DataFrame, year: str, value: str) -> DataFrame:
-    """Country / world on common years up to the settled year; 0 when world is 0."""
+    """Country / world on common years (inner join) up to the settled
+    year; 0 when world is 0."""
     j = country.select(year, F.col(value).alias("country_value")).join(
         world.select(year, F.col(value).alias("world_value")), year, "inner"
     ).crossJoin(F.broadcast(settled.select("settled_year")))
@@ -190,3 +191,18 @@ def rebuild_reference(published: DataFrame, curated: DataFrame, key: str, name_c
     """The published list with curated display names winning where present."""
     c = curated.select(key, F.col(name_col).alias("_curated"))
     return published.join(c, key, "left").withColumn(name_col, F.coalesce("_curated", name_col)).drop("_curated")
+
+
+def key_intersection(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys present in both (e.g. the common years of two series)."""
+    return a.select(*keys).distinct().join(b.select(*keys).distinct(), list(keys), "inner")
+
+
+def key_union(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """UNION DISTINCT of keys."""
+    return a.select(*keys).union(b.select(*keys)).distinct()
+
+
+def key_difference(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of ``a`` not in ``b``."""
+    return a.select(*keys).distinct().join(b.select(*keys), list(keys), "left_anti")

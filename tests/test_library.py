@@ -284,3 +284,19 @@ def test_small_rules(spark):
     series = spark.createDataFrame([("433",), ("189",)], "series_code string")
     rows = spark.createDataFrame([("433", 1.0)], "series_code string, v double")
     assert [r.series_code for r in CK.series_nonempty(rows, series, "series_code").collect()] == ["189"]
+
+
+def test_describe_and_key_sets(spark):
+    from strata.operators.units import describe
+    from strata.plans import analyses as A
+
+    fact = spark.createDataFrame([("0801", "076", 1.0), ("9999", "156", 2.0)], "ncm string, country string, v double")
+    ncm = spark.createDataFrame([("0801", "Cocos")], "co_ncm string, ncm_description string")
+    ctry = spark.createDataFrame([("076", "Brasil"), ("156", "China")], "co_pais string, country_name string")
+    d = {r.ncm: (r.ncm_description, r.country_name) for r in describe(fact, [(ncm, "ncm", "co_ncm"), (ctry, "country", "co_pais")]).collect()}
+    assert d == {"0801": ("Cocos", "Brasil"), "9999": (None, "China")}
+    a = spark.createDataFrame([(2000,), (2001,), (2001,)], "y int")
+    b = spark.createDataFrame([(2001,), (2002,)], "y int")
+    assert [r.y for r in A.key_intersection(a, b, ["y"]).collect()] == [2001]
+    assert sorted(r.y for r in A.key_union(a, b, ["y"]).collect()) == [2000, 2001, 2002]
+    assert [r.y for r in A.key_difference(a, b, ["y"]).collect()] == [2000]
