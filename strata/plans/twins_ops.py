@@ -13,7 +13,7 @@ from strata.operators.reconcile import reconcile_cells as _cells
 from strata.operators.reconcile import reconcile_summary
 from strata.plans.base import r2, register
 from strata.plans.inputs import LINE_KEY, t, trade_lines
-from strata.streaming.jobs import latest_state_merger, run_available, shared_path
+from strata.streaming.jobs import latest_state_aggregate, latest_state_merger, shared_path
 
 
 def _mart(lines: DataFrame) -> DataFrame:
@@ -105,8 +105,9 @@ def incremental_equals_full(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def stream_latest_equals_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Events landed as daily files, streamed in several
-    micro-batches (with duplicate deliveries), merged into a bucketed
-    current-state table; the result equals batch latest-wins per user."""
+    micro-batches (with duplicate deliveries) through a stateful newest-row
+    aggregation, merged into a bucketed current-state table; the result
+    equals batch latest-wins per user."""
     events = t(spark, sf, "events")
     landing = shared_path(spark, "landing_events")
     # Land the log as one folder of files per day, then re-deliver the first
@@ -117,7 +118,13 @@ def stream_latest_equals_batch(spark: SparkSession, sf: str) -> DataFrame:
     schema = events.schema
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 8)
               .option("recursiveFileLookup", "true").parquet(landing))
+    # State store keeps the newest row per user (max_by (ts, event_id));
+    # each micro-batch emits only the users it changed, merged into the
+    # bucketed state table.  Re-delivered files change nothing.
+    newest = latest_state_aggregate(stream, ["user_id"], ["ts", "event_id"])
     state = shared_path(spark, "user_state")
-    run_available(stream, latest_state_merger(state, ["user_id"], ["ts", "event_id"], id_col="event_id", buckets=16),
-                  shared_path(spark, "ckpt_user_state"))
+    q = (newest.writeStream.outputMode("update")
+         .foreachBatch(latest_state_merger(state, ["user_id"], ["ts", "event_id"], id_col="event_id", buckets=16))
+         .option("checkpointLocation", shared_path(spark, "ckpt_user_state")).trigger(availableNow=True).start())
+    q.awaitTermination()
     return spark.read.parquet(state).select(*schema.fieldNames())

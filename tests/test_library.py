@@ -300,3 +300,23 @@ def test_describe_and_key_sets(spark):
     assert [r.y for r in A.key_intersection(a, b, ["y"]).collect()] == [2001]
     assert sorted(r.y for r in A.key_union(a, b, ["y"]).collect()) == [2000, 2001, 2002]
     assert [r.y for r in A.key_difference(a, b, ["y"]).collect()] == [2000]
+
+
+def test_stateful_latest_equals_batch(spark):
+    from strata.operators.dedup import latest_wins
+
+    rows = [(i, f"u{i % 4}", dt.datetime(2024, 1, 1 + (i * 7) % 20, i % 24), float(i)) for i in range(60)]
+    ev = spark.createDataFrame(rows, "event_id long, user_id string, ts timestamp, value double")
+    land = jobs.shared_path(spark, "t_stateful_land")
+    ev.repartition(6).write.parquet(land)
+    stream = jobs.landing_stream(spark, land, ev.schema, files_per_trigger=1)
+    agg = jobs.latest_state_aggregate(stream, ["user_id"], ["ts", "event_id"])
+    state = jobs.shared_path(spark, "t_stateful_state")
+    merge = jobs.latest_state_merger(state, ["user_id"], ["ts", "event_id"], buckets=4)
+    q = (agg.writeStream.outputMode("update").foreachBatch(merge)
+         .option("checkpointLocation", jobs.shared_path(spark, "t_stateful_ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(state).select("user_id", "event_id", "ts", "value").collect())
+    want = sorted(tuple(r) for r in latest_wins(ev, ["user_id"], ["ts", "event_id"]).select(
+        "user_id", "event_id", "ts", "value").collect())
+    assert got == want
