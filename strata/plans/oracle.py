@@ -760,9 +760,8 @@ UNION ALL SELECT 'unit_price_bounded', 'warn',
        (SELECT count(*) FROM lineitem WHERE {_out('l_extendedprice / NULLIF(l_quantity, 0)', 900.0, 2000.0)})"""
 
 ORACLE["reconcile_cells"] = """
-WITH li AS (SELECT l_orderkey, sum(l_quantity) AS qty FROM lineitem GROUP BY 1),
-live AS (SELECT * FROM li WHERE l_orderkey % 11 <> 0),
-src AS (SELECT l_orderkey, CASE WHEN l_orderkey % 7 = 0 THEN qty + 1 ELSE qty END AS qty FROM li WHERE l_orderkey % 10 <> 0),
+WITH live AS (SELECT l_orderkey, sum(l_quantity) AS qty FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1),
+src AS (SELECT l_orderkey, sum(l_quantity) AS qty FROM lineitem WHERE l_shipdate < TIMESTAMP '2001-01-01 00:00:00' GROUP BY 1),
 j AS (SELECT live.l_orderkey AS lk, src.l_orderkey AS sk, live.qty AS lv, src.qty AS sv
       FROM live FULL OUTER JOIN src ON live.l_orderkey = src.l_orderkey)
 SELECT count(*) FILTER (WHERE lk IS NOT NULL AND sk IS NOT NULL) AS compared,
@@ -1011,7 +1010,7 @@ nf AS (SELECT cells.* FROM cells LEFT JOIN r ON lower(cells.unit) = lower(r.unit
 areas AS (SELECT product, year, sum(round(l_discount * 100)) AS planted, sum(round(l_tax * 100)) AS harvested FROM li GROUP BY 1, 2),
 fam AS (SELECT product FROM li GROUP BY 1 HAVING count(DISTINCT CASE WHEN unit = 'F' THEN 'massa' ELSE 'volume' END) > 1),
 cat AS (SELECT user_id AS code FROM cur WHERE active),
-conf AS (SELECT c_custkey AS code FROM customer WHERE c_custkey < 150),
+conf AS (SELECT c_custkey AS code FROM customer WHERE c_mktsegment = 'BUILDING'),
 side AS (SELECT 1 FROM cat FULL OUTER JOIN conf ON cat.code = conf.code WHERE cat.code IS NULL OR conf.code IS NULL),
 orph AS (SELECT user_id FROM cur WHERE NOT active AND user_id IN (SELECT o_custkey FROM orders))
 SELECT 'monetary_unit_has_factor' AS "check", 'error' AS severity, (SELECT count(*) FROM nf) AS n_failing
@@ -1028,7 +1027,7 @@ cat AS (SELECT user_id AS code FROM cur WHERE active AND coalesce(CASE WHEN even
 n AS (SELECT count(*) AS n FROM cat)
 SELECT code, 'catalog' AS origin FROM cat, n WHERE n.n BETWEEN 1 AND {cap}
 UNION ALL
-SELECT c_custkey AS code, 'configured' AS origin FROM customer, n WHERE c_custkey < 150 AND NOT (n.n BETWEEN 1 AND {cap})"""
+SELECT c_custkey AS code, 'configured' AS origin FROM customer, n WHERE c_mktsegment = 'BUILDING' AND NOT (n.n BETWEEN 1 AND {cap})"""
 
 
 ORACLE["resolved_scope"] = _resolved_sql(1000)

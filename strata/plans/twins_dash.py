@@ -189,10 +189,10 @@ def domain_checks(spark: SparkSession, sf: str) -> DataFrame:
                                               F.sum(F.round(F.col("tax") * 100)).alias("harvested"))
     # One unit family per product.
     fam = li.withColumn("family", F.when(F.col("unit") == "F", "massa").otherwise("volume"))
-    # Catalogue (current users) vs configured codes (customers 0..149), either side missing.
+    # Catalogue (current users) vs configured codes (BUILDING-segment customers), either side missing.
     cur = scd.current_catalog(_log(spark, sf), ["user_id"], ts="ts", tiebreak="event_id").select(
         F.col("user_id").alias("code"), F.lit(True).alias("in_catalog"))
-    conf = t(spark, sf, "customer").filter(F.col("c_custkey") < 150).select(
+    conf = t(spark, sf, "customer").filter(F.col("c_mktsegment") == "BUILDING").select(
         F.col("c_custkey").alias("code"), F.lit(True).alias("configured"))
     side = cur.join(conf, "code", "full_outer").filter(F.col("in_catalog").isNull() | F.col("configured").isNull())
     # Orphans detected but not marked (nothing marked yet -> all).

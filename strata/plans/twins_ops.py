@@ -63,12 +63,13 @@ def bounded_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def reconcile_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Live per-order quantities vs an altered source copy: compared,
-    diverged, only_source, only_live."""
-    li = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("qty"))
-    live = li.filter(F.col("l_orderkey") % 11 != 0)
-    source = li.filter(F.col("l_orderkey") % 10 != 0).withColumn(
-        "qty", F.when(F.col("l_orderkey") % 7 == 0, F.col("qty") + 1).otherwise(F.col("qty")))
+    """Per-order quantities in the live table (returned lines excluded)
+    against a source snapshot taken before 2001: compared, diverged,
+    only_source, only_live."""
+    li = t(spark, sf, "lineitem")
+    live = li.filter(F.col("l_returnflag") != "R").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("qty"))
+    source = li.filter(F.col("l_shipdate") < F.lit("2001-01-01 00:00:00").cast("timestamp_ntz")).groupBy(
+        "l_orderkey").agg(F.sum("l_quantity").alias("qty"))
     return reconcile_summary(_cells(live, source, ["l_orderkey"], "qty"))
 
 

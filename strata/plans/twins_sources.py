@@ -148,7 +148,7 @@ def _resolved(spark: SparkSession, sf: str, cap: int) -> DataFrame:
 
     log = _log(spark, sf).withColumn("ingestao", F.when(F.col("event_type") == "signup", "pausada"))
     cur = scd.current_catalog(log, ["user_id"], ts="ts", tiebreak="event_id")
-    conf = t(spark, sf, "customer").filter(F.col("c_custkey") < 150).select(F.col("c_custkey").alias("user_id"))
+    conf = t(spark, sf, "customer").filter(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("user_id"))
     return resolve_scope(cur, conf, "user_id", cap)
 
 
