@@ -15,9 +15,19 @@ def register(fn):
     return fn
 
 
+def _round(c, digits: int) -> Column:
+    """Round half away from zero as ``round(x * 10^d) / 10^d`` on the binary
+    value.  (Spark's ``round(x, d)`` rounds the shortest decimal rendering,
+    which differs from the binary value at exact ties such as 644.925.)
+    Rounding the scaled value to an integer agrees in every engine."""
+    x = F.col(c) if isinstance(c, str) else c
+    m = float(10 ** digits)
+    return F.round(x * F.lit(m)) / F.lit(m)
+
+
 def r2(c) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 2)
+    return _round(c, 2)
 
 
 def r6(c) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    return _round(c, 6)

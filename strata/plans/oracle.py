@@ -73,16 +73,17 @@ fx_last AS (
 )"""
 
 
-def value_matrix_sql(v: str = "val_raw", year: str = "reference_year") -> str:
-    """The 12 value columns of ``strata.operators.deflate.deflate``, rounded."""
-    cols = [f"round({v}, 2) AS val_yearfx_brl"]
+def value_matrix_sql(v: str = "val_raw", year: str = "reference_year", rounded: bool = True) -> str:
+    """The 12 value columns of ``strata.operators.deflate.deflate``."""
+    rnd = (lambda e: f"round({e}, 2)") if rounded else (lambda e: e)
+    cols = [f"{rnd(v)} AS val_yearfx_brl"]
     for cur in ("usd", "eur"):
-        cols.append(f"round(CASE WHEN {year} >= 1994 THEN {v} / NULLIF(brl_per_{cur}_avg, 0) END, 2) AS val_yearfx_{cur}")
+        cols.append(f"{rnd(f'CASE WHEN {year} >= 1994 THEN {v} / NULLIF(brl_per_{cur}_avg, 0) END')} AS val_yearfx_{cur}")
     for d in ("ipca", "igpm", "igpdi"):
         real = f"({v} * ({d}_current / NULLIF({d}_year_end, 0)))"
-        cols.append(f"round({real}, 2) AS val_real_{d}_brl")
+        cols.append(f"{rnd(real)} AS val_real_{d}_brl")
         for cur in ("usd", "eur"):
-            cols.append(f"round({real} / NULLIF(brl_per_{cur}_current, 0), 2) AS val_real_{d}_{cur}")
+            cols.append(f"{rnd(f'{real} / NULLIF(brl_per_{cur}_current, 0)')} AS val_real_{d}_{cur}")
     return ",\n       ".join(cols)
 
 
@@ -1070,5 +1071,103 @@ SELECT unit_raw, count(*) AS n_rows, sum(qty) AS qty_native FROM li
 WHERE lower(trim(unit_raw)) NOT IN ('toneladas', 'quilogramas', 'mil litros') GROUP BY 1"""
 
 
+# --- end-to-end survey pipeline ------------------------------------------------
+
+
+def _survey_sql() -> str:
+    from strata.functions.columns import STATES
+    from strata.sources.seeds import HISTORICAL_CURRENCY_FACTORS, UNIT_FAMILY_CONVERSIONS
+
+    def lit(v):
+        if v is None:
+            return "NULL"
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        return f"{float(v)!r}::DOUBLE" if isinstance(v, float) else str(v)
+
+    fx_rows = ", ".join(f"({lit(u)}, {a}, {b}, {lit(f)})" for u, a, b, f in HISTORICAL_CURRENCY_FACTORS)
+    fam_rows = ", ".join(f"({lit(u)}, {lit(f)}, {lit(b)}, {lit(t)})" for u, f, b, t in UNIT_FAMILY_CONVERSIONS)
+    ufs = "[" + ", ".join(lit(a) for a, _, _ in STATES) + "]"
+    names = " ".join(f"WHEN {lit(a)} THEN {lit(n)}" for a, n, _ in STATES)
+    regions = " ".join(f"WHEN {lit(a)} THEN {lit(r)}" for a, _, r in STATES)
+    trim = "regexp_replace(regexp_replace({0}, '^\\s+', ''), '\\s+$', '')"
+    valor_t = trim.format("valor")
+    num = f"replace({valor_t}, ',', '.')"
+    safe_num = (f"CASE WHEN {valor_t} = '' OR {valor_t} IN ('...', '..', '*', 'X') THEN NULL WHEN {valor_t} = '-' THEN 0.0::DOUBLE "
+                f"WHEN regexp_full_match({num}, '{_NUM_RE}') THEN TRY_CAST({num} AS DOUBLE) END")
+    return f"""
+WITH {INDEX_CTES}, {FX_CTES}, {DEFLATION_CTES},
+agg AS (
+  SELECT CAST(year(l.l_shipdate) AS INTEGER) AS y, l.l_suppkey, s.s_nationkey, p.p_brand,
+         sum(l.l_quantity) AS q, CAST(sum({REV}) AS BIGINT) AS c
+  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN part p ON l.l_partkey = p.p_partkey
+  GROUP BY 1, 2, 3, 4),
+base AS (
+  SELECT *, CAST(y AS VARCHAR) AS ano, CAST(l_suppkey AS VARCHAR) AS municipio_codigo,
+         'Cidade ' || CAST(l_suppkey AS VARCHAR) || ' - ' || {ufs}[s_nationkey % {len(STATES)} + 1] AS municipio,
+         substr(p_brand, 7, 10) AS prod_codigo, '1.' || substr(p_brand, 7, 10) || ' - ' || p_brand AS prod
+  FROM agg),
+bronze AS (
+  SELECT ano, municipio_codigo, municipio, prod_codigo, prod, '144' AS variavel_codigo, 'Toneladas' AS unidade_de_medida,
+         CAST(CAST(q AS BIGINT) AS VARCHAR) AS valor, TIMESTAMP '2024-01-01 00:00:00' AS ingestion_timestamp FROM base
+  UNION ALL
+  SELECT ano, municipio_codigo, municipio, prod_codigo, prod, '145', 'Mil Reais',
+         CAST(floor(c / 100000) AS BIGINT)::VARCHAR || ',' || lpad(CAST(c % 100000 AS VARCHAR), 5, '0'),
+         TIMESTAMP '2024-01-01 00:00:00' FROM base
+  UNION ALL
+  SELECT ano, municipio_codigo, municipio, prod_codigo, prod, '144', 'Toneladas', CAST(CAST(q + 1 AS BIGINT) AS VARCHAR),
+         TIMESTAMP '2024-02-01 00:00:00' FROM base WHERE y = 2001),
+dedup AS (
+  SELECT * FROM bronze
+  QUALIFY row_number() OVER (PARTITION BY ano, municipio_codigo, prod_codigo, variavel_codigo, lower({trim.format('unidade_de_medida')})
+                             ORDER BY ingestion_timestamp DESC) = 1),
+parsed AS (
+  SELECT TRY_CAST(ano AS INTEGER) AS reference_year, municipio_codigo AS city_code,
+         trim(regexp_replace(municipio, '\\s-\\s[A-Z]{{2}}$', '')) AS city_name,
+         NULLIF(regexp_extract(municipio, '\\s-\\s([A-Z]{{2}})$', 1), '') AS state_acronym,
+         prod_codigo AS product_code, trim(regexp_replace(prod, '^([^-]+)\\s-\\s', '')) AS product_description,
+         variavel_codigo, unidade_de_medida, lower({trim.format('unidade_de_medida')}) AS unit_key,
+         {safe_num} AS raw, ingestion_timestamp
+  FROM dedup),
+fxs AS (SELECT * FROM (VALUES {fx_rows}) t(unit_of_measure, year_from, year_to, brl_factor)),
+fam AS (SELECT * FROM (VALUES {fam_rows}) t(unit_raw, family, base_unit, to_base)),
+silver AS (
+  SELECT p.*,
+         CASE WHEN variavel_codigo = '145' THEN raw * fxs.brl_factor ELSE raw END AS numeric_value,
+         variavel_codigo = '145' AS is_monetary_value,
+         CASE WHEN variavel_codigo = '144' THEN unidade_de_medida END AS unit_native,
+         CASE WHEN variavel_codigo = '144' THEN coalesce(fam.family, 'desconhecida') END AS family,
+         CASE WHEN variavel_codigo = '144' THEN fam.base_unit END AS base_unit,
+         CASE WHEN variavel_codigo = '144' THEN raw END AS qty_native,
+         CASE WHEN variavel_codigo = '144' THEN raw * fam.to_base END AS qty_base
+  FROM parsed p
+  LEFT JOIN fxs ON p.unit_key = lower({trim.format('fxs.unit_of_measure')}) AND p.reference_year BETWEEN fxs.year_from AND fxs.year_to
+  LEFT JOIN fam ON p.unit_key = fam.unit_raw),
+gbase AS (
+  SELECT reference_year, state_acronym, city_code, product_code, max(city_name) AS city_name,
+         max(product_description) AS product_description, max(family) AS family, max(unit_native) AS unit_native,
+         max(qty_native) AS qty_native, max(qty_base) AS qty_base,
+         max(CASE WHEN is_monetary_value THEN numeric_value END) AS val_raw
+  FROM silver GROUP BY 1, 2, 3, 4
+  HAVING max(qty_native) IS NOT NULL OR max(CASE WHEN is_monetary_value THEN numeric_value END) IS NOT NULL),
+g AS (
+  SELECT gbase.*, {value_matrix_sql(rounded=False)}
+  FROM gbase LEFT JOIN fx_year USING (reference_year) LEFT JOIN year_end USING (reference_year)
+  CROSS JOIN latest CROSS JOIN fx_last)
+SELECT reference_year, make_date(reference_year, 12, 31) AS reference_date, state_acronym,
+       CASE state_acronym {names} END AS state_name, CASE state_acronym {regions} END AS region,
+       city_code, city_name, product_code, product_description, family, unit_native, qty_native, qty_base,
+       CASE WHEN qty_native IS NOT NULL AND val_raw IS NOT NULL THEN 'OK' WHEN qty_native IS NOT NULL THEN 'MISSING_VALUE'
+            WHEN val_raw IS NOT NULL THEN 'MISSING_QUANTITY' ELSE 'INCOMPLETE' END AS data_quality_flag,
+       round(val_yearfx_brl, 2) AS val_yearfx_brl, round(val_yearfx_usd, 2) AS val_yearfx_usd,
+       round(val_yearfx_eur, 2) AS val_yearfx_eur, round(val_real_ipca_brl, 2) AS val_real_ipca_brl,
+       round(val_real_ipca_usd, 2) AS val_real_ipca_usd, round(val_real_igpm_brl, 2) AS val_real_igpm_brl,
+       round(val_real_igpdi_eur, 2) AS val_real_igpdi_eur
+FROM g"""
+
+
+ORACLE["survey_pipeline"] = _survey_sql()
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)
