@@ -1169,5 +1169,90 @@ FROM g"""
 ORACLE["survey_pipeline"] = _survey_sql()
 
 
+
+def _comex_sql() -> str:
+    from strata.functions.columns import STATES
+    from strata.sources.seeds import UNIT_FAMILY_CONVERSIONS
+
+    def lit(v):
+        if v is None:
+            return "NULL"
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        return f"{float(v)!r}::DOUBLE"
+
+    fam_rows = ", ".join(f"({lit(u)}, {lit(f)}, {lit(b)}, {lit(t)})" for u, f, b, t in UNIT_FAMILY_CONVERSIONS)
+    ufs = "[" + ", ".join(lit(a) for a, _, _ in STATES) + "]"
+    names = " ".join(f"WHEN {lit(a)} THEN {lit(n)}" for a, n, _ in STATES)
+    cell = "flow, reference_year, reference_month, ncm_code, country_code, state_acronym, transport_route_code"
+    return f"""
+WITH {INDEX_CTES}, {FX_CTES}, {DEFLATION_CTES},
+li AS (
+  SELECT CASE l.l_returnflag WHEN 'A' THEN 'EXP' WHEN 'N' THEN 'EXP' WHEN 'R' THEN 'IMP' END AS flow,
+         CAST(year(l.l_shipdate) AS VARCHAR) AS co_ano, lpad(CAST(month(l.l_shipdate) AS VARCHAR), 2, '0') AS co_mes,
+         lpad(substr(p.p_brand, 7, 10), 8, '0') AS co_ncm, CASE l.l_linestatus WHEN 'F' THEN '10' WHEN 'O' THEN '11' END AS co_unid,
+         lpad(CAST(c.c_nationkey AS VARCHAR), 3, '0') AS co_pais, {ufs}[s.s_nationkey % {len(STATES)} + 1] AS sg_uf,
+         l.l_quantity, {REV} AS cents, round(l.l_tax * 100) AS tax_cents
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+  JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN part p ON l.l_partkey = p.p_partkey),
+agg AS (
+  SELECT flow, co_ano, co_mes, co_ncm, co_unid, co_pais, sg_uf, CAST(sum(l_quantity) AS BIGINT) AS q,
+         CAST(sum(cents) AS BIGINT) AS c, CAST(sum(tax_cents) AS BIGINT) AS f
+  FROM li GROUP BY 1, 2, 3, 4, 5, 6, 7),
+bronze AS (
+  SELECT *, TIMESTAMP '2024-01-01 00:00:00' AS ts FROM agg
+  UNION ALL
+  SELECT *, TIMESTAMP '2024-02-01 00:00:00' FROM agg WHERE flow = 'EXP' AND co_ano = '2001' AND co_unid = '10'),
+lb AS (SELECT * FROM bronze QUALIFY ts = max(ts) OVER (PARTITION BY flow, co_ano)),
+dd AS (SELECT * FROM lb QUALIFY row_number() OVER (PARTITION BY flow, co_ano, co_mes, co_ncm, co_pais, sg_uf, co_unid ORDER BY ts DESC) = 1),
+units AS (SELECT * FROM (VALUES ('10', 'Quilograma Liquido', 'kg'), ('11', 'Tonelada', 't')) t(co_unid, unit_name, unit_symbol)),
+fam AS (SELECT * FROM (VALUES {fam_rows}) t(unit_raw, family, base_unit, to_base)),
+silver AS (
+  SELECT dd.flow, CAST(dd.co_ano AS INTEGER) AS reference_year, CAST(dd.co_mes AS INTEGER) AS reference_month,
+         coalesce(CASE dd.co_ncm WHEN '00000001' THEN '00000010' END, dd.co_ncm) AS ncm_code, dd.co_pais AS country_code,
+         dd.sg_uf AS state_acronym, '01' AS transport_route_code, dd.co_unid AS stat_unit_code, u.unit_name AS unit_native,
+         coalesce(fam.family, 'desconhecida') AS family, fam.base_unit, CAST(dd.q AS DOUBLE) AS qty_native,
+         dd.q * fam.to_base AS qty_base, CAST(dd.q * 10 AS DOUBLE) AS net_weight_kg, dd.c / 100.0::DOUBLE AS val_fob_usd,
+         CASE WHEN dd.flow = 'IMP' THEN CAST(dd.f AS DOUBLE) END AS freight_usd,
+         CASE WHEN dd.flow = 'IMP' THEN 0.5::DOUBLE END AS insurance_usd
+  FROM dd LEFT JOIN units u ON dd.co_unid = u.co_unid LEFT JOIN fam ON lower(trim(u.unit_name)) = fam.unit_raw),
+r AS (SELECT *, first_value(stat_unit_code) OVER (PARTITION BY {cell} ORDER BY qty_native DESC NULLS LAST, stat_unit_code) AS dom FROM silver),
+base AS (
+  SELECT {cell}, max(dom) AS stat_unit_code, max(CASE WHEN stat_unit_code = dom THEN unit_native END) AS unit_native,
+         max(CASE WHEN stat_unit_code = dom THEN family END) AS family,
+         sum(CASE WHEN stat_unit_code = dom THEN qty_native END) AS qty_native,
+         sum(CASE WHEN stat_unit_code = dom THEN qty_base END) AS qty_base,
+         sum(net_weight_kg) AS net_weight_kg, sum(val_fob_usd) AS val_fob_usd, sum(freight_usd) AS freight_usd,
+         sum(insurance_usd) AS insurance_usd, count(*) AS source_rows
+  FROM r GROUP BY 1, 2, 3, 4, 5, 6, 7),
+fxm AS (
+  SELECT CAST(year(reference_date) AS INTEGER) AS reference_year, CAST(month(reference_date) AS INTEGER) AS reference_month,
+         avg(CASE WHEN currency = 'USD' THEN brl_per_foreign_unit END) AS usd_avg,
+         avg(CASE WHEN currency = 'EUR' AND year(reference_date) >= 1999 THEN brl_per_foreign_unit END) AS eur_avg
+  FROM fx WHERE brl_per_foreign_unit IS NOT NULL GROUP BY 1, 2),
+im AS (
+  SELECT reference_year, reference_month, max(CASE WHEN series_code = '433' THEN index_value END) AS ipca_index,
+         max(CASE WHEN series_code = '189' THEN index_value END) AS igpm_index
+  FROM idx WHERE index_value IS NOT NULL GROUP BY 1, 2),
+g AS (
+  SELECT base.*, val_fob_usd * usd_avg AS nominal, eur_avg, ipca_index, igpm_index, ipca_current, igpm_current,
+         brl_per_usd_current, brl_per_eur_current
+  FROM base LEFT JOIN fxm USING (reference_year, reference_month) LEFT JOIN im USING (reference_year, reference_month)
+  CROSS JOIN latest CROSS JOIN fx_last)
+SELECT flow, reference_year, reference_month, make_date(reference_year, reference_month, 1) AS reference_date, ncm_code,
+       country_code, state_acronym, CASE state_acronym {names} END AS state_name, stat_unit_code, unit_native, family,
+       qty_native, qty_base, net_weight_kg, source_rows,
+       CASE WHEN net_weight_kg IS NULL AND val_fob_usd IS NULL THEN 'INCOMPLETE' WHEN val_fob_usd IS NULL THEN 'MISSING_VALUE'
+            WHEN net_weight_kg IS NULL THEN 'MISSING_WEIGHT' ELSE 'OK' END AS data_quality_flag,
+       round(val_fob_usd, 2) AS val_fob_usd, round(freight_usd, 2) AS freight_usd, round(insurance_usd, 2) AS insurance_usd,
+       round(nominal, 2) AS val_yearfx_brl, round(nominal / NULLIF(eur_avg, 0), 2) AS val_yearfx_eur,
+       round(nominal * (ipca_current / NULLIF(ipca_index, 0)), 2) AS val_real_ipca_brl,
+       round((nominal * (igpm_current / NULLIF(igpm_index, 0))) / NULLIF(brl_per_usd_current, 0), 2) AS val_real_igpm_usd
+FROM g"""
+
+
+ORACLE["comex_pipeline"] = _comex_sql()
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -71,3 +71,74 @@ def survey_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     daily = orders_daily(spark, sf)
     gold = survey_gold(silver, index_series(spark, sf, daily), fx_series(spark, sf, daily))
     return gold.select(*SURVEY_GOLD_COLS, *[r2(c).alias(c) for c in SURVEY_MONEY_COLS])
+
+
+# National trade: lineitem rendered as one verbatim file per (flow, year).
+FLOW_OF_RETURNFLAG = {"A": "EXP", "N": "EXP", "R": "IMP"}
+UNIT_OF_LINESTATUS = {"F": "10", "O": "11"}
+COMEX_UNITS = [("10", "Quilograma Liquido", "kg"), ("11", "Tonelada", "t")]
+
+
+def _map(col: str, mapping: dict[str, str]) -> F.Column:
+    expr = None
+    for k, v in mapping.items():
+        expr = F.when(F.col(col) == k, F.lit(v)) if expr is None else expr.when(F.col(col) == k, F.lit(v))
+    return expr
+
+
+def comex_bronze(spark: SparkSession, sf: str) -> DataFrame:
+    li = (t(spark, sf, "lineitem")
+          .join(t(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+          .join(t(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+          .join(t(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+          .join(t(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey"))
+    uf = F.element_at(F.array(*[F.lit(a) for a, _, _ in STATES]), (F.col("s_nationkey") % len(STATES)) + 1)
+    keyed = li.select(
+        _map("l_returnflag", FLOW_OF_RETURNFLAG).alias("flow"),
+        F.year("l_shipdate").cast("string").alias("CO_ANO"),
+        F.lpad(F.month("l_shipdate").cast("string"), 2, "0").alias("CO_MES"),
+        F.lpad(F.substring("p_brand", 7, 10), 8, "0").alias("CO_NCM"),
+        _map("l_linestatus", UNIT_OF_LINESTATUS).alias("CO_UNID"),
+        F.lpad(F.col("c_nationkey").cast("string"), 3, "0").alias("CO_PAIS"),
+        uf.alias("SG_UF_NCM"), F.lit("01").alias("CO_VIA"), F.lit("1").alias("CO_URF"),
+        "l_quantity", revenue_cents().alias("cents"), F.round(F.col("l_tax") * 100).alias("tax_cents"))
+    agg = keyed.groupBy("flow", "CO_ANO", "CO_MES", "CO_NCM", "CO_UNID", "CO_PAIS", "SG_UF_NCM", "CO_VIA", "CO_URF").agg(
+        F.sum("l_quantity").cast("bigint").alias("q"), F.sum("cents").cast("bigint").alias("c"),
+        F.sum("tax_cents").cast("bigint").alias("f"))
+    money = F.concat(F.floor(F.col("c") / 100).cast("string"), F.lit("."), F.lpad((F.col("c") % 100).cast("string"), 2, "0"))
+    imp = F.col("flow") == "IMP"
+
+    def rows(ts, cond=None):
+        d = agg if cond is None else agg.filter(cond)
+        return d.select(
+            "flow", "CO_ANO", "CO_MES", "CO_NCM", "CO_UNID", "CO_PAIS", "SG_UF_NCM", "CO_VIA", "CO_URF",
+            F.col("q").cast("string").alias("QT_ESTAT"), (F.col("q") * 10).cast("string").alias("KG_LIQUIDO"),
+            money.alias("VL_FOB"), F.when(imp, F.col("f").cast("string")).alias("VL_FRETE"),
+            F.when(imp, F.lit("0,5")).alias("VL_SEGURO"),
+            F.lit(ts).cast("timestamp_ntz").alias("ingestion_timestamp"))
+
+    # The (EXP, 2001) file is republished later without its tonne-unit rows.
+    restated = (F.col("flow") == "EXP") & (F.col("CO_ANO") == "2001") & (F.col("CO_UNID") == "10")
+    return rows(DELIVERY_1).unionByName(rows(DELIVERY_2, restated))
+
+
+COMEX_GOLD_COLS = ["flow", "reference_year", "reference_month", "reference_date", "ncm_code", "country_code",
+                   "state_acronym", "state_name", "stat_unit_code", "unit_native", "family", "qty_native", "qty_base",
+                   "net_weight_kg", "source_rows", "data_quality_flag"]
+COMEX_MONEY_COLS = ["val_fob_usd", "freight_usd", "insurance_usd", "val_yearfx_brl", "val_yearfx_eur",
+                    "val_real_ipca_brl", "val_real_igpm_usd"]
+
+
+@register
+def comex_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """National trade Bronze -> Silver -> Gold: batch replacement per
+    (flow, year), unit and succession lookups, dominant-unit cells and
+    monthly deflation."""
+    from strata.plans.trade import comex_gold, comex_silver
+
+    units = spark.createDataFrame(COMEX_UNITS, "co_unid string, unit_name string, unit_symbol string")
+    succ = spark.createDataFrame([("00000001", "00000010", "merged")], seeds.SUCCESSION_SCHEMA)
+    silver = comex_silver(comex_bronze(spark, sf), units, seeds.unit_families(spark), seeds.product_unit_factors(spark), succ)
+    daily = orders_daily(spark, sf)
+    gold = comex_gold(silver, index_series(spark, sf, daily), fx_series(spark, sf, daily))
+    return gold.select(*COMEX_GOLD_COLS, *[r2(c).alias(c) for c in COMEX_MONEY_COLS])
