@@ -1212,7 +1212,7 @@ silver AS (
          coalesce(CASE dd.co_ncm WHEN '00000001' THEN '00000010' END, dd.co_ncm) AS ncm_code, dd.co_pais AS country_code,
          dd.sg_uf AS state_acronym, '01' AS transport_route_code, dd.co_unid AS stat_unit_code, u.unit_name AS unit_native,
          coalesce(fam.family, 'desconhecida') AS family, fam.base_unit, CAST(dd.q AS DOUBLE) AS qty_native,
-         dd.q * fam.to_base AS qty_base, CAST(dd.q * 10 AS DOUBLE) AS net_weight_kg, dd.c / 100.0::DOUBLE AS val_fob_usd,
+         dd.q * fam.to_base AS qty_base, CAST(dd.q * 10 AS DOUBLE) AS net_weight_kg, CAST(floor(dd.c / 100) AS DOUBLE) AS val_fob_usd,
          CASE WHEN dd.flow = 'IMP' THEN CAST(dd.f AS DOUBLE) END AS freight_usd,
          CASE WHEN dd.flow = 'IMP' THEN 0.5::DOUBLE END AS insurance_usd
   FROM dd LEFT JOIN units u ON dd.co_unid = u.co_unid LEFT JOIN fam ON lower(trim(u.unit_name)) = fam.unit_raw),

@@ -105,7 +105,8 @@ def comex_bronze(spark: SparkSession, sf: str) -> DataFrame:
     agg = keyed.groupBy("flow", "CO_ANO", "CO_MES", "CO_NCM", "CO_UNID", "CO_PAIS", "SG_UF_NCM", "CO_VIA", "CO_URF").agg(
         F.sum("l_quantity").cast("bigint").alias("q"), F.sum("cents").cast("bigint").alias("c"),
         F.sum("tax_cents").cast("bigint").alias("f"))
-    money = F.concat(F.floor(F.col("c") / 100).cast("string"), F.lit("."), F.lpad((F.col("c") % 100).cast("string"), 2, "0"))
+    # Whole dollars, so that cell sums of parsed values are exact in any order.
+    money = F.floor(F.col("c") / 100).cast("string")
     imp = F.col("flow") == "IMP"
 
     def rows(ts, cond=None):
