@@ -43,22 +43,32 @@ def dominant_unit_rollup(
     unit_sum_cols: Sequence[str] = (),
     unit_labels: Sequence[str] = (),
     max_cols: Sequence[str] = (),
+    labels_are_keys: bool = False,
 ) -> DataFrame:
     """Per cell, the dominant unit is the unit of the row with
     the largest quantity (NULL quantities last, ties to the smaller unit
     code).  Quantities (``qty_col`` and ``unit_sum_cols``) are summed only
     over that unit's rows; ``sum_cols`` (money, weight) over all rows.
     ``unit_labels`` are lifted from the dominant unit.
+
+    ``labels_are_keys``: the labels are functionally dependent on (cell,
+    unit) (e.g. joined from a unit table), so they are carried as grouping
+    keys of the first aggregate.  That keeps every aggregation buffer
+    fixed-width, so the large first aggregate runs as a hash aggregate
+    instead of sorting on string buffers.
     """
-    per_unit = df.groupBy(*cell, unit_col).agg(
+    label_keys = list(unit_labels) if labels_are_keys else []
+    per_unit = df.groupBy(*cell, unit_col, *label_keys).agg(
         F.max(qty_col).alias("_qmax"),
         F.sum(qty_col).alias("_q"),
         *[F.sum(c).alias(f"_u_{c}") for c in unit_sum_cols],
         *[F.sum(c).alias(f"_s_{c}") for c in sum_cols],
-        *[F.max(c).alias(f"_l_{c}") for c in unit_labels],
+        *([] if labels_are_keys else [F.max(c).alias(f"_l_{c}") for c in unit_labels]),
         *[F.max(c).alias(f"_m_{c}") for c in max_cols],
         F.count(F.lit(1)).alias("_rows"),
     )
+    if labels_are_keys:
+        per_unit = per_unit.select("*", *[F.col(c).alias(f"_l_{c}") for c in unit_labels])
     rank_key = F.struct(F.col("_qmax").isNull(), -F.col("_qmax"), F.col(unit_col))
     picked = F.struct(
         F.col(unit_col).alias(unit_col),

@@ -12,7 +12,9 @@ unit code is preferred over '-1' on ties; zero quantity and weights read as
 missing.
 
 National Gold: the dominant-unit roll-up per cell, monthly FX and index
-deflation and the weight-based quality flag.
+deflation and the weight-based quality flag.  The unit labels come from the
+unit table (a function of the unit and product), so they are grouping keys
+of the roll-up; the chapter is taken from the cell's (current) code.
 """
 
 from __future__ import annotations
@@ -137,8 +139,8 @@ def comex_gold(silver: DataFrame, index: DataFrame, fx: DataFrame, outliers: boo
         silver, COMEX_CELL, "stat_unit_code", "qty_native",
         sum_cols=["net_weight_kg", "val_fob_usd", "freight_usd", "insurance_usd"],
         unit_sum_cols=["qty_base"], unit_labels=["unit_native", "unit_native_symbol", "family", "base_unit"],
-        max_cols=["ingestion_timestamp", "hs_chapter"],
-    ).withColumnRenamed("ingestion_timestamp", "last_refresh")
+        max_cols=["ingestion_timestamp"], labels_are_keys=True,
+    ).withColumnRenamed("ingestion_timestamp", "last_refresh").withColumn("hs_chapter", C.chapter("ncm_code"))
     fm = D.fx_month_average(fx)
     j = (base.join(fm, ["reference_year", "reference_month"], "left")
          .join(month_index(index), ["reference_year", "reference_month"], "left")

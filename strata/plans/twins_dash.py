@@ -14,6 +14,7 @@ from strata.operators.rollup import family_sums
 from strata.operators.units import range_lookup
 from strata.plans import analyses as A
 from strata.plans import reads as R
+from strata.sources import seeds
 from strata.plans.base import r2, r6, register
 from strata.plans.inputs import t, trade_lines
 from strata.plans.twins_logs import _log
@@ -182,7 +183,7 @@ def domain_checks(spark: SparkSession, sf: str) -> DataFrame:
     li = trade_lines(spark, sf, product=True)
     # Every (unit, year) with value has a currency factor range.
     cells = li.groupBy("unit", "year").agg(F.count(F.lit(1)).alias("n"))
-    no_factor = range_lookup(cells, spark.createDataFrame(TWIN_FACTOR_RANGES, _RANGE_SCHEMA), "unit", "year").filter(
+    no_factor = range_lookup(cells, seeds.seed_frame(spark, TWIN_FACTOR_RANGES, _RANGE_SCHEMA), "unit", "year").filter(
         F.col("brl_factor").isNull())
     # Planted >= harvested per (product, year) (planted = discount points, harvested = tax points).
     areas = li.groupBy("product", "year").agg(F.sum(F.round(F.col("l_discount") * 100)).alias("planted"),
@@ -231,7 +232,7 @@ def unconvertible_quantities(spark: SparkSession, sf: str) -> DataFrame:
     from strata.plans.twins_rollups import TWIN_UNIT_FAMILIES, _unit_raw
 
     li = trade_lines(spark, sf).withColumn("unit_raw", _unit_raw())
-    fam = spark.createDataFrame(TWIN_UNIT_FAMILIES, "unit_raw string, family string, base_unit string, to_base double")
+    fam = seeds.seed_frame(spark, TWIN_UNIT_FAMILIES, "unit_raw string, family string, base_unit string, to_base double")
     h = harmonise_units(li, "unit_raw", "qty", fam)
     return h.filter(F.col("family") == "desconhecida").groupBy("unit_raw").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("qty").alias("qty_native"))

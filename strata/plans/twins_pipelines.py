@@ -18,6 +18,16 @@ from strata.plans.base import r2, register
 from strata.plans.inputs import fx_series, index_series, orders_daily, revenue_cents, t
 from strata.plans.survey import survey_gold, survey_silver
 from strata.sources import seeds
+from strata.streaming.jobs import shared_path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a derived Bronze table to the shared folder and read it back:
+    Bronze is a stored, append-only table, and later steps (the per-scope
+    newest batch, then the rows) read it twice instead of recomputing it."""
+    path = shared_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 DELIVERY_1, DELIVERY_2 = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
 
@@ -66,7 +76,7 @@ SURVEY_MONEY_COLS = ["val_yearfx_brl", "val_yearfx_usd", "val_yearfx_eur", "val_
 @register
 def survey_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """Bronze -> Silver -> Gold survey pipeline with the reference seeds."""
-    silver = survey_silver(survey_bronze(spark, sf), "prod_codigo", "prod", seeds.currency_factors(spark),
+    silver = survey_silver(stored(survey_bronze(spark, sf), "bronze_survey"), "prod_codigo", "prod", seeds.currency_factors(spark),
                            seeds.unit_families(spark), seeds.product_unit_factors(spark), "pevs")
     daily = orders_daily(spark, sf)
     gold = survey_gold(silver, index_series(spark, sf, daily), fx_series(spark, sf, daily))
@@ -137,9 +147,9 @@ def comex_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     monthly deflation."""
     from strata.plans.trade import comex_gold, comex_silver
 
-    units = spark.createDataFrame(COMEX_UNITS, "co_unid string, unit_name string, unit_symbol string")
-    succ = spark.createDataFrame([("00000001", "00000010", "merged")], seeds.SUCCESSION_SCHEMA)
-    silver = comex_silver(comex_bronze(spark, sf), units, seeds.unit_families(spark), seeds.product_unit_factors(spark), succ)
+    units = seeds.seed_frame(spark, COMEX_UNITS, "co_unid string, unit_name string, unit_symbol string")
+    succ = seeds.seed_frame(spark, [("00000001", "00000010", "merged")], seeds.SUCCESSION_SCHEMA)
+    silver = comex_silver(stored(comex_bronze(spark, sf), "bronze_comex"), units, seeds.unit_families(spark), seeds.product_unit_factors(spark), succ)
     daily = orders_daily(spark, sf)
     gold = comex_gold(silver, index_series(spark, sf, daily), fx_series(spark, sf, daily))
     return gold.select(*COMEX_GOLD_COLS, *[r2(c).alias(c) for c in COMEX_MONEY_COLS])

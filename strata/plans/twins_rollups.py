@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from strata.functions import columns as C
 from strata.operators import checks, quality, rollup, units
+from strata.sources import seeds
 from strata.plans.base import r2, r6, register
 from strata.plans.inputs import t, trade_lines
 
@@ -39,7 +40,7 @@ def range_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
     Lines are reduced to (unit, year) first; the factor is constant there."""
     li = trade_lines(spark, sf).groupBy("unit", "year").agg(F.sum("value_cents").alias("cents"), F.count(F.lit(1)).alias("n_rows"))
-    ranges = spark.createDataFrame(TWIN_FACTOR_RANGES, _RANGE_SCHEMA)
+    ranges = seeds.seed_frame(spark, TWIN_FACTOR_RANGES, _RANGE_SCHEMA)
     j = units.range_lookup(li, ranges, "unit", "year")
     val = F.col("cents") / F.lit(100.0)
     return j.select("unit", "year", "n_rows", r2(val).alias("val"), "brl_factor", r2(val * F.col("brl_factor")).alias("val_converted"))
@@ -65,9 +66,9 @@ def unit_harmonise(spark: SparkSession, sf: str) -> DataFrame:
     """Family, base unit, base quantity with a product override;
     an unknown unit is 'desconhecida' with NULL base quantity."""
     li = trade_lines(spark, sf, product=True).withColumn("unit_raw", _unit_raw())
-    fam = spark.createDataFrame(TWIN_UNIT_FAMILIES, "unit_raw string, family string, base_unit string, to_base double")
-    ov = spark.createDataFrame(
-        TWIN_PRODUCT_OVERRIDES, "source string, product_code string, unit_raw string, family string, base_unit string, to_base double"
+    fam = seeds.seed_frame(spark, TWIN_UNIT_FAMILIES, "unit_raw string, family string, base_unit string, to_base double")
+    ov = seeds.seed_frame(
+        spark, TWIN_PRODUCT_OVERRIDES, "source string, product_code string, unit_raw string, family string, base_unit string, to_base double"
     )
     h = units.harmonise_units(li, "unit_raw", "qty", fam, ov, product_col="product", source="tpch")
     return h.groupBy("product", "family", "base_unit").agg(
@@ -79,7 +80,7 @@ def unit_harmonise(spark: SparkSession, sf: str) -> DataFrame:
 def succession_remap(spark: SparkSession, sf: str) -> DataFrame:
     """Reported brand -> current brand, unknown brands kept."""
     p = t(spark, sf, "part").select("p_partkey", "p_brand")
-    s = spark.createDataFrame(TWIN_SUCCESSION, "reported_code string, current_code string, note string")
+    s = seeds.seed_frame(spark, TWIN_SUCCESSION, "reported_code string, current_code string, note string")
     return units.succession_remap(p, "p_brand", s, "current_brand")
 
 
@@ -111,7 +112,8 @@ def dominant_unit_rollup(spark: SparkSession, sf: str) -> DataFrame:
         "unit_name", F.when(F.col("unit") == "F", "finished").otherwise("open")
     )
     out = rollup.dominant_unit_rollup(
-        li, ["flow", "year", "month", "l_suppkey"], "unit", "qty", sum_cols=["value_cents"], unit_labels=["unit_name"]
+        li, ["flow", "year", "month", "l_suppkey"], "unit", "qty", sum_cols=["value_cents"], unit_labels=["unit_name"],
+        labels_are_keys=True,
     )
     return out.select("flow", "year", "month", "l_suppkey", "unit", "unit_name", "qty",
                       r2(F.col("value_cents") / 100.0).alias("value"), "source_rows")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from strata.operators import curation as K
 from strata.operators import incremental as I
 from strata.operators import scd
+from strata.sources import seeds
 from strata.plans.base import r6, register
 from strata.plans.inputs import t, trade_lines
 from strata.plans.twins_logs import _log
@@ -130,7 +131,7 @@ def matrix_with_mapping(spark: SparkSession, sf: str) -> DataFrame:
     """(flow, unit) cells with values, full-outer joined with the
     market mapping (unmapped cells and mappings without data both kept)."""
     cells = trade_lines(spark, sf).groupBy("flow", "unit").agg(F.count(F.lit(1)).alias("n_rows"))
-    mapping = spark.createDataFrame(MARKET_MAPPING, "flow string, unit string, market string")
+    mapping = seeds.seed_frame(spark, MARKET_MAPPING, "flow string, unit string, market string")
     return K.matrix_with_mapping(cells, mapping, ["flow", "unit"])
 
 

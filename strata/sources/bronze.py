@@ -77,7 +77,9 @@ def states_dimension(spark: SparkSession) -> DataFrame:
     """The federative units as a literal dimension."""
     from strata.functions.columns import STATES, region_abbrev, region_code
 
-    d = spark.createDataFrame(STATES, "state_acronym string, state_name string, region string")
+    from strata.sources.seeds import seed_frame
+
+    d = seed_frame(spark, STATES, "state_acronym string, state_name string, region string")
     return d.withColumn("region_abbrev", region_abbrev("region")).withColumn("ibge_region_code", region_code("region"))
 
 

@@ -1,7 +1,8 @@
 """Reference seeds (survey A13) as small, explicitly typed DataFrames.
 
-Seeds are bounded lookup tables (a few dozen rows each), so joining them
-with ``broadcast`` is safe at any fact size.  Larger seeds (country and
+Seeds are bounded lookup tables (a few dozen rows each).  ``seed_frame``
+checks the row count it is given and marks the seed for broadcast, so a
+join with a fact of any size never shuffles the fact for a lookup.  Larger seeds (country and
 product lists of hundreds of rows) are read from CSV with an explicit
 schema by ``read_seed_csv``; codes are always strings (leading zeros).
 """
@@ -9,6 +10,7 @@ schema by ``read_seed_csv``; codes are always strings (leading zeros).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
@@ -109,16 +111,28 @@ SUCCESSION_SCHEMA = T.StructType([
 ])
 
 
+SEED_ROW_LIMIT = 100_000
+
+
+def seed_frame(spark: SparkSession, rows, schema) -> DataFrame:
+    """A seed built from rows held on the driver.  Its row count is known
+    here, so the broadcast hint is attached only when it is within
+    ``SEED_ROW_LIMIT`` (the size check); a larger list stays a shuffle side."""
+    rows = list(rows)
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= SEED_ROW_LIMIT else df
+
+
 def currency_factors(spark: SparkSession, rows=None) -> DataFrame:
-    return spark.createDataFrame(rows or HISTORICAL_CURRENCY_FACTORS, CURRENCY_FACTOR_SCHEMA)
+    return seed_frame(spark, rows or HISTORICAL_CURRENCY_FACTORS, CURRENCY_FACTOR_SCHEMA)
 
 
 def unit_families(spark: SparkSession, rows=None) -> DataFrame:
-    return spark.createDataFrame(rows or UNIT_FAMILY_CONVERSIONS, UNIT_FAMILY_SCHEMA)
+    return seed_frame(spark, rows or UNIT_FAMILY_CONVERSIONS, UNIT_FAMILY_SCHEMA)
 
 
 def product_unit_factors(spark: SparkSession, rows=None) -> DataFrame:
-    return spark.createDataFrame(rows or PRODUCT_UNIT_FACTORS, PRODUCT_UNIT_SCHEMA)
+    return seed_frame(spark, rows or PRODUCT_UNIT_FACTORS, PRODUCT_UNIT_SCHEMA)
 
 
 def read_seed_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
