@@ -1254,5 +1254,59 @@ FROM g"""
 ORACLE["comex_pipeline"] = _comex_sql()
 
 
+
+def _comtrade_sql() -> str:
+    from strata.sources.seeds import UNIT_FAMILY_CONVERSIONS
+
+    def lit(v):
+        if v is None:
+            return "NULL"
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        return f"{float(v)!r}::DOUBLE"
+
+    fam_rows = ", ".join(f"({lit(u)}, {lit(f)}, {lit(b)}, {lit(t)})" for u, f, b, t in UNIT_FAMILY_CONVERSIONS)
+    key = "refYear, reporterCode, partnerCode, cmdCode, flowCode, customsCode"
+    return f"""
+WITH li AS (
+  SELECT CAST(year(l.l_shipdate) AS VARCHAR) AS refYear, CAST(s.s_nationkey AS VARCHAR) AS reporterCode,
+         CASE l.l_returnflag WHEN 'A' THEN 'X' WHEN 'R' THEN 'M' WHEN 'N' THEN 'RX' END AS flowCode,
+         CAST(c.c_nationkey AS VARCHAR) AS partnerCode,
+         CASE WHEN p.p_size <= 5 THEN lpad(substr(p.p_brand, 7, 10), 4, '0') ELSE lpad(substr(p.p_brand, 7, 10), 6, '0') END AS cmdCode,
+         CASE WHEN l.l_linestatus = 'F' THEN '8' ELSE '-1' END AS qtyUnitCode,
+         CASE WHEN l.l_discount >= 0.09 THEN 'C01' ELSE 'C00' END AS customsCode,
+         l.l_quantity, {REV} AS cents
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+  JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN part p ON l.l_partkey = p.p_partkey),
+agg AS (SELECT refYear, reporterCode, flowCode, partnerCode, cmdCode, qtyUnitCode, customsCode,
+               CAST(sum(l_quantity) AS BIGINT) AS q, CAST(sum(cents) AS BIGINT) AS c FROM li GROUP BY 1, 2, 3, 4, 5, 6, 7),
+bronze AS (
+  SELECT *, TIMESTAMP '2024-01-01 00:00:00' AS ts FROM agg
+  UNION ALL
+  SELECT *, TIMESTAMP '2024-02-01 00:00:00' FROM agg WHERE refYear = '2001' AND reporterCode = '7' AND flowCode <> 'M'),
+lb AS (SELECT * FROM bronze QUALIFY ts = max(ts) OVER (PARTITION BY refYear, reporterCode)),
+dd AS (
+  SELECT * FROM lb
+  WHERE partnerCode <> '0' AND flowCode IN ('X', 'M') AND customsCode = 'C00' AND length(cmdCode) = 6
+    AND CAST(refYear AS INTEGER) >= 2000
+  QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY ts DESC, (qtyUnitCode = '-1') ASC) = 1),
+units AS (SELECT * FROM (VALUES ('8', 'Weight in kilograms', 'kg', 'kg'), ('-1', 'No quantity', '', '')) t(qty_unit_code, unit_name, unit_symbol, unit_raw)),
+fam AS (SELECT * FROM (VALUES {fam_rows}) t(unit_raw, family, base_unit, to_base))
+SELECT CASE flowCode WHEN 'X' THEN 'export' WHEN 'M' THEN 'import' END AS flow, CAST(refYear AS INTEGER) AS reference_year,
+       reporterCode AS reporter_code, partnerCode AS partner_code,
+       coalesce(CASE cmdCode WHEN '000001' THEN '000010' END, cmdCode) AS cmd_code, cmdCode AS cmd_code_reported,
+       substr(cmdCode, 1, 2) AS hs_chapter, qtyUnitCode AS qty_unit_code, u.unit_name AS unit_native,
+       coalesce(fam.family, 'desconhecida') AS family,
+       NULLIF(CASE WHEN qtyUnitCode = '-1' THEN 0.0::DOUBLE ELSE CAST(q AS DOUBLE) END, 0) AS qty_native,
+       NULLIF(CASE WHEN qtyUnitCode = '-1' THEN 0.0::DOUBLE ELSE CAST(q AS DOUBLE) END, 0) * fam.to_base AS qty_base,
+       NULLIF(CAST(q * 10 AS DOUBLE), 0) AS net_weight_kg, NULLIF(CAST(q * 11 AS DOUBLE), 0) AS gross_weight_kg,
+       CAST(floor(c / 100) AS DOUBLE) AS primary_value_usd, CAST(floor(c / 100) AS DOUBLE) AS fob_value_usd,
+       CAST(NULL AS DOUBLE) AS cif_value_usd
+FROM dd LEFT JOIN units u ON dd.qtyUnitCode = u.qty_unit_code LEFT JOIN fam ON NULLIF(u.unit_raw, '') = fam.unit_raw"""
+
+
+ORACLE["comtrade_pipeline"] = _comtrade_sql()
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)

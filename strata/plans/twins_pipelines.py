@@ -153,3 +153,63 @@ def comex_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     daily = orders_daily(spark, sf)
     gold = comex_gold(silver, index_series(spark, sf, daily), fx_series(spark, sf, daily))
     return gold.select(*COMEX_GOLD_COLS, *[r2(c).alias(c) for c in COMEX_MONEY_COLS])
+
+
+# Bilateral trade: one verbatim chunk per (year, reporter), all strings.
+COMTRADE_FLOW_OF_RETURNFLAG = {"A": "X", "R": "M", "N": "RX"}
+COMTRADE_UNITS = [("8", "Weight in kilograms", "kg", "kg"), ("-1", "No quantity", "", "")]
+
+
+def comtrade_bronze(spark: SparkSession, sf: str) -> DataFrame:
+    li = (t(spark, sf, "lineitem")
+          .join(t(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+          .join(t(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+          .join(t(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+          .join(t(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size"), "l_partkey"))
+    brand = F.substring("p_brand", 7, 10)
+    # Small parts are reported as legacy 4-digit headings, the rest as HS6.
+    cmd = F.when(F.col("p_size") <= 5, F.lpad(brand, 4, "0")).otherwise(F.lpad(brand, 6, "0"))
+    keyed = li.select(
+        F.year("l_shipdate").cast("string").alias("refYear"), F.col("s_nationkey").cast("string").alias("reporterCode"),
+        _map("l_returnflag", COMTRADE_FLOW_OF_RETURNFLAG).alias("flowCode"),
+        F.col("c_nationkey").cast("string").alias("partnerCode"), cmd.alias("cmdCode"),
+        F.when(F.col("l_linestatus") == "F", "8").otherwise("-1").alias("qtyUnitCode"),
+        # Large discounts are booked under a breakdown customs code (not the total).
+        F.when(F.col("l_discount") >= 0.09, "C01").otherwise("C00").alias("customsCode"),
+        "l_quantity", revenue_cents().alias("cents"))
+    agg = keyed.groupBy("refYear", "reporterCode", "flowCode", "partnerCode", "cmdCode", "qtyUnitCode", "customsCode").agg(
+        F.sum("l_quantity").cast("bigint").alias("q"), F.sum("cents").cast("bigint").alias("c"))
+
+    def rows(ts, cond=None):
+        d = agg if cond is None else agg.filter(cond)
+        no_qty = F.col("qtyUnitCode") == "-1"
+        return d.select(
+            "refYear", "reporterCode", "flowCode", "partnerCode", F.lit("0").alias("partner2Code"), "cmdCode",
+            "customsCode", F.lit("0").alias("mosCode"), F.lit("0").alias("motCode"), "qtyUnitCode",
+            F.when(no_qty, F.lit("0.0")).otherwise(F.col("q").cast("string")).alias("qty"),
+            (F.col("q") * 10).cast("string").alias("netWgt"), (F.col("q") * 11).cast("string").alias("grossWgt"),
+            F.floor(F.col("c") / 100).cast("string").alias("primaryValue"), F.lit(None).cast("string").alias("cifvalue"),
+            F.floor(F.col("c") / 100).cast("string").alias("fobvalue"),
+            F.lit(ts).cast("timestamp_ntz").alias("ingestion_timestamp"))
+
+    # Reporter 7's 2001 chunk is re-downloaded later without its import rows.
+    restated = (F.col("refYear") == "2001") & (F.col("reporterCode") == "7") & (F.col("flowCode") != "M")
+    return rows(DELIVERY_1).unionByName(rows(DELIVERY_2, restated))
+
+
+COMTRADE_SILVER_COLS = ["flow", "reference_year", "reporter_code", "partner_code", "cmd_code", "cmd_code_reported",
+                        "hs_chapter", "qty_unit_code", "unit_native", "family", "qty_native", "qty_base", "net_weight_kg",
+                        "gross_weight_kg", "primary_value_usd", "fob_value_usd", "cif_value_usd"]
+
+
+@register
+def comtrade_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Bilateral trade Bronze -> Silver: batch replacement per (year,
+    reporter), totals only (no World partner, X/M, C00, HS6, no breakdowns),
+    real unit preferred over '-1', zero quantity -> missing, succession."""
+    from strata.plans.trade import comtrade_silver
+
+    units = seeds.seed_frame(spark, COMTRADE_UNITS, "qty_unit_code string, unit_name string, unit_symbol string, unit_raw string")
+    succ = seeds.seed_frame(spark, [("000001", "000010", "merged")], seeds.SUCCESSION_SCHEMA)
+    silver = comtrade_silver(stored(comtrade_bronze(spark, sf), "bronze_comtrade"), units, seeds.unit_families(spark), succ)
+    return silver.select(*COMTRADE_SILVER_COLS)
