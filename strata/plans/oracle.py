@@ -1255,7 +1255,7 @@ ORACLE["comex_pipeline"] = _comex_sql()
 
 
 
-def _comtrade_sql() -> str:
+def _comtrade_sql(extra: str = "") -> str:
     from strata.sources.seeds import UNIT_FAMILY_CONVERSIONS
 
     def lit(v):
@@ -1301,12 +1301,57 @@ SELECT CASE flowCode WHEN 'X' THEN 'export' WHEN 'M' THEN 'import' END AS flow,
        NULLIF(CASE WHEN qtyUnitCode = '-1' THEN 0.0::DOUBLE ELSE CAST(q AS DOUBLE) END, 0) * fam.to_base AS qty_base,
        NULLIF(CAST(q * 10 AS DOUBLE), 0) AS net_weight_kg, NULLIF(CAST(q * 11 AS DOUBLE), 0) AS gross_weight_kg,
        CAST(floor(c / 100) AS DOUBLE) AS primary_value_usd, CAST(floor(c / 100) AS DOUBLE) AS fob_value_usd,
-       CAST(NULL AS DOUBLE) AS cif_value_usd
+       CAST(NULL AS DOUBLE) AS cif_value_usd{extra}
 FROM dd LEFT JOIN units u ON dd.qtyUnitCode = u.qty_unit_code LEFT JOIN fam ON NULLIF(u.unit_raw, '') = fam.unit_raw"""
 
 
 ORACLE["comtrade_pipeline"] = _comtrade_sql()
 
 
+
+def _comtrade_gold_sql() -> str:
+    silver = _comtrade_sql(", customsCode AS customs_code, fam.base_unit AS base_unit, u.unit_symbol AS unit_native_symbol")
+    cell = "flow, customs_code, reference_year, reporter_code, partner_code, cmd_code"
+    return f"""
+WITH {INDEX_CTES}, {FX_CTES}, {DEFLATION_CTES},
+silver AS ({silver}),
+r AS (SELECT *, first_value(qty_unit_code) OVER (PARTITION BY {cell} ORDER BY qty_native DESC NULLS LAST, qty_unit_code) AS dom FROM silver),
+base AS (
+  SELECT {cell}, max(dom) AS qty_unit_code, max(CASE WHEN qty_unit_code = dom THEN unit_native END) AS unit_native,
+         max(CASE WHEN qty_unit_code = dom THEN family END) AS family,
+         sum(CASE WHEN qty_unit_code = dom THEN qty_native END) AS qty_native,
+         sum(CASE WHEN qty_unit_code = dom THEN qty_base END) AS qty_base,
+         sum(net_weight_kg) AS net_weight_kg, sum(gross_weight_kg) AS gross_weight_kg,
+         sum(primary_value_usd) AS primary_value_usd, sum(fob_value_usd) AS fob_value_usd, count(*) AS source_rows
+  FROM r GROUP BY 1, 2, 3, 4, 5, 6),
+g AS (
+  SELECT base.*, CASE WHEN reference_year >= 1994 THEN primary_value_usd * brl_per_usd_avg END AS nominal,
+         brl_per_usd_avg, brl_per_eur_avg, ipca_year_end, igpm_year_end, igpdi_year_end, ipca_current, igpm_current, igpdi_current,
+         brl_per_usd_current, brl_per_eur_current
+  FROM base LEFT JOIN fx_year USING (reference_year) LEFT JOIN year_end USING (reference_year) CROSS JOIN latest CROSS JOIN fx_last),
+h AS (SELECT DISTINCT lpad(substr(p_brand, 7, 10), 6, '0') AS cmd_code, p_brand AS description FROM part)
+SELECT g.reference_year, make_date(g.reference_year, 12, 31) AS reference_date, g.flow, g.customs_code, g.cmd_code,
+       substr(g.cmd_code, 1, 2) AS hs_chapter, h.description AS cmd_description, g.reporter_code, rn.n_name AS reporter_name,
+       g.partner_code, pn.n_name AS partner_name, pn.n_regionkey = 0 AS partner_is_group, g.family, g.qty_unit_code,
+       g.unit_native, g.qty_native, g.qty_base, g.net_weight_kg, g.gross_weight_kg, g.source_rows,
+       CASE WHEN coalesce(g.qty_native, g.net_weight_kg) IS NULL AND g.primary_value_usd IS NULL THEN 'INCOMPLETE'
+            WHEN g.primary_value_usd IS NULL THEN 'MISSING_VALUE'
+            WHEN coalesce(g.qty_native, g.net_weight_kg) IS NULL THEN 'MISSING_QUANTITY' ELSE 'OK' END AS data_quality_flag,
+       round(g.primary_value_usd, 2) AS val_yearfx_usd, round(g.nominal, 2) AS val_yearfx_brl,
+       round(g.nominal / NULLIF(g.brl_per_eur_avg, 0), 2) AS val_yearfx_eur,
+       round(CASE WHEN g.reference_year >= 1994 THEN g.primary_value_usd * g.brl_per_usd_avg * (g.ipca_current / NULLIF(g.ipca_year_end, 0)) END, 2) AS val_real_ipca_brl,
+       round(CASE WHEN g.reference_year >= 1994 THEN g.primary_value_usd * g.brl_per_usd_avg * (g.igpm_current / NULLIF(g.igpm_year_end, 0)) END
+             / NULLIF(g.brl_per_usd_current, 0), 2) AS val_real_igpm_usd,
+       round(CASE WHEN g.reference_year >= 1994 THEN g.primary_value_usd * g.brl_per_usd_avg * (g.igpdi_current / NULLIF(g.igpdi_year_end, 0)) END
+             / NULLIF(g.brl_per_eur_current, 0), 2) AS val_real_igpdi_eur,
+       round(g.fob_value_usd, 2) AS val_fob_usd
+FROM g LEFT JOIN nation rn ON g.reporter_code = CAST(rn.n_nationkey AS VARCHAR)
+LEFT JOIN nation pn ON g.partner_code = CAST(pn.n_nationkey AS VARCHAR)
+LEFT JOIN h ON g.cmd_code = h.cmd_code"""
+
+
+ORACLE["comtrade_gold_pipeline"] = _comtrade_gold_sql()
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -163,3 +163,57 @@ def comex_gold(silver: DataFrame, index: DataFrame, fx: DataFrame, outliers: boo
     drop = [f"brl_per_{c}_avg" for c in D.CURRENCIES] + [f"brl_per_{c}_current" for c in D.CURRENCIES]
     drop += [f"{d}_index" for d in D.DEFLATORS] + [f"{d}_current" for d in D.DEFLATORS]
     return j.drop(*drop)
+
+
+COMTRADE_CELL = ["flow", "customs_code", "reference_year", "reporter_code", "partner_code", "cmd_code"]
+
+
+def comtrade_gold(silver: DataFrame, index: DataFrame, fx: DataFrame, countries: DataFrame, hs: DataFrame,
+                  outliers: bool = False) -> DataFrame:
+    """Bilateral trade Gold: D09/D10 dominant unit per cell, C05 annual
+    deflation of the USD value through the year-average rate (V5: NULL
+    before 1994), C07/C08 descriptions with the country list joined twice
+    (reporter, partner), and the B26/B28 flag where quantity presence is
+    ``coalesce(qty, net weight)``.
+
+    ``countries``: (m49_code, country_name, iso_a3, is_group); ``hs``:
+    (cmd_code, description)."""
+    from strata.operators.units import describe
+
+    base = dominant_unit_rollup(
+        silver, COMTRADE_CELL, "qty_unit_code", "qty_native",
+        sum_cols=["net_weight_kg", "gross_weight_kg", "primary_value_usd", "cif_value_usd", "fob_value_usd"],
+        unit_sum_cols=["qty_base"], unit_labels=["unit_native", "unit_native_symbol", "family", "base_unit"],
+        max_cols=["ingestion_timestamp"], labels_are_keys=True,
+    ).withColumnRenamed("ingestion_timestamp", "last_refresh").withColumn("hs_chapter", C.chapter("cmd_code"))
+    j = (base.join(D.fx_year_average(fx), "reference_year", "left")
+         .join(D.year_end_index(index), "reference_year", "left")
+         .crossJoin(F.broadcast(D.latest_index(index))).crossJoin(F.broadcast(D.fx_latest(fx))))
+    valid = F.col("reference_year") >= D.FIRST_FX_YEAR
+    nominal = F.when(valid, F.col("primary_value_usd") * F.col("brl_per_usd_avg"))
+    j = j.withColumn("val_yearfx_usd", F.col("primary_value_usd")).withColumn("val_yearfx_brl", nominal).withColumn(
+        "val_yearfx_eur", C.safe_divide(nominal, F.col("brl_per_eur_avg")))
+    for d in D.DEFLATORS:
+        j = j.withColumn(f"val_real_{d}_brl", F.when(valid, F.col("primary_value_usd") * F.col("brl_per_usd_avg")
+                                                     * C.safe_divide(F.col(f"{d}_current"), F.col(f"{d}_year_end"))))
+        for cur in D.CURRENCIES:
+            j = j.withColumn(f"val_real_{d}_{cur}", C.safe_divide(F.col(f"val_real_{d}_brl"), F.col(f"brl_per_{cur}_current")))
+    j = j.withColumn("val_cif_usd", F.col("cif_value_usd")).withColumn("val_fob_usd", F.col("fob_value_usd")).withColumn(
+        "reference_date", C.year_end_date("reference_year"))
+    rep = countries.select(F.col("m49_code").alias("_rk"), F.col("country_name").alias("reporter_name"),
+                           F.col("iso_a3").alias("reporter_iso_a3"))
+    par = countries.select(F.col("m49_code").alias("_pk"), F.col("country_name").alias("partner_name"),
+                           F.col("iso_a3").alias("partner_iso_a3"), F.col("is_group").alias("partner_is_group"))
+    desc = hs.select(F.col("cmd_code").alias("_hk"), F.col("description").alias("cmd_description"))
+    j = describe(j, [(rep, "reporter_code", "_rk"), (par, "partner_code", "_pk"), (desc, "cmd_code", "_hk")])
+    presence = F.coalesce(F.col("qty_native"), F.col("net_weight_kg"))
+    if outliers:
+        j = implied_price_levels(j, ["flow", "cmd_code"], "primary_value_usd", "net_weight_kg")
+        j = j.withColumn("data_quality_flag", C.quality_flag(presence, F.col("primary_value_usd"), "qty_level", "val_level"))
+        j = j.drop("qty_level", "val_level")
+    else:
+        j = j.withColumn("data_quality_flag", C.quality_flag(presence, F.col("primary_value_usd")))
+    drop = [f"brl_per_{c}_avg" for c in D.CURRENCIES] + [f"brl_per_{c}_current" for c in D.CURRENCIES]
+    drop += [f"{d}_year_end" for d in D.DEFLATORS] + [f"{d}_current" for d in D.DEFLATORS]
+    drop += ["cif_value_usd", "fob_value_usd"]
+    return j.drop(*drop)

@@ -213,3 +213,30 @@ def comtrade_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     succ = seeds.seed_frame(spark, [("000001", "000010", "merged")], seeds.SUCCESSION_SCHEMA)
     silver = comtrade_silver(stored(comtrade_bronze(spark, sf), "bronze_comtrade"), units, seeds.unit_families(spark), succ)
     return silver.select(*COMTRADE_SILVER_COLS)
+
+
+COMTRADE_GOLD_COLS = ["reference_year", "reference_date", "flow", "customs_code", "cmd_code", "hs_chapter",
+                      "cmd_description", "reporter_code", "reporter_name", "partner_code", "partner_name",
+                      "partner_is_group", "family", "qty_unit_code", "unit_native", "qty_native", "qty_base",
+                      "net_weight_kg", "gross_weight_kg", "source_rows", "data_quality_flag"]
+COMTRADE_MONEY_COLS = ["val_yearfx_usd", "val_yearfx_brl", "val_yearfx_eur", "val_real_ipca_brl", "val_real_igpm_usd",
+                       "val_real_igpdi_eur", "val_fob_usd"]
+
+
+@register
+def comtrade_gold_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Bilateral trade Bronze -> Silver -> Gold with annual deflation and
+    reporter/partner names from the nation table (region 0 marks a group)."""
+    from strata.plans.trade import comtrade_gold, comtrade_silver
+
+    units = seeds.seed_frame(spark, COMTRADE_UNITS, "qty_unit_code string, unit_name string, unit_symbol string, unit_raw string")
+    succ = seeds.seed_frame(spark, [("000001", "000010", "merged")], seeds.SUCCESSION_SCHEMA)
+    silver = comtrade_silver(stored(comtrade_bronze(spark, sf), "bronze_comtrade_g"), units, seeds.unit_families(spark), succ)
+    countries = t(spark, sf, "nation").select(
+        F.col("n_nationkey").cast("string").alias("m49_code"), F.col("n_name").alias("country_name"),
+        F.substring("n_name", 1, 3).alias("iso_a3"), (F.col("n_regionkey") == 0).alias("is_group"))
+    hs = t(spark, sf, "part").select(F.lpad(F.substring("p_brand", 7, 10), 6, "0").alias("cmd_code"),
+                                     F.col("p_brand").alias("description")).distinct()
+    daily = orders_daily(spark, sf)
+    gold = comtrade_gold(silver, index_series(spark, sf, daily), fx_series(spark, sf, daily), countries, hs)
+    return gold.select(*COMTRADE_GOLD_COLS, *[r2(c).alias(c) for c in COMTRADE_MONEY_COLS])
