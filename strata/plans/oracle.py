@@ -1074,7 +1074,7 @@ WHERE lower(trim(unit_raw)) NOT IN ('toneladas', 'quilogramas', 'mil litros') GR
 # --- end-to-end survey pipeline ------------------------------------------------
 
 
-def _survey_sql() -> str:
+def _survey_sql(rounded: bool = True) -> str:
     from strata.functions.columns import STATES
     from strata.sources.seeds import HISTORICAL_CURRENCY_FACTORS, UNIT_FAMILY_CONVERSIONS
 
@@ -1093,6 +1093,9 @@ def _survey_sql() -> str:
     trim = "regexp_replace(regexp_replace({0}, '^\\s+', ''), '\\s+$', '')"
     valor_t = trim.format("valor")
     num = f"replace({valor_t}, ',', '.')"
+    cols = ["val_yearfx_brl", "val_yearfx_usd", "val_yearfx_eur", "val_real_ipca_brl", "val_real_ipca_usd",
+            "val_real_igpm_brl", "val_real_igpdi_eur"] + ([] if rounded else ["val_real_igpm_usd"])
+    money = ", ".join(f"round({c}, 2) AS {c}" if rounded else c for c in cols)
     safe_num = (f"CASE WHEN {valor_t} = '' OR {valor_t} IN ('...', '..', '*', 'X') THEN NULL WHEN {valor_t} = '-' THEN 0.0::DOUBLE "
                 f"WHEN regexp_full_match({num}, '{_NUM_RE}') THEN TRY_CAST({num} AS DOUBLE) END")
     return f"""
@@ -1159,10 +1162,7 @@ SELECT reference_year, make_date(reference_year, 12, 31) AS reference_date, stat
        city_code, city_name, product_code, product_description, family, unit_native, qty_native, qty_base,
        CASE WHEN qty_native IS NOT NULL AND val_raw IS NOT NULL THEN 'OK' WHEN qty_native IS NOT NULL THEN 'MISSING_VALUE'
             WHEN val_raw IS NOT NULL THEN 'MISSING_QUANTITY' ELSE 'INCOMPLETE' END AS data_quality_flag,
-       round(val_yearfx_brl, 2) AS val_yearfx_brl, round(val_yearfx_usd, 2) AS val_yearfx_usd,
-       round(val_yearfx_eur, 2) AS val_yearfx_eur, round(val_real_ipca_brl, 2) AS val_real_ipca_brl,
-       round(val_real_ipca_usd, 2) AS val_real_ipca_usd, round(val_real_igpm_brl, 2) AS val_real_igpm_brl,
-       round(val_real_igpdi_eur, 2) AS val_real_igpdi_eur
+       {money}
 FROM g"""
 
 
@@ -1353,5 +1353,45 @@ LEFT JOIN h ON g.cmd_code = h.cmd_code"""
 ORACLE["comtrade_gold_pipeline"] = _comtrade_gold_sql()
 
 
+
+def _survey_mart_sql(kind: str) -> str:
+    gold = _survey_sql(rounded=False)
+    def r(x: str) -> str:
+        return f"round({x}, 2)" if kind == "mart" else x
+    base = f"""
+WITH {LOG_CTE},
+gold AS ({gold}),
+gated AS (SELECT * FROM gold WHERE product_code NOT IN (SELECT CAST(user_id AS VARCHAR) FROM hidden)),
+cw AS (SELECT DISTINCT substr(p_brand, 7, 10) AS product_code,
+              'grp_' || CAST(CAST(trunc((CAST(substr(p_brand, 7, 10) AS INTEGER) - 1) / 4) AS INTEGER) AS VARCHAR) AS group_id FROM part),
+mart AS (
+  SELECT reference_year, state_acronym, product_code, family, count(DISTINCT city_code) AS n_cities, count(*) AS source_rows,
+         sum(qty_native) AS qty_native, sum({r('val_yearfx_brl')}) AS val_yearfx_brl, sum({r('val_real_ipca_brl')}) AS val_real_ipca_brl,
+         sum({r('val_real_igpm_usd')}) AS val_real_igpm_usd
+  FROM gated GROUP BY 1, 2, 3, 4)"""
+    if kind == "mart":
+        return base + """
+SELECT m.reference_year, m.state_acronym, m.product_code, m.family, cw.group_id, m.n_cities, m.source_rows, m.qty_native,
+       round(m.val_yearfx_brl, 2) AS val_yearfx_brl, round(m.val_real_ipca_brl, 2) AS val_real_ipca_brl,
+       round(m.val_real_igpm_usd, 2) AS val_real_igpm_usd
+FROM mart m LEFT JOIN cw ON m.product_code = cw.product_code"""
+    return base + """,
+a AS (SELECT sum(qty_native) AS q, sum(val_yearfx_brl) AS v1, sum(val_real_ipca_brl) AS v2, sum(val_real_igpm_usd) AS v3 FROM gated),
+b AS (SELECT sum(qty_native) AS q, sum(val_yearfx_brl) AS v1, sum(val_real_ipca_brl) AS v2, sum(val_real_igpm_usd) AS v3 FROM mart)
+SELECT 'crosswalk_unique' AS "check", 'error' AS severity,
+       (SELECT count(*) FROM (SELECT product_code FROM cw GROUP BY 1 HAVING count(*) > 1)) AS n_failing
+UNION ALL SELECT 'mart_conserves_gated_gold', 'error',
+       (SELECT count(*) FROM a, b WHERE abs(coalesce(a.q, 0) - coalesce(b.q, 0)) > 1e-6 * greatest(abs(coalesce(a.q, 0)), abs(coalesce(b.q, 0)), 1.0)
+          OR abs(coalesce(a.v1, 0) - coalesce(b.v1, 0)) > 1e-6 * greatest(abs(coalesce(a.v1, 0)), abs(coalesce(b.v1, 0)), 1.0)
+          OR abs(coalesce(a.v2, 0) - coalesce(b.v2, 0)) > 1e-6 * greatest(abs(coalesce(a.v2, 0)), abs(coalesce(b.v2, 0)), 1.0)
+          OR abs(coalesce(a.v3, 0) - coalesce(b.v3, 0)) > 1e-6 * greatest(abs(coalesce(a.v3, 0)), abs(coalesce(b.v3, 0)), 1.0))
+UNION ALL SELECT 'mart_grain_unique', 'error',
+       (SELECT count(*) FROM (SELECT 1 FROM mart GROUP BY reference_year, state_acronym, product_code, family HAVING count(*) > 1))"""
+
+
+ORACLE["survey_serving_mart"] = _survey_mart_sql("mart")
+ORACLE["survey_mart_checks"] = _survey_mart_sql("checks")
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)

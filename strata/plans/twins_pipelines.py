@@ -240,3 +240,61 @@ def comtrade_gold_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     daily = orders_daily(spark, sf)
     gold = comtrade_gold(silver, index_series(spark, sf, daily), fx_series(spark, sf, daily), countries, hs)
     return gold.select(*COMTRADE_GOLD_COLS, *[r2(c).alias(c) for c in COMTRADE_MONEY_COLS])
+
+
+SURVEY_MART_SUMS = ["qty_native", "val_yearfx_brl", "val_real_ipca_brl", "val_real_igpm_usd"]
+
+
+def _survey_gold(spark: SparkSession, sf: str) -> DataFrame:
+    silver = survey_silver(stored(survey_bronze(spark, sf), "bronze_survey_mart"), "prod_codigo", "prod",
+                           seeds.currency_factors(spark), seeds.unit_families(spark), seeds.product_unit_factors(spark), "pevs")
+    daily = orders_daily(spark, sf)
+    return survey_gold(silver, index_series(spark, sf, daily), fx_series(spark, sf, daily))
+
+
+def _hidden_products(spark: SparkSession, sf: str) -> DataFrame:
+    from strata.operators import scd
+    from strata.plans.twins_logs import _log
+
+    return scd.hidden_registry(_log(spark, sf), ["user_id"], ts="ts", tiebreak="event_id").select(
+        F.col("user_id").cast("string").alias("code"))
+
+
+def _product_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Crosswalk: product code -> group (brands grouped in fours)."""
+    b = t(spark, sf, "part").select(F.substring("p_brand", 7, 10).alias("code")).distinct()
+    return b.withColumn("group_id", F.concat(F.lit("grp_"), ((F.col("code").cast("int") - 1) / 4).cast("int").cast("string")))
+
+
+@register
+def survey_serving_mart(spark: SparkSession, sf: str) -> DataFrame:
+    """The annual survey mart over the pipeline's Gold with the
+    hidden-code gate and the product-group crosswalk."""
+    from strata.plans.serving import serving_mart
+
+    gold = _survey_gold(spark, sf)
+    # Gold money is published at cent precision; mart sums of cents stay
+    # next to an exact cent whatever the summation order.
+    gold = gold.select(*[r2(c).alias(c) if c in SURVEY_MART_SUMS[1:] else F.col(c) for c in gold.columns])
+    mart, _ = serving_mart(gold, ["reference_year", "state_acronym", "product_code", "family"],
+                           _hidden_products(spark, sf), "product_code", SURVEY_MART_SUMS, {"n_cities": "city_code"},
+                           refresh_col=None, crosswalk=_product_groups(spark, sf))
+    return mart.select("reference_year", "state_acronym", "product_code", "family", "group_id", "n_cities",
+                       "source_rows", "qty_native", *[r2(c).alias(c) for c in SURVEY_MART_SUMS[1:]])
+
+
+@register
+def survey_mart_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Crosswalk uniqueness and mart = gated Gold conservation."""
+    from strata.operators import checks as CK
+    from strata.plans.serving import conserved_to_gold, serving_mart
+
+    gold = _survey_gold(spark, sf)
+    hidden = _hidden_products(spark, sf)
+    mart, violations = serving_mart(gold, ["reference_year", "state_acronym", "product_code", "family"], hidden,
+                                    "product_code", SURVEY_MART_SUMS, refresh_col=None, crosswalk=_product_groups(spark, sf))
+    return CK.run_suite({
+        "crosswalk_unique": (violations, CK.ERROR),
+        "mart_conserves_gated_gold": (conserved_to_gold(mart, gold, hidden, "product_code", SURVEY_MART_SUMS), CK.ERROR),
+        "mart_grain_unique": (CK.unique_combination(mart, ["reference_year", "state_acronym", "product_code", "family"]), CK.ERROR),
+    })
