@@ -36,11 +36,12 @@ def test_ordered_columns_match_plain_windows(spark):
 
 def test_exact_percentiles_match_numpy(spark):
     df = _hot_key_frame(spark)
-    got = {r.k: (r.p50, r.p75) for r in exact_percentiles(df, ["k"], "v", {"p50": 0.5, "p75": 0.75}).collect()}
     pdf = df.toPandas().dropna()
-    for k, g in pdf.groupby("k"):
-        assert abs(got[k][0] - np.percentile(g.v, 50)) < 1e-9
-        assert abs(got[k][1] - np.percentile(g.v, 75)) < 1e-9
+    for method in ("blocks", "aggregate", "auto"):
+        got = {r.k: (r.p50, r.p75) for r in exact_percentiles(df, ["k"], "v", {"p50": 0.5, "p75": 0.75}, method).collect()}
+        for k, g in pdf.groupby("k"):
+            assert abs(got[k][0] - np.percentile(g.v, 50)) < 1e-9
+            assert abs(got[k][1] - np.percentile(g.v, 75)) < 1e-9
 
 
 def test_latest_wins_is_permutation_invariant(spark):
