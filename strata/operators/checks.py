@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ERROR, WARN = "error", "warn"
@@ -64,14 +64,15 @@ def conserved(a: DataFrame, b: DataFrame, measures: Sequence[str], keys: Sequenc
 
 def range_overlaps(ranges: DataFrame, key: str, lo: str, hi: str, id_col: str, name: str = "range_overlap",
                    severity: str = ERROR) -> DataFrame:
-    """Pairs of ranges of the same key that overlap.
-
-    A self join on the key with two range predicates; ranges are seed-sized
-    per key, so the pairs per key are bounded by the seed."""
-    a = ranges.select(F.col(key).alias("k"), F.col(id_col).alias("id_a"), F.col(lo).alias("lo_a"), F.col(hi).alias("hi_a"))
-    b = ranges.select(F.col(key).alias("k"), F.col(id_col).alias("id_b"), F.col(lo).alias("lo_b"), F.col(hi).alias("hi_b"))
-    j = a.join(b, "k").filter((F.col("id_a") < F.col("id_b")) & (F.col("lo_a") <= F.col("hi_b")) & (F.col("lo_b") <= F.col("hi_a")))
-    return _tag(j, name, severity)
+    """Ranges that overlap an earlier range of the same key.
+
+    Ranges are ordered by start within the key; a range overlaps some
+    earlier one exactly when its start is at or below the largest end seen
+    before it.  One sorted pass per key: no pairs are formed."""
+    r = ranges.select(F.col(key).alias("k"), F.col(id_col).alias("id"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+    w = Window.partitionBy("k").orderBy("lo", "hi", "id").rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("prev_max_hi", F.max("hi").over(w))
+    return _tag(r.filter(F.col("lo") <= F.col("prev_max_hi")), name, severity)
 
 
 def bounded(df: DataFrame, expr: Column, lo: float, hi: float, name: str = "bounded", severity: str = ERROR) -> DataFrame:

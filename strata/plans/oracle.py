@@ -282,10 +282,11 @@ FROM li LEFT JOIN r ON lower(trim(li.unit)) = lower(trim(r.unit_of_measure)) AND
 """
 
 ORACLE["factor_overlap_check"] = f"""
-WITH r AS (SELECT l_linestatus AS unit, l_returnflag AS flow, min({YEAR}) AS lo, max({YEAR}) AS hi FROM lineitem GROUP BY 1, 2)
-SELECT a.unit AS k, a.flow AS id_a, a.lo AS lo_a, a.hi AS hi_a, b.flow AS id_b, b.lo AS lo_b, b.hi AS hi_b,
-       'range_overlap' AS "check", 'error' AS severity
-FROM r a JOIN r b ON a.unit = b.unit AND a.flow < b.flow AND a.lo <= b.hi AND b.lo <= a.hi
+WITH r AS (SELECT l_linestatus AS unit, l_returnflag AS flow, min({YEAR}) AS lo, max({YEAR}) AS hi FROM lineitem GROUP BY 1, 2),
+w AS (SELECT unit AS k, flow AS id, lo, hi,
+             max(hi) OVER (PARTITION BY unit ORDER BY lo, hi, flow ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_max_hi
+      FROM r)
+SELECT k, id, lo, hi, prev_max_hi, 'range_overlap' AS "check", 'error' AS severity FROM w WHERE lo <= prev_max_hi
 """
 
 ORACLE["unit_harmonise"] = """
