@@ -320,3 +320,17 @@ def test_stateful_latest_equals_batch(spark):
     want = sorted(tuple(r) for r in latest_wins(ev, ["user_id"], ["ts", "event_id"]).select(
         "user_id", "event_id", "ts", "value").collect())
     assert got == want
+
+
+def test_range_overlaps_matches_brute_force(spark):
+    from strata.operators import checks as CK
+
+    rows = [("a", "r1", 1990, 1995), ("a", "r2", 1996, 2000), ("a", "r3", 1998, 1999), ("a", "r4", 2000, 2005),
+            ("b", "s1", 1990, 2010), ("b", "s2", 1995, 1996), ("c", "t1", 2000, 2000)]
+    df = spark.createDataFrame(rows, "k string, id string, lo int, hi int")
+    got = sorted(r.id for r in CK.range_overlaps(df, "k", "lo", "hi", "id").collect())
+    # Brute force: a range is flagged when it overlaps any range that sorts before it in (lo, hi, id).
+    def flagged(r):
+        earlier = [x for x in rows if x[0] == r[0] and (x[2], x[3], x[1]) < (r[2], r[3], r[1])]
+        return any(x[2] <= r[3] and r[2] <= x[3] for x in earlier)
+    assert got == sorted(r[1] for r in rows if flagged(r)) == ["r3", "r4", "s2"]
