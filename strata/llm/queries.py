@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import mixing, sharding, url_filter, winnowing
+from strata.llm import licenses, mixing, quality, sharding, toxicity, url_filter, winnowing
 from strata.llm.layout import table
 
 # The given url rules.
@@ -41,6 +41,11 @@ FROM j
 """
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -51,6 +56,48 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row")
 
 
+def held_out() -> Column:
+    """Rows whose labels nothing learns from."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out())
+    d = toxicity.score(docs, model)
+    return d.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+# The given phrases, then notices of public licenses.
+LICENSES = [
+    licenses.Template("mit", "mit license", 1.0, True),
+    licenses.Template("apache", "apache license", 1.0, True),
+    licenses.Template("gpl", "general public license", 1.0, True),
+    licenses.Template("mit-notice", "Released under the MIT License."),
+    licenses.Template("mit-notice", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    licenses.Template("apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    licenses.Template("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    licenses.Template("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    licenses.Template("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0.", 0.85),
+    licenses.Template("bsd-notice", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    licenses.Template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+]
+
+
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = licenses.scan(table(spark, sf_dir, "documents"), LICENSES, block=64)
+    base = F.filter("spans", lambda s: s["phrase"])
+    # blocks overlap, so a place is found once or twice
+    places = F.array_distinct(F.flatten(F.transform(base, lambda s: F.transform(s["places"], lambda p: F.struct(s["template"].alias("t"), p.alias("p"))))))
+    d = d.withColumns({"places": places, "base": base})
+    named = lambda c: F.concat_ws(",", F.array_sort(F.array_distinct(F.transform(c, lambda s: s["label"]))))
+    starts = F.transform("places", lambda x: x["p"])
+    return d.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        named(F.col("base")).alias("base_labels"), named(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["containment"])), F.lit(0.0)).alias("score"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), [5, 2, 1], 3.0).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -63,6 +110,6 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op4_sharding, op7_mixing, op9_fingerprints)
+    f.__name__: f for f in (op1_url_filters, op3_quality_rules, op4_sharding, op5_toxicity, op6_license_scans, op7_mixing, op9_fingerprints)
 }
 ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL}
