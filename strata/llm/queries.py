@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import licenses, mixing, quality, sharding, toxicity, url_filter, winnowing
+import public_tokenizers
+
+from strata.llm import licenses, mixing, ngram_join, packing, quality, sharding, suffix_dedup, toxicity, url_filter, winnowing
 from strata.llm.layout import table
 
 # The given url rules.
@@ -41,6 +43,12 @@ FROM j
 """
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pieces = packing.tokenize(table(spark, sf_dir, "documents"), path, end_id=2, capacity=1024, keep_ids=False)
+    return packing.pack(pieces, 1024)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
@@ -102,6 +110,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), [5, 2, 1], 3.0).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = suffix_dedup.dedup(table(spark, sf_dir, "documents"), least=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return d.select(
+        "doc_id", (F.octet_length("kept") + removed).alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = winnowing.compare_with_next(table(spark, sf_dir, "documents"))
     return d.select(
@@ -109,7 +124,11 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         winnowing.digest(F.col("kept")).alias("fingerprint"), winnowing.digest(F.col("edited_kept")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op3_quality_rules, op4_sharding, op5_toxicity, op6_license_scans, op7_mixing, op9_fingerprints)
+    f.__name__: f for f in (op1_url_filters, op2_packing, op3_quality_rules, op4_sharding, op5_toxicity, op6_license_scans, op7_mixing, op8_suffix_dedup, op9_fingerprints, op10_ngram_join)
 }
 ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL}
