@@ -78,62 +78,88 @@ def balance(sizes: DataFrame, state: DataFrame, most: float, tolerance: float =
     return d
 
 
-def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), most: float = 3.0, per_block: int = 1_000) -> DataFrame:
-    """(doc_id, source, size, source_size, target, rate, copies, taken) of each document.
+def word_count(text: Column) -> Column:
+    return F.size(words_of(text)).cast("long")
 
-    Null texts have size 0; size-0 documents get the copies of rate 1 unless
-    their source is emptied, and count nothing.  A null source is a source of
-    its own.  Repeated rows are documents of their own.  An empty table gives
-    an empty result.  Reruns agree: sums are exact decimals and the order in
-    which documents take a further copy is a hash of their ids.
-
-    Rounding: every document takes floor(rate) copies; those with a fraction f
-    are ordered by hash / f (so that each is taken with chance f) and take one
-    more until the source's target is met.  The order is cut into buckets of
-    about ``per_block`` rows whose sums are added up first, so that only the
-    bucket where a source's target falls is ever sorted.
-    """
-    d = stored(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size")))
-    hist = stored(d.groupBy("source", "size").agg(F.count(F.lit(1)).alias("rows")))
-    sources = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("source_rows"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
-    state = balance(hist, targets(sources, list(weights), most), most)
-    keyed = state.select(F.struct("source").alias("k"), "source_size", "source_rows", "target", "stopped", "lam", "mean")
-    d = d.join(keyed, F.struct(d["source"]).eqNullSafe(F.col("k")))
+
+def sized(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size) of every row: size in words, null texts 0."""
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+
+
+def _rated(d: DataFrame, plan: DataFrame, most: float) -> DataFrame:
+    """Adds a source's plan, and each row's rate, whole copies and turn for one more."""
+    keyed = plan.withColumnRenamed("source", "k")
+    d = d.join(keyed, d["source"].eqNullSafe(keyed["k"])).drop("k")
     r = F.when(F.col("source_size") == 0, F.lit(1.0)).when(F.col("stopped"), F.lit(float(most))).otherwise(rate(F.col("lam"), F.col("size"), F.col("mean"), most))
     d = d.withColumn("rate", r).withColumn("whole", F.floor("rate")).withColumn("part", F.when(F.col("size") > 0, F.col("rate") - F.col("whole")).otherwise(0.0))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit("copy"), F.col("doc_id")), 11).cast("double") + 0.5) / float(1 << 53)
-    d = d.withColumn("turn", F.when(F.col("part") > 0, u / F.col("part")))
+    return d.withColumn("turn", F.when(F.col("part") > 0, u / F.col("part")))
+
+
+def fit(sizes: DataFrame, weights: list[float] = (5, 2, 1), most: float = 3.0, per_block: int = 1_000) -> DataFrame:
+    """One row a source: all that ``apply`` needs to give every document its copies.
+
+    ``sizes``: (doc_id, source, size), read several times.  Rounding: a
+    document takes floor(rate) copies, and one more if its turn, a hash over
+    the fraction f (so that the chance is f), comes up to the source's limit.
+    The limit is where the source's words meet its target: turns are cut into
+    buckets of about ``per_block`` rows, whose words are added up first, and
+    only the bucket where the target falls is sorted.  One document (``best``)
+    then takes a copy more or less if that brings the source nearer.
+    """
+    hist = stored(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("rows")))
+    sources = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("source_rows"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
+    plan = balance(hist, targets(sources, list(weights), most), most).select("source", "source_size", "source_rows", "target", "stopped", "lam", "mean")
     blocks = F.greatest(F.lit(16), F.ceil(F.col("source_rows") / per_block))
-    d = d.withColumn("bucket", F.floor(F.least(F.col("turn"), F.lit(4.0)) * blocks))
-    # words that floor(rate) takes, then the buckets' words in order
-    sums = d.groupBy("k", "bucket").agg(F.sum(F.when(F.col("bucket").isNotNull(), F.col("size"))).alias("words"), F.sum(F.col("size") * F.col("whole")).alias("fixed"), F.first("target").alias("target"))
-    whole = Window.partitionBy("k")
+    d = _rated(sizes, plan, most).withColumn("bucket", F.floor(F.least(F.col("turn"), F.lit(4.0)) * blocks)).withColumn("blocks", blocks)
+    sums = d.groupBy("source", "bucket").agg(F.sum(F.when(F.col("bucket").isNotNull(), F.col("size"))).alias("words"), F.sum(F.col("size") * F.col("whole")).alias("fixed"), F.first("target").alias("target"), F.first("blocks").alias("blocks"))
+    whole = Window.partitionBy("source")
     w = whole.orderBy(F.col("bucket").asc_nulls_first())
     sums = sums.withColumn("need", F.first("target").over(whole) - F.sum("fixed").over(whole)).withColumn("before", F.coalesce(F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sums = sums.where(F.col("bucket").isNotNull()).select(F.col("k").alias("k2"), F.col("bucket").alias("b2"), "need", "before", (F.col("before") + F.col("words")).alias("after"))
-    d = d.join(sums, d["k"].eqNullSafe(F.col("k2")) & (d["bucket"] == F.col("b2")), "left")
-    cut = (F.col("before") < F.col("need")) & (F.col("after") > F.col("need"))
-    inner = Window.partitionBy("k", "bucket").orderBy("turn", "doc_id", "size")
-    crossing = d.where(cut).withColumn("_run", F.sum("size").over(inner) + F.col("before"))
+    # the first bucket that does not fit whole; where all fit, no limit
+    cut = stored(sums.where(F.col("bucket").isNotNull() & (F.col("before") + F.col("words") > F.col("need"))).groupBy("source").agg(F.min(F.struct("bucket", "before", "need", "blocks")).alias("c")).select(F.col("source").alias("k"), F.col("c.bucket").alias("at"), "c.before", "c.need", F.col("c.blocks").alias("per")))
+    inner = Window.partitionBy("source").orderBy("turn")  # equal turns together
+    edge = d.join(cut, d["source"].eqNullSafe(cut["k"]) & (d["bucket"] == cut["at"])).withColumn("run", F.sum("size").over(inner) + F.col("before"))
     # one more copy while it brings the source nearer to its target
-    crossing = crossing.withColumn("more", (F.col("_run") - F.col("size") / 2 <= F.col("need")).cast("long")).drop("_run")
-    rest = d.where(~F.coalesce(cut, F.lit(False))).withColumn("more", F.coalesce(F.col("after") <= F.col("need"), F.lit(False)).cast("long"))
-    out = crossing.unionByName(rest).withColumn("copies", F.col("whole") + F.col("more"))
-    out = _settle(stored(out.select("k", "doc_id", "size", "source_size", "target", "rate", "copies")), most)
-    return out.select("doc_id", F.col("k.source").alias("source"), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    edge = edge.where(F.col("run") - F.col("size") / 2 <= F.col("need")).groupBy("source").agg(F.max("turn").alias("last")).withColumnRenamed("source", "k2")
+    limits = cut.join(edge, cut["k"].eqNullSafe(edge["k2"]), "left").select("k", F.coalesce("last", F.col("at") / F.col("per") - 1e-15).alias("limit"))
+    plan = plan.join(limits, plan["source"].eqNullSafe(limits["k"]), "left").drop("k").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+    plan = stored(plan.withColumns({"best_id": F.lit(None).cast(sizes.schema["doc_id"].dataType), "best_size": F.lit(None).cast("long"), "step": F.lit(0).cast("long")}))
+    # what is still missing, and the document of the nearest size that can take or give a copy
+    d = apply(sizes, plan, most)
+    gaps = d.groupBy("source").agg((F.first("target") - F.sum("taken")).alias("gap")).withColumnRenamed("source", "k")
+    d = d.join(gaps, d["source"].eqNullSafe(gaps["k"]))
+    can = F.when(F.col("gap") > 0, F.col("copies") + 1 <= most).otherwise(F.col("copies") >= 1) & (F.col("size") > 0)
+    off = F.abs(F.abs("gap") - F.col("size"))
+    best = d.where(can & (off < F.abs("gap")) & F.col("doc_id").isNotNull()).groupBy("source").agg(F.min(F.struct(off.alias("off"), "doc_id", "size", F.signum("gap").cast("long").alias("step"))).alias("b")).select(F.col("source").alias("k"), F.col("b.doc_id").alias("best_id"), F.col("b.size").alias("best_size"), "b.step")
+    plan = plan.drop("best_id", "best_size", "step")
+    plan = plan.join(best, plan["source"].eqNullSafe(best["k"]), "left").drop("k")
+    return stored(plan.withColumn("step", F.coalesce("step", F.lit(0).cast("long"))))
 
 
-def _settle(d: DataFrame, most: float) -> DataFrame:
-    """One copy more or less of one document a source, if that brings it nearer to its target.
+def apply(sizes: DataFrame, plan: DataFrame, most: float = 3.0) -> DataFrame:
+    """Adds source_size, target, rate, copies and taken to rows with doc_id, source and size.
 
-    The document is the one whose size is nearest to what is missing (ties:
-    the smallest id); rows that repeat that document change together.
+    A row's copies depend on these three and the plan alone, so rows that
+    agree in them are treated alike, and any columns may come along.
     """
-    gaps = d.groupBy("k").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
-    d = d.join(gaps, d["k"].eqNullSafe(gaps["k"])).drop(gaps["k"])
-    can = F.when(F.col("gap") > 0, F.col("copies") + 1 <= most).otherwise(F.col("copies") >= 1) & (F.col("size") > 0)
-    off = F.abs(F.abs("gap") - F.col("size"))
-    best = d.where(can & (off < F.abs("gap"))).groupBy("k").agg(F.min(F.struct(off.alias("off"), "doc_id", "size")).alias("best")).select(F.col("k").alias("k2"), "best")
-    d = d.join(best, d["k"].eqNullSafe(F.col("k2")), "left")
-    chosen = F.coalesce(d["doc_id"].eqNullSafe(F.col("best.doc_id")) & (F.col("size") == F.col("best.size")) & F.when(F.col("gap") > 0, F.col("copies") + 1 <= most).otherwise(F.col("copies") >= 1), F.lit(False))
-    return d.withColumn("copies", F.when(chosen, F.col("copies") + F.signum("gap").cast("long")).otherwise(F.col("copies")))
+    d = _rated(sizes, plan, most)
+    copies = F.col("whole") + F.coalesce(F.col("turn") <= F.col("limit"), F.lit(False)).cast("long")
+    chosen = F.coalesce((F.col("doc_id") == F.col("best_id")) & (F.col("size") == F.col("best_size")), F.lit(False))
+    d = d.withColumn("copies", F.least(F.lit(int(most)), F.greatest(F.lit(0), copies + F.when(chosen, F.col("step")).otherwise(0))))
+    d = d.withColumn("taken", F.col("copies") * F.col("size"))
+    return d.select(*sizes.columns, "source_size", "target", "rate", "copies", "taken")
+
+
+def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), most: float = 3.0) -> DataFrame:
+    """(doc_id, source, size, source_size, target, rate, copies, taken) of each document.
+
+    Null texts have size 0; size-0 documents get one copy unless rates say
+    otherwise, and count nothing.  A null source is a source of its own.  Rows
+    repeated in doc_id, source and size get equal copies.  An empty table gives
+    an empty result.  Reruns agree: sums are exact decimals, and turns are
+    hashes of the ids.
+    """
+    d = stored(sized(docs))
+    return apply(d, fit(d, weights, most), most)

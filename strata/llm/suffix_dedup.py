@@ -141,13 +141,20 @@ def table_of(rows: list[tuple[int, int, bytes]], names: list[str]) -> pa.Table:
     return pa.table([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(c, pa.large_binary()).cast(pa.binary())], names=names)
 
 
+def loose(column: pa.ChunkedArray) -> pa.Array:
+    """A struct column whose fields may be null, as the result's schema says."""
+    x = column.combine_chunks()
+    x = x.chunk(0) if isinstance(x, pa.ChunkedArray) and x.num_chunks else x
+    return pa.StructArray.from_arrays([x.field(i) for i in range(x.type.num_fields)], names=[f.name for f in x.type]) if isinstance(x, pa.StructArray) else x
+
+
 class Group:
     """The documents of one id range, in order of their ids."""
 
     def __init__(self, t: pa.Table, least: int, gram: int):
         self.g = t.column("g")[0].as_py()
         t = t.sort_by([("doc_id", "ascending")])  # nulls last
-        self.ids = t.column("doc_id").combine_chunks()
+        self.ids, self.rest = t.column("doc_id").combine_chunks(), loose(t.column("rest"))
         buf, offs = as_bytes(t.column("text"))
         # equal ids have one rank: they are not smaller than each other
         rank = pa.compute.rank(self.ids, "ascending", null_placement="at_end", tiebreaker="min").to_numpy() if len(self.ids) else np.zeros(0)
@@ -249,24 +256,44 @@ def sample_splitters(docs: DataFrame, n_bytes: int, buckets: int, least: int, gr
     return np.unique(s, axis=0)
 
 
-def dedup(docs: DataFrame, least: int = 50, gram: int | None = None, group_bytes: int = 8 << 20, bucket_keys: int = 400_000) -> DataFrame:
+def whole_characters(spans: list[list[int]], raw: np.ndarray) -> list[list[int]]:
+    """Spans widened to the edges of UTF-8 characters, joined where they meet."""
+    out: list[list[int]] = []
+    for s, e in spans:
+        while s > 0 and s < len(raw) and raw[s] & 0xC0 == 0x80:
+            s -= 1
+        while e < len(raw) and raw[e] & 0xC0 == 0x80:
+            e += 1
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(e, out[-1][1])
+        else:
+            out.append([s, e])
+    return out
+
+
+def dedup(docs: DataFrame, least: int = 50, gram: int | None = None, characters: bool = False, carry: bool = False, group_bytes: int = 8 << 20, bucket_keys: int = 400_000) -> DataFrame:
     """(doc_id, kept, spans) of every row of (doc_id, text).
 
     ``kept``: the remaining bytes; ``spans``: start and length of each maximal
     removed run.  Matches lie within one document's bytes and are judged on
-    the input.  Null and empty texts keep nothing and lose nothing.  Rows of
-    one doc_id never cover each other; null ids come after all others and
-    count as one.  An empty table gives an empty result.
+    the input.  With ``characters`` a character that a span's edge would split
+    goes whole, so that what remains is text.  With ``carry`` a struct ``rest``
+    of the row's other columns comes along.  Null and empty texts keep nothing
+    and lose nothing.  Rows of one doc_id never cover each other; null ids come
+    after all others and count as one.  An empty table gives an empty result.
     """
     gram = gram or max(8, min(28, least // 2 + 3))
     if least < gram + 1:
         raise ValueError("least must be over 8 bytes")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rest = [F.col(c) for c in docs.columns if carry and c not in ("doc_id", "text")]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*rest, F.lit(0).alias("_")).alias("rest"))
+    rest_kind = docs.schema["rest"].dataType.simpleString()
     group, _ = id_groups(docs, group_bytes)
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-2 * n_bytes // (least - gram + 2) // bucket_keys))
     splitters = sample_splitters(docs, n_bytes, buckets, least, gram)
     texts = docs.withColumn("g", group)
+    span_kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
     def suffixes(t: pa.Table) -> pa.Table:
         x = Group(t, least, gram)
@@ -282,25 +309,31 @@ def dedup(docs: DataFrame, least: int = 50, gram: int | None = None, group_bytes
 
     def strip(t: pa.Table, flags: pa.Table) -> pa.Table:
         if not len(t):
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))], names=["doc_id", "kept", "spans"])
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], span_kind), loose(t.column("rest"))], names=["doc_id", "kept", "spans", "rest"])
         x = Group(t, least, gram)
         x.settle(answers(flags, 1, len(x.lead)))
         kept, spans = [], []
         for _, p, gone in x.removed(answers(flags, 0, len(x.w_lead))):
-            some = np.add.reduceat(np.append(gone, False), p.offs[:-1]) if len(gone) else np.zeros(len(p.offs) - 1)
-            for d in range(len(p.offs) - 1):
-                a, b = p.offs[d], p.offs[d + 1]
-                if a == b or not some[d]:
-                    kept.append(p.buf[a:b].tobytes())
-                    spans.append([])
-                    continue
-                m = gone[a:b]
-                kept.append(p.buf[a:b][~m].tobytes())
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], m.astype(np.int8), [0]])))
-                spans.append([{"start": s, "length": e - s} for s, e in edges.reshape(-1, 2).tolist()])
-        return pa.table([x.ids.cast(pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))], names=["doc_id", "kept", "spans"])
+            total = np.concatenate([[0], np.cumsum(gone)])
+            for a, b in zip(p.offs[:-1].tolist(), p.offs[1:].tolist()):
+                raw, found = p.buf[a:b], []
+                if total[b] > total[a]:
+                    found = np.flatnonzero(np.diff(np.concatenate([[0], gone[a:b].astype(np.int8), [0]]))).reshape(-1, 2).tolist()
+                    if characters:
+                        found = whole_characters(found, raw)
+                at = [0, *(q for s in found for q in s), b - a]
+                kept.append(b"".join(raw[at[i] : at[i + 1]].tobytes() for i in range(0, len(at), 2)))
+                spans.append([{"start": s, "length": e - s} for s, e in found])
+        return pa.table([x.ids.cast(pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, span_kind), x.rest], names=["doc_id", "kept", "spans", "rest"])
 
     sent = "bucket int, g int, data binary"
     first = texts.groupBy("g").applyInArrow(suffixes, sent).groupBy("bucket").applyInArrow(resolve, ANSWERS)
     second = texts.groupBy("g").cogroup(first.groupBy("g")).applyInArrow(windows, sent).groupBy("bucket").applyInArrow(resolve, ANSWERS)
-    return texts.groupBy("g").cogroup(second.groupBy("g")).applyInArrow(strip, "doc_id long, kept binary, spans array<struct<start long, length long>>")
+    out = texts.groupBy("g").cogroup(second.groupBy("g")).applyInArrow(strip, f"doc_id long, kept binary, spans array<struct<start:long,length:long>>, rest {rest_kind}")
+    return out if carry else out.drop("rest")
+
+
+def strip_texts(docs: DataFrame, least: int) -> DataFrame:
+    """The documents with what repeats cut out of their texts; columns and rows stay (null texts become empty)."""
+    d = dedup(docs, least, characters=True, carry=True)
+    return d.select(*[F.col("kept").cast("string").alias(c) if c == "text" else F.col(c) if c == "doc_id" else F.col("rest").getField(c).alias(c) for c in docs.columns])

@@ -181,6 +181,22 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, rows: int = 12_000, v
     return model
 
 
+def held_out() -> Column:
+    """Rows whose labels nothing learns from."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def keep(docs: DataFrame, model: Model, limit: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows that score below ``limit``, all columns as they are."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(model.score(b.column(at).to_pylist()) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) of every row; null and empty texts get the score of no votes."""
     kind = docs.schema[key].dataType.simpleString()
