@@ -169,8 +169,8 @@ def candidates(docs: DataFrame, reps: DataFrame, k: int, percent: int, group, bu
 def overlaps(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, common) of pairs of rows of one cluster, within one fragment.
 
-    Rows: doc_id, root, side (0: left, 1: right block; the same block meets
-    itself where all are 0), n, tokens.  Counted cluster by cluster as products
+    Rows: doc_id, root, side (0: left, 1: right block, 2: a block that
+    meets itself), n, tokens.  Counted cluster by cluster as products
     of 0/1 matrices over a few thousand n-grams at a time.
     """
     root, side, n = (t.column(c).to_numpy() for c in ("root", "side", "n"))
@@ -178,11 +178,9 @@ def overlaps(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     out = []
     order = np.argsort(root, kind="stable")
     for rows in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
-        left, right = rows[side[rows] == 0], rows[side[rows] == 1]
-        within = not len(right)
-        if within:
-            right = left
-        if not len(left) or within and len(left) < 2:
+        within = side[rows[0]] == 2
+        left, right = (rows, rows) if within else (rows[side[rows] == 0], rows[side[rows] == 1])
+        if not len(left) or not len(right) or within and len(left) < 2:
             continue
         all_ = np.concatenate([tokens[r] for r in rows])
         who = np.repeat(np.arange(len(rows)), [len(tokens[r]) for r in rows])
@@ -227,7 +225,7 @@ def links(c: DataFrame, percent: int, fragments: int, block: int) -> DataFrame:
     # small clusters share tasks; a large one has a task for each two of its blocks
     bins = F.lit(max(1, c.sparkSession.sparkContext.defaultParallelism * 16))
     d = d.withColumn("task", F.when(F.col("blocks") == 1, F.concat_ws(":", F.lit("bin"), F.pmod(F.xxhash64("root"), bins))).otherwise(F.concat_ws(":", "root", a, b)))
-    d = d.withColumn("side", F.when(F.col("own") > F.col("other"), 1).otherwise(0)).select("task", "doc_id", "root", "side", "n", "copies", "tokens", "freqs")
+    d = d.withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") > F.col("other"), 1).otherwise(0)).select("task", "doc_id", "root", "side", "n", "copies", "tokens", "freqs")
     # the global order is cut at quantiles of the frequency, then of the hash within one frequency
     names = ["task", "fragment", "doc_id", "root", "side", "n", "copies", "tokens"]
 
@@ -311,7 +309,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, fragments: int = 4, blo
     keyed = stored(set_keys(docs, k))
     full = keyed.where("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies"))
-    members = full.select("doc_id", "n", "a", "b").distinct().join(classes, ["n", "a", "b"]).select("doc_id", "rep", "copies")
+    members = full.join(classes, ["n", "a", "b"]).select("doc_id", "rep", "copies")
     reps = stored(classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("copies").alias("copies")))
     group, groups = id_groups(docs, group_bytes)
     total = keyed.agg(F.sum("n")).first()[0] or 0
@@ -319,10 +317,10 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, fragments: int = 4, blo
     c = stored(candidates(docs, reps.select("doc_id"), k, percent, group, buckets).join(reps, "doc_id"))
     found = stored(links(c, percent, fragments, block))
     # classes whose ids are not their component's smallest, and rows of one id in several classes
-    edges = members.where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).union(found.where("v IS NOT NULL").select("u", "v"))
+    edges = members.where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).unionByName(found.where("v IS NOT NULL").select("u", "v"))
     roots = components(edges)
     degree = found.where("v IS NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-    near = members.join(degree, "rep", "left").groupBy("doc_id").agg((F.sum(F.coalesce("links", F.lit(0)) + F.col("copies") - 1)).alias("n_links"))
+    near = members.groupBy("doc_id", "rep").agg(F.first("copies").alias("copies")).join(degree, "rep", "left").groupBy("doc_id").agg((F.sum(F.coalesce("links", F.lit(0)) + F.col("copies") - 1)).alias("n_links"))
     d = keyed.select("doc_id", F.col("n").alias("n_shingles"))
     d = d.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(near, "doc_id", "left")
     return d.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.when(F.col("n_shingles") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
