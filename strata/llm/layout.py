@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def bounded_batches(df: DataFrame, rows: int = 1_000) -> None:
+    """Fewer rows in an Arrow batch than usual: a row is a whole text, and batches are held on both sides."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage into the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.layout import bounded_batches
 from strata.llm.words import ALNUM, LOWER, as_bytes, prefix_sums, range_hash, slices, words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -148,6 +149,7 @@ def scan(docs: DataFrame, templates: list[Template], block: int = 32, key: str =
     rows are scanned alike; an empty table gives an empty result.  Two passes
     over the texts (word frequencies, then blocks), no shuffle of text.
     """
+    bounded_batches(docs)
     counts = word_counts(docs, sorted({w for t in templates for w in t.sequence}), text)
     index = Index(templates, counts, block)
     span = pa.struct([("template", pa.int32()), ("label", pa.string()), ("phrase", pa.bool_()), ("first", pa.int64()), ("past", pa.int64()), ("containment", pa.float64()), ("places", pa.list_(pa.int64()))])

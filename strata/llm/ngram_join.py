@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.components import components
-from strata.llm.layout import id_groups, stored
-from strata.llm.words import LOWER, as_bytes, prefix_sums, range_hash, shingles, slices, words
+from strata.llm.layout import bounded_batches, id_groups, stored
+from strata.llm.words import LOWER, as_bytes, prefix_sums, range_hash, release, shingles, slices, words
 
 U = np.uint64
 
@@ -113,6 +113,7 @@ def candidates(docs: DataFrame, reps: DataFrame, k: int, percent: int, group, bu
     sent = "bucket int, g int, data binary"
 
     def send(t: pa.Table, n: pa.Table) -> pa.Table:
+        release()
         rows = []
         if len(t) and len(n):
             _, h, _ = group_sets(t, n.column("doc_id").to_numpy(), k)
@@ -141,6 +142,7 @@ def candidates(docs: DataFrame, reps: DataFrame, k: int, percent: int, group, bu
     freqs = texts.groupBy("g").cogroup(notes.groupBy("g")).applyInArrow(send, sent).groupBy("bucket").applyInArrow(frequency, "g int, bucket int, doc_id long, data binary")
 
     def filtered(t: pa.Table, n: pa.Table) -> pa.Table:
+        release()
         got = ([], [], [], [], [])
         if len(t) and len(n):
             is_rep = pc.less(n.column("bucket"), 0)
@@ -294,7 +296,7 @@ def links(c: DataFrame, percent: int, fragments: int, block: int) -> DataFrame:
     return counted.groupBy("task").applyInArrow(decide, "u long, v long, links long")
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80, fragments: int = 4, block: int = 1024, group_bytes: int = 8 << 20, bucket_keys: int = 500_000) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, percent: int = 80, fragments: int = 4, block: int = 1024, group_bytes: int = 4 << 20, bucket_keys: int = 500_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row of (doc_id, text).
 
     A-Z is lower-cased; a set is the distinct runs of k words, with fewer words
@@ -305,6 +307,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, fragments: int = 4, blo
     documents linked directly, those of an equal set included.  An empty table
     gives an empty result.
     """
+    bounded_batches(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = stored(set_keys(docs, k))
     full = keyed.where("n > 0 AND doc_id IS NOT NULL")

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.layout import stored
+from strata.llm.layout import bounded_batches, stored
+from strata.llm.words import release
 
 def as_ranks(spec: dict) -> dict[bytes, int] | None:
     """Byte strings' ids of a byte-level BPE file whose merges make ids in order, else None.
@@ -81,11 +82,13 @@ def tokenize(docs: DataFrame, path: str, end_id: int, capacity: int, keep_ids: b
     Longer ones are cut into pieces of ``capacity``; the first may be shorter.
     ``ids``: array of int, left out without ``keep_ids``.
     """
+    bounded_batches(docs)
     kind = docs.schema[key].dataType.simpleString()
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path)
+        release()  # of the file's parsed form
         for batch in batches:
             # some texts at a time: their ids are four times as long
             for at in range(0, len(batch), 512):

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.layout import stored
-from strata.llm.words import BYTE_VALUES, as_bytes, combine, prefix_sums, range_hash, slices, table_of, words  # noqa: F401
+from strata.llm.layout import bounded_batches, stored
+from strata.llm.words import as_bytes, combine, prefix_sums, range_hash, slices, table_of, words
 
 # The symbols that the rule counts.
 SYMBOLS = table_of(*((ord(c), ord(c)) for c in "#*$%&|<>"))
@@ -88,6 +88,7 @@ def measure(buf: np.ndarray, offs: np.ndarray, window: int = 5) -> dict[str, np.
 
 def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, the counts) of every row; null and empty texts: all 0.  One pass, no shuffle."""
+    bounded_batches(docs)
     names = [key, *COUNTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

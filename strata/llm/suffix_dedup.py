@@ -35,8 +35,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.layout import id_groups
-from strata.llm.words import M1, as_bytes, mix, powers, prefix_sums, range_hash, slices
+from strata.llm.layout import bounded_batches, id_groups
+from strata.llm.words import M1, as_bytes, mix, powers, prefix_sums, range_hash, release, slices
 
 U = np.uint64
 HIGH = U(0xFFFFFFFF00000000)
@@ -66,14 +66,14 @@ class Part:
     def __init__(self, buf: np.ndarray, offs: np.ndarray, least: int, gram: int):
         self.buf, self.offs, self.least = buf, offs, least
         n = len(buf)
-        self.sums = prefix_sums(buf)
+        sums = prefix_sums(buf)
         empty = np.zeros(0, np.int64)
         self.lo = self.hi = self.doc = empty
         self.lead = self.tail = np.zeros(0, np.uint64)
         long = np.flatnonzero(np.diff(offs) >= least)
         if not len(long):
             return
-        h = mix((self.sums[gram:] - self.sums[:-gram]) * powers(n + 1, inverse=True)[: n - gram + 1])
+        h = mix((sums[gram:] - sums[:-gram]) * powers(n + 1, inverse=True)[: n - gram + 1])
         bits = U(max(21, n.bit_length()))
         low = (U(1) << bits) - U(1)
         anchor = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), least - gram + 1)
@@ -89,14 +89,15 @@ class Part:
         self.lo, self.hi = at[first], at[np.append(first[1:], len(at)) - 1]
         a = a[first]
         self.doc = np.searchsorted(offs, self.lo, "right") - 1
-        context = mix(range_hash(self.sums, self.lo, self.hi + least) + (a - self.lo).astype(np.uint64) * M1)
+        context = mix(range_hash(sums, self.lo, self.hi + least) + (a - self.lo).astype(np.uint64) * M1)
         self.lead, self.tail = leading(buf, a), (h[a] & HIGH) | (context >> U(32))
 
     def windows(self, runs: np.ndarray):
         """(start, run's document, leading bytes, hash) of each window of some contexts."""
         n = self.hi[runs] - self.lo[runs] + 1
         starts = np.repeat(self.lo[runs] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(runs) else np.zeros(0, np.int64)
-        return starts, np.repeat(self.doc[runs], n), leading(self.buf, starts), range_hash(self.sums, starts, starts + self.least)
+        hashes = range_hash(prefix_sums(self.buf), starts, starts + self.least) if len(starts) else np.zeros(0, np.uint64)
+        return starts, np.repeat(self.doc[runs], n), leading(self.buf, starts), hashes
 
 
 def grouped(lead: np.ndarray, tail: np.ndarray, rank: np.ndarray):
@@ -271,7 +272,7 @@ def whole_characters(spans: list[list[int]], raw: np.ndarray) -> list[list[int]]
     return out
 
 
-def dedup(docs: DataFrame, least: int = 50, gram: int | None = None, characters: bool = False, carry: bool = False, group_bytes: int = 8 << 20, bucket_keys: int = 400_000) -> DataFrame:
+def dedup(docs: DataFrame, least: int = 50, gram: int | None = None, characters: bool = False, carry: bool = False, group_bytes: int = 4 << 20, bucket_keys: int = 400_000) -> DataFrame:
     """(doc_id, kept, spans) of every row of (doc_id, text).
 
     ``kept``: the remaining bytes; ``spans``: start and length of each maximal
@@ -282,6 +283,7 @@ def dedup(docs: DataFrame, least: int = 50, gram: int | None = None, characters:
     and lose nothing.  Rows of one doc_id never cover each other; null ids come
     after all others and count as one.  An empty table gives an empty result.
     """
+    bounded_batches(docs)
     gram = gram or max(8, min(28, least // 2 + 3))
     if least < gram + 1:
         raise ValueError("least must be over 8 bytes")
@@ -296,12 +298,14 @@ def dedup(docs: DataFrame, least: int = 50, gram: int | None = None, characters:
     span_kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
     def suffixes(t: pa.Table) -> pa.Table:
+        release()
         x = Group(t, least, gram)
         return table_of(rows_of(x.g, x.lead, x.tail, splitters), ["bucket", "g", "data"])
 
     def windows(t: pa.Table, flags: pa.Table) -> pa.Table:
         if not len(t):
             return table_of([], ["bucket", "g", "data"])
+        release()
         x = Group(t, least, gram)
         own = answers(flags, 0, len(x.lead))
         x.settle(own)
@@ -310,6 +314,7 @@ def dedup(docs: DataFrame, least: int = 50, gram: int | None = None, characters:
     def strip(t: pa.Table, flags: pa.Table) -> pa.Table:
         if not len(t):
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], span_kind), loose(t.column("rest"))], names=["doc_id", "kept", "spans", "rest"])
+        release()
         x = Group(t, least, gram)
         x.settle(answers(flags, 1, len(x.lead)))
         kept, spans = [], []

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.layout import bounded_batches
+
 WORD = re.compile(r"[^\W_]+")
 PATTERN_LENGTHS = (4, 5, 6, 7)
 
@@ -49,7 +51,7 @@ class Model:
             for word in WORD.findall((text or "").lower()):
                 got = memo.get(word)
                 if got is None:
-                    if len(memo) > 300_000:
+                    if len(memo) > 100_000:
                         memo.clear()
                     got = memo[word] = tuple(index[v] for v in votes_of(word) if v in index)
                 if got:
@@ -67,7 +69,7 @@ class Model:
 def find_voters(rows: DataFrame, most: int = 400, least_rows: int = 3) -> list[str]:
     """The ``most`` strongest voters of rows (text, toxic), by rows they stand in.
 
-    Tasks send one row a candidate and 200,000 candidates, not one a word.
+    Tasks send one row a candidate and 100,000 candidates, not one a word.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +87,7 @@ def find_voters(rows: DataFrame, most: int = 400, least_rows: int = 3) -> list[s
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 got = {v for word in set(WORD.findall((text or "").lower())) for v in votes_of(word)}
                 (pos if toxic else neg).update(got)
-                if len(pos) + len(neg) > 200_000:
+                if len(pos) + len(neg) > 100_000:
                     yield sent()
         yield sent()
 
@@ -155,6 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, rows: int = 12_000, v
     several labels the highest counts; null labels and ids do not.  Without
     rows of both classes every score is 0.
     """
+    bounded_batches(docs)
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & train).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = marks.count()
     marks = marks.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * rows // max(n, 1)))
@@ -188,6 +191,7 @@ def held_out() -> Column:
 
 def keep(docs: DataFrame, model: Model, limit: float = 0.5, text: str = "text") -> DataFrame:
     """The rows that score below ``limit``, all columns as they are."""
+    bounded_batches(docs)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +203,7 @@ def keep(docs: DataFrame, model: Model, limit: float = 0.5, text: str = "text")
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) of every row; null and empty texts get the score of no votes."""
+    bounded_batches(docs)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,8 @@ two different strings of one corpus collide with probability 2**-64 each pair.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,6 +23,14 @@ BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 M1, M2 = U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)
 
 
+def release() -> None:
+    """Give freed memory back: workers are kept between tasks, and so is what their allocators hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> U(33))
