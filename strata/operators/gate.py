@@ -33,19 +33,21 @@ def scope_by_group(df: DataFrame, crosswalk: DataFrame, code_col: str, group_val
     return df.join(codes, F.col(code_col) == F.col("_gc"), "left_semi")
 
 
-def resolve_scope(catalog_current: DataFrame, configured: DataFrame, code_col: str, cap: int,
+def resolve_scope(catalog_current: DataFrame, configured: DataFrame, code_col: str,
                   ingestion_col: str = "ingestao") -> DataFrame:
     """The codes to ingest.
 
-    Catalogue codes whose latest edit is active and not paused are used when
-    there is at least one and at most ``cap`` of them; otherwise the
-    configured list is the fallback.  The choice is a one-row count joined
-    to both candidates, so no count is pulled to the driver."""
+    All catalogue codes whose latest edit is active and not paused; where there
+    is none, the configured list.  The choice is a one-row count joined to both
+    candidates, so no count is pulled to the driver."""
     from strata.functions.columns import ingestion_effective
 
     cat = catalog_current.filter(ingestion_effective(ingestion_col) != "pausada").select(F.col(code_col).alias("code"))
-    n = cat.agg(F.count(F.lit(1)).alias("_n")).withColumn("_use", (F.col("_n") >= 1) & (F.col("_n") <= cap))
-    a = cat.crossJoin(F.broadcast(n)).filter(F.col("_use")).select("code", F.lit("catalog").alias("origin"))
-    b = configured.select(F.col(code_col).alias("code")).crossJoin(F.broadcast(n)).filter(~F.col("_use")).select(
-        "code", F.lit("configured").alias("origin"))
-    return a.unionByName(b)
+    n = cat.agg(F.count(F.lit(1)).alias("_n"))
+    b = configured.select(F.col(code_col).alias("code")).crossJoin(F.broadcast(n)).filter(F.col("_n") == 0)
+    return cat.select("code", F.lit("catalog").alias("origin")).unionByName(b.select("code", F.lit("configured").alias("origin")))
+
+
+def oversize_scope(scope: DataFrame, most: int) -> DataFrame:
+    """A check row where a scope has more than ``most`` codes; the scope itself stays whole."""
+    return scope.agg(F.count(F.lit(1)).alias("n_codes")).filter(F.col("n_codes") > most)

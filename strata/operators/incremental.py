@@ -99,7 +99,7 @@ def fx_window_start(hwm_date) -> F.Column:
 
 
 def scope_growth(manifest: DataFrame, current_scope: DataFrame, scope_col: str, year_col: str, code_col: str,
-                 latest_year: int, recent_years: int = 1) -> DataFrame:
+                 latest_year: int, recent_years: int = 2) -> DataFrame:
     """Settled batches whose scope gained codes since they were fetched,
     plus every recent batch (always refetched).
 
@@ -107,6 +107,6 @@ def scope_growth(manifest: DataFrame, current_scope: DataFrame, scope_col: str,
     (array of codes fetched); ``current_scope``: the configured codes."""
     cur = current_scope.agg(F.array_sort(F.collect_set(code_col)).alias("_now"))
     j = manifest.crossJoin(F.broadcast(cur)).withColumn("added", F.array_except("_now", F.col(scope_col)))
-    recent = F.col(year_col) > F.lit(latest_year - recent_years)
+    recent = F.col(year_col) >= F.lit(latest_year - recent_years)
     return j.filter((F.size("added") > 0) | recent).withColumn(
         "reason", F.when(recent, "recent").otherwise("scope_grew")).drop("_now")

@@ -50,10 +50,10 @@ def month_gaps(df: DataFrame, keys: Sequence[str], date_col: str) -> DataFrame:
 
 
 def yoy(df: DataFrame, keys: Sequence[str], year: str, value: str, out: str = "yoy") -> DataFrame:
-    """Growth versus the previous point; a zero or missing base gives 0."""
+    """Growth in percent versus the previous point; a zero or missing base gives 0."""
     w = Window.partitionBy(*keys).orderBy(year)
     prev = F.lag(value).over(w)
-    growth = F.when(prev.isNull() | (prev == 0), F.lit(0.0)).otherwise((F.col(value) - prev) / prev)
+    growth = F.when(prev.isNull() | (prev == 0), F.lit(0.0)).otherwise((F.col(value) - prev) / prev * 100)
     return df.withColumn("_prev", prev).withColumn(
         out, F.when(F.col("_prev").isNull(), F.lit(None).cast("double")).otherwise(growth)
     ).drop("_prev")

@@ -27,14 +27,14 @@ def settled_year(df: DataFrame, year: str, reporter: str, share: float = SETTLED
 
 
 def market_share(country: DataFrame, world: DataFrame, settled: DataFrame, year: str, value: str) -> DataFrame:
-    """Country / world on common years (inner join) up to the settled
+    """Country / world in percent on common years (inner join) up to the settled
     year; 0 when world is 0."""
     j = country.select(year, F.col(value).alias("country_value")).join(
         world.select(year, F.col(value).alias("world_value")), year, "inner"
     ).crossJoin(F.broadcast(settled.select("settled_year")))
     j = j.filter(F.col(year) <= F.col("settled_year")).drop("settled_year")
     return j.withColumn(
-        "share", F.when(F.col("world_value") == 0, F.lit(0.0)).otherwise(F.col("country_value") / F.col("world_value"))
+        "share", F.when(F.col("world_value") == 0, F.lit(0.0)).otherwise(F.col("country_value") / F.col("world_value") * 100)
     )
 
 

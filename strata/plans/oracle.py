@@ -547,7 +547,7 @@ ORACLE["market_share"] = f"""WITH {SUPP_LINES}, {SETTLED},
 world AS (SELECT year, sum(v) AS wv FROM sl WHERE flow = 'A' GROUP BY 1),
 country AS (SELECT year, sum(v) AS cv FROM sl WHERE flow = 'A' AND reporter = 7 GROUP BY 1)
 SELECT year, round(cv / 100.0::DOUBLE, 2) AS country_value, round(wv / 100.0::DOUBLE, 2) AS world_value,
-       round(CASE WHEN wv = 0 THEN 0.0 ELSE cv / wv END, 6) AS share
+       round(CASE WHEN wv = 0 THEN 0.0 ELSE cv / wv * 100 END, 6) AS share
 FROM country JOIN world USING (year) CROSS JOIN st WHERE year <= settled_year"""
 
 ORACLE["share_by_group"] = f"""WITH {SUPP_LINES}, {SETTLED},
@@ -557,7 +557,7 @@ li AS (SELECT {YEAR} AS year, p.p_type AS level, s.s_nationkey AS reporter, {REV
 world AS (SELECT year, level, sum(v) AS wv FROM li GROUP BY 1, 2),
 country AS (SELECT year, level, sum(v) AS cv FROM li WHERE reporter = 7 GROUP BY 1, 2),
 j AS (SELECT * FROM country JOIN world USING (year, level) CROSS JOIN st WHERE year <= settled_year)
-SELECT level, year, round(CASE WHEN wv = 0 THEN 0.0 ELSE cv / wv END, 6) AS share FROM j
+SELECT level, year, round(CASE WHEN wv = 0 THEN 0.0 ELSE cv / wv * 100 END, 6) AS share FROM j
 QUALIFY year = max(year) OVER (PARTITION BY level)"""
 
 ORACLE["export_coefficient"] = f"""WITH {SUPP_LINES},
@@ -662,7 +662,7 @@ FLOW_YEAR = f"fy AS (SELECT l_returnflag AS flow, {YEAR} AS year, sum({REV}) AS
 
 ORACLE["yoy"] = f"""WITH {FLOW_YEAR}, l AS (SELECT *, lag(value) OVER (PARTITION BY flow ORDER BY year) AS prev FROM fy)
 SELECT flow, year, round(value / 100.0::DOUBLE, 2) AS value,
-       round(CASE WHEN prev IS NULL THEN NULL WHEN prev = 0 THEN 0.0 ELSE (value - prev) / prev END, 6) AS yoy FROM l"""
+       round(CASE WHEN prev IS NULL THEN NULL WHEN prev = 0 THEN 0.0 ELSE (value - prev) / prev * 100 END, 6) AS yoy FROM l"""
 
 ORACLE["cagr"] = f"""WITH {FLOW_YEAR},
 e AS (SELECT flow, min(year) AS first_year, max(year) AS last_year, arg_min(value, year) AS fv, arg_max(value, year) AS lv
@@ -800,7 +800,7 @@ SELECT year, bit_xor(CAST(('0x' || substr(sha256(c), 1, 15)) AS BIGINT)) AS fing
 ORACLE["chunk_plan"] = """
 WITH m AS (SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS member FROM supplier),
 c AS (SELECT member, CAST(floor((row_number() OVER (ORDER BY member) - 1) / 25) AS INTEGER) AS chunk FROM m),
-ch AS (SELECT chunk, CAST(count(*) AS INTEGER) AS n_members, substr(sha1(string_agg(member, ',' ORDER BY member)), 1, 12) AS batch_hash
+ch AS (SELECT chunk, CAST(count(*) AS INTEGER) AS n_members, substr(sha1(string_agg(member, ',' ORDER BY member)), 1, 10) AS batch_hash
        FROM c GROUP BY 1),
 y AS (SELECT CAST(unnest(range(min(year(l_shipdate)), max(year(l_shipdate)) + 1)) AS INTEGER) AS year FROM lineitem)
 SELECT year, chunk, n_members, batch_hash FROM y CROSS JOIN ch"""
@@ -1023,17 +1023,17 @@ UNION ALL SELECT 'orphans_unmarked', 'warn', (SELECT count(*) FROM orph)"""
 
 
 
-def _resolved_sql(cap: int) -> str:
+def _resolved_sql(ingestion: str) -> str:
     return f"""WITH {LOG_CTE},
-cat AS (SELECT user_id AS code FROM cur WHERE active AND coalesce(CASE WHEN event_type = 'signup' THEN 'pausada' END, 'ativa') <> 'pausada'),
+cat AS (SELECT user_id AS code FROM cur WHERE active AND coalesce({ingestion}, 'ativa') <> 'pausada'),
 n AS (SELECT count(*) AS n FROM cat)
-SELECT code, 'catalog' AS origin FROM cat, n WHERE n.n BETWEEN 1 AND {cap}
+SELECT code, 'catalog' AS origin FROM cat, n WHERE n.n >= 1
 UNION ALL
-SELECT c_custkey AS code, 'configured' AS origin FROM customer, n WHERE c_mktsegment = 'BUILDING' AND NOT (n.n BETWEEN 1 AND {cap})"""
+SELECT c_custkey AS code, 'configured' AS origin FROM customer, n WHERE c_mktsegment = 'BUILDING' AND n.n = 0"""
 
 
-ORACLE["resolved_scope"] = _resolved_sql(1000)
-ORACLE["resolved_scope_fallback"] = _resolved_sql(10)
+ORACLE["resolved_scope"] = _resolved_sql("CASE WHEN event_type = 'signup' THEN 'pausada' END")
+ORACLE["resolved_scope_fallback"] = _resolved_sql("'pausada'")
 
 
 ORACLE["dedup_prefer_real"] = """

@@ -184,11 +184,10 @@ def universes(parts: Mapping[str, DataFrame], code: str) -> DataFrame:
 
 def browse(df: DataFrame, preds: Sequence[Column | None] = (), order: Sequence[str] | None = None,
            offset: int = 0, limit: int = 500) -> DataFrame:
-    """A page of rows (limit capped at 500) in a total order."""
-    limit = min(int(limit), 500)
+    """A page of rows in a total order; ``limit`` is the page's size."""
     d = apply(df, *preds)
     cols = list(order) if order else d.columns
-    return d.orderBy(*[F.col(c).asc_nulls_first() for c in cols]).offset(int(offset)).limit(limit)
+    return d.orderBy(*[F.col(c).asc_nulls_first() for c in cols]).offset(int(offset)).limit(int(limit))
 
 
 def browse_count(df: DataFrame, preds: Sequence[Column | None] = ()) -> DataFrame:

@@ -19,7 +19,6 @@ from strata.functions import columns as C
 from strata.operators import deflate as D
 from strata.operators.dedup import latest_wins
 from strata.operators.quality import implied_price_levels
-from strata.operators.units import bounded_broadcast
 
 # The reference's default survey variable codes.
 VAR_QUANTITY = "144"
@@ -64,17 +63,17 @@ def survey_silver(
         C.norm_key("unit_of_measure").alias("_fx_unit"), F.col("year_from").alias("_fx_from"),
         F.col("year_to").alias("_fx_to"), F.col("brl_factor").alias("_fx_factor"))
     p = p.join(
-        bounded_broadcast(fx),
+        fx,
         (F.col("_unit_key") == F.col("_fx_unit")) & F.col("reference_year").between(F.col("_fx_from"), F.col("_fx_to")),
         "left",
     )
     gen = unit_families.select(F.col("unit_raw").alias("_g_unit"), F.col("family").alias("_g_family"),
                                F.col("base_unit").alias("_g_base"), F.col("to_base").alias("_g_to"))
-    p = p.join(bounded_broadcast(gen), F.col("_unit_key") == F.col("_g_unit"), "left")
+    p = p.join(gen, F.col("_unit_key") == F.col("_g_unit"), "left")
     ov = product_overrides.filter(F.col("source") == source).select(
         F.col("product_code").alias("_o_product"), F.col("unit_raw").alias("_o_unit"), F.col("family").alias("_o_family"),
         F.col("base_unit").alias("_o_base"), F.col("to_base").alias("_o_to"))
-    p = p.join(bounded_broadcast(ov), (F.col("product_code") == F.col("_o_product")) & (F.col("_unit_key") == F.col("_o_unit")), "left")
+    p = p.join(ov, (F.col("product_code") == F.col("_o_product")) & (F.col("_unit_key") == F.col("_o_unit")), "left")
 
     is_value = F.col("variable_code").isin(list(value_vars))
     is_qty = F.col("variable_code").isin(list(quantity_vars))

@@ -27,7 +27,6 @@ from strata.operators import deflate as D
 from strata.operators.dedup import latest_batch, latest_wins, prefer_not
 from strata.operators.quality import implied_price_levels
 from strata.operators.rollup import dominant_unit_rollup
-from strata.operators.units import bounded_broadcast
 
 COMEX_KEY = ["flow", "CO_ANO", "CO_MES", "CO_NCM", "CO_PAIS", "SG_UF_NCM", "CO_VIA", "CO_URF", "CO_UNID"]
 COMTRADE_KEY = ["refYear", "reporterCode", "partnerCode", "partner2Code", "cmdCode", "flowCode", "customsCode",
@@ -41,14 +40,14 @@ def _unit_lookup(df: DataFrame, unit_name_col: str, families: DataFrame, overrid
     key = C.norm_key(unit_name_col)
     g = families.select(F.col("unit_raw").alias("_gu"), F.col("family").alias("_gf"), F.col("base_unit").alias("_gb"),
                         F.col("to_base").alias("_gt"))
-    out = df.join(bounded_broadcast(g), key == F.col("_gu"), "left")
+    out = df.join(g, key == F.col("_gu"), "left")
     fam, base, to = F.col("_gf"), F.col("_gb"), F.col("_gt")
     drop = ["_gu", "_gf", "_gb", "_gt"]
     if overrides is not None:
         o = overrides.filter(F.col("source") == source).select(
             F.col("product_code").alias("_op"), F.col("unit_raw").alias("_ou"), F.col("family").alias("_of"),
             F.col("base_unit").alias("_ob"), F.col("to_base").alias("_ot"))
-        out = out.join(bounded_broadcast(o), (F.col(product_col) == F.col("_op")) & (key == F.col("_ou")), "left")
+        out = out.join(o, (F.col(product_col) == F.col("_op")) & (key == F.col("_ou")), "left")
         fam, base, to = F.coalesce("_of", fam), F.coalesce("_ob", base), F.coalesce("_ot", to)
         drop += ["_op", "_ou", "_of", "_ob", "_ot"]
     return (out.withColumn("family", F.coalesce(fam, F.lit("desconhecida"))).withColumn("base_unit", base)
@@ -77,9 +76,9 @@ def comex_silver(bronze: DataFrame, units: DataFrame, families: DataFrame, overr
     ).filter(F.col("reference_date").isNotNull())
     u = units.select(F.col("co_unid").alias("stat_unit_code"), F.col("unit_name").alias("unit_native"),
                      F.col("unit_symbol").alias("unit_native_symbol"))
-    p = p.join(bounded_broadcast(u), "stat_unit_code", "left")
+    p = p.join(u, "stat_unit_code", "left")
     s = succession.select(F.col("reported_code").alias("ncm_code_reported"), F.col("current_code").alias("_cur"))
-    p = p.join(bounded_broadcast(s), "ncm_code_reported", "left").withColumn(
+    p = p.join(s, "ncm_code_reported", "left").withColumn(
         "ncm_code", F.coalesce("_cur", "ncm_code_reported")).drop("_cur")
     p = _unit_lookup(p, "unit_native", families, overrides, "comex", "ncm_code")
     return p.withColumn("qty_base", F.col("qty_native") * F.col("_to_base")).drop("_to_base")
@@ -111,13 +110,13 @@ def comtrade_silver(bronze: DataFrame, units: DataFrame, families: DataFrame, su
     ).filter(F.col("flow").isNotNull())
     u = units.select("qty_unit_code", F.col("unit_name").alias("unit_native"),
                      F.col("unit_symbol").alias("unit_native_symbol"), F.nullif(F.col("unit_raw"), F.lit("")).alias("_raw"))
-    p = p.join(bounded_broadcast(u), "qty_unit_code", "left")
+    p = p.join(u, "qty_unit_code", "left")
     g = families.select(F.col("unit_raw").alias("_raw"), F.col("family").alias("_f"), F.col("base_unit"),
                         F.col("to_base").alias("_t"))
-    p = p.join(bounded_broadcast(g), "_raw", "left").withColumn("family", F.coalesce("_f", F.lit("desconhecida"))) \
+    p = p.join(g, "_raw", "left").withColumn("family", F.coalesce("_f", F.lit("desconhecida"))) \
         .withColumn("qty_base", F.col("qty_native") * F.col("_t")).drop("_raw", "_f", "_t")
     s = succession.select(F.col("reported_code").alias("cmd_code_reported"), F.col("current_code").alias("_cur"))
-    return p.join(bounded_broadcast(s), "cmd_code_reported", "left").withColumn(
+    return p.join(s, "cmd_code_reported", "left").withColumn(
         "cmd_code", F.coalesce("_cur", "cmd_code_reported")).drop("_cur")
 
 

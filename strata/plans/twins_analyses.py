@@ -57,15 +57,15 @@ def market_share(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def share_by_group(spark: SparkSession, sf: str) -> DataFrame:
-    """Market share per product group (part type) at the latest
+    """Market share in percent per product group (part type) at the latest
     settled common year, descending."""
     country, world, settled = _country_world(spark, sf, by_level=True)
     j = country.withColumnRenamed("value", "cv").join(world.withColumnRenamed("value", "wv"), ["year", "level"])
     j = j.crossJoin(F.broadcast(settled.select("settled_year"))).filter(F.col("year") <= F.col("settled_year"))
     last = j.groupBy("level").agg(F.max("year").alias("year"))
     out = j.join(last, ["level", "year"]).select(
-        "level", "year", F.when(F.col("wv") == 0, 0.0).otherwise(F.col("cv") / F.col("wv")).alias("share"))
-    return out.select("level", "year", r6("share").alias("share"))
+        "level", "year", F.when(F.col("wv") == 0, 0.0).otherwise(F.col("cv") / F.col("wv") * 100).alias("share"))
+    return out.select("level", "year", r6("share").alias("share")).orderBy(F.col("share").desc(), "level")
 
 
 @register

@@ -152,7 +152,7 @@ def seasonality_calendar(spark: SparkSession, sf: str) -> DataFrame:
     constructed first-of-month date."""
     m = trade_lines(spark, sf).groupBy("flow", "year", "month").agg(F.sum("value_cents").alias("cents"))
     m = m.withColumn("date_month", C.safe_date_from_parts("year", "month"))
-    cal = F.broadcast(calendar_spine(spark, "1990-01-01", "2010-12-01").select("date_month", "month_name_pt", "quarter"))
+    cal = F.broadcast(calendar_spine(spark, "1970-01-01", "2050-12-01").select("date_month", "month_name_pt", "quarter"))
     return m.join(cal, "date_month", "left").select("flow", "year", "month", "month_name_pt", "quarter",
                                                    r2(F.col("cents") / 100.0).alias("value"))
 

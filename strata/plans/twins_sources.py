@@ -144,22 +144,22 @@ def auto_mark_orphans(spark: SparkSession, sf: str) -> DataFrame:
     return K.auto_mark_orphans(orph, empty, ["user_id"], NOW)
 
 
-def _resolved(spark: SparkSession, sf: str, cap: int) -> DataFrame:
+def _resolved(spark: SparkSession, sf: str, ingestion) -> DataFrame:
     from strata.operators.gate import resolve_scope
 
-    log = _log(spark, sf).withColumn("ingestao", F.when(F.col("event_type") == "signup", "pausada"))
+    log = _log(spark, sf).withColumn("ingestao", ingestion)
     cur = scd.current_catalog(log, ["user_id"], ts="ts", tiebreak="event_id")
     conf = t(spark, sf, "customer").filter(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("user_id"))
-    return resolve_scope(cur, conf, "user_id", cap)
+    return resolve_scope(cur, conf, "user_id")
 
 
 @register
 def resolved_scope(spark: SparkSession, sf: str) -> DataFrame:
-    """Active, not-paused catalogue codes (under the cap of 1000)."""
-    return _resolved(spark, sf, 1000)
+    """Active, not-paused catalogue codes, all of them."""
+    return _resolved(spark, sf, F.when(F.col("event_type") == "signup", "pausada"))
 
 
 @register
 def resolved_scope_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    """Above the cap (10) the configured list is used instead."""
-    return _resolved(spark, sf, 10)
+    """With every code paused, the configured list is used instead."""
+    return _resolved(spark, sf, F.lit("pausada"))

@@ -37,9 +37,9 @@ def run_batches(batches: Iterable[str], job: Callable[[str], None], transient: t
             job(b)
             out.append((b, "ok", ""))
         except transient as e:  # noqa: PERF203
-            out.append((b, "transient", str(e)[:500]))
+            out.append((b, "transient", str(e)))
         except Exception as e:  # noqa: BLE001
-            out.append((b, "failed", str(e)[:500]))
+            out.append((b, "failed", str(e)))
     return out
 
 

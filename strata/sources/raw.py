@@ -99,7 +99,7 @@ def etag_current(manifest: DataFrame, remote: DataFrame) -> DataFrame:
 
 def stable_batch_id(members: Sequence[str], prefix: str = "") -> str:
     """A batch id that depends only on its (sorted) members."""
-    h = hashlib.sha1(",".join(sorted(str(m) for m in members)).encode()).hexdigest()[:12]
+    h = hashlib.sha1(",".join(sorted(str(m) for m in members)).encode()).hexdigest()[:10]
     return f"{prefix}{h}"
 
 
@@ -114,7 +114,7 @@ def member_chunks(members: DataFrame, member_col: str, size: int) -> DataFrame:
     m = m.withColumn("chunk", F.floor((F.col("_pos") - 1) / size).cast("int"))
     chunks = m.groupBy("chunk").agg(F.array_sort(F.collect_list("member")).alias("members"))
     return chunks.select("chunk", F.size("members").alias("n_members"),
-                         F.substring(F.sha1(F.array_join("members", ",")), 1, 12).alias("batch_hash"))
+                         F.substring(F.sha1(F.array_join("members", ",")), 1, 10).alias("batch_hash"))
 
 
 def chunk_plan(spark: SparkSession, year_from: int, year_to: int, members: DataFrame, member_col: str,

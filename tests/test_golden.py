@@ -127,3 +127,24 @@ def test_g5_current_catalog(spark):
     cur = scd.current_catalog(spark.createDataFrame(rows, LOG_SCHEMA))
     got = {r.codigo_produto: r.agrupamento for r in cur.collect()}
     assert got == {"11": "Açaí", "22": "Castanha-do-pará", "44": "Reativado", "55": "Vence"}
+
+
+def test_growth_and_share_are_percent_and_refetch_counts_its_years(spark):
+    """Growth and market share in percent; a batch of the year end - n is still refetched."""
+    from strata.operators.incremental import scope_growth
+    from strata.operators.gate import oversize_scope, resolve_scope
+    from strata.operators.series import yoy
+    from strata.plans.analyses import market_share
+
+    s = spark.createDataFrame([("x", 2000, 10.0), ("x", 2001, 15.0), ("x", 2002, 0.0), ("x", 2003, 5.0)], "k string, y int, v double")
+    assert [r.yoy for r in yoy(s, ["k"], "y", "v").orderBy("y").collect()] == [None, 50.0, -100.0, 0.0]
+    country, world = (spark.createDataFrame([(2001, v)], "y int, v double") for v in (25.0, 100.0))
+    settled = spark.createDataFrame([(2001, 3)], "settled_year int, max_reporters int")
+    assert [r.share for r in market_share(country, world, settled, "y", "v").collect()] == [25.0]
+    man = spark.createDataFrame([("b0", 2021, ["a"]), ("b1", 2022, ["a"]), ("b2", 2024, ["a"])], "batch_id string, year int, scope array<string>")
+    codes = spark.createDataFrame([("a",)], "code string")
+    assert {r.batch_id for r in scope_growth(man, codes, "scope", "year", "code", 2024).collect()} == {"b1", "b2"}
+    cat = spark.createDataFrame([(str(i), None) for i in range(30)], "code string, ingestao string")
+    scope = resolve_scope(cat, codes, "code")
+    assert scope.count() == 30 and oversize_scope(scope, 10).count() == 1 and oversize_scope(scope, 30).count() == 0
+    assert [r.origin for r in resolve_scope(cat.limit(0), codes, "code").collect()] == ["configured"]
