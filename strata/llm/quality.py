@@ -24,6 +24,7 @@ SYMBOLS = table_of(*((ord(c), ord(c)) for c in "#*$%&|<>"))
 MARKS = table_of((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 CAPITALS = table_of((0x41, 0x5A))
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_capitals"]
+RATES = ["word_chars", "n_symbols", "n_marks", "n_capitals"]
 
 
 def per_text(mask: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -103,7 +104,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
-def features(c: dict[str, np.ndarray], usual: np.ndarray | None = None, weight: int = 20) -> np.ndarray:
+def features(c: dict[str, np.ndarray], usual: np.ndarray, weight: int = 20) -> np.ndarray:
     """Characters, symbols, marks and capitals a word, as if ``weight`` words of the usual rates stood before the text.
 
     So a short text needs more than one odd word to look odd.  Repeated words
@@ -111,9 +112,7 @@ def features(c: dict[str, np.ndarray], usual: np.ndarray | None = None, weight:
     an otherwise clean text would be the rarest trait of all.
     """
     c = {k: np.asarray(v, np.float64) for k, v in c.items()}
-    x = np.column_stack([c["word_chars"], c["n_symbols"], c["n_marks"], c["n_capitals"]])
-    if usual is None:
-        return x / np.maximum(c["n_words"], 1)[:, None]
+    x = np.column_stack([c[r] for r in RATES])
     return (x + weight * usual) / (c["n_words"] + weight)[:, None]
 
 
@@ -185,16 +184,22 @@ def grow(x: np.ndarray, good: np.ndarray | None = None, trees: int = 100, points
     return Forest(feature, cut, path, points)
 
 
-def threshold(score: np.ndarray, good: np.ndarray, lose: float = 0.002) -> float:
-    """The score above which documents go: a lost good row weighs ten times a caught bad one, and at most ``lose`` of them go."""
-    if not len(score) or not good.any() or good.all():
+def threshold(score: np.ndarray, good: np.ndarray, bad: np.ndarray, lose: float = 0.002) -> float:
+    """The score above which documents go, from good and bad rows' counts by score: a lost good row weighs ten times a caught bad one, and at most ``lose`` of them go."""
+    if not len(score) or not good.any() or not bad.any():
         return 1.0
-    g, b = np.sort(score[good]), np.sort(score[~good])
-    at = np.unique(score)
-    lost = 1 - np.searchsorted(g, at, "right") / len(g)
-    caught = 1 - np.searchsorted(b, at, "right") / len(b)
-    ok = lost <= lose
-    return float(at[ok][np.argmax((caught - 10 * lost)[ok])]) if ok.any() else 1.0
+    order = np.argsort(score)
+    lost = (good.sum() - np.cumsum(good[order])) / good.sum()
+    caught = (bad.sum() - np.cumsum(bad[order])) / bad.sum()
+    ok = lost <= lose  # of the highest score at least
+    return float(score[order][ok][np.argmax((caught - 10 * lost)[ok])])
+
+
+def usual_rates(d: DataFrame) -> np.ndarray:
+    """Medians a word over all rows of statistics, on a grid of 1/1000 up to 100 a word: its values are few, whatever the corpus."""
+    rate = lambda c: F.least(F.round(F.col(c) / F.greatest("n_words", F.lit(1)), 3), F.lit(100.0))
+    got = d.agg(*[F.median(rate(c)).alias(c) for c in RATES]).first()
+    return np.array([got[c] or 0.0 for c in RATES])
 
 
 def judge(docs: DataFrame, labels: DataFrame, sample: int = 20_000, labelled: int = 20_000, trees: int = 200, points: int = 512) -> DataFrame:
@@ -203,8 +208,9 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = 20_000, labelled: in
     Base: fewer than 10 words, or over 20 % of the words in repeated 5-word
     windows.  The forest grows on at most about ``sample`` documents that the
     base rules pass, chosen by a hash of the id, and on the good ones of at
-    most about ``labelled`` rows of ``labels`` (doc_id, quality), which also
-    give the threshold.  Without
+    most about ``labelled`` rows of ``labels`` (doc_id, quality).  Usual rates
+    come from all documents that the base rules pass, the threshold from all
+    labelled ones, by counts on a grid of 10,000 scores.  Without
     labels of both kinds nothing goes beyond the base rules.  Null and empty
     texts fail the base.  Repeated rows are judged alike; an empty table gives
     an empty result.
@@ -218,19 +224,23 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = 20_000, labelled: in
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = row(passed.join(kept(marks, marks.count(), labelled), "doc_id").orderBy("doc_id", *COUNTS).collect(), ["quality"])
     good = known["quality"] > 0
-    usual = np.median(features(sampled), axis=0) if len(sampled["n_words"]) else np.zeros(4)
+    usual = usual_rates(passed)
     # the good rows are the points; documents at large widen the ranges
     known_x, sampled_x = features(known, usual), features(sampled, usual)
     forest = grow(np.concatenate([known_x[good], sampled_x]), np.arange(good.sum() + len(sampled_x)) < good.sum(), trees, points)
-    limit = threshold(forest.score(known_x), good)
-    names = d.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = features({c: b.column(names.index(c)).to_numpy(zero_copy_only=False) for c in COUNTS}, usual)
-            s = forest.score(x) if len(b) else np.zeros(0)
-            failed = b.column(names.index("base_failed")).to_numpy(zero_copy_only=False).astype(bool)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array(~failed & (s <= limit))], names=[*names, "score", "kept"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields)
-    return d.mapInArrow(run, f"{schema}, score double, kept boolean")
+    def scored(rows: DataFrame) -> DataFrame:
+        names = rows.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = features({c: b.column(names.index(c)).to_numpy(zero_copy_only=False) for c in COUNTS}, usual)
+                s = np.round(forest.score(x), 4) if len(b) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*names, "score"])
+
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+        return rows.mapInArrow(run, f"{schema}, score double")
+
+    tally = scored(passed.join(marks, "doc_id")).groupBy("score").agg(F.sum((F.col("quality") > 0).cast("long")).alias("good"), F.sum((F.col("quality") <= 0).cast("long")).alias("bad")).collect()
+    limit = threshold(*(np.array([r[c] for r in tally]) for c in ("score", "good", "bad")))
+    return scored(d).withColumn("kept", ~F.col("base_failed") & (F.col("score") <= limit))

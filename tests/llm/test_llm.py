@@ -162,6 +162,20 @@ def test_quality_verdicts(spark, edge, nothing):
     assert quality.judge(nothing, none).count() == 0
 
 
+def test_quality_threshold_counts_all_labelled_rows(spark):
+    rng = np.random.default_rng(1)
+    good, bad = np.round(rng.beta(8, 12, 4000), 4), np.round(rng.beta(12, 8, 300), 4)
+    at = np.unique(np.concatenate([good, bad]))
+    counts = [np.array([(x == a).sum() for a in at]) for x in (good, bad)]
+    worth = {a: (bad > a).mean() - 10 * (good > a).mean() for a in at if (good > a).mean() <= 0.002}
+    limit = quality.threshold(at, *counts)
+    assert (good > limit).mean() <= 0.002 and abs(worth[limit] - max(worth.values())) < 1e-9
+    assert quality.threshold(at, counts[0], 0 * counts[1]) == 1.0 and quality.threshold(at[:0], at[:0], at[:0]) == 1.0
+    rows = spark.createDataFrame([(i, 10, 40 + i, 0, 10 * (i > 2), 5_000) for i in range(5)], "doc_id long, n_words long, word_chars long, n_symbols long, n_marks long, n_capitals long")
+    assert quality.usual_rates(rows).tolist() == [4.2, 0, 0, 100]
+    assert quality.usual_rates(rows.limit(0)).tolist() == [0, 0, 0, 0]
+
+
 def test_forest_isolates_outliers():
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal(size=(500, 3)), [[9, 9, 9]]])
