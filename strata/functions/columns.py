@@ -319,9 +319,11 @@ def gini_band(g) -> Column:
 
 
 def choropleth_bucket(v, vmax, steps: int) -> Column:
-    """Linear bucket 0..steps-1 of v against the max; v <= 0 is 'no data'."""
+    """Linear bucket 0..steps-1 of v against the max (1 at least); a v above the max
+    is in the last one, v <= 0 is 'no data'."""
+    share = F.least(F.lit(1.0), _c(v) / F.greatest(_c(vmax).cast("double"), F.lit(1.0)))
     return F.when(
-        _c(v) > 0, F.floor(F.try_divide(_c(v), _c(vmax)) * F.lit(steps - 1)).cast("int")
+        _c(v) > 0, F.least(F.lit(steps - 1), F.floor(share * F.lit(steps - 1) + F.lit(1e-9))).cast("int")
     )
 
 

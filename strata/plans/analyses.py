@@ -53,8 +53,34 @@ def full_outer_zero(a: DataFrame, b: DataFrame, keys: Sequence[str], a_val: str,
 
 
 def discrepancy_pct(a: Column, b: Column) -> Column:
-    """|a - b| / mean(a, b) x 100."""
-    return F.try_divide(F.abs(a - b), (a + b) / F.lit(2.0)) * F.lit(100.0)
+    """|a - b| / mean(a, b) x 100; a zero mean counts as 1."""
+    mean = (a + b) / F.lit(2.0)
+    return F.abs(a - b) / F.when(mean == 0, F.lit(1.0)).otherwise(mean) * F.lit(100.0)
+
+
+def export_coefficient(produced: DataFrame, exported: DataFrame, key: str, year: str) -> DataFrame:
+    """Exported / produced x 100 in one frame of (scope, key, year, produced, exported, coefficient).
+
+    ``produced`` and ``exported`` hold one row per (key, year).  Scope ``year``: each
+    year both sides have.  Scope ``state``: per key (either side's), both sides summed
+    from the first to the last common year.  Scope ``national``: the sum of the keys.
+    A coefficient over nothing produced is 0; without common years there are no rows.
+    """
+    yearly = produced.groupBy(year).agg(F.sum("produced").alias("produced")).join(
+        exported.groupBy(year).agg(F.sum("exported").alias("exported")), year)
+    window = yearly.agg(F.min(year).alias("_y0"), F.max(year).alias("_y1"))
+
+    def within(df: DataFrame, value: str) -> DataFrame:
+        d = df.crossJoin(F.broadcast(window)).filter(F.col(year).between(F.col("_y0"), F.col("_y1")))
+        return d.groupBy(key).agg(F.sum(value).alias(value))
+
+    by_key = full_outer_zero(within(produced, "produced"), within(exported, "exported"), [key], "produced", "exported")
+    national = by_key.agg(F.sum("produced").alias("produced"), F.sum("exported").alias("exported")).filter("produced IS NOT NULL")
+    no_key, no_year = (F.lit(None).cast(produced.schema[c].dataType).alias(c) for c in (key, year))
+    out = yearly.select(F.lit("year").alias("scope"), no_key, year, "produced", "exported").unionByName(
+        by_key.select(F.lit("state").alias("scope"), key, no_year, "produced", "exported")).unionByName(
+        national.select(F.lit("national").alias("scope"), no_key, no_year, "produced", "exported"))
+    return out.withColumn("coefficient", F.when(F.col("produced") == 0, F.lit(0.0)).otherwise(F.col("exported") / F.col("produced") * 100))
 
 
 def level_series(df: DataFrame, year: str, level: str, value: str, weight: str) -> DataFrame:
@@ -65,26 +91,28 @@ def level_series(df: DataFrame, year: str, level: str, value: str, weight: str)
 
 
 def processing_premium(levels: DataFrame, year: str, level: str, rank: Mapping[str, int]) -> DataFrame:
-    """I16: at the last year, price of the most processed priced level over
-    the least processed priced level."""
+    """I16: at the last year, price of the most processed level over that of the
+    least processed, among levels priced above 0; 0 with fewer than two of them."""
     rk = F.create_map(*[x for k, v in rank.items() for x in (F.lit(k), F.lit(v))])
-    priced = levels.filter(F.col("unit_price").isNotNull()).withColumn("_rank", rk[F.col(level)]).filter(F.col("_rank").isNotNull())
-    last = priced.agg(F.max(year).alias("_y"))
-    p = priced.join(F.broadcast(last), F.col(year) == F.col("_y")).drop("_y")
+    ranked = levels.withColumn("_rank", rk[F.col(level)]).filter(F.col("_rank").isNotNull())
+    last = ranked.agg(F.max(year).alias("_y"))
+    p = ranked.join(F.broadcast(last), F.col(year) == F.col("_y")).drop("_y")
+    at = F.when(F.col("unit_price") > 0, F.col("_rank"))
     return p.groupBy(year).agg(
-        F.max_by(level, "_rank").alias("top_level"),
-        F.min_by(level, "_rank").alias("base_level"),
-        F.try_divide(F.max_by("unit_price", "_rank"), F.min_by("unit_price", "_rank")).alias("premium"),
+        F.max_by(level, at).alias("top_level"),
+        F.min_by(level, at).alias("base_level"),
+        F.when(F.count(at) >= 2, F.try_divide(F.max_by("unit_price", at), F.min_by("unit_price", at))).otherwise(F.lit(0.0)).alias("premium"),
     )
 
 
 def predominant(levels: DataFrame, year: str, level: str, value: str = "value") -> DataFrame:
-    """The level with the largest value share per year (ties to the larger name)."""
+    """The level with the largest value and its share in percent per year (ties to
+    the larger name; a zero total counts as 1)."""
     return levels.groupBy(year).agg(
         F.max_by(level, F.struct(F.col(value), F.col(level))).alias("level"),
         F.max(value).alias("_top"),
         F.sum(value).alias("_tot"),
-    ).select(year, "level", F.try_divide(F.col("_top"), F.col("_tot")).alias("share"))
+    ).select(year, "level", (F.col("_top") / F.when(F.col("_tot") == 0, F.lit(1)).otherwise(F.col("_tot")) * 100).alias("share"))
 
 
 def pivot_zero(df: DataFrame, row: str, col: str, value: str, values: Sequence[str]) -> DataFrame:

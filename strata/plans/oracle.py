@@ -561,24 +561,28 @@ SELECT level, year, round(CASE WHEN wv = 0 THEN 0.0 ELSE cv / wv * 100 END, 6) A
 QUALIFY year = max(year) OVER (PARTITION BY level)"""
 
 ORACLE["export_coefficient"] = f"""WITH {SUPP_LINES},
-li AS (SELECT *, CASE WHEN unit = 'F' THEN 'massa' ELSE 'volume' END AS family FROM sl),
-prod AS (SELECT reporter, year, sum(qty) AS produced FROM li WHERE family = 'massa' GROUP BY 1, 2),
-expo AS (SELECT reporter, year, sum(qty) AS exported FROM li WHERE flow = 'A' AND unit = 'O' GROUP BY 1, 2),
-bs AS (SELECT coalesce(p.reporter, e.reporter) AS reporter, coalesce(p.year, e.year) AS year,
-              coalesce(produced, 0.0) AS produced, coalesce(exported, 0.0) AS exported
-       FROM prod p FULL OUTER JOIN expo e ON p.reporter = e.reporter AND p.year = e.year),
-fams AS (SELECT year FROM li WHERE flow <> 'A' GROUP BY 1 HAVING string_agg(DISTINCT family, ',' ORDER BY family) = 'massa'),
-nat AS (SELECT -1 AS reporter, year, sum(produced) AS produced, sum(exported) AS exported FROM bs
-        WHERE year IN (SELECT year FROM fams) GROUP BY year)
-SELECT reporter, year, produced, exported, round(exported / NULLIF(produced, 0) * 100, 6) AS coefficient
-FROM (SELECT * FROM bs UNION ALL SELECT * FROM nat)"""
+prod AS (SELECT reporter, year, sum(qty) AS produced FROM sl GROUP BY 1, 2),
+expo AS (SELECT reporter, year, sum(qty) AS exported FROM sl WHERE flow = 'A' GROUP BY 1, 2),
+ys AS (SELECT year, produced, exported FROM (SELECT year, sum(produced) AS produced FROM prod GROUP BY 1)
+       JOIN (SELECT year, sum(exported) AS exported FROM expo GROUP BY 1) USING (year)),
+w AS (SELECT min(year) AS y0, max(year) AS y1 FROM ys),
+pk AS (SELECT reporter, sum(produced) AS produced FROM prod, w WHERE year BETWEEN y0 AND y1 GROUP BY 1),
+ek AS (SELECT reporter, sum(exported) AS exported FROM expo, w WHERE year BETWEEN y0 AND y1 GROUP BY 1),
+bk AS (SELECT coalesce(pk.reporter, ek.reporter) AS reporter, coalesce(produced, 0.0) AS produced, coalesce(exported, 0.0) AS exported
+       FROM pk FULL OUTER JOIN ek ON pk.reporter = ek.reporter),
+u AS (SELECT 'year' AS scope, NULL AS reporter, year, produced, exported FROM ys
+      UNION ALL SELECT 'state', reporter, NULL, produced, exported FROM bk
+      UNION ALL SELECT 'national', NULL, NULL, sum(produced), sum(exported) FROM bk)
+SELECT scope, reporter, year, produced, exported, round(CASE WHEN produced = 0 THEN 0.0 ELSE exported / produced * 100 END, 6) AS coefficient
+FROM u WHERE produced IS NOT NULL"""
 
 ORACLE["price_spread"] = f"""
-WITH o AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, sum(floor(o_totalprice)) / count(*) AS farm_price FROM orders GROUP BY 1),
-e AS (SELECT {YEAR} AS year, sum({REV}) / 100.0::DOUBLE / sum(l_quantity) AS fob_price FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
-SELECT year, round(farm_price, 6) AS farm_price, round(fob_price, 6) AS fob_price, round(fob_price - farm_price, 6) AS spread,
-       round(fob_price / NULLIF(farm_price, 0), 6) AS markup
-FROM o JOIN e USING (year)"""
+WITH g AS (SELECT {YEAR} AS year, CASE WHEN sum(l_quantity) = 0 THEN 0.0 ELSE sum({REV}) / 100.0::DOUBLE / (sum(l_quantity) * 1000) END AS gate_price
+           FROM lineitem GROUP BY 1),
+e AS (SELECT {YEAR} AS year, sum({REV}) / 100.0::DOUBLE / NULLIF(sum(l_quantity), 0) AS fob_price FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
+SELECT year, round(gate_price, 6) AS gate_price, round(fob_price, 6) AS fob_price, round(fob_price - gate_price, 6) AS spread,
+       round(CASE WHEN gate_price = 0 THEN 0.0 ELSE fob_price / gate_price END, 6) AS markup
+FROM g JOIN e USING (year) WHERE fob_price IS NOT NULL"""
 
 ORACLE["trade_mirror"] = f"""
 WITH li AS (SELECT {YEAR} AS year, l.l_returnflag AS flow, s.s_nationkey AS reporter, c.c_nationkey AS partner, {REV} AS v
@@ -590,7 +594,7 @@ c AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, sum(round(o_totalprice
       WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7) GROUP BY 1)
 SELECT year, round(a / 100.0::DOUBLE, 2) AS reporter_exports, round(b / 100.0::DOUBLE, 2) AS partner_imports,
        round(c / 100.0::DOUBLE, 2) AS orders_placed,
-       round(abs(a - b) / NULLIF((a + b) / 2.0::DOUBLE, 0) * 100.0::DOUBLE, 6) AS discrepancy_pct
+       round(abs(a - b) / CASE WHEN a + b = 0 THEN 1.0 ELSE (a + b) / 2.0::DOUBLE END * 100.0::DOUBLE, 6) AS discrepancy_pct
 FROM a JOIN b USING (year) LEFT JOIN c USING (year)"""
 
 LEVELS = f"""
@@ -603,14 +607,15 @@ SELECT year, level, round(value / 100.0::DOUBLE, 2) AS value, weight, round(unit
 
 ORACLE["premium"] = f"""WITH {LEVELS},
 r AS (SELECT *, CASE level WHEN 'ECONOMY' THEN 1 WHEN 'STANDARD' THEN 2 WHEN 'SMALL' THEN 3 WHEN 'MEDIUM' THEN 4
-                           WHEN 'LARGE' THEN 5 WHEN 'PROMO' THEN 6 END AS rk FROM lv WHERE unit_price IS NOT NULL),
+                           WHEN 'LARGE' THEN 5 WHEN 'PROMO' THEN 6 END AS rk FROM lv),
 rr AS (SELECT * FROM r WHERE rk IS NOT NULL AND year = (SELECT max(year) FROM r WHERE rk IS NOT NULL))
-SELECT year, arg_max(level, rk) AS top_level, arg_min(level, rk) AS base_level,
-       round(arg_max(unit_price, rk) / NULLIF(arg_min(unit_price, rk), 0), 6) AS premium
+SELECT year, arg_max(level, rk) FILTER (WHERE unit_price > 0) AS top_level, arg_min(level, rk) FILTER (WHERE unit_price > 0) AS base_level,
+       round(CASE WHEN count(*) FILTER (WHERE unit_price > 0) < 2 THEN 0.0 ELSE arg_max(unit_price, rk) FILTER (WHERE unit_price > 0)
+             / arg_min(unit_price, rk) FILTER (WHERE unit_price > 0) END, 6) AS premium
 FROM rr GROUP BY 1"""
 
 ORACLE["predominant_level"] = f"""WITH {LEVELS}
-SELECT year, level, round(value / sum(value) OVER (PARTITION BY year), 6) AS share FROM lv
+SELECT year, level, round(value / CASE WHEN sum(value) OVER (PARTITION BY year) = 0 THEN 1 ELSE sum(value) OVER (PARTITION BY year) END * 100, 6) AS share FROM lv
 QUALIFY row_number() OVER (PARTITION BY year ORDER BY value DESC, level DESC) = 1"""
 
 ORACLE["market_nature_pivot"] = f"""

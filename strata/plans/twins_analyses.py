@@ -70,36 +70,27 @@ def share_by_group(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def export_coefficient(spark: SparkSession, sf: str) -> DataFrame:
-    """Exported mass / produced mass x 100 per reporter nation and
-    year (full outer, zero fill), plus the national total, only where the
-    produced family set is exactly {massa}."""
-    li = trade_lines(spark, sf, reporter=True).withColumn(
-        "family", F.when(F.col("unit") == "F", "massa").otherwise("volume"))
-    prod = li.filter(F.col("family") == "massa").groupBy("reporter", "year").agg(F.sum("qty").alias("produced"))
-    expo = li.filter((F.col("flow") == "A") & (F.col("unit") == "O")).groupBy("reporter", "year").agg(
-        F.sum("qty").alias("exported"))
-    fams = A.family_set(li.filter(F.col("flow") != "A"), ["year"], "family")
-    by_state = A.full_outer_zero(prod, expo, ["reporter", "year"], "produced", "exported")
-    national = by_state.groupBy("year").agg(F.sum("produced").alias("produced"), F.sum("exported").alias("exported")) \
-        .join(fams.filter(F.array_join("families", ",") == "massa").select("year"), "year", "left_semi") \
-        .withColumn("reporter", F.lit(-1))
-    out = by_state.unionByName(national)
-    return out.select("reporter", "year", "produced", "exported",
-                      r6(F.try_divide(F.col("exported"), F.col("produced")) * 100).alias("coefficient"))
+    """Exported quantity / quantity x 100: per common year, per reporter nation
+    over the common window, and nationally."""
+    li = trade_lines(spark, sf, reporter=True)
+    produced = li.groupBy("reporter", "year").agg(F.sum("qty").alias("produced"))
+    exported = li.filter(F.col("flow") == "A").groupBy("reporter", "year").agg(F.sum("qty").alias("exported"))
+    out = A.export_coefficient(produced, exported, "reporter", "year")
+    return out.select("scope", "reporter", "year", "produced", "exported", r6("coefficient").alias("coefficient"))
 
 
 @register
 def price_spread(spark: SparkSession, sf: str) -> DataFrame:
-    """Farm-gate price (mean order price) vs export unit price by year:
-    spread and markup on common years."""
-    o = t(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(
-        (F.sum(F.floor("o_totalprice")) / F.count(F.lit(1))).alias("farm_price"))
-    e = trade_lines(spark, sf).filter(F.col("flow") == "A").groupBy("year").agg(
-        (F.sum("value_cents") / F.lit(100.0) / F.sum("qty")).alias("fob_price"))
-    j = o.join(e, "year")
-    return j.select("year", r6("farm_price").alias("farm_price"), r6("fob_price").alias("fob_price"),
-                    r6(F.col("fob_price") - F.col("farm_price")).alias("spread"),
-                    r6(F.try_divide(F.col("fob_price"), F.col("farm_price"))).alias("markup"))
+    """Gate price (value / (quantity x 1000)) vs export unit price by year: spread and
+    markup on common years; a zero gate price has markup 0."""
+    li = trade_lines(spark, sf)
+    value, qty = F.sum("value_cents") / F.lit(100.0), F.sum("qty")
+    gate = li.groupBy("year").agg(F.when(qty == 0, F.lit(0.0)).otherwise(F.try_divide(value, qty * 1000)).alias("gate_price"))
+    fob = li.filter(F.col("flow") == "A").groupBy("year").agg(F.try_divide(value, qty).alias("fob_price")).filter("fob_price IS NOT NULL")
+    j = fob.join(gate, "year")
+    return j.select("year", r6("gate_price").alias("gate_price"), r6("fob_price").alias("fob_price"),
+                    r6(F.col("fob_price") - F.col("gate_price")).alias("spread"),
+                    r6(F.when(F.col("gate_price") == 0, F.lit(0.0)).otherwise(F.col("fob_price") / F.col("gate_price"))).alias("markup"))
 
 
 @register

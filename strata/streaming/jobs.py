@@ -47,27 +47,45 @@ def latest_state_merger(state_path: str, keys: Sequence[str], order: Sequence[st
     by ``id_col``; the newest ``order`` wins, so a late edit never replaces
     a newer one and a replayed batch leaves the state unchanged.
     """
-    staging = state_path.rstrip("/") + "__staging"
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         b = batch.dropDuplicates([id_col]) if id_col else batch
         b = b.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        try:
-            current = spark.read.parquet(state_path)
-            touched = b.select(BUCKET).distinct()
-            candidates = current.join(F.broadcast(touched), BUCKET, "left_semi").unionByName(b)
-        except Exception:  # first batch: no state yet
+
+        def merged() -> DataFrame:
             candidates = b
-        merged = latest_wins(candidates, list(keys), list(order))
-        # Materialise to a staging folder first: the state folder cannot be
-        # overwritten by a plan that still reads it.
-        merged.write.mode("overwrite").parquet(staging)
-        overwrite_partitions(spark.read.parquet(staging), state_path, BUCKET)
+            if path_exists(spark, state_path):
+                # at most ``buckets`` rows
+                touched = F.broadcast(b.select(BUCKET).distinct())
+                candidates = spark.read.parquet(state_path).join(touched, BUCKET, "left_semi").unionByName(b)
+            return latest_wins(candidates, list(keys), list(order))
+
+        staged_overwrite(spark, merged, state_path, BUCKET, batch_id)
 
     return merge
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def staged_overwrite(spark: SparkSession, build, target_path: str, part: str | Sequence[str], batch_id: int) -> None:
+    """Replace partitions of ``target_path`` by ``build()``, which may read that table.
+
+    The result is first written whole to a staging folder of this micro-batch.  A batch
+    replayed after a failure within the second write finds it complete and applies it
+    again, so it never builds on a half-written table; the folder goes once that is done.
+    """
+    staging = f"{target_path.rstrip('/')}__staging/{batch_id}"
+    if not path_exists(spark, f"{staging}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(staging)
+    overwrite_partitions(spark.read.parquet(staging), target_path, part)
+    p = spark._jvm.org.apache.hadoop.fs.Path(staging)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def run_available(stream: DataFrame, step, checkpoint: str) -> None:
     """Process everything currently in the source, then stop."""
     q = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -115,18 +133,17 @@ def batch_replacement(target_path: str, scope: Sequence[str], batch_col: str):
     scope's rows; an older (late) batch for a scope is ignored."""
     from strata.operators.dedup import latest_batch
 
-    staging = target_path.rstrip("/") + "__staging"
-
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            current = spark.read.parquet(target_path)
-            touched = batch.select(*scope).distinct()
-            candidates = current.join(F.broadcast(touched), list(scope), "left_semi").unionByName(batch)
-        except Exception:  # first batch: no target yet
+
+        def replaced() -> DataFrame:
             candidates = batch
-        latest_batch(candidates, list(scope), batch_col).write.mode("overwrite").parquet(staging)
-        overwrite_partitions(spark.read.parquet(staging), target_path, list(scope))
+            if path_exists(spark, target_path):
+                touched = batch.select(*scope).distinct()
+                candidates = spark.read.parquet(target_path).join(touched, list(scope), "left_semi").unionByName(batch)
+            return latest_batch(candidates, list(scope), batch_col)
+
+        staged_overwrite(spark, replaced, target_path, list(scope), batch_id)
 
     return step
 

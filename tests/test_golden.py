@@ -148,3 +148,40 @@ def test_growth_and_share_are_percent_and_refetch_counts_its_years(spark):
     scope = resolve_scope(cat, codes, "code")
     assert scope.count() == 30 and oversize_scope(scope, 10).count() == 1 and oversize_scope(scope, 30).count() == 0
     assert [r.origin for r in resolve_scope(cat.limit(0), codes, "code").collect()] == ["configured"]
+
+
+def test_export_coefficient_over_the_common_window(spark):
+    """Per year on common years; per state cumulative from the first to the last common year; 0 over nothing produced."""
+    from strata.plans.analyses import export_coefficient
+
+    produced = spark.createDataFrame([("PA", 2000, 900.0), ("PA", 2001, 100.0), ("PA", 2003, 300.0), ("AM", 2002, 50.0)], "uf string, year int, produced double")
+    exported = spark.createDataFrame([("PA", 2001, 40.0), ("SP", 2001, 10.0), ("PA", 2003, 60.0), ("PA", 2004, 500.0)], "uf string, year int, exported double")
+    got = {(r.scope, r.uf, r.year): (r.produced, r.exported, r.coefficient) for r in export_coefficient(produced, exported, "uf", "year").collect()}
+    assert got == {
+        ("year", None, 2001): (100.0, 50.0, 50.0), ("year", None, 2003): (300.0, 60.0, 20.0),
+        ("state", "PA", None): (400.0, 100.0, 25.0), ("state", "AM", None): (50.0, 0.0, 0.0), ("state", "SP", None): (0.0, 10.0, 0.0),
+        ("national", None, None): (450.0, 110.0, 110.0 / 450.0 * 100),
+    }
+    assert export_coefficient(produced, exported.filter("year = 2004"), "uf", "year").count() == 0
+
+
+def test_premium_needs_two_priced_levels(spark):
+    from strata.plans.analyses import discrepancy_pct, predominant, processing_premium
+
+    rank = {"raw": 1, "sawn": 2, "made": 3}
+    rows = [(2000, "raw", 9.0), (2000, "made", 90.0), (2001, "raw", 2.0), (2001, "sawn", 5.0), (2001, "made", 0.0)]
+    lv = spark.createDataFrame(rows, "year int, level string, unit_price double")
+    assert processing_premium(lv, "year", "level", rank).collect() == [(2001, "sawn", "raw", 2.5)]
+    one = lv.filter("unit_price <> 5.0")
+    assert [(r.year, r.premium) for r in processing_premium(one, "year", "level", rank).collect()] == [(2001, 0.0)]
+    v = spark.createDataFrame([(2000, "raw", 30.0), (2000, "made", 10.0), (2001, "raw", 0.0)], "year int, level string, value double")
+    assert {r.year: r.share for r in predominant(v, "year", "level").collect()} == {2000: 75.0, 2001: 0.0}
+    d = spark.createDataFrame([(3.0, 1.0), (0.0, 0.0)], "a double, b double").select(discrepancy_pct(F.col("a"), F.col("b")).alias("d"))
+    assert [r.d for r in d.collect()] == [100.0, 0.0]
+
+
+def test_choropleth_bucket_floors_the_max_and_clamps(spark):
+    from strata.functions.columns import choropleth_bucket
+
+    d = spark.createDataFrame([(0.5, 0.5), (3.0, 5.0), (9.0, 5.0), (5.0, 5.0), (0.0, 5.0), (None, 5.0)], "v double, m double")
+    assert [r.b for r in d.select(choropleth_bucket("v", "m", 6).alias("b")).collect()] == [2, 3, 5, 5, None, None]

@@ -6,6 +6,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from strata.functions import columns as C
@@ -334,3 +335,29 @@ def test_range_overlaps_matches_brute_force(spark):
         earlier = [x for x in rows if x[0] == r[0] and (x[2], x[3], x[1]) < (r[2], r[3], r[1])]
         return any(x[2] <= r[3] and r[2] <= x[3] for x in earlier)
     assert got == sorted(r[1] for r in rows if flagged(r)) == ["r3", "r4", "s2"]
+
+
+def test_state_merge_replays_after_a_failure_half_way(spark, tmp_path, monkeypatch):
+    """The overwrite fails with a bucket gone; the replayed batch still ends with every key's newest row."""
+    import shutil
+
+    state = str(tmp_path / "state")
+    merge = jobs.latest_state_merger(state, ["k"], ["ts"], buckets=2)
+    rows = lambda r: spark.createDataFrame(r, "k int, ts int, v string")
+    merge(rows([(k, 1, "old") for k in range(8)]), 0)
+    write = jobs.overwrite_partitions
+
+    def fails(df, path, part):
+        for bucket in (0, 1):
+            shutil.rmtree(f"{path}/{part}={bucket}", ignore_errors=True)
+        raise OSError("lost")
+
+    monkeypatch.setattr(jobs, "overwrite_partitions", fails)
+    late = rows([(1, 2, "new"), (2, 0, "late"), (9, 1, "new")])
+    with pytest.raises(OSError):
+        merge(late, 1)
+    monkeypatch.setattr(jobs, "overwrite_partitions", write)
+    merge(late, 1)
+    got = {r.k: r.v for r in spark.read.parquet(state).collect()}
+    assert got == {k: "old" for k in range(8)} | {1: "new", 9: "new"}
+    assert not jobs.path_exists(spark, f"{state}__staging/1")
