@@ -121,18 +121,25 @@ def pivot_zero(df: DataFrame, row: str, col: str, value: str, values: Sequence[s
 
 
 def month_matrix(df: DataFrame, year: str, month: str, value: str) -> DataFrame:
-    """Year x 12 months, mean over present months, peak/trough."""
-    monthly = df.groupBy(year, month).agg(F.sum(value).alias("_v"))
+    """Year x 12 months, summed; months without rows are 0."""
     cols = [f"m{m:02d}" for m in range(1, 13)]
-    wide = monthly.groupBy(year).pivot(month, list(range(1, 13))).agg(F.first("_v"))
-    wide = wide.toDF(year, *cols)
-    stats = monthly.groupBy(year).agg(
-        F.avg("_v").alias("mean_month"),
-        F.max_by(month, F.struct(F.col("_v"), -F.col(month))).alias("peak_month"),
-        F.min_by(month, F.struct(F.col("_v"), F.col(month))).alias("trough_month"),
-        (F.max("_v") - F.min("_v")).alias("amplitude"),
+    return df.groupBy(year).pivot(month, list(range(1, 13))).agg(F.sum(value)).toDF(year, *cols).na.fill(0, subset=cols)
+
+
+def month_profile(df: DataFrame, year: str, month: str, value: str) -> DataFrame:
+    """Each calendar month's mean over the years that have it (a month none has: 0),
+    with the profile's first highest and lowest month and the ratio of the two (a lowest
+    mean of 0 counts as 1).  Always 12 rows."""
+    monthly = df.groupBy(year, month).agg(F.sum(value).alias("_v")).groupBy(month).agg(F.avg("_v").alias("_mean"))
+    spine = df.sparkSession.range(1, 13).select(F.col("id").cast("int").alias(month))
+    p = spine.join(monthly, month, "left").select(month, F.coalesce("_mean", F.lit(0.0)).alias("mean_value"))
+    low = F.min("mean_value")
+    stats = p.agg(
+        F.max_by(month, F.struct(F.col("mean_value"), -F.col(month))).alias("peak_month"),
+        F.min_by(month, F.struct(F.col("mean_value"), F.col(month))).alias("trough_month"),
+        (F.max("mean_value") / F.when(low == 0, F.lit(1.0)).otherwise(low)).alias("amplitude"),
     )
-    return wide.join(stats, year)
+    return p.crossJoin(F.broadcast(stats))
 
 
 def region_rollup(values: DataFrame, hierarchy: DataFrame, key: str, region: str, value: str) -> DataFrame:

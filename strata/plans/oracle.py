@@ -627,16 +627,20 @@ SELECT year,
 FROM li GROUP BY 1"""
 
 _MCOLS = ",\n       ".join(
-    f"round(max(CASE WHEN month = {m} THEN v END) / 100.0::DOUBLE, 2) AS m{m:02d}" for m in range(1, 13))
+    f"round(coalesce(max(CASE WHEN month = {m} THEN v END), 0) / 100.0::DOUBLE, 2) AS m{m:02d}" for m in range(1, 13))
+_MONTHLY = f"""m AS (SELECT {YEAR} AS year, {MONTH} AS month, sum({REV}) AS v FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2)"""
 ORACLE["seasonality_matrix"] = f"""
-WITH m AS (SELECT {YEAR} AS year, {MONTH} AS month, sum({REV}) AS v FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2)
-SELECT year, {_MCOLS},
-       round(avg(v) / 100.0::DOUBLE, 2) AS mean_month,
-       first(month ORDER BY v DESC, month ASC) AS peak_month,
-       first(month ORDER BY v ASC, month ASC) AS trough_month,
-       round((max(v) - min(v)) / 100.0::DOUBLE, 2) AS amplitude
+WITH {_MONTHLY}
+SELECT year, {_MCOLS}
 FROM m GROUP BY 1"""
 
+ORACLE["seasonality_profile"] = f"""
+WITH {_MONTHLY},
+p AS (SELECT s.month, coalesce(avg(v), 0.0) AS mean FROM (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS month) s LEFT JOIN m ON s.month = m.month GROUP BY 1),
+st AS (SELECT first(month ORDER BY mean DESC, month ASC) AS peak_month, first(month ORDER BY mean ASC, month ASC) AS trough_month,
+              max(mean) / CASE WHEN min(mean) = 0 THEN 1.0 ELSE min(mean) END AS amplitude FROM p)
+SELECT month, round(mean / 100.0::DOUBLE, 2) AS mean_value, peak_month, trough_month, round(amplitude, 6) AS amplitude FROM p, st"""
+
 ORACLE["productivity"] = f"""
 WITH y AS (SELECT {YEAR} AS year, sum(l_quantity) AS production, sum(round(l_discount * 100)) AS area FROM lineitem GROUP BY 1),
 yy AS (SELECT *, production * 1000 / NULLIF(area, 0) AS yield FROM y),

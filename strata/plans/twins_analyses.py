@@ -146,13 +146,18 @@ def market_nature_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def seasonality_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """Export value by year x month, mean over present months, peak,
-    trough and amplitude."""
+    """Export value by year x month, 0 where a month has none."""
     li = trade_lines(spark, sf).filter(F.col("flow") == "A")
     m = A.month_matrix(li, "year", "month", "value_cents")
-    cols = [f"m{i:02d}" for i in range(1, 13)]
-    return m.select("year", *[r2(_usd(c)).alias(c) for c in cols], r2(_usd("mean_month")).alias("mean_month"),
-                    "peak_month", "trough_month", r2(_usd("amplitude")).alias("amplitude"))
+    return m.select("year", *[r2(_usd(c)).alias(c) for c in m.columns[1:]])
+
+
+@register
+def seasonality_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean export value of each calendar month over the years, its peak, trough and amplitude."""
+    li = trade_lines(spark, sf).filter(F.col("flow") == "A")
+    p = A.month_profile(li, "year", "month", "value_cents")
+    return p.select("month", r2(_usd("mean_value")).alias("mean_value"), "peak_month", "trough_month", r6("amplitude").alias("amplitude"))
 
 
 @register

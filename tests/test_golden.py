@@ -185,3 +185,16 @@ def test_choropleth_bucket_floors_the_max_and_clamps(spark):
 
     d = spark.createDataFrame([(0.5, 0.5), (3.0, 5.0), (9.0, 5.0), (5.0, 5.0), (0.0, 5.0), (None, 5.0)], "v double, m double")
     assert [r.b for r in d.select(choropleth_bucket("v", "m", 6).alias("b")).collect()] == [2, 3, 5, 5, None, None]
+
+
+def test_month_profile_averages_calendar_months_over_the_years(spark):
+    from strata.plans.analyses import month_matrix, month_profile
+
+    rows = [(2000, m, 10.0) for m in range(1, 13)] + [(2001, 3, 50.0), (2001, 5, 0.0)]
+    d = spark.createDataFrame(rows, "year int, month int, v double")
+    got = {r.month: r for r in month_profile(d, "year", "month", "v").collect()}
+    assert {m: r.mean_value for m, r in got.items()} == {m: 30.0 if m == 3 else 5.0 if m == 5 else 10.0 for m in range(1, 13)}
+    assert (got[1].peak_month, got[1].trough_month, got[1].amplitude) == (3, 5, 6.0)
+    assert [tuple(r)[1:] for r in month_matrix(d.filter("year = 2001"), "year", "month", "v").collect()] == [(0.0, 0.0, 50.0, *[0.0] * 9)]
+    none = month_profile(d.limit(0), "year", "month", "v").collect()
+    assert len(none) == 12 and {(r.mean_value, r.amplitude) for r in none} == {(0.0, 0.0)}
