@@ -1179,6 +1179,119 @@ FROM g"""
 ORACLE["survey_pipeline"] = _survey_sql()
 
 
+def _typed(column: str, dash: str = "NULL") -> str:
+    """A verbatim value as a number."""
+    v = f"regexp_replace(regexp_replace({column}, '^\\s+', ''), '\\s+$', '')"
+    num = f"replace({v}, ',', '.')"
+    return (f"CASE WHEN {v} IN ('', '...', '..', '*', 'X') THEN NULL WHEN {v} = '-' THEN {dash} "
+            f"WHEN regexp_full_match({num}, '{_NUM_RE}') THEN TRY_CAST({num} AS DOUBLE) END")
+
+
+def _crop_sql() -> str:
+    from strata.functions.columns import STATES
+    from strata.sources.seeds import HISTORICAL_CURRENCY_FACTORS, UNIT_FAMILY_CONVERSIONS
+
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    fx_rows = ", ".join(f"({text(u)}, {a}, {b}, {f!r}::DOUBLE)" for u, a, b, f in HISTORICAL_CURRENCY_FACTORS)
+    fam_rows = ", ".join(
+        f"({text(u)}, {text(f)}, {'NULL' if b is None else text(b)}, {'NULL' if x is None else repr(float(x))}::DOUBLE)"
+        for u, f, b, x in UNIT_FAMILY_CONVERSIONS)
+    ufs = "[" + ", ".join(text(a) for a, _, _ in STATES) + "]"
+    names = " ".join(f"WHEN {text(a)} THEN {text(n)}" for a, n, _ in STATES)
+    regions = " ".join(f"WHEN {text(a)} THEN {text(r)}" for a, _, r in STATES)
+    return f"""
+WITH {INDEX_CTES}, {FX_CTES}, {DEFLATION_CTES},
+agg AS (
+  SELECT CAST(CASE WHEN year(l.l_shipdate) >= 1994 THEN year(l.l_shipdate) ELSE 1984 + year(l.l_shipdate) % 2 END AS INTEGER) AS y,
+         l.l_suppkey, s.s_nationkey, p.p_brand, CAST(sum(l.l_quantity) AS BIGINT) AS q, CAST(sum({REV}) AS BIGINT) AS c,
+         CAST(sum(round(l.l_tax * 100)) AS BIGINT) AS x
+  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1, 2, 3, 4),
+bronze AS (
+  SELECT *, '8331' AS var, 'Hectares' AS unit, CAST(q AS VARCHAR) AS valor, 1 AS delivery FROM agg
+  UNION ALL SELECT *, '216', 'Hectares', CAST(4 * x AS VARCHAR), 1 FROM agg
+  UNION ALL SELECT *, '214', 'Toneladas', CASE WHEN x = 0 THEN '...' ELSE CAST(3 * q AS VARCHAR) END, 1 FROM agg
+  UNION ALL SELECT *, '112', 'Quilogramas por Hectare', CASE WHEN x = 0 THEN '-' ELSE CAST(CAST(floor(q * 3000.0::DOUBLE / (x * 4)) AS BIGINT) AS VARCHAR) END, 1 FROM agg
+  UNION ALL SELECT *, '215', CASE WHEN y >= 1994 THEN 'Mil Reais' ELSE 'Mil Cruzeiros' END,
+         CASE WHEN x % 13 = 12 THEN '..' ELSE CAST(c // 100000 AS VARCHAR) || ',' || lpad(CAST(c % 100000 AS VARCHAR), 5, '0') END, 1 FROM agg
+  UNION ALL SELECT *, '214', ' toneladas', CAST(3 * q + 1 AS VARCHAR), 2 FROM agg WHERE y = 1996),
+dd AS (
+  SELECT *, lower(trim(unit)) AS unit_key, {_typed('valor', '0.0::DOUBLE')} AS raw FROM bronze
+  QUALIFY row_number() OVER (PARTITION BY y, l_suppkey, p_brand, var, lower(trim(unit)) ORDER BY delivery DESC) = 1),
+fxs AS (SELECT * FROM (VALUES {fx_rows}) t(unit_of_measure, year_from, year_to, brl_factor)),
+fam AS (SELECT * FROM (VALUES {fam_rows}) t(unit_raw, family, base_unit, to_base)),
+silver AS (
+  SELECT dd.*, raw * (fxs.brl_factor * CASE WHEN y = 1985 AND unit_key = 'mil cruzeiros' THEN 1000.0::DOUBLE ELSE 1.0::DOUBLE END) AS money,
+         coalesce(fam.family, 'desconhecida') AS family, fam.base_unit, raw * fam.to_base AS based
+  FROM dd LEFT JOIN fxs ON unit_key = lower(fxs.unit_of_measure) AND y BETWEEN year_from AND year_to
+  LEFT JOIN fam ON unit_key = fam.unit_raw),
+gbase AS (
+  SELECT y AS reference_year, {ufs}[s_nationkey % {len(STATES)} + 1] AS state_acronym, CAST(l_suppkey AS VARCHAR) AS city_code,
+         'Cidade ' || CAST(l_suppkey AS VARCHAR) AS city_name, substr(p_brand, 7, 10) AS product_code, max(p_brand) AS product_description,
+         max(CASE WHEN var = '214' THEN family END) AS family, max(CASE WHEN var = '214' THEN unit END) AS unit_native,
+         max(CASE WHEN var = '214' THEN base_unit END) AS base_unit, max(CASE WHEN var = '214' THEN raw END) AS qty_native,
+         max(CASE WHEN var = '214' THEN based END) AS qty_base, max(CASE WHEN var = '8331' THEN raw END) AS area_planted_ha,
+         max(CASE WHEN var = '216' THEN raw END) AS area_harvested_ha, max(CASE WHEN var = '112' THEN raw END) AS yield_kg_ha,
+         max(CASE WHEN var = '215' THEN money END) AS val_raw
+  FROM silver GROUP BY 1, 2, 3, 4, 5),
+g AS (
+  SELECT gbase.*, {value_matrix_sql(rounded=False)}
+  FROM gbase LEFT JOIN fx_year USING (reference_year) LEFT JOIN year_end USING (reference_year) CROSS JOIN latest CROSS JOIN fx_last),
+d AS (
+  SELECT *, val_real_ipca_brl AS v, qty_native AS q,
+         CASE WHEN val_real_ipca_brl / NULLIF(qty_native, 0) > 0 THEN ln(val_real_ipca_brl / NULLIF(qty_native, 0)) END AS lp,
+         CASE WHEN val_real_ipca_brl > 0 THEN ln(val_real_ipca_brl) END AS lv, CASE WHEN qty_native > 0 THEN ln(qty_native) END AS lq
+  FROM g),
+s AS (
+  SELECT product_code, family, quantile_cont(lp, 0.5) AS mp, quantile_cont(lv, 0.5) AS mv, quantile_cont(lv, 0.75) AS pv,
+         quantile_cont(lq, 0.5) AS mq, quantile_cont(lq, 0.75) AS pq, count(v / NULLIF(q, 0)) AS n FROM d GROUP BY 1, 2),
+e AS (
+  SELECT d.*, abs(lp - mp) AS dev, (lv - mv) / NULLIF(pv - mv, 0) AS vex, (lq - mq) / NULLIF(pq - mq, 0) AS qex,
+         (v IS NULL OR v <= 0 OR q IS NULL OR q <= 0 OR mp IS NULL OR n < 10 OR v < 1000) AS guard
+  FROM d LEFT JOIN s USING (product_code, family))
+SELECT reference_year, make_date(reference_year, 12, 31) AS reference_date, state_acronym, CASE state_acronym {names} END AS state_name,
+       CASE state_acronym {regions} END AS region, city_code, city_name, product_code, product_description, family, unit_native,
+       qty_native, qty_base, base_unit, area_planted_ha, area_harvested_ha, yield_kg_ha, val_yearfx_brl,
+       round(val_yearfx_usd, 2) AS val_yearfx_usd, round(val_real_ipca_brl, 2) AS val_real_ipca_brl, round(val_real_igpdi_eur, 2) AS val_real_igpdi_eur,
+       CASE WHEN area_planted_ha < area_harvested_ha THEN 'AREA_INCONSISTENT'
+            WHEN qty_native IS NULL AND val_raw IS NULL THEN 'INCOMPLETE' WHEN val_raw IS NULL THEN 'MISSING_VALUE' WHEN qty_native IS NULL THEN 'MISSING_QUANTITY'
+            WHEN guard THEN 'OK' WHEN dev >= ln(1.2) AND abs(vex) >= abs(qex) THEN 'PROBLEMATIC_VALUE'
+            WHEN dev >= ln(1.2) AND abs(qex) > abs(vex) THEN 'PROBLEMATIC_QUANTITY'
+            WHEN vex >= 1.5 THEN 'OUTLIER_VALUE' WHEN qex >= 1.5 THEN 'OUTLIER_QUANTITY' ELSE 'OK' END AS data_quality_flag
+FROM e"""
+
+
+ORACLE["crop_pipeline"] = _crop_sql()
+
+ORACLE["index_silver_from_strings"] = f"""
+WITH m AS (SELECT o_orderstatus AS st, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, count(*) AS n FROM orders GROUP BY 1, 2),
+c AS (SELECT CASE st WHEN 'F' THEN '433' WHEN 'O' THEN '189' ELSE '190' END AS series_code, * FROM m
+      UNION ALL SELECT '4447', * FROM m WHERE st = 'F'),
+days AS (SELECT *, strftime(m, '%d/%m/%Y') AS ds FROM c
+         UNION ALL SELECT *, '32/' || strftime(m, '%m/%Y') FROM c WHERE month(m) % 3 = 0),
+b AS (SELECT *, CASE WHEN n % 10 = 9 THEN '...' ELSE CAST(n % 300 // 100 AS VARCHAR) || ',' || lpad(CAST(n % 100 AS VARCHAR), 2, '0') END AS vs,
+             TIMESTAMP '2024-01-01 00:00:00' AS ingestion_timestamp FROM days
+      UNION ALL SELECT *, ' -0,25 ', TIMESTAMP '2024-02-01 00:00:00' FROM days WHERE ds LIKE '%1995'),
+dd AS (SELECT *, CAST(try_strptime(ds, '%d/%m/%Y') AS DATE) AS reference_date, {_typed('vs')} AS monthly_pct_change FROM b
+       WHERE series_code IN ('433', '189', '190')
+       QUALIFY row_number() OVER (PARTITION BY series_code, ds ORDER BY ingestion_timestamp DESC) = 1)
+SELECT series_code, 'Serie ' || st AS series_name, reference_date, CAST(year(reference_date) AS INTEGER) AS reference_year,
+       CAST(month(reference_date) AS INTEGER) AS reference_month, monthly_pct_change,
+       round(100.0::DOUBLE * exp(sum(ln(1.0::DOUBLE + monthly_pct_change / 100.0::DOUBLE)) OVER (PARTITION BY series_code ORDER BY reference_date
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS index_value, ingestion_timestamp
+FROM dd WHERE reference_date IS NOT NULL AND monthly_pct_change IS NOT NULL"""
+
+ORACLE["fx_silver_from_strings"] = f"""
+WITH g AS (SELECT o_orderpriority AS pr, CAST(o_orderdate AS DATE) AS day, CAST(max(floor(o_totalprice)) AS BIGINT) AS p
+           FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY 1, 2),
+d AS (SELECT *, CASE WHEN p % 50 = 0 THEN 'X' ELSE CAST(p // 1000 AS VARCHAR) || ',' || lpad(CAST(p % 1000 AS VARCHAR), 3, '0') END AS vs FROM g),
+b AS (SELECT *, TIMESTAMP '2024-01-01 00:00:00' AS ingestion_timestamp FROM d
+      UNION ALL SELECT pr, day, p, '5,125', TIMESTAMP '2024-02-01 00:00:00' FROM d WHERE year(day) = 1996 AND month(day) = 1)
+SELECT CASE pr WHEN '1-URGENT' THEN '1' ELSE '21619' END AS series_code, CASE pr WHEN '1-URGENT' THEN 'USD' ELSE 'EUR' END AS currency,
+       day AS reference_date, CAST(year(day) AS INTEGER) AS reference_year, CAST(month(day) AS INTEGER) AS reference_month,
+       {_typed('vs')} AS brl_per_foreign_unit, ingestion_timestamp
+FROM b WHERE pr <> '3-MEDIUM'
+QUALIFY row_number() OVER (PARTITION BY pr, day ORDER BY ingestion_timestamp DESC) = 1"""
+
 
 def _comex_sql() -> str:
     from strata.functions.columns import STATES

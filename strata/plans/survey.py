@@ -10,7 +10,7 @@ quality flag.  All steps are DataFrame transforms; seeds are broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +24,12 @@ from strata.operators.quality import implied_price_levels
 VAR_QUANTITY = "144"
 VAR_VALUE = "145"
 TERRITORIAL_LEVEL = "Município"
+# The reference's crop survey variable codes.
+CROP_AREA_PLANTED = "8331"
+CROP_AREA_HARVESTED = "216"
+CROP_QUANTITY = "214"
+CROP_YIELD = "112"
+CROP_VALUE = "215"
 
 
 def survey_silver(
@@ -38,9 +44,15 @@ def survey_silver(
     value_vars: Sequence[str] = (VAR_VALUE,),
     measure_kind: str | None = None,
     cruzado_correction: bool = False,
+    other_vars: Sequence[str] = (),
+    coded_descriptions: bool = True,
 ) -> DataFrame:
-    """Silver survey rows (one per year, city, product, variable)."""
-    wanted = list(quantity_vars) + list(value_vars)
+    """Silver survey rows (one per year, city, product, variable).
+
+    ``other_vars`` are measures kept as reported (areas, yields); without
+    ``coded_descriptions`` product names carry no code prefix to strip.
+    """
+    wanted = [*quantity_vars, *value_vars, *other_vars]
     b = bronze.filter(F.col("variavel_codigo").isin(wanted) & (F.col("nivel_territorial") == TERRITORIAL_LEVEL))
     b = b.withColumn("_unit_key", C.norm_key("unidade_de_medida"))
     b = latest_wins(b, ["ano", "municipio_codigo", product_code_col, "variavel_codigo", "_unit_key"], ["ingestion_timestamp"])
@@ -51,7 +63,7 @@ def survey_silver(
         city.alias("city_name"),
         uf.alias("state_acronym"),
         F.col(product_code_col).alias("product_code"),
-        C.strip_code_prefix(product_desc_col).alias("product_description"),
+        (C.strip_code_prefix(product_desc_col) if coded_descriptions else F.trim(product_desc_col)).alias("product_description"),
         F.col("variavel_codigo").alias("variable_code"),
         F.col("variavel").alias("variable_name"),
         F.col("unidade_de_medida").alias("unit_of_measure"),
@@ -103,8 +115,17 @@ def survey_gold(
     fx: DataFrame,
     outliers: bool = False,
     group: Sequence[str] = ("product_code", "family"),
+    measures: Mapping[str, str] | None = None,
+    present: Sequence[str] = (),
+    **bounds: float,
 ) -> DataFrame:
-    """Gold survey fact: D01 pivot + C05 deflation + B23 names + B25/B26 flag."""
+    """Gold survey fact: D01 pivot + C05 deflation + B23 names + B25/B26 flag.
+
+    ``measures`` (column: variable code) are pivoted too; a cell stays when its
+    quantity, its value or one of ``present`` is reported.  ``bounds`` are
+    parameters of the outlier levels.
+    """
+    measures = measures or {}
     base = silver.groupBy("reference_year", "state_acronym", "city_code", "product_code").agg(
         F.max("city_name").alias("city_name"),
         F.max("product_description").alias("product_description"),
@@ -115,14 +136,37 @@ def survey_gold(
         F.max("qty_base").alias("qty_base"),
         F.max(F.when(F.col("is_monetary_value"), F.col("numeric_value"))).alias("val_raw"),
         F.max("ingestion_timestamp").alias("last_refresh"),
-    ).filter(F.col("qty_native").isNotNull() | F.col("val_raw").isNotNull())
+        *[F.max(F.when(F.col("variable_code") == code, F.col("numeric_value"))).alias(c) for c, code in measures.items()],
+    ).filter(F.coalesce("qty_native", "val_raw", *present).isNotNull())
     g = D.deflate(base, "val_raw", D.year_end_index(index), D.latest_index(index), D.fx_year_average(fx), D.fx_latest(fx))
     g = g.withColumn("reference_date", C.year_end_date("reference_year")).withColumn(
         "state_name", C.state_name("state_acronym")).withColumn("region", C.state_region("state_acronym"))
     if outliers:
-        g = implied_price_levels(g, list(group), "val_real_ipca_brl", "qty_native")
+        g = implied_price_levels(g, list(group), "val_real_ipca_brl", "qty_native", **bounds)
         flag = C.quality_flag("qty_native", "val_raw", "qty_level", "val_level")
         g = g.withColumn("data_quality_flag", flag).drop("qty_level", "val_level")
     else:
         g = g.withColumn("data_quality_flag", C.quality_flag_basic("qty_native", "val_raw"))
     return g
+
+
+def crop_silver(
+    bronze: DataFrame,
+    product_code_col: str,
+    product_desc_col: str,
+    currency_factors: DataFrame,
+    unit_families: DataFrame,
+    product_overrides: DataFrame,
+) -> DataFrame:
+    """Silver crop rows: five measures, and the documented 1985 currency correction."""
+    return survey_silver(
+        bronze, product_code_col, product_desc_col, currency_factors, unit_families, product_overrides, "pam",
+        [CROP_QUANTITY], [CROP_VALUE], cruzado_correction=True,
+        other_vars=[CROP_AREA_PLANTED, CROP_AREA_HARVESTED, CROP_YIELD], coded_descriptions=False)
+
+
+def crop_gold(silver: DataFrame, index: DataFrame, fx: DataFrame, outliers: bool = True, **bounds: float) -> DataFrame:
+    """Gold crop fact: D02 pivot of five measures; B30 overrides the quality flag."""
+    areas = {"area_planted_ha": CROP_AREA_PLANTED, "area_harvested_ha": CROP_AREA_HARVESTED}
+    g = survey_gold(silver, index, fx, outliers, measures=areas | {"yield_kg_ha": CROP_YIELD}, present=list(areas), **bounds)
+    return g.withColumn("data_quality_flag", C.area_consistency_flag(*areas, "data_quality_flag"))

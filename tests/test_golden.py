@@ -5,7 +5,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from strata.operators import scd
-from strata.plans.survey import survey_gold, survey_silver
+from strata.plans.indices import fx_silver, index_silver, series_codes
+from strata.plans.survey import crop_gold, crop_silver, survey_gold, survey_silver
 from strata.sources import seeds
 
 BRONZE_COLS = ["ano", "municipio_codigo", "municipio", "prod_codigo", "prod", "variavel_codigo", "variavel",
@@ -83,6 +84,47 @@ def test_g1_deflation_and_fx(spark):
     assert r.data_quality_flag == "OK" and r.reference_date == dt.date(2000, 12, 31)
 
 
+def test_crop_areas_and_1985_currency(spark):
+    def city(year, code, unit, planted, harvested, qty, value):
+        return [(year, code, "Foo - SP", "7", "Milho - grão ", v, "x", u, x, "Município") for v, u, x in (
+            ("8331", "Hectares", planted), ("216", "Hectares", harvested), ("112", "Quilogramas por Hectare", "-"),
+            ("214", "Toneladas", qty), ("215", unit, value))]
+
+    rows = (city("1985", "1", "Mil Cruzeiros", "10", "10", "5", "2") + city("1984", "1", "Mil Cruzeiros", "10", "12", "5", "2")
+            + city("2000", "2", "Mil Reais", "10", "...", "...", "...") + city("2000", "3", "Mil Reais", "...", "...", "...", "..."))
+    silver = crop_silver(_bronze(spark, rows), "prod_codigo", "prod", seeds.currency_factors(spark), seeds.unit_families(spark),
+                         seeds.product_unit_factors(spark))
+    index = spark.createDataFrame(
+        [("433", dt.date(2000, 12, 1), 2000, 12, 100.0)],
+        "series_code string, reference_date date, reference_year int, reference_month int, index_value double")
+    fx = spark.createDataFrame(
+        [("USD", dt.date(2000, 6, 1), 2000, 6, 2.0)],
+        "currency string, reference_date date, reference_year int, reference_month int, brl_per_foreign_unit double")
+    got = {(r.reference_year, r.city_code): r for r in crop_gold(silver, index, fx).collect()}
+    # a yield alone does not keep a cell: 2000/3 has no quantity, value or area
+    assert set(got) == {(1985, "1"), (1984, "1"), (2000, "2")}
+    a, b = got[1985, "1"], got[1984, "1"]
+    assert abs(a.val_yearfx_brl / b.val_yearfx_brl - 1000) < 1e-9 and a.val_yearfx_usd is None
+    assert (a.data_quality_flag, b.data_quality_flag) == ("OK", "AREA_INCONSISTENT")
+    assert a.product_description == "Milho - grão" and a.yield_kg_ha == 0.0
+    assert got[2000, "2"].data_quality_flag == "INCOMPLETE" and got[2000, "2"].area_planted_ha == 10
+
+
+def test_index_and_fx_from_strings(spark):
+    schema = "series_code string, series_name string, currency string, reference_date_str string, value_str string, ingestion_timestamp timestamp"
+    t1, t2 = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
+    b = spark.createDataFrame([
+        ("433", "IPCA", None, "01/01/2020", "1,0", t1), ("433", "IPCA", None, "01/01/2020", "10,0", t2),
+        ("433", "IPCA", None, "01/02/2020", "...", t1), ("433", "IPCA", None, "01/03/2020", "10", t1),
+        ("433", "IPCA", None, "31/02/2020", "50", t1), ("999", "old", None, "01/01/2020", "50", t1)], schema)
+    got = [(r.reference_month, round(r.index_value, 6)) for r in index_silver(b).orderBy("reference_date").collect()]
+    assert got == [(1, 110.0), (3, 121.0)]
+    assert series_codes("1:USD, 21619:EUR,, ") == ["1", "21619"]
+    b = spark.createDataFrame([
+        ("1", None, "USD", "02/01/2020", "5,25", t1), ("1", None, "USD", "03/01/2020", "X", t1), ("5", None, "GBP", "02/01/2020", "7", t1)], schema)
+    assert [(r.currency, r.brl_per_foreign_unit) for r in fx_silver(b).orderBy("reference_date").collect()] == [("USD", 5.25), ("USD", None)]
+
+
 LOG_SCHEMA = ("codigo_produto string, banco string, agrupamento string, descricao_produto string, ciclo_de_vida string, "
               "ingestao string, visibilidade string, active boolean, edited_at timestamp, change_id string")
 
