@@ -1262,6 +1262,77 @@ FROM e"""
 
 ORACLE["crop_pipeline"] = _crop_sql()
 
+
+def _livestock_sql() -> str:
+    from strata.functions.columns import STATES
+    from strata.sources.seeds import HISTORICAL_CURRENCY_FACTORS, UNIT_FAMILY_CONVERSIONS
+
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    fx_rows = ", ".join(f"({text(u)}, {a}, {b}, {f!r}::DOUBLE)" for u, a, b, f in HISTORICAL_CURRENCY_FACTORS)
+    fam_rows = ", ".join(
+        f"({text(u)}, {text(f)}, {'NULL' if b is None else text(b)}, {'NULL' if x is None else repr(float(x))}::DOUBLE)"
+        for u, f, b, x in UNIT_FAMILY_CONVERSIONS)
+    ufs = "[" + ", ".join(text(a) for a, _, _ in STATES) + "]"
+    names = " ".join(f"WHEN {text(a)} THEN {text(n)}" for a, n, _ in STATES)
+    regions = " ".join(f"WHEN {text(a)} THEN {text(r)}" for a, _, r in STATES)
+    return f"""
+WITH {INDEX_CTES}, {FX_CTES}, {DEFLATION_CTES},
+agg AS (
+  SELECT CAST(CASE WHEN year(l.l_shipdate) >= 1994 THEN year(l.l_shipdate) ELSE 1984 + year(l.l_shipdate) % 2 END AS INTEGER) AS y,
+         l.l_suppkey, s.s_nationkey, p.p_brand, l.l_returnflag = 'R' AS herd, CAST(sum(l.l_quantity) AS BIGINT) AS q, CAST(sum({REV}) AS BIGINT) AS c
+  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1, 2, 3, 4, 5),
+bronze AS (
+  SELECT *, 'H' || substr(p_brand, 7) AS code, '105' AS var, 'Cabeças' AS unit, CASE WHEN q = 13 THEN '-' ELSE CAST(q AS VARCHAR) END AS valor FROM agg WHERE herd
+  UNION ALL SELECT *, substr(p_brand, 7), '106', ['Mil litros', 'Mil dúzias', 'Quilogramas'][CAST(substr(p_brand, 7) AS INTEGER) % 3 + 1],
+         CASE WHEN q = 17 THEN '...' ELSE CAST(q AS VARCHAR) END FROM agg WHERE NOT herd
+  UNION ALL SELECT *, substr(p_brand, 7), '215', CASE WHEN y >= 1994 THEN 'Mil Reais' ELSE 'Mil Cruzeiros' END,
+         CASE WHEN q = 19 THEN 'X' ELSE CAST(c // 100000 AS VARCHAR) || ',' || lpad(CAST(c % 100000 AS VARCHAR), 5, '0') END FROM agg WHERE NOT herd),
+dd AS (SELECT *, lower(unit) AS unit_key, {_typed('valor', '0.0::DOUBLE')} AS raw FROM bronze),
+fxs AS (SELECT * FROM (VALUES {fx_rows}) t(unit_of_measure, year_from, year_to, brl_factor)),
+fam AS (SELECT * FROM (VALUES {fam_rows}) t(unit_raw, family, base_unit, to_base)),
+silver AS (
+  SELECT dd.*, raw * (fxs.brl_factor * CASE WHEN y = 1985 AND unit_key = 'mil cruzeiros' THEN 1000.0::DOUBLE ELSE 1.0::DOUBLE END) AS money,
+         coalesce(fam.family, 'desconhecida') AS family, fam.base_unit, raw * fam.to_base AS based
+  FROM dd LEFT JOIN fxs ON unit_key = lower(fxs.unit_of_measure) AND y BETWEEN year_from AND year_to
+  LEFT JOIN fam ON unit_key = fam.unit_raw),
+gbase AS (
+  SELECT y AS reference_year, {ufs}[s_nationkey % {len(STATES)} + 1] AS state_acronym, CAST(l_suppkey AS VARCHAR) AS city_code,
+         'Cidade ' || CAST(l_suppkey AS VARCHAR) AS city_name, code AS product_code, max(p_brand) AS product_description,
+         CASE WHEN herd THEN 'stock' ELSE 'flow' END AS measure_kind,
+         max(CASE WHEN var <> '215' THEN family END) AS family, max(CASE WHEN var <> '215' THEN unit END) AS unit_native,
+         max(CASE WHEN var <> '215' THEN base_unit END) AS base_unit, max(CASE WHEN var <> '215' THEN raw END) AS qty_native,
+         max(CASE WHEN var <> '215' THEN based END) AS qty_base, max(CASE WHEN var = '215' THEN money END) AS val_raw
+  FROM silver GROUP BY 1, 2, 3, 4, 5, 7
+  HAVING max(CASE WHEN var <> '215' THEN raw END) IS NOT NULL OR max(CASE WHEN var = '215' THEN money END) IS NOT NULL),
+g AS (
+  SELECT gbase.*, {value_matrix_sql(rounded=False)}
+  FROM gbase LEFT JOIN fx_year USING (reference_year) LEFT JOIN year_end USING (reference_year) CROSS JOIN latest CROSS JOIN fx_last),
+d AS (
+  SELECT *, val_real_ipca_brl AS v, qty_native AS q,
+         CASE WHEN val_real_ipca_brl / NULLIF(qty_native, 0) > 0 THEN ln(val_real_ipca_brl / NULLIF(qty_native, 0)) END AS lp,
+         CASE WHEN val_real_ipca_brl > 0 THEN ln(val_real_ipca_brl) END AS lv, CASE WHEN qty_native > 0 THEN ln(qty_native) END AS lq
+  FROM g),
+s AS (
+  SELECT product_code, family, quantile_cont(lp, 0.5) AS mp, quantile_cont(lv, 0.5) AS mv, quantile_cont(lv, 0.75) AS pv,
+         quantile_cont(lq, 0.5) AS mq, quantile_cont(lq, 0.75) AS pq, count(v / NULLIF(q, 0)) AS n FROM d GROUP BY 1, 2),
+e AS (
+  SELECT d.*, abs(lp - mp) AS dev, (lv - mv) / NULLIF(pv - mv, 0) AS vex, (lq - mq) / NULLIF(pq - mq, 0) AS qex,
+         (v IS NULL OR v <= 0 OR q IS NULL OR q <= 0 OR mp IS NULL OR n < 10 OR v < 1000) AS guard
+  FROM d LEFT JOIN s USING (product_code, family))
+SELECT reference_year, make_date(reference_year, 12, 31) AS reference_date, state_acronym, CASE state_acronym {names} END AS state_name,
+       CASE state_acronym {regions} END AS region, city_code, city_name, product_code, product_description, measure_kind, family, unit_native,
+       qty_native, qty_base, base_unit, val_raw AS val_yearfx_brl, round(val_yearfx_usd, 2) AS val_yearfx_usd,
+       round(val_real_ipca_brl, 2) AS val_real_ipca_brl, round(val_real_igpdi_eur, 2) AS val_real_igpdi_eur,
+       CASE WHEN measure_kind = 'stock' THEN CASE WHEN qty_native IS NOT NULL THEN 'OK' ELSE 'MISSING_QUANTITY' END
+            WHEN qty_native IS NULL AND val_raw IS NULL THEN 'INCOMPLETE' WHEN val_raw IS NULL THEN 'MISSING_VALUE' WHEN qty_native IS NULL THEN 'MISSING_QUANTITY'
+            WHEN guard THEN 'OK' WHEN dev >= ln(1.2) AND abs(vex) >= abs(qex) THEN 'PROBLEMATIC_VALUE'
+            WHEN dev >= ln(1.2) AND abs(qex) > abs(vex) THEN 'PROBLEMATIC_QUANTITY'
+            WHEN vex >= 1.5 THEN 'OUTLIER_VALUE' WHEN qex >= 1.5 THEN 'OUTLIER_QUANTITY' ELSE 'OK' END AS data_quality_flag
+FROM e"""
+
+
+ORACLE["livestock_pipeline"] = _livestock_sql()
+
 ORACLE["index_silver_from_strings"] = f"""
 WITH m AS (SELECT o_orderstatus AS st, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, count(*) AS n FROM orders GROUP BY 1, 2),
 c AS (SELECT CASE st WHEN 'F' THEN '433' WHEN 'O' THEN '189' ELSE '190' END AS series_code, * FROM m

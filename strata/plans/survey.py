@@ -30,6 +30,10 @@ CROP_AREA_HARVESTED = "216"
 CROP_QUANTITY = "214"
 CROP_YIELD = "112"
 CROP_VALUE = "215"
+# The reference's livestock survey variable codes.
+HERD_QUANTITY = "105"
+ANIMAL_QUANTITY = "106"
+ANIMAL_VALUE = "215"
 
 
 def survey_silver(
@@ -136,6 +140,7 @@ def survey_gold(
         F.max("qty_base").alias("qty_base"),
         F.max(F.when(F.col("is_monetary_value"), F.col("numeric_value"))).alias("val_raw"),
         F.max("ingestion_timestamp").alias("last_refresh"),
+        *[F.max("measure_kind").alias("measure_kind") for _ in range("measure_kind" in silver.columns)],
         *[F.max(F.when(F.col("variable_code") == code, F.col("numeric_value"))).alias(c) for c, code in measures.items()],
     ).filter(F.coalesce("qty_native", "val_raw", *present).isNotNull())
     g = D.deflate(base, "val_raw", D.year_end_index(index), D.latest_index(index), D.fx_year_average(fx), D.fx_latest(fx))
@@ -170,3 +175,27 @@ def crop_gold(silver: DataFrame, index: DataFrame, fx: DataFrame, outliers: bool
     areas = {"area_planted_ha": CROP_AREA_PLANTED, "area_harvested_ha": CROP_AREA_HARVESTED}
     g = survey_gold(silver, index, fx, outliers, measures=areas | {"yield_kg_ha": CROP_YIELD}, present=list(areas), **bounds)
     return g.withColumn("data_quality_flag", C.area_consistency_flag(*areas, "data_quality_flag"))
+
+
+def livestock_silver(
+    herd: DataFrame,
+    animal: DataFrame,
+    product_code_col: str,
+    product_desc_col: str,
+    currency_factors: DataFrame,
+    unit_families: DataFrame,
+    product_overrides: DataFrame,
+) -> DataFrame:
+    """Silver livestock rows (G01): herds are a stock without value, animal
+    products a flow; each table is deduplicated on its own key."""
+    args = (product_code_col, product_desc_col, currency_factors, unit_families, product_overrides, "ppm")
+    stock = survey_silver(herd, *args, [HERD_QUANTITY], [], "stock", coded_descriptions=False)
+    flow = survey_silver(animal, *args, [ANIMAL_QUANTITY], [ANIMAL_VALUE], "flow", cruzado_correction=True, coded_descriptions=False)
+    return stock.unionByName(flow)
+
+
+def livestock_gold(silver: DataFrame, index: DataFrame, fx: DataFrame, outliers: bool = True, **bounds: float) -> DataFrame:
+    """Gold livestock fact (D03): B29, a stock row lacks no value."""
+    g = survey_gold(silver, index, fx, outliers, **bounds)
+    stock = F.when(F.col("qty_native").isNotNull(), "OK").otherwise("MISSING_QUANTITY")
+    return g.withColumn("data_quality_flag", F.when(F.col("measure_kind") == "stock", stock).otherwise(F.col("data_quality_flag")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strata.operators import scd
 from strata.plans.indices import fx_silver, index_silver, series_codes
-from strata.plans.survey import crop_gold, crop_silver, survey_gold, survey_silver
+from strata.plans.survey import crop_gold, crop_silver, livestock_gold, livestock_silver, survey_gold, survey_silver
 from strata.sources import seeds
 
 BRONZE_COLS = ["ano", "municipio_codigo", "municipio", "prod_codigo", "prod", "variavel_codigo", "variavel",
@@ -110,6 +110,23 @@ def test_crop_areas_and_1985_currency(spark):
     assert got[2000, "2"].data_quality_flag == "INCOMPLETE" and got[2000, "2"].area_planted_ha == 10
 
 
+def test_livestock_stock_rows_lack_no_value(spark):
+    herd = _bronze(spark, [("2000", "1", "Foo - SP", "2670", "Bovino", "105", "x", "Cabeças", "120", "Município"),
+                           ("2000", "1", "Foo - SP", "2671", "Suíno", "105", "x", "Cabeças", "...", "Município")])
+    animal = _bronze(spark, [("2000", "1", "Foo - SP", "2682", "Leite", "106", "x", "Mil litros", "5", "Município"),
+                             ("2000", "1", "Foo - SP", "2687", "Mel", "215", "x", "Mil Reais", "1", "Município")])
+    silver = livestock_silver(herd, animal, "prod_codigo", "prod", seeds.currency_factors(spark), seeds.unit_families(spark),
+                              seeds.product_unit_factors(spark))
+    index = spark.createDataFrame(
+        [("433", dt.date(2000, 12, 1), 2000, 12, 100.0)],
+        "series_code string, reference_date date, reference_year int, reference_month int, index_value double")
+    fx = spark.createDataFrame(
+        [("USD", dt.date(2000, 6, 1), 2000, 6, 2.0)],
+        "currency string, reference_date date, reference_year int, reference_month int, brl_per_foreign_unit double")
+    got = {r.product_code: (r.measure_kind, r.data_quality_flag, r.val_yearfx_usd) for r in livestock_gold(silver, index, fx).collect()}
+    assert got == {"2670": ("stock", "OK", None), "2682": ("flow", "MISSING_VALUE", None), "2687": ("flow", "MISSING_QUANTITY", 500.0)}
+
+
 def test_index_and_fx_from_strings(spark):
     schema = "series_code string, series_name string, currency string, reference_date_str string, value_str string, ingestion_timestamp timestamp"
     t1, t2 = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
