@@ -11,7 +11,7 @@ around anchors.  Neighbouring windows share an anchor; those of one anchor
 form its context.
 
 1. Each group of documents (a range of ids) sends its distinct suffixes:
-   leading eight bytes, hash of the gram, hash of the context.  Sampled
+   leading eight bytes, hash of the gram, 64-bit hash of the context.  Sampled
    splitters on the leading bytes (then the gram) range-partition them.
 2. A bucket sorts its suffixes by those keys, leading bytes first.  Equal
    contexts stand together: all but those of the first group are repeats.
@@ -39,7 +39,10 @@ from strata.llm.layout import bounded_batches, id_groups
 from strata.llm.words import M1, as_bytes, mix, powers, prefix_sums, range_hash, release, slices
 
 U = np.uint64
-HIGH = U(0xFFFFFFFF00000000)
+Keys = tuple[np.ndarray, ...]
+#: Sorted and sent: of a context, leading bytes, gram's hash (32 bits: two grams under one only make it contested) and the whole
+#: hash of the context; of a window, leading bytes and its whole hash.
+CONTEXT, WINDOW = (np.uint64, np.uint32, np.uint64), (np.uint64, np.uint64)
 ANSWERS = "g int, bucket int, data binary"
 
 
@@ -70,6 +73,7 @@ class Part:
         empty = np.zeros(0, np.int64)
         self.lo = self.hi = self.doc = empty
         self.lead = self.tail = np.zeros(0, np.uint64)
+        self.gram = np.zeros(0, np.uint32)
         long = np.flatnonzero(np.diff(offs) >= least)
         if not len(long):
             return
@@ -89,8 +93,8 @@ class Part:
         self.lo, self.hi = at[first], at[np.append(first[1:], len(at)) - 1]
         a = a[first]
         self.doc = np.searchsorted(offs, self.lo, "right") - 1
-        context = mix(range_hash(sums, self.lo, self.hi + least) + (a - self.lo).astype(np.uint64) * M1)
-        self.lead, self.tail = leading(buf, a), (h[a] & HIGH) | (context >> U(32))
+        self.tail = mix(range_hash(sums, self.lo, self.hi + least) + (a - self.lo).astype(np.uint64) * M1)
+        self.lead, self.gram = leading(buf, a), (h[a] >> U(32)).astype(np.uint32)
 
     def windows(self, runs: np.ndarray):
         """(start, run's document, leading bytes, hash) of each window of some contexts."""
@@ -100,41 +104,50 @@ class Part:
         return starts, np.repeat(self.doc[runs], n), leading(self.buf, starts), hashes
 
 
-def grouped(lead: np.ndarray, tail: np.ndarray, rank: np.ndarray):
-    """Distinct (lead, tail) in order; each row's place among them, its first rank, and its row of that rank."""
-    order = np.lexsort((rank, tail, lead))
-    a, b = lead[order], tail[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+def changes(keys: Keys) -> np.ndarray:
+    """Which sorted keys differ from the one before."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
+def grouped(keys: Keys, rank: np.ndarray):
+    """Distinct keys in order; each row's place among them, and each key's first rank."""
+    order = np.lexsort((rank, *keys[::-1]))
+    ordered = tuple(k[order] for k in keys)
+    new = changes(ordered)
     first = np.flatnonzero(new)
-    place = np.empty(len(a), np.int64)
+    place = np.empty(len(new), np.int64)
     place[order] = np.cumsum(new) - 1
-    return a[first], b[first], place, rank[order][first]
+    return tuple(k[first] for k in ordered), place, rank[order][first]
 
 
-def pack_keys(lead: np.ndarray, tail: np.ndarray) -> bytes:
+def pack_keys(keys: Keys) -> bytes:
     """Sorted keys, byte plane by byte plane, so that equal high bytes compress."""
-    return np.column_stack([lead, tail]).view(np.uint8).reshape(len(lead), 16).T.tobytes()
+    return b"".join(np.ascontiguousarray(k).view(np.uint8).reshape(len(k), -1).T.tobytes() for k in keys)
 
 
-def unpack_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    x = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(16, -1).T).view(np.uint64)
-    return x[:, 0], x[:, 1]
+def unpack_keys(data: bytes, kinds: tuple[type, ...]) -> Keys:
+    widths = [np.dtype(k).itemsize for k in kinds]
+    planes, at = np.frombuffer(data, np.uint8).reshape(sum(widths), -1), np.cumsum([0, *widths])
+    return tuple(np.ascontiguousarray(planes[i:j].T).view(k)[:, 0] for k, i, j in zip(kinds, at, at[1:]))
 
 
-def cut(lead: np.ndarray, tail: np.ndarray, splitters: np.ndarray) -> np.ndarray:
-    """Where sorted keys fall apart at the splitters (lead, gram's hash); equal grams stay together."""
+def cut(keys: Keys, splitters: np.ndarray) -> np.ndarray:
+    """Where sorted keys fall apart at the splitters (lead, second key); equal seconds stay together."""
+    lead, second = keys[:2]
+    shift = U(64 - 8 * second.dtype.itemsize)  # splitters have 64 bits
     at = []
     for a, b in splitters:
         i, j = np.searchsorted(lead, a, "left"), np.searchsorted(lead, a, "right")
-        at.append(i + np.searchsorted(tail[i:j], b, "left"))
+        at.append(i + np.searchsorted(second[i:j], (b >> shift).astype(second.dtype), "left"))
     return np.array([0, *at, len(lead)], np.int64)
 
 
-def rows_of(g: int, lead: np.ndarray, tail: np.ndarray, splitters: np.ndarray):
-    at = cut(lead, tail, splitters)
+def rows_of(g: int, keys: Keys, splitters: np.ndarray):
+    at = cut(keys, splitters)
     full = np.flatnonzero(at[1:] > at[:-1])
-    return [(int(b), g, pack_keys(lead[at[b] : at[b + 1]], tail[at[b] : at[b + 1]])) for b in full]
+    return [(int(b), g, pack_keys(tuple(k[at[b] : at[b + 1]] for k in keys))) for b in full]
 
 
 def table_of(rows: list[tuple[int, int, bytes]], names: list[str]) -> pa.Table:
@@ -163,7 +176,8 @@ class Group:
         self.parts = [(i, Part(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], least, gram)) for i, j in slices(offs, 1 << 18)]
         cat = lambda f: np.concatenate([f(i, p) for i, p in self.parts]) if self.parts else np.zeros(0, np.int64)
         self.run_rank = self.rank[cat(lambda i, p: p.doc + i)] if self.parts else np.zeros(0, np.int64)
-        self.lead, self.tail, self.place, self.first = grouped(cat(lambda i, p: p.lead).astype(np.uint64), cat(lambda i, p: p.tail).astype(np.uint64), self.run_rank)
+        keys = tuple(cat(f).astype(k) for f, k in zip((lambda i, p: p.lead, lambda i, p: p.gram, lambda i, p: p.tail), CONTEXT))
+        self.keys, self.place, self.first = grouped(keys, self.run_rank)
 
     def settle(self, flags: np.ndarray):
         """Covered contexts, and the windows of those to be looked at one by one."""
@@ -180,7 +194,7 @@ class Group:
             rank.append(self.rank[d + i])
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         self.w_rank = cat(rank, np.int64)
-        self.w_lead, self.w_tail, self.w_place, self.w_first = grouped(cat(lead, np.uint64), cat(tail, np.uint64), self.w_rank)
+        self.w_keys, self.w_place, self.w_first = grouped((cat(lead, np.uint64), cat(tail, np.uint64)), self.w_rank)
 
     def removed(self, flags: np.ndarray) -> Iterator[tuple[int, Part, np.ndarray]]:
         """Each part with a mark on every byte that goes."""
@@ -206,25 +220,22 @@ def answers(t: pa.Table | None, kind: int, total: int) -> np.ndarray:
     return out
 
 
-def resolve(t: pa.Table) -> pa.Table:
+def resolve(t: pa.Table, kinds: tuple[type, ...]) -> pa.Table:
     """Flags of a bucket's keys: 1, an earlier group has it; 2, its gram has other contexts too."""
     bucket = t.column("bucket")[0].as_py()
     if bucket < 0:  # a group's own answers of the first round, handed on
         return pa.table([t.column("g"), t.column("bucket"), t.column("data")], names=["g", "bucket", "data"])
     gs, datas = t.column("g").to_numpy(), t.column("data").to_pylist()
-    keys = [unpack_keys(d) for d in datas]
-    n = [len(a) for a, _ in keys]
-    lead, tail, g = np.concatenate([a for a, _ in keys]), np.concatenate([b for _, b in keys]), np.repeat(gs, n)
-    order = np.lexsort((g, tail, lead))
-    a, b, gg = lead[order], tail[order], g[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    gram = np.ones(len(a), bool)
-    gram[1:] = (a[1:] != a[:-1]) | ((b[1:] & HIGH) != (b[:-1] & HIGH))
+    parts = [unpack_keys(d, kinds) for d in datas]
+    n = [len(k[0]) for k in parts]
+    keys, g = tuple(np.concatenate(k) for k in zip(*parts)), np.repeat(gs, n)
+    order = np.lexsort((g, *keys[::-1]))
+    keys, gg = tuple(k[order] for k in keys), g[order]
+    new = changes(keys)
     first = gg[np.flatnonzero(new)][np.cumsum(new) - 1]
-    of = np.cumsum(gram) - 1
+    of = np.cumsum(changes(keys[:2])) - 1
     contexts = np.bincount(of, weights=new)
-    flags = np.empty(len(a), np.uint8)
+    flags = np.empty(len(gg), np.uint8)
     flags[order] = (gg > first).astype(np.uint8) | (2 * (contexts[of] > 1)).astype(np.uint8)
     at = np.concatenate([[0], np.cumsum(n)])
     return table_of([(int(x), bucket, flags[at[i] : at[i + 1]].tobytes()) for i, x in enumerate(gs)], ["g", "bucket", "data"])
@@ -244,7 +255,7 @@ def sample_splitters(docs: DataFrame, n_bytes: int, buckets: int, least: int, gr
             for i, j in slices(offs, 1 << 18):
                 p = Part(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], least, gram)
                 keep = mix(p.tail) % U(16 * thin) == 0  # one in sixteen of theirs
-                yield pa.RecordBatch.from_arrays([pa.array(p.lead[keep].view(np.int64)), pa.array(p.tail[keep].view(np.int64))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(p.lead[keep].view(np.int64)), pa.array(p.gram[keep].astype(np.int64))], names=["a", "b"])
 
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("splitters")), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     got = chosen.select("text").mapInArrow(run, "a long, b long").toArrow()
@@ -253,7 +264,7 @@ def sample_splitters(docs: DataFrame, n_bytes: int, buckets: int, least: int, gr
     at = np.arange(1, buckets) * len(a) // buckets
     if not len(a):
         return np.zeros((0, 2), np.uint64)
-    s = np.column_stack([a[order][at], b[order][at] & HIGH])
+    s = np.column_stack([a[order][at], b[order][at] << U(32)])
     return np.unique(s, axis=0)
 
 
@@ -300,25 +311,25 @@ def dedup(docs: DataFrame, least: int = 50, gram: int | None = None, characters:
     def suffixes(t: pa.Table) -> pa.Table:
         release()
         x = Group(t, least, gram)
-        return table_of(rows_of(x.g, x.lead, x.tail, splitters), ["bucket", "g", "data"])
+        return table_of(rows_of(x.g, x.keys, splitters), ["bucket", "g", "data"])
 
     def windows(t: pa.Table, flags: pa.Table) -> pa.Table:
         if not len(t):
             return table_of([], ["bucket", "g", "data"])
         release()
         x = Group(t, least, gram)
-        own = answers(flags, 0, len(x.lead))
+        own = answers(flags, 0, len(x.keys[0]))
         x.settle(own)
-        return table_of([(-1 - x.g, x.g, own.tobytes()), *rows_of(x.g, x.w_lead, x.w_tail, splitters)], ["bucket", "g", "data"])
+        return table_of([(-1 - x.g, x.g, own.tobytes()), *rows_of(x.g, x.w_keys, splitters)], ["bucket", "g", "data"])
 
     def strip(t: pa.Table, flags: pa.Table) -> pa.Table:
         if not len(t):
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], span_kind), loose(t.column("rest"))], names=["doc_id", "kept", "spans", "rest"])
         release()
         x = Group(t, least, gram)
-        x.settle(answers(flags, 1, len(x.lead)))
+        x.settle(answers(flags, 1, len(x.keys[0])))
         kept, spans = [], []
-        for _, p, gone in x.removed(answers(flags, 0, len(x.w_lead))):
+        for _, p, gone in x.removed(answers(flags, 0, len(x.w_keys[0]))):
             total = np.concatenate([[0], np.cumsum(gone)])
             for a, b in zip(p.offs[:-1].tolist(), p.offs[1:].tolist()):
                 raw, found = p.buf[a:b], []
@@ -332,8 +343,8 @@ def dedup(docs: DataFrame, least: int = 50, gram: int | None = None, characters:
         return pa.table([x.ids.cast(pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, span_kind), x.rest], names=["doc_id", "kept", "spans", "rest"])
 
     sent = "bucket int, g int, data binary"
-    first = texts.groupBy("g").applyInArrow(suffixes, sent).groupBy("bucket").applyInArrow(resolve, ANSWERS)
-    second = texts.groupBy("g").cogroup(first.groupBy("g")).applyInArrow(windows, sent).groupBy("bucket").applyInArrow(resolve, ANSWERS)
+    first = texts.groupBy("g").applyInArrow(suffixes, sent).groupBy("bucket").applyInArrow(lambda t: resolve(t, CONTEXT), ANSWERS)
+    second = texts.groupBy("g").cogroup(first.groupBy("g")).applyInArrow(windows, sent).groupBy("bucket").applyInArrow(lambda t: resolve(t, WINDOW), ANSWERS)
     out = texts.groupBy("g").cogroup(second.groupBy("g")).applyInArrow(strip, f"doc_id long, kept binary, spans array<struct<start:long,length:long>>, rest {rest_kind}")
     return out if carry else out.drop("rest")
 

@@ -292,6 +292,15 @@ def test_suffix_dedup(edge, corpus, nothing):
     assert kept.columns == edge.columns and kept.count() == edge.count()
 
 
+def test_suffix_dedup_keeps_contexts_whose_hashes_share_32_bits(spark):
+    gram = "jultnzaynzzeiwfejkikyrgvxelc"  # neighbours found by search: the upper 32 bits of the contexts' hashes are equal
+    pairs = [("lcrbmtsmedcjkscgmykaqd", "jwakfxnjaobizmxpszsbay"), ("jtjyghvumsntpymczzjjvf", "ycvvcqzjvbkabelprakrqx"), ("mhpdaqjaaccposrbrbmqkb", "byukgxhqiotaumgarimlzk")]
+    rows = [(i, x + gram) for i, x in enumerate(x for p in pairs for x in p)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for group in (50, 1 << 20):  # each in a group of its own, all in one
+        assert {r.doc_id: r.kept.decode() for r in suffix_dedup.dedup(d, 50, group_bytes=group).collect()} == dict(rows)
+
+
 def test_suffix_dedup_keeps_whole_characters(spark):
     shared = "é" * 60
     d = spark.createDataFrame([(1, "a" + shared), (2, "b" + shared + "c")], "doc_id long, text string")
