@@ -10,8 +10,9 @@ are ordered by their frequency in the whole corpus, rarest first:
 * positional filter: if its first common word stands at place i of that order,
   at most size - i can be common, which must reach o.
 
-What passes is counted exactly, so every such block is found.  Templates are
-a parameter of a few hundred short texts; their index goes into each task.
+What passes is counted exactly, so every such block is found.  A template of
+few words is a loose set: with ``names`` and ``within`` the o words hold those
+that name the license and stand in one run of words.  Templates are a parameter of a few hundred short texts; their index goes into each task.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ class Template:
     text: str
     threshold: float = 0.8
     phrase: bool = False  # its words must also stand consecutively
+    names: str = ""  # those of its words that must not be missing
+    within: int = 0  # the words found must stand in a run of so many (0: anywhere in the block)
 
     @property
     def sequence(self) -> list[str]:
@@ -94,6 +97,7 @@ class Index:
         self.sets = [sorted({rank[w] for w in t.sequence}) for t in templates]
         self.sequences = [[rank[w] for w in t.sequence] for t in templates]
         self.least = [max(1, math.ceil(t.threshold * len(s) - 1e-9)) for t, s in zip(templates, self.sets)]
+        self.names = [{rank[w] for w in WORD.findall(t.names.lower())} for t in templates]  # KeyError: not a word of any template
         self.postings = defaultdict(list)
         for i, (s, o) in enumerate(zip(self.sets, self.least)):
             for place in s[: len(s) - o + 1]:
@@ -103,6 +107,9 @@ class Index:
         longest = max([len(s) for s in self.sequences], default=1)
         if longest - 1 > block // 2:
             raise ValueError(f"blocks of {block} words are too short for a template of {longest}")
+        widest = max([t.within for t in templates], default=0)
+        if widest - 1 > block // 2:
+            raise ValueError(f"blocks of {block} words are too short for runs of {widest}")
 
     def ranks(self, h: np.ndarray) -> np.ndarray:
         """Each word's rank, -1 for words of no template."""
@@ -111,6 +118,16 @@ class Index:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, self.by_hash[at], -1)
 
+    def common(self, i: int, ranks: list[int]) -> int:
+        """Most of a template's words, its naming ones among them, that stand in one run of a block."""
+        wanted, most = set(self.sets[i]), 0
+        at = [p for p, r in enumerate(ranks) if r in wanted]
+        for k, p in enumerate(at):
+            run = {ranks[q] for q in at[k:] if not self.templates[i].within or q < p + self.templates[i].within}
+            if self.names[i] <= run:
+                most = max(most, len(run))
+        return most
+
     def matches(self, ranks: np.ndarray) -> list[tuple[int, int, int, float, list[int]]]:
         """(template, block's first word, past its last, containment, places of a phrase) of one text."""
         n, step, out = len(ranks), self.block // 2, []
@@ -132,6 +149,10 @@ class Index:
                 if common < o:
                     continue
                 t, places = self.templates[i], []
+                if t.names or t.within:
+                    common = self.common(i, ranks[s:e].tolist())
+                    if common < o:
+                        continue
                 if t.phrase:
                     seq = self.sequences[i]
                     places = [p for p in range(s, e - len(seq) + 1) if ranks[p] == seq[0] and ranks[p : p + len(seq)].tolist() == seq]

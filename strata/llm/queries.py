@@ -71,19 +71,20 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-# The given phrases, then notices of public licenses.
+# The given phrases, then notices of public licenses.  Short notices need the words that name the license,
+# in a run of at most twice their length (33, half a block, for the longest).
 LICENSES = [
     licenses.Template("mit", "mit license", 1.0, True),
     licenses.Template("apache", "apache license", 1.0, True),
     licenses.Template("gpl", "general public license", 1.0, True),
-    licenses.Template("mit-notice", "Released under the MIT License."),
+    licenses.Template("mit-notice", "Released under the MIT License.", names="mit license", within=10),
     licenses.Template("mit-notice", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    licenses.Template("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    licenses.Template("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    licenses.Template("apache-2.0", "Licensed under the Apache License, Version 2.0.", names="apache 2", within=16),
+    licenses.Template("gpl-3.0", "This work is licensed under the GNU General Public License, version 3.", names="general public license 3", within=24),
     licenses.Template("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    licenses.Template("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0.", 0.85),
+    licenses.Template("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0.", 0.85, names="cc by nc 4", within=14),
     licenses.Template("bsd-notice", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    licenses.Template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    licenses.Template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", names="mozilla 2", within=33),
 ]
 
 

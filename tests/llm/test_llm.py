@@ -263,6 +263,24 @@ def test_license_blocks_meet_the_threshold_exactly(spark):
     assert got == want
 
 
+def test_license_notices_need_the_license_named(spark):
+    far = " ".join(["filler"] * 12)
+    cases = [
+        ("this project is released under the Apache License", {"apache"}), ("released under the BSD license", set()),
+        ("released under the GNU General Public License", {"gpl"}), ("Licensed under the Mozilla License, Version 2.0.", set()),
+        ("Licensed under the Apache License, Version 1.0.", {"apache"}), ("Licensed under CC BY 4.0.", set()),
+        (f"released under {far} the license {far} MIT", set()),
+        ("Released under the MIT License.", {"mit", "mit-notice"}), ("released under the terms of the MIT license", {"mit", "mit-notice"}),
+        ("x " * 60 + "Released under the MIT License.", {"mit", "mit-notice"}),
+        ("Licensed under the Apache License, Version 2.0.", {"apache", "apache-2.0"}), ("Licensed under CC BY-NC 4.0.", {"cc-by-nc-4.0"}),
+        ("This work is licensed under the GNU General Public License, version 3.", {"gpl", "gpl-3.0"}),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", {"mpl-2.0"}),
+    ]
+    d = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: {s.label for s in r.spans} for r in licenses.scan(d, queries.LICENSES, block=64).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
 def test_mixing(edge, corpus, nothing):
     for d in (edge, corpus):
         rows = mixing.mix(d).collect()
