@@ -1587,5 +1587,38 @@ ORACLE["survey_serving_mart"] = _survey_mart_sql("mart")
 ORACLE["survey_mart_checks"] = _survey_mart_sql("checks")
 
 
+def _with_levels(facts: str, group: str, value: str, qty: str) -> str:
+    """The facts, their flag 'OK' replaced where an implied-price level holds."""
+    return f"""
+WITH f AS ({facts}),
+d AS (
+  SELECT *, {value} AS v, {qty} AS q, CASE WHEN {value} / NULLIF({qty}, 0) > 0 THEN ln({value} / NULLIF({qty}, 0)) END AS lp,
+         CASE WHEN {value} > 0 THEN ln({value}) END AS lv, CASE WHEN {qty} > 0 THEN ln({qty}) END AS lq
+  FROM f),
+s AS (
+  SELECT {group}, quantile_cont(lp, 0.5) AS mp, quantile_cont(lv, 0.5) AS mv, quantile_cont(lv, 0.75) AS pv,
+         quantile_cont(lq, 0.5) AS mq, quantile_cont(lq, 0.75) AS pq, count(v / NULLIF(q, 0)) AS n FROM d GROUP BY ALL),
+e AS (
+  SELECT d.*, coalesce(v <= 0 OR q <= 0 OR mp IS NULL OR n < 10 OR v < 1000.0, true) AS guard, abs(lp - mp) AS dev,
+         (lv - mv) / NULLIF(pv - mv, 0) AS vex, (lq - mq) / NULLIF(pq - mq, 0) AS qex
+  FROM d LEFT JOIN s USING ({group}))
+SELECT * EXCLUDE (v, q, lp, lv, lq, guard, dev, vex, qex) REPLACE (
+  CASE WHEN data_quality_flag <> 'OK' OR guard THEN data_quality_flag
+       WHEN dev >= ln(1.2) AND abs(vex) >= abs(qex) THEN 'PROBLEMATIC_VALUE'
+       WHEN dev >= ln(1.2) AND abs(qex) > abs(vex) THEN 'PROBLEMATIC_QUANTITY'
+       WHEN vex >= 1.5 THEN 'OUTLIER_VALUE' WHEN qex >= 1.5 THEN 'OUTLIER_QUANTITY' ELSE 'OK' END AS data_quality_flag)
+FROM e"""
+
+
+_SURVEY_MONEY = ["val_yearfx_brl", "val_yearfx_usd", "val_yearfx_eur", "val_real_ipca_brl", "val_real_ipca_usd", "val_real_igpm_brl", "val_real_igpdi_eur"]
+_SURVEY_ROUNDED = ", ".join(f"round({c}, 2) AS {c}" for c in _SURVEY_MONEY)
+ORACLE["survey_outlier_pipeline"] = f"""
+SELECT * EXCLUDE (val_real_igpm_usd) REPLACE ({_SURVEY_ROUNDED})
+FROM ({_with_levels(_survey_sql(rounded=False), 'product_code, family', 'val_real_ipca_brl', 'qty_native')})"""
+# Trade values are whole dollars, so rounding leaves them as they are.
+ORACLE["comex_outlier_pipeline"] = _with_levels(_comex_sql(), "flow, ncm_code", "val_fob_usd", "net_weight_kg")
+ORACLE["comtrade_outlier_pipeline"] = _with_levels(_comtrade_gold_sql(), "flow, cmd_code", "val_yearfx_usd", "net_weight_kg")
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)

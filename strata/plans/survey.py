@@ -117,7 +117,7 @@ def survey_gold(
     silver: DataFrame,
     index: DataFrame,
     fx: DataFrame,
-    outliers: bool = False,
+    outliers: bool = True,
     group: Sequence[str] = ("product_code", "family"),
     measures: Mapping[str, str] | None = None,
     present: Sequence[str] = (),

@@ -131,7 +131,7 @@ def month_index(index: DataFrame, deflators=D.DEFLATORS) -> DataFrame:
           for name, code in deflators.items()])
 
 
-def comex_gold(silver: DataFrame, index: DataFrame, fx: DataFrame, outliers: bool = False) -> DataFrame:
+def comex_gold(silver: DataFrame, index: DataFrame, fx: DataFrame, outliers: bool = True, **bounds: float) -> DataFrame:
     """National trade Gold: D09/D10 dominant unit per cell, C06 monthly
     deflation, state names and the B27 weight-based flag."""
     base = dominant_unit_rollup(
@@ -154,7 +154,7 @@ def comex_gold(silver: DataFrame, index: DataFrame, fx: DataFrame, outliers: boo
     j = j.withColumn("reference_date", C.safe_date_from_parts("reference_year", "reference_month")).withColumn(
         "state_name", C.state_name("state_acronym")).withColumn("region", C.state_region("state_acronym"))
     if outliers:
-        j = implied_price_levels(j, ["flow", "ncm_code"], "val_fob_usd", "net_weight_kg")
+        j = implied_price_levels(j, ["flow", "ncm_code"], "val_fob_usd", "net_weight_kg", **bounds)
         j = j.withColumn("data_quality_flag", C.trade_quality_flag("net_weight_kg", "val_fob_usd", "qty_level", "val_level"))
         j = j.drop("qty_level", "val_level")
     else:
@@ -168,7 +168,7 @@ COMTRADE_CELL = ["flow", "customs_code", "reference_year", "reporter_code", "par
 
 
 def comtrade_gold(silver: DataFrame, index: DataFrame, fx: DataFrame, countries: DataFrame, hs: DataFrame,
-                  outliers: bool = False) -> DataFrame:
+                  outliers: bool = True, **bounds: float) -> DataFrame:
     """Bilateral trade Gold: D09/D10 dominant unit per cell, C05 annual
     deflation of the USD value through the year-average rate (V5: NULL
     before 1994), C07/C08 descriptions with the country list joined twice
@@ -207,7 +207,7 @@ def comtrade_gold(silver: DataFrame, index: DataFrame, fx: DataFrame, countries:
     j = describe(j, [(rep, "reporter_code", "_rk"), (par, "partner_code", "_pk"), (desc, "cmd_code", "_hk")])
     presence = F.coalesce(F.col("qty_native"), F.col("net_weight_kg"))
     if outliers:
-        j = implied_price_levels(j, ["flow", "cmd_code"], "primary_value_usd", "net_weight_kg")
+        j = implied_price_levels(j, ["flow", "cmd_code"], "primary_value_usd", "net_weight_kg", **bounds)
         j = j.withColumn("data_quality_flag", C.quality_flag(presence, F.col("primary_value_usd"), "qty_level", "val_level"))
         j = j.drop("qty_level", "val_level")
     else:

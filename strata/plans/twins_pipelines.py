@@ -73,16 +73,22 @@ SURVEY_MONEY_COLS = ["val_yearfx_brl", "val_yearfx_usd", "val_yearfx_eur", "val_
                      "val_real_igpm_brl", "val_real_igpdi_eur"]
 
 
-@register
-def survey_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    """Bronze -> Silver -> Gold survey pipeline with the reference seeds."""
+def survey_facts(spark: SparkSession, sf: str, **levels) -> DataFrame:
+    """``levels``: parameters of the outlier levels."""
     silver = survey_silver(stored(survey_bronze(spark, sf), "bronze_survey"), "prod_codigo", "prod", seeds.currency_factors(spark),
                            seeds.unit_families(spark), seeds.product_unit_factors(spark), "pevs")
     daily = orders_daily(spark, sf)
-    gold = survey_gold(silver, index_series(spark, sf, daily), fx_series(spark, sf, daily))
+    gold = survey_gold(silver, index_series(spark, sf, daily), fx_series(spark, sf, daily), **levels)
     return gold.select(*SURVEY_GOLD_COLS, *[r2(c).alias(c) for c in SURVEY_MONEY_COLS])
 
 
+@register
+def survey_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Bronze -> Silver -> Gold survey pipeline with the reference seeds;
+    flags without outlier levels (its SQL has none)."""
+    return survey_facts(spark, sf, outliers=False)
+
+
 # National trade: lineitem rendered as one verbatim file per (flow, year).
 FLOW_OF_RETURNFLAG = {"A": "EXP", "N": "EXP", "R": "IMP"}
 UNIT_OF_LINESTATUS = {"F": "10", "O": "11"}
@@ -140,8 +146,7 @@ COMEX_MONEY_COLS = ["val_fob_usd", "freight_usd", "insurance_usd", "val_yearfx_b
                     "val_real_ipca_brl", "val_real_igpm_usd"]
 
 
-@register
-def comex_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+def comex_facts(spark: SparkSession, sf: str, **levels) -> DataFrame:
     """National trade Bronze -> Silver -> Gold: batch replacement per
     (flow, year), unit and succession lookups, dominant-unit cells and
     monthly deflation."""
@@ -151,10 +156,16 @@ def comex_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     succ = seeds.seed_frame(spark, [("00000001", "00000010", "merged")], seeds.SUCCESSION_SCHEMA)
     silver = comex_silver(stored(comex_bronze(spark, sf), "bronze_comex"), units, seeds.unit_families(spark), seeds.product_unit_factors(spark), succ)
     daily = orders_daily(spark, sf)
-    gold = comex_gold(silver, index_series(spark, sf, daily), fx_series(spark, sf, daily))
+    gold = comex_gold(silver, index_series(spark, sf, daily), fx_series(spark, sf, daily), **levels)
     return gold.select(*COMEX_GOLD_COLS, *[r2(c).alias(c) for c in COMEX_MONEY_COLS])
 
 
+@register
+def comex_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """National trade facts, flags without outlier levels (its SQL has none)."""
+    return comex_facts(spark, sf, outliers=False)
+
+
 # Bilateral trade: one verbatim chunk per (year, reporter), all strings.
 COMTRADE_FLOW_OF_RETURNFLAG = {"A": "X", "R": "M", "N": "RX"}
 COMTRADE_UNITS = [("8", "Weight in kilograms", "kg", "kg"), ("-1", "No quantity", "", "")]
@@ -223,8 +234,7 @@ COMTRADE_MONEY_COLS = ["val_yearfx_usd", "val_yearfx_brl", "val_yearfx_eur", "va
                        "val_real_igpdi_eur", "val_fob_usd"]
 
 
-@register
-def comtrade_gold_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+def comtrade_facts(spark: SparkSession, sf: str, **levels) -> DataFrame:
     """Bilateral trade Bronze -> Silver -> Gold with annual deflation and
     reporter/partner names from the nation table (region 0 marks a group)."""
     from strata.plans.trade import comtrade_gold, comtrade_silver
@@ -238,10 +248,16 @@ def comtrade_gold_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     hs = t(spark, sf, "part").select(F.lpad(F.substring("p_brand", 7, 10), 6, "0").alias("cmd_code"),
                                      F.col("p_brand").alias("description")).distinct()
     daily = orders_daily(spark, sf)
-    gold = comtrade_gold(silver, index_series(spark, sf, daily), fx_series(spark, sf, daily), countries, hs)
+    gold = comtrade_gold(silver, index_series(spark, sf, daily), fx_series(spark, sf, daily), countries, hs, **levels)
     return gold.select(*COMTRADE_GOLD_COLS, *[r2(c).alias(c) for c in COMTRADE_MONEY_COLS])
 
 
+@register
+def comtrade_gold_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Bilateral trade facts, flags without outlier levels (its SQL has none)."""
+    return comtrade_facts(spark, sf, outliers=False)
+
+
 SURVEY_MART_SUMS = ["qty_native", "val_yearfx_brl", "val_real_ipca_brl", "val_real_igpm_usd"]
 
 
