@@ -1620,5 +1620,47 @@ ORACLE["comex_outlier_pipeline"] = _with_levels(_comex_sql(), "flow, ncm_code",
 ORACLE["comtrade_outlier_pipeline"] = _with_levels(_comtrade_gold_sql(), "flow, cmd_code", "val_yearfx_usd", "net_weight_kg")
 
 
+# --- whole tables, where the SQL of the first twins above reads a slice -------
+
+ORACLE["catalog_without_data_whole"] = f"""WITH {LOG_CTE}
+SELECT user_id FROM cur WHERE active AND user_id NOT IN (SELECT o_custkey FROM orders)"""
+
+ORACLE["new_codes_whole"] = "SELECT p_partkey AS code FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)"
+
+ORACLE["comex_by_partner_latest_whole"] = f"""
+WITH f AS (SELECT c.c_nationkey AS partner, {YEAR} AS year, l.l_quantity AS qty, {REV} AS v
+           FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+           WHERE l.l_returnflag IN ('A', 'N'))
+SELECT partner, round(sum(v) / 100.0::DOUBLE, 2) AS value, sum(qty) AS weight FROM f
+WHERE year = (SELECT max(year) FROM f) GROUP BY 1"""
+
+ORACLE["codes_present_catalog_whole"] = f"""
+WITH totals AS (SELECT p.p_brand AS product, sum({REV}) AS cents FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
+                WHERE l.l_returnflag = 'A' GROUP BY 1),
+cat AS (SELECT p_brand AS product, max(p_name) AS name FROM part GROUP BY 1)
+SELECT totals.product, cat.name, round(cents / 100.0::DOUBLE, 2) AS value FROM totals LEFT JOIN cat ON totals.product = cat.product"""
+
+ORACLE["reconcile_cells_whole"] = """
+WITH live AS (SELECT l_orderkey, sum(l_quantity) AS qty FROM lineitem GROUP BY 1),
+src AS (SELECT CASE WHEN l_orderkey % 11 = 0 THEN -l_orderkey - 1 ELSE l_orderkey END AS l_orderkey,
+               CASE WHEN l_orderkey % 7 = 0 THEN qty + 1 ELSE qty END AS qty FROM live),
+j AS (SELECT live.l_orderkey AS lk, src.l_orderkey AS sk, live.qty AS lv, src.qty AS sv
+      FROM live FULL OUTER JOIN src ON live.l_orderkey = src.l_orderkey)
+SELECT count(*) FILTER (WHERE lk IS NOT NULL AND sk IS NOT NULL) AS compared,
+       count(*) FILTER (WHERE lk IS NOT NULL AND sk IS NOT NULL AND lv IS DISTINCT FROM sv) AS diverged,
+       count(*) FILTER (WHERE lk IS NULL) AS only_source,
+       count(*) FILTER (WHERE sk IS NULL) AS only_live
+FROM j"""
+
+ORACLE["export_unit_price_whole"] = f"""
+WITH v AS (SELECT {YEAR} AS year, sum({REV}) AS cents, sum(l_quantity) AS weight FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
+SELECT year, round(cents / 1e8, 2) AS value_musd, weight / 1e3 AS weight_kt,
+       round((cents / 100.0::DOUBLE) / NULLIF(weight, 0), 6) AS unit_price
+FROM v"""
+
+ORACLE["resolved_scope_fallback_whole"] = "SELECT c_custkey AS code, 'configured' AS origin FROM customer"
+ORACLE["domain_checks_whole"] = ORACLE["domain_checks"].replace(" WHERE c_mktsegment = 'BUILDING'", "")
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)

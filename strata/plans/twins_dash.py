@@ -47,18 +47,23 @@ def latest_complete_year(spark: SparkSession, sf: str) -> DataFrame:
                        .otherwise(F.col("latest_year") - 1).alias("latest_complete_year"))
 
 
-@register
-def export_unit_price(spark: SparkSession, sf: str) -> DataFrame:
+def unit_price(spark: SparkSession, sf: str, weighed: F.Column) -> DataFrame:
     """Export value and weight per year (display units) and the
     derived unit price; a missing or zero weight gives NULL."""
     li = trade_lines(spark, sf).filter(F.col("flow") == "A")
     v = li.groupBy("year").agg(F.sum("value_cents").alias("cents"))
-    w = li.filter(F.col("unit") == "F").groupBy("year").agg(F.sum("qty").alias("weight"))
+    w = li.filter(weighed).groupBy("year").agg(F.sum("qty").alias("weight"))
     j = v.join(w, "year", "left")
     return j.select("year", r2(F.col("cents") / 1e8).alias("value_musd"), (F.col("weight") / 1e3).alias("weight_kt"),
                     r6(F.try_divide(_usd("cents"), F.col("weight"))).alias("unit_price"))
 
 
+@register
+def export_unit_price(spark: SparkSession, sf: str) -> DataFrame:
+    """I04/I05 with the weight of unit F alone, as in its SQL (whole: export_unit_price_whole)."""
+    return unit_price(spark, sf, F.col("unit") == "F")
+
+
 def _flags(spark: SparkSession, sf: str) -> DataFrame:
     g = gold(spark, sf)
     return g.withColumn("data_quality_flag", C.quality_flag_basic(C.zero_as_missing("tax"), F.col("value_cents")))
@@ -177,8 +182,7 @@ def stacked_year_max(spark: SparkSession, sf: str) -> DataFrame:
     return op(fy, "year", "v").select(r2(F.col("stack_max") / 100.0).alias("stack_max"))
 
 
-@register
-def domain_checks(spark: SparkSession, sf: str) -> DataFrame:
+def domain_suite(spark: SparkSession, sf: str, configured: F.Column) -> DataFrame:
     """L13/L15/L19/L22/L23 as one suite."""
     li = trade_lines(spark, sf, product=True)
     # Every (unit, year) with value has a currency factor range.
@@ -190,10 +194,10 @@ def domain_checks(spark: SparkSession, sf: str) -> DataFrame:
                                               F.sum(F.round(F.col("tax") * 100)).alias("harvested"))
     # One unit family per product.
     fam = li.withColumn("family", F.when(F.col("unit") == "F", "massa").otherwise("volume"))
-    # Catalogue (current users) vs configured codes (BUILDING-segment customers), either side missing.
+    # Catalogue (current users) vs configured codes (customers), either side missing.
     cur = scd.current_catalog(_log(spark, sf), ["user_id"], ts="ts", tiebreak="event_id").select(
         F.col("user_id").alias("code"), F.lit(True).alias("in_catalog"))
-    conf = t(spark, sf, "customer").filter(F.col("c_mktsegment") == "BUILDING").select(
+    conf = t(spark, sf, "customer").filter(configured).select(
         F.col("c_custkey").alias("code"), F.lit(True).alias("configured"))
     side = cur.join(conf, "code", "full_outer").filter(F.col("in_catalog").isNull() | F.col("configured").isNull())
     # Orphans detected but not marked (nothing marked yet -> all).
@@ -208,6 +212,12 @@ def domain_checks(spark: SparkSession, sf: str) -> DataFrame:
     })
 
 
+@register
+def domain_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """The suite with L22 against BUILDING customers alone, as in its SQL (whole: domain_checks_whole)."""
+    return domain_suite(spark, sf, F.col("c_mktsegment") == "BUILDING")
+
+
 @register
 def value_matrix_checks(spark: SparkSession, sf: str) -> DataFrame:
     """L06/L18 on the flagship output: the euro year-FX value is NULL before

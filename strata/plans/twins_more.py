@@ -124,19 +124,24 @@ def bilateral_named(spark: SparkSession, sf: str) -> DataFrame:
         "year", "reporter_name", "partner_name", r2(F.col("cents") / 100.0).alias("value"))
 
 
-@register
-def codes_present_catalog(spark: SparkSession, sf: str) -> DataFrame:
+def named_totals(spark: SparkSession, sf: str, parts: DataFrame) -> DataFrame:
     """Codes present in the exports ⋈ catalog names, joined back to the
     per-code totals (codes without a catalog row keep a NULL name)."""
     li = trade_lines(spark, sf, product=True).filter(F.col("flow") == "A")
     totals = li.groupBy("product").agg(F.sum("value_cents").alias("cents"))
     present = totals.select("product").distinct()
-    catalog = t(spark, sf, "part").filter(F.col("p_size") > 10).groupBy(F.col("p_brand").alias("product")).agg(
+    catalog = parts.groupBy(F.col("p_brand").alias("product")).agg(
         F.max("p_name").alias("name"))
     named = present.join(catalog, "product", "inner")
     return totals.join(named, "product", "left").select("product", "name", r2(F.col("cents") / 100.0).alias("value"))
 
 
+@register
+def codes_present_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """C13 with a catalogue of the larger parts alone, as in its SQL (whole: codes_present_catalog_whole)."""
+    return named_totals(spark, sf, t(spark, sf, "part").filter(F.col("p_size") > 10))
+
+
 @register
 def catalog_without_data(spark: SparkSession, sf: str) -> DataFrame:
     """C20: catalogued codes (current users) with no data in the latest

@@ -144,12 +144,12 @@ def auto_mark_orphans(spark: SparkSession, sf: str) -> DataFrame:
     return K.auto_mark_orphans(orph, empty, ["user_id"], NOW)
 
 
-def _resolved(spark: SparkSession, sf: str, ingestion) -> DataFrame:
+def _resolved(spark: SparkSession, sf: str, ingestion, configured=F.col("c_mktsegment") == "BUILDING") -> DataFrame:
     from strata.operators.gate import resolve_scope
 
     log = _log(spark, sf).withColumn("ingestao", ingestion)
     cur = scd.current_catalog(log, ["user_id"], ts="ts", tiebreak="event_id")
-    conf = t(spark, sf, "customer").filter(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("user_id"))
+    conf = t(spark, sf, "customer").filter(configured).select(F.col("c_custkey").alias("user_id"))
     return resolve_scope(cur, conf, "user_id")
 
 
