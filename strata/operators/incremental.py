@@ -90,6 +90,21 @@ def set_fingerprint(df: DataFrame, keys: Sequence[str], code: str) -> DataFrame:
     return distinct.groupBy(*keys).agg(F.bit_xor(h).alias("fingerprint"), F.count(F.lit(1)).alias("n_codes"))
 
 
+def reload_decision(current: DataFrame, manifest: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per scope of ``current``, whether Bronze is to be loaded again.
+
+    ``current``: keys, ``extracted`` (fetched by this run), ``fingerprint`` of
+    today's filter; ``manifest``: one row per archived scope with ``loaded`` and
+    the ``fingerprint`` it was loaded under (NULL: not recorded, so load once).
+    Reload when extracted, or archived but never loaded or loaded under
+    another fingerprint; a scope with nothing archived has nothing to load."""
+    stored = manifest.select(*keys, F.lit(True).alias("_archived"), F.coalesce("loaded", F.lit(False)).alias("_loaded"),
+                             F.col("fingerprint").alias("_stored"))
+    same = F.coalesce(F.col("_stored") == F.col("fingerprint"), F.lit(False))
+    reload = F.coalesce("extracted", F.lit(False)) | (F.col("_archived").isNotNull() & ~(F.col("_loaded") & same))
+    return current.join(stored, list(keys), "left").select(*keys, reload.alias("reload"))
+
+
 def fx_window_start(hwm_date) -> F.Column:
     """A18 (FX rule): re-read from the start of the high-water year, or of the
     previous year when the high-water mark is in January."""
