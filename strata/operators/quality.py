@@ -1,11 +1,9 @@
 """Quality scoring (survey E05, E06, B25-B31, J16, D19).
 
-Group percentiles are exact (``percentile_cont`` semantics).  Groups of
-bounded cardinality use Spark's exact percentile over distinct-value
-counts; when a group is too large for one task (a hot product), the
-distinct values are ranked with the range-partitioned scan of ``ordered``
-and the two values around each target rank are picked by an aggregate, so
-no group is held in one task.  The per-group statistics (one row per
+Group percentiles are exact (``percentile_cont`` semantics).  Distinct values
+are ranked with the range-partitioned scan of ``ordered`` and the two values
+around each target rank are picked by an aggregate, so no group (a hot
+product) is held in one task.  The per-group statistics (one row per
 group) are then joined back to the rows.
 """
 
@@ -13,13 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.columns import quality_flag, safe_divide, safe_ln
 from strata.operators.ordered import BLOCK, blocked
-from strata.session import cut_lineage
 
 # The reference's defaults for the implied-price detector.
 MIN_OBS = 100
@@ -28,12 +24,6 @@ PRICE_K = 100.0
 OUTLIER_K = 4.0
 
 
-# Largest number of distinct values one group may hold in a single task on
-# the aggregate path (an exact percentile buffer keeps one entry per
-# distinct value); above it the skew-safe block path is used.
-MAX_DISTINCT_IN_TASK = 5_000_000
-
-
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
                       method: str = "auto") -> DataFrame:
     """Exact linear-interpolated percentiles of ``value`` per group.
@@ -46,26 +36,13 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Map
     * ``aggregate``: Spark's exact ``percentile`` with those counts as
       frequencies.  One task holds a group's distinct values, so it is for
       groups of bounded cardinality.
-    * ``blocks``: the skew-safe path; no group is held in one task.
-    * ``auto``: the distinct table is persisted once, its largest group
-      size (one scalar) picks ``aggregate`` when every group is within
-      ``MAX_DISTINCT_IN_TASK`` and ``blocks`` otherwise; the chosen result is
-      materialised (checkpoint) before the cache is released.
+    * ``blocks`` and ``auto``: the skew-safe path; no group is held in one task.
     """
     dist = (df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
             .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
     if method == "aggregate":
         return _percentiles_aggregate(dist, keys, probs)
-    if method == "blocks":
-        return _percentiles_blocks(dist, keys, probs)
-    cached = dist.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        largest = cached.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ndv")).agg(F.max("_ndv")).first()[0] or 0
-        if largest <= MAX_DISTINCT_IN_TASK:
-            return cut_lineage(_percentiles_aggregate(cached, keys, probs))
-        return _percentiles_blocks(cached, keys, probs)
-    finally:
-        cached.unpersist()
+    return _percentiles_blocks(dist, keys, probs)
 
 
 def _percentiles_aggregate(dist: DataFrame, keys: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
