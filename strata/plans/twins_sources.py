@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.operators import curation as K
@@ -144,9 +144,11 @@ def auto_mark_orphans(spark: SparkSession, sf: str) -> DataFrame:
     return K.auto_mark_orphans(orph, empty, ["user_id"], NOW)
 
 
-def _resolved(spark: SparkSession, sf: str, ingestion, configured=F.col("c_mktsegment") == "BUILDING") -> DataFrame:
+def _resolved(spark: SparkSession, sf: str, ingestion, configured: Column | None = None) -> DataFrame:
     from strata.operators.gate import resolve_scope
 
+    configured = F.col("c_mktsegment") == "BUILDING" if configured is None else configured
+
     log = _log(spark, sf).withColumn("ingestao", ingestion)
     cur = scd.current_catalog(log, ["user_id"], ts="ts", tiebreak="event_id")
     conf = t(spark, sf, "customer").filter(configured).select(F.col("c_custkey").alias("user_id"))
