@@ -1,6 +1,6 @@
 """Training-data operators at corpus scale.
 
-Ten operators, each in a module of its own, plus the queries that apply them
+Operators, each in a module of its own, plus the queries that apply them
 to whole tables (``queries.py``).  Nothing outside this subpackage imports it.
 
 Functions that run inside tasks are pickled by value, so executors need only

@@ -1,4 +1,4 @@
-"""The ten queries: each operator over its whole table, with production parameters."""
+"""The queries: each operator over its whole table, with production parameters."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from strata.llm import licenses, mixing, ngram_join, packing, quality, sharding, suffix_dedup, toxicity, url_filter, winnowing
+from strata.llm import conversations, licenses, mixing, negatives, ngram_join, packing, pii, quality, sharding, suffix_dedup, toxicity, url_filter, winnowing
 from strata.llm.layout import table
 
 # The given url rules.
@@ -124,8 +124,48 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text: the given kinds, and the method's own after them."""
+    d = pii.find(table(spark, sf_dir, "documents"))
+    given = [k.name for k in pii.BASE]
+    base = F.filter("spans", lambda s: s["kind"].isin(given))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return d.select("doc_id", *map(count, given), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"),
+                    F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged as given, then repaired at the least cost."""
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor against all rows."""
+    return negatives.mine(negatives.usable(table(spark, sf_dir, "embeddings")))
+
+
+OP13_SQL = """
+WITH e AS (
+  SELECT vec_id AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.id AS anchor_id, a.label AS anchor_label, b.id, b.label, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a, e b WHERE a.id % 100 = 0),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label AND id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE label <> anchor_label AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op2_packing, op3_quality_rules, op4_sharding, op5_toxicity, op6_license_scans, op7_mixing, op8_suffix_dedup, op9_fingerprints, op10_ngram_join)
+    f.__name__: f for f in (op1_url_filters, op2_packing, op3_quality_rules, op4_sharding, op5_toxicity, op6_license_scans, op7_mixing, op8_suffix_dedup, op9_fingerprints, op10_ngram_join, op11_pii, op12_conversations, op13_negatives)
 } | {"pipeline": corpus_pipeline.run}
-# Only the first has a SQL form; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL}
+# The others are tested against brute force.
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL, "op13_negatives": OP13_SQL}
