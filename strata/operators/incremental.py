@@ -1,18 +1,20 @@
 """Incremental loading (survey A16-A21, A28, A27, C10).
 
-High-water marks and affected partitions are computed as small aggregates
-and applied as joins or pushed-down predicates; partitions are replaced
-with dynamic partition overwrite so untouched partitions are never
-rewritten.
+High-water marks are scalars that prune the Bronze scan; affected partitions
+are a small distinct set that prunes the second one; what is rebuilt is
+published as one commit, so untouched partitions are never rewritten and
+readers never see half a load.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.sources.published import Published
+
 
 def high_water_mark_date(df: DataFrame, keys: Sequence[str], date_str: str, fmt: str = "dd/MM/yyyy") -> DataFrame:
     """Newest parseable date per series."""
@@ -41,17 +43,44 @@ def scope_fingerprint(df: DataFrame, keys: Sequence[str], code: str) -> DataFram
         .alias("fingerprint"))
 
 
-def affected_partitions(bronze: DataFrame, target: DataFrame, part: str, ts: str, target_ts: str) -> DataFrame:
-    """Partitions with Bronze rows at or after the target's newest
-    ingestion time (>=, so a same-instant reload is never missed), as a
-    distinct set (UNION DISTINCT over all affected rows)."""
-    hwm = target.agg(F.max(target_ts).alias("_hwm"))
-    return (
-        bronze.crossJoin(F.broadcast(hwm))
-        .filter(F.col("_hwm").isNull() | (F.col(ts) >= F.col("_hwm")))
-        .select(part)
-        .distinct()
-    )
+def affected_partitions(bronze: DataFrame | Sequence[DataFrame], hwm, part: str, ts: str, day: str | None = None) -> DataFrame:
+    """The distinct values of ``part`` with Bronze rows at or after the
+    target's newest ingestion ``hwm``, over one or several Bronze tables (UNION
+    DISTINCT).  >=, so a same-instant reload is never missed.  ``hwm`` is a
+    plain value, so with ``day``, the date column Bronze is partitioned by, the
+    scan is pruned to the days from there on."""
+    out = None
+    for b in [bronze] if isinstance(bronze, DataFrame) else bronze:
+        if hwm is not None:
+            b = b.filter(F.col(ts) >= F.lit(hwm))
+            b = b.filter(F.col(day) >= F.lit(hwm.date())) if day else b
+        out = b.select(part) if out is None else out.unionByName(b.select(part))
+    return out.distinct()
+
+
+def incremental_build(target: Published, bronze: Sequence[DataFrame], part: str, ts: str, build: Callable[..., DataFrame],
+                      label: str, target_ts: str | None = None, day: str | None = "ingestion_date") -> list[str]:
+    """Rebuild the partitions that new Bronze rows touch, whole, and publish them.
+
+    The first build takes all of Bronze.  After it, the target's newest
+    ingestion time bounds the scan for affected values of ``part``; these prune
+    the second scan of Bronze, which is partitioned by (``day``, ``part``), at
+    run time.  ``build`` gets one frame a Bronze table, with every delivery of
+    the affected partitions, so that latest-wins has each whole key.  Publishing
+    is in two phases (data, then the pointer); returns the folders written.
+
+    The affected values are broadcast: they are partition values of Bronze, as
+    many as it has folders at most."""
+    now = target.read()
+    if now is None:
+        return target.publish(lambda: build(*bronze), label)
+    hwm = now.agg(F.max(target_ts or ts)).first()[0]
+
+    def scoped() -> DataFrame:
+        affected = F.broadcast(affected_partitions(bronze, hwm, part, ts, day))
+        return build(*[b.join(affected, part, "left_semi") for b in bronze])
+
+    return target.publish(scoped, label)
 
 
 def overwrite_partitions(df: DataFrame, path: str, part: str | Sequence[str]) -> None:
@@ -60,25 +89,6 @@ def overwrite_partitions(df: DataFrame, path: str, part: str | Sequence[str]) ->
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
 
 
-def incremental_refresh(
-    spark: SparkSession,
-    bronze: DataFrame,
-    target_path: str,
-    part: str,
-    ts: str,
-    target_ts: str,
-    build: Callable[[DataFrame], DataFrame],
-) -> DataFrame:
-    """Recompute whole affected partitions from Bronze and overwrite them.
-
-    Returns the affected partition values (a small DataFrame)."""
-    target = spark.read.parquet(target_path)
-    affected = affected_partitions(bronze, target, part, ts, target_ts).cache()
-    scoped = bronze.join(F.broadcast(affected), part, "left_semi")
-    overwrite_partitions(build(scoped), target_path, part)
-    return affected
-
-
 def set_fingerprint(df: DataFrame, keys: Sequence[str], code: str) -> DataFrame:
     """A21 for data-sized sets: an order-independent fingerprint computed
     map-side (XOR of a 60-bit SHA-256 prefix of each distinct code), plus

@@ -1662,5 +1662,15 @@ ORACLE["resolved_scope_fallback_whole"] = "SELECT c_custkey AS code, 'configured
 ORACLE["domain_checks_whole"] = ORACLE["domain_checks"].replace(" WHERE c_mktsegment = 'BUILDING'", "")
 
 
+# Loaded in steps, the result is that of the full build.
+ORACLE["survey_incremental"] = ORACLE["survey_pipeline"]
+ORACLE["livestock_incremental"] = ORACLE["livestock_pipeline"]
+ORACLE["comtrade_incremental"] = ORACLE["comtrade_pipeline"]
+ORACLE["stream_affected_partitions"] = ORACLE["comtrade_pipeline"]
+ORACLE["stream_batch_replacement"] = ORACLE["latest_batch"]
+ORACLE["stream_scd2"] = ORACLE["scd2_timeline"]
+ORACLE["stream_freshness"] = "SELECT CAST(ts AS DATE) AS day, event_type, max(ts) AS newest, count(*) AS n_rows FROM events GROUP BY 1, 2"
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from strata.operators import checks as CK
 from strata.operators.dedup import latest_wins
-from strata.operators.incremental import incremental_refresh, overwrite_partitions
+from strata.operators.incremental import incremental_build
 from strata.operators.reconcile import reconcile_cells as _cells
 from strata.operators.reconcile import reconcile_summary
 from strata.plans.base import r2, register
 from strata.plans.inputs import LINE_KEY, t, trade_lines
-from strata.streaming.jobs import latest_state_aggregate, latest_state_merger, shared_path
+from strata.sources.bronze import append_bronze, read_bronze
+from strata.sources.published import Published
+from strata.streaming.jobs import latest_state_aggregate, latest_state_merger, read_state, shared_path
 
 
 def _mart(lines: DataFrame) -> DataFrame:
@@ -93,12 +95,13 @@ def incremental_equals_full(spark: SparkSession, sf: str) -> DataFrame:
         "ingestion_timestamp", F.when(F.col("year") == 1998, ts1).otherwise(ts0))
     v2 = base.filter(F.col("year") >= 1998).withColumn("ingestion_timestamp", ts2)
     keys, order = LINE_KEY, ["ingestion_timestamp"]
-    path = shared_path(spark, "mart_seasonality")
-    overwrite_partitions(_seasonality(latest_wins(v1, keys, order)), path, "year")
-    bronze = v1.unionByName(v2)
-    incremental_refresh(spark, bronze, path, "year", "ingestion_timestamp", "last_refresh",
-                        lambda scoped: _seasonality(latest_wins(scoped, keys, order)))
-    out = spark.read.parquet(path)
+    bronze = shared_path(spark, "bronze_lines")
+    target = Published(spark, shared_path(spark, "mart_seasonality"), ["year"])
+    build = lambda rows: _seasonality(latest_wins(rows, keys, order))
+    for number, delivery in enumerate([v1, v2]):
+        append_bronze(delivery, bronze, "year")
+        incremental_build(target, [read_bronze(spark, bronze, delivery.schema)], "year", "ingestion_timestamp", build, f"load{number}", "last_refresh")
+    out = target.read()
     return out.select("flow", F.col("year").cast("int").alias("year"), "month",
                       r2(F.col("cents") / 100.0).alias("value"), "weight", "source_rows")
 
@@ -128,4 +131,4 @@ def stream_latest_equals_batch(spark: SparkSession, sf: str) -> DataFrame:
          .foreachBatch(latest_state_merger(state, ["user_id"], ["ts", "event_id"], id_col="event_id", buckets=16))
          .option("checkpointLocation", shared_path(spark, "ckpt_user_state")).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(state).select(*schema.fieldNames())
+    return read_state(spark, state).select(*schema.fieldNames())

