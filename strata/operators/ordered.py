@@ -106,7 +106,12 @@ def ordered_columns(
         if running_sum:
             local = local.withColumn("_lsum", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     summary = _block_summary(b, keys, order, value, with_sum=bool(running_sum))
-    out = local.join(summary, [_BLK, *keys], "inner")
+    # keys may be null: a group of its own, as in a window
+    renamed = summary.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate([_BLK, *keys])], *[c for c in summary.columns if c not in (_BLK, *keys)])
+    same = F.col(_BLK) == F.col("_s0")
+    for i, c in enumerate(keys, 1):
+        same = same & F.col(c).eqNullSafe(F.col(f"_s{i}"))
+    out = local.join(renamed, same, "inner").drop(*[f"_s{i}" for i in range(len(keys) + 1)])
     if row_number:
         out = out.withColumn(row_number, (F.col("_off") + F.col("_lrn")).cast("int"))
     if value is not None:

@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -57,6 +58,11 @@ def touched(table: DataFrame, batch: DataFrame, parts: Sequence[str]) -> DataFra
     return table.join(F.broadcast(batch.select(*parts).distinct()), list(parts), "left_semi")
 
 
+def alike(a: str, b: str, columns: Sequence[str]) -> Column:
+    """Null-safe equality of two aliased frames' columns."""
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns])
+
+
 def latest_state_merger(state_path: str, keys: Sequence[str], order: Sequence[str], id_col: str | None = None,
                         buckets: int = 64):
     """M03 + M04: ``foreachBatch`` step keeping the newest row per key.
@@ -196,30 +202,21 @@ def scd2_maintainer(state_path: str, keys: Sequence[str], ts: str, tiebreak: str
                 now = spark.createDataFrame([], T.StructType([*edits.schema.fields, T.StructField("_next", at), T.StructField("_first", T.BooleanType())]))
             old = touched(now, edits, [BUCKET])
             own = [BUCKET, *keys]
-            fresh = edits.join(old.select(*own, "_at"), [*own, "_at"], "left_anti")
+            fresh = edits.alias("e").join(old.alias("o"), alike("e", "o", [*own, "_at"]), "left_anti")
             spans = old.select(*own, F.col("_at").alias("_start"), F.col("_next").alias("_stop"), F.lit(False).alias("_head")).unionByName(
                 old.filter("_first").select(*own, nothing.alias("_start"), F.col("_at").alias("_stop"), F.lit(True).alias("_head")))
             s, e = spans.alias("s"), fresh.alias("e")
             inside = (F.col("s._start").isNull() | (F.col("s._start") < F.col("e._at"))) & (F.col("s._stop").isNull() | (F.col("e._at") < F.col("s._stop")))
-            same = [F.col(f"s.{k}").eqNullSafe(F.col(f"e.{k}")) for k in own]
-            on = inside
-            for c in same:
-                on = on & c
-            placed = e.join(s, on, "left").select("e.*", "s._start", "s._stop")
+            placed = e.join(s, alike("s", "e", own) & inside, "left").select("e.*", "s._start", "s._stop")
             w = Window.partitionBy(*own, "_start").orderBy("_at")
             new = placed.withColumn("_next", F.coalesce(F.lead("_at").over(w), "_stop")).withColumn(
                 "_first", F.col("_start").isNull() & (F.row_number().over(w) == 1))
             ends = placed.groupBy(*own, "_start").agg(F.min("_at").alias("_end"))
-            changed = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(own)], "_start", "_end")
-            match = F.col("_at") == F.col("_start")
-            for i, k in enumerate(own):
-                match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-            kept = old.join(changed.filter(F.col("_start").isNotNull()), match, "left").withColumn("_next", F.coalesce("_end", "_next"))
-            heads = ends.filter(F.col("_start").isNull()).select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(own)])
-            led = F.lit(True)
-            for i, k in enumerate(own):
-                led = led & F.col(k).eqNullSafe(F.col(f"_h{i}"))
-            kept = kept.join(heads, led, "left").withColumn("_first", F.col("_first") & F.col("_h0").isNull())
+            o, c = old.alias("o"), ends.filter(F.col("_start").isNotNull()).alias("c")
+            kept = o.join(c, alike("o", "c", own) & (F.col("o._at") == F.col("c._start")), "left").select("o.*", "c._end")
+            led = ends.filter(F.col("_start").isNull()).select(*own, F.lit(True).alias("_led"))
+            kept = kept.alias("o").join(led.alias("c"), alike("o", "c", own), "left").select("o.*", "c._led")
+            kept = kept.withColumn("_next", F.coalesce("_end", "_next")).withColumn("_first", F.col("_first") & F.col("_led").isNull())
             return kept.select(*now.columns).unionByName(new.select(*now.columns))
 
         state.publish(maintained, batch_label(batch, batch_id))
