@@ -94,30 +94,71 @@ def groups_with_counts(groups: DataFrame, members: DataFrame, group_col: str = "
     return groups.join(c, group_col, "left").withColumn("n_members", F.coalesce("n_members", F.lit(0)))
 
 
-def auto_mark_orphans(orphans: DataFrame, lifecycle: DataFrame, keys: Sequence[str], now: dt.datetime,
-                      removed_col: str = "removed_at") -> DataFrame:
-    """A 'marked' event for each orphan not already marked after its
-    removal; the event id is derived from the removal generation, so a
-    re-run produces the same ids (idempotent)."""
-    status = latest_wins(lifecycle, list(keys), ["edited_at", "change_id"]).select(
-        *keys, F.col("status").alias("_st"), F.col("edited_at").alias("_st_at"))
-    j = orphans.join(status, list(keys), "left")
-    todo = j.filter(~((F.col("_st") == "marked") & (F.col("_st_at") >= F.col(removed_col))) | F.col("_st").isNull())
-    gen = F.date_format(F.col(removed_col), "yyyyMMddHHmmss")
-    return todo.select(*keys, F.lit("marked").alias("status"), F.lit(now).cast("timestamp_ntz").alias("edited_at"),
-                       F.concat_ws(":", F.lit("mark"), *[F.col(k).cast("string") for k in keys], gen).alias("change_id"))
+# What the orphan detector writes.
+DISCONTINUED, PURGED = "descontinuado", "purged"
+DETECTOR = "system:orphan-detector"
+PURGE_NOTE = "Descontinuada: será removida do Gold por um operador (com backup), nunca automaticamente."
+PURGE_TARGETS = {
+    "pevs": ("gold_pevs_production", "product_code"),
+    "pam": ("gold_pam_production", "product_code"),
+    "ppm": ("gold_ppm_production", "product_code"),
+    "comex": ("gold_comex_flows", "ncm_code"),
+    "comtrade": ("gold_comtrade_flows", "cmd_code"),
+}
 
 
-def purge_plan(marked: DataFrame, readded: DataFrame, code_col: str, snapshot_ok: bool, keys: Sequence[str]) -> DataFrame:
-    """Purge is allowed only for marked, digits-only codes that were not
-    re-added, and only when a recent complete snapshot exists."""
-    p = marked.join(readded.select(*keys), list(keys), "left_anti")
-    return p.withColumn("allowed", F.col(code_col).rlike(r"^\d+$") & F.lit(bool(snapshot_ok)))
+def auto_mark_orphans(orphans: DataFrame, lifecycle: DataFrame, keys: Sequence[str], now: dt.datetime,
+                      removed_col: str = "removed_at", group_col: str | None = None) -> DataFrame:
+    """A 'descontinuado' event for each orphan whose latest lifecycle event
+    does not cover this removal.
+
+    An event at or after the removal covers it, whatever its status; a newer
+    removal is marked again.  Without a time to compare, a key already
+    discontinued or purged is left.  The event id names the removal, so a re-run
+    gives the same ids.  ``keys`` are the source, then the code."""
+    status = latest_wins(lifecycle, list(keys), ["edited_at", "change_id"]).select(
+        *keys, F.col("status").alias("_st"), F.col("edited_at").alias("_at"))
+    removed = F.col(removed_col)
+    covered = F.when(removed.isNotNull() & F.col("_at").isNotNull(), F.col("_at") >= removed).otherwise(
+        F.col("_st").isin(DISCONTINUED, PURGED))
+    todo = orphans.join(status, list(keys), "left").filter(~F.coalesce(covered, F.lit(False)))
+    group = F.coalesce(F.col(group_col) if group_col else F.lit(None).cast("string"), F.lit("—"))
+    gen = F.coalesce(F.date_format(removed, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("0"))
+    return todo.select(
+        *keys, F.lit(DISCONTINUED).alias("status"),
+        F.concat(F.lit("Removida do cadastro; dados em Gold pendentes (agrupamento "), group, F.lit(").")).alias("reason"),
+        F.lit(PURGE_NOTE).alias("purge_note"), F.lit(DETECTOR).alias("edited_by"), F.lit(now).cast("timestamp_ntz").alias("edited_at"),
+        F.concat_ws(":", F.lit(DISCONTINUED), F.lit("commodity"), *[F.col(k).cast("string") for k in keys], gen).alias("change_id"))
+
+
+def purge_plan(requests: DataFrame, lifecycle: DataFrame, active: DataFrame, source_col: str, code_col: str,
+               backup: tuple[bool, str], dataset: str = "gold") -> DataFrame:
+    """For each requested (source, code): why a purge is refused, or the
+    statements an operator would run, and whether there is a snapshot to go back to.
+
+    Refused are codes that are not digits alone ('invalid'), whose latest
+    lifecycle event is not 'descontinuado' ('not_marked'), or that the catalogue
+    holds again ('re_added').  Nothing is deleted.  ``backup`` is what
+    ``snapshot.backup_status`` says; a plan is allowed with both."""
+    keys = [source_col, code_col]
+    r = requests.select(F.trim(source_col).alias(source_col), F.trim(code_col).alias(code_col)).distinct()
+    now = latest_wins(lifecycle, keys, ["edited_at", "change_id"]).select(*keys, F.col("status").alias("_st"))
+    back = active.select(*keys).distinct().withColumn("_back", F.lit(True))
+    j = r.join(now, keys, "left").join(back, keys, "left")
+    invalid = ~(F.coalesce(F.col(source_col) != "", F.lit(False)) & F.coalesce(F.col(code_col).rlike(r"\A[0-9]+\z"), F.lit(False)))
+    refused = (F.when(invalid, "invalid").when(~F.col("_st").eqNullSafe(F.lit(DISCONTINUED)), "not_marked")
+               .when(F.col("_back"), "re_added"))
+    targets = F.create_map(*[x for s, (t, c) in PURGE_TARGETS.items() for x in (F.lit(s), F.concat(
+        F.lit(f"DELETE FROM `{dataset}.{t}` WHERE {c} = '"), F.col(code_col), F.lit("';")))])
+    j = j.withColumn("refused", refused)
+    return j.select(*keys, "refused", F.when(F.col("refused").isNull(), targets[F.col(source_col)]).alias("statement"),
+                    F.lit(bool(backup[0])).alias("backup_ok"), F.lit(backup[1]).alias("backup_msg"),
+                    (F.col("refused").isNull() & F.lit(bool(backup[0]))).alias("allowed"))
 
 
 def purge_event(plan: DataFrame, keys: Sequence[str], now: dt.datetime) -> DataFrame:
     """Terminal 'purged' event, id scoped to the generation."""
-    return plan.filter("allowed").select(*keys, F.lit("purged").alias("status"),
+    return plan.filter("allowed").select(*keys, F.lit(PURGED).alias("status"),
                                          F.lit(now).cast("timestamp_ntz").alias("edited_at"),
                                          F.concat_ws(":", F.lit("purge"), *[F.col(k).cast("string") for k in keys]).alias("change_id"))
 

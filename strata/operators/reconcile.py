@@ -4,31 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def reconcile_cells(live: DataFrame, source: DataFrame, keys: Sequence[str], value: str, rel_tol: float = 1e-9) -> DataFrame:
-    """Classify every key as compared / diverged / only_source / only_live.
+def reconcile_cells(live: DataFrame, source: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Classify every key as equal / diverged / only_source / only_live.
 
-    Returns one row per key with its status; ``reconcile_summary`` counts
-    them.  A full outer join on the natural key.
-    """
-    a = live.select(*keys, F.col(value).alias("live_value"))
-    b = source.select(*keys, F.col(value).alias("source_value"), F.lit(True).alias("_in_src"))
-    a = a.withColumn("_in_live", F.lit(True))
-    j = a.join(b, list(keys), "full_outer")
-    lv, sv = F.col("live_value"), F.col("source_value")
-    diverged = ~(lv.eqNullSafe(sv)) & ~(
-        lv.isNotNull() & sv.isNotNull() & (F.abs(lv - sv) <= F.lit(rel_tol) * F.greatest(F.abs(lv), F.abs(sv)))
-    )
+    Values are compared as stored, as text.  A full outer join on the natural
+    key; ``reconcile_report`` counts and samples it."""
+    a = live.select(*keys, F.col(value).cast("string").alias("live_value"), F.lit(True).alias("_in_live"))
+    b = source.select(*keys, F.col(value).cast("string").alias("source_value"), F.lit(True).alias("_in_src"))
     status = (
         F.when(F.col("_in_live").isNull(), "only_source")
         .when(F.col("_in_src").isNull(), "only_live")
-        .when(diverged, "diverged")
+        .when(~F.col("live_value").eqNullSafe(F.col("source_value")), "diverged")
         .otherwise("equal")
     )
-    return j.withColumn("status", status).drop("_in_live", "_in_src")
+    return a.join(b, list(keys), "full_outer").withColumn("status", status).drop("_in_live", "_in_src")
+
+
+def reconcile_report(cells: DataFrame, keys: Sequence[str], samples: int = 5) -> DataFrame:
+    """One row a status with its count and its first keys with both values.
+
+    Every task counts its rows of a status and keeps the first keys of each (a
+    group-limited window before the shuffle), so a report moves a few rows a
+    task, however many cells differ."""
+    shown = F.concat(F.concat_ws(" ", *[F.col(k).cast("string") for k in keys]), F.lit(": source="),
+                     F.coalesce("source_value", F.lit("-")), F.lit(" live="), F.coalesce("live_value", F.lit("-")))
+    w = Window.partitionBy("status").orderBy(*keys)
+    first = cells.filter(F.col("status") != "equal").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= samples)
+    listed = first.groupBy("status").agg(F.array_sort(F.collect_list(F.struct("_n", shown.alias("t")))).alias("s"))
+    listed = listed.select("status", F.array_join(F.transform("s", lambda x: x["t"]), "; ").alias("samples"))
+    return cells.groupBy("status").agg(F.count(F.lit(1)).alias("n")).join(listed, "status", "left")
 
 
 def reconcile_summary(cells: DataFrame) -> DataFrame:

@@ -175,3 +175,44 @@ def index_paired_growth(df: DataFrame, keys: Sequence[str], order: str, value: s
     prev = F.lag(value).over(w)
     return df.withColumn(out, F.when(prev.isNull(), F.lit(None).cast("double"))
                          .when(prev == 0, F.lit(0.0)).otherwise((F.col(value) - prev) / prev))
+
+
+def co_moments(df: DataFrame, period: str, series: str, value: str) -> DataFrame:
+    """For every pair of series, n, sums, squares and cross products over the periods both have.
+
+    The facts are summed once per (period, series); a period's k series stand in
+    one row, whose pairs are formed there, so the plan has no join, and the k * k
+    rows of a period do not depend on the facts.  Moments of several loads of
+    different periods add up (``correlations`` sums them)."""
+    per = df.groupBy(period, series).agg(F.sum(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    rows = per.groupBy(period).agg(F.array_sort(F.collect_list(F.struct(F.col(series).alias("s"), "v"))).alias("k"))
+    pair = lambda a, b: F.struct(a["s"].alias("series_a"), b["s"].alias("series_b"), a["v"].alias("x"), b["v"].alias("y"))
+    pairs = F.flatten(F.transform("k", lambda a, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda b: pair(a, b))))
+    x, y = F.col("x"), F.col("y")
+    return rows.select(F.explode(pairs).alias("p")).select("p.*").groupBy("series_a", "series_b").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"),
+        F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
+
+
+def correlations(moments: DataFrame) -> DataFrame:
+    """Pearson r of every pair, 0 when n < 2 or a series does not vary; moments of a pair are added up."""
+    m = moments.groupBy("series_a", "series_b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    n = F.col("n")
+    va, vb = n * F.col("sxx") - F.col("sx") * F.col("sx"), n * F.col("syy") - F.col("sy") * F.col("sy")
+    r = F.try_divide(n * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt(F.greatest(va, F.lit(0.0))) * F.sqrt(F.greatest(vb, F.lit(0.0))))
+    return m.select("series_a", "series_b", F.when(n < 2, 0.0).otherwise(F.coalesce(r, F.lit(0.0))).alias("r"), n.alias("n_years"))
+
+
+# A KLL sketch of 200 answers a rank within 1.65 % of the rows, of all at once, 99 times in 100.
+SKETCH_RANK_ERROR = 0.0165
+
+
+def quantile_sketches(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """One mergeable quantile sketch a group, of bounded size whatever the rows."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value).cast("double")).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, by: Sequence[str], p: float, out: str) -> DataFrame:
+    """The quantile of each group over the sketches of all loads, and its rows."""
+    m = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    return m.select(*by, F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(out), F.kll_sketch_get_n_double("sketch").alias("n_rows"))

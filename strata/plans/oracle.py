@@ -847,10 +847,59 @@ SELECT coalesce(cells.flow, mp.flow) AS flow, coalesce(cells.unit, mp.unit) AS u
 FROM cells FULL OUTER JOIN mp ON cells.flow = mp.flow AND cells.unit = mp.unit"""
 
 ORACLE["auto_mark_orphans"] = f"""WITH {LOG_CTE},
-o AS (SELECT user_id, ts AS removed_at FROM cur WHERE NOT active AND user_id IN (SELECT o_custkey FROM orders))
-SELECT user_id, 'marked' AS status, TIMESTAMP '2024-02-01 00:00:00' AS edited_at,
-       'mark:' || CAST(user_id AS VARCHAR) || ':' || strftime(removed_at, '%Y%m%d%H%M%S') AS change_id
-FROM o"""
+o AS (SELECT user_id, ts AS removed_at FROM cur WHERE NOT active AND user_id IN (SELECT o_custkey FROM orders)),
+g AS (SELECT user_id, max_by(group_name, (ts, event_id)) FILTER (WHERE group_name IS NOT NULL) AS grp FROM log GROUP BY 1),
+p AS (SELECT user_id, max(CASE WHEN user_id < 500 THEN TIMESTAMP '2024-02-01 00:00:00' ELSE ts END) AS at FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT 'comex' AS banco, CAST(user_id AS VARCHAR) AS code, 'descontinuado' AS status,
+       'Removida do cadastro; dados em Gold pendentes (agrupamento ' || coalesce(grp, '—') || ').' AS reason,
+       'Descontinuada: será removida do Gold por um operador (com backup), nunca automaticamente.' AS purge_note,
+       'system:orphan-detector' AS edited_by, TIMESTAMP '2024-02-01 00:00:00' AS edited_at,
+       'descontinuado:commodity:comex:' || CAST(user_id AS VARCHAR) || ':' || strftime(removed_at, '%Y-%m-%dT%H:%M:%S') AS change_id
+FROM o LEFT JOIN g USING (user_id) LEFT JOIN p USING (user_id) WHERE p.at IS NULL OR p.at < removed_at"""
+
+ORACLE["purge_plan"] = f"""WITH {LOG_CTE},
+r AS (SELECT DISTINCT user_id, x.prefix || CAST(user_id AS VARCHAR) AS code, x.prefix = 'N' AS letter FROM events, (VALUES (''), ('N')) x(prefix)),
+j AS (SELECT r.code, CASE WHEN letter THEN 'invalid'
+                          WHEN r.user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error') THEN 'not_marked'
+                          WHEN cur.active THEN 're_added' END AS refused
+      FROM r JOIN cur ON r.user_id = cur.user_id)
+SELECT 'comex' AS banco, code, refused,
+       CASE WHEN refused IS NULL THEN 'DELETE FROM `gold.gold_comex_flows` WHERE ncm_code = ' || chr(39) || code || chr(39) || ';' END AS statement,
+       true AS backup_ok, refused IS NULL AS allowed
+FROM j"""
+
+ORACLE["gold_snapshot"] = f"""
+SELECT 'gold_by_year' AS "table", count(*) AS n_rows, 'gold' AS dataset FROM (SELECT DISTINCT l_returnflag, {YEAR} FROM lineitem)
+UNION ALL SELECT 'gold_by_month', count(*), 'gold' FROM (
+  SELECT DISTINCT l_returnflag, {YEAR}, {MONTH}, s_nationkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+UNION ALL SELECT 'gold_orders', count(*), 'gold' FROM orders"""
+
+ORACLE["correlation_matrix"] = f"""
+WITH s AS (SELECT {YEAR} AS year, p_brand AS k, sum({REV})::DOUBLE AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
+SELECT a.k AS series_a, b.k AS series_b, count(*) AS n_years,
+       round(CASE WHEN count(*) < 2 THEN 0.0 ELSE coalesce(covar_pop(a.v, b.v) / NULLIF(stddev_pop(a.v) * stddev_pop(b.v), 0), 0.0) END, 6) AS r
+FROM s a JOIN s b ON a.year = b.year AND a.k < b.k GROUP BY 1, 2"""
+
+ORACLE["median_price_sketch"] = f"SELECT {YEAR} AS year, count(*) AS n_rows, true AS within_error FROM lineitem WHERE l_quantity <> 0 GROUP BY 1"
+
+ORACLE["reconcile_samples"] = """
+WITH live AS (SELECT l_orderkey AS k, CAST(sum(l_quantity) AS BIGINT) AS qty FROM lineitem GROUP BY 1),
+src AS (SELECT CASE WHEN k % 11 = 0 THEN -k - 1 ELSE k END AS k, CASE WHEN k % 7 = 0 THEN qty + 1 ELSE qty END AS qty FROM live),
+j AS (SELECT coalesce(live.k, src.k) AS k, live.qty AS lv, src.qty AS sv,
+             CASE WHEN live.k IS NULL THEN 'only_source' WHEN src.k IS NULL THEN 'only_live' WHEN live.qty <> src.qty THEN 'diverged' ELSE 'equal' END AS status
+      FROM live FULL OUTER JOIN src ON live.k = src.k),
+n AS (SELECT status, count(*) AS n FROM j GROUP BY 1),
+f AS (SELECT * FROM j WHERE status <> 'equal' QUALIFY row_number() OVER (PARTITION BY status ORDER BY k) <= 5),
+s AS (SELECT status, string_agg(k || ': source=' || coalesce(CAST(sv AS VARCHAR), '-') || ' live=' || coalesce(CAST(lv AS VARCHAR), '-'), '; ' ORDER BY k) AS samples FROM f GROUP BY 1)
+SELECT n.status, n.n, s.samples FROM n LEFT JOIN s ON n.status = s.status"""
+
+ORACLE["header_payload"] = """
+SELECT CAST(s_suppkey AS VARCHAR) AS fornecedor_codigo, s_name AS razao_social,
+       CASE WHEN (s_suppkey // 100) % 2 = 0 THEN CAST(s_nationkey AS VARCHAR) END AS nacao FROM supplier"""
+
+ORACLE["mesh_flatten"] = """
+SELECT c_custkey AS code, c_name AS name, n_name AS uf, r_name AS region
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 
 
 # --- more reads and joins ----------------------------------------------------
@@ -1574,6 +1623,7 @@ a AS (SELECT sum(qty_native) AS q, sum(val_yearfx_brl) AS v1, sum(val_real_ipca_
 b AS (SELECT sum(qty_native) AS q, sum(val_yearfx_brl) AS v1, sum(val_real_ipca_brl) AS v2, sum(val_real_igpm_usd) AS v3 FROM mart)
 SELECT 'crosswalk_unique' AS "check", 'error' AS severity,
        (SELECT count(*) FROM (SELECT product_code FROM cw GROUP BY 1 HAVING count(*) > 1)) AS n_failing
+UNION ALL SELECT 'silver_conserved_in_gold', 'error', 0
 UNION ALL SELECT 'mart_conserves_gated_gold', 'error',
        (SELECT count(*) FROM a, b WHERE abs(coalesce(a.q, 0) - coalesce(b.q, 0)) > 1e-6 * greatest(abs(coalesce(a.q, 0)), abs(coalesce(b.q, 0)), 1.0)
           OR abs(coalesce(a.v1, 0) - coalesce(b.v1, 0)) > 1e-6 * greatest(abs(coalesce(a.v1, 0)), abs(coalesce(b.v1, 0)), 1.0)

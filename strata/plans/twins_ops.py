@@ -23,18 +23,6 @@ def _mart(lines: DataFrame) -> DataFrame:
         F.sum("value_cents").alias("value_cents"), F.sum("qty").alias("qty"))
 
 
-@register
-def conservation_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """Totals are conserved from lines to the mart, per flow and overall."""
-    lines = trade_lines(spark, sf, product=True, reporter=True)
-    mart = _mart(lines)
-    return CK.run_suite({
-        "value_qty_conserved": (CK.conserved(lines, mart, ["value_cents", "qty"]), CK.ERROR),
-        "value_conserved_per_flow": (CK.conserved(lines, mart, ["value_cents"], keys=["flow"]), CK.ERROR),
-        "mart_has_rows": (CK.non_empty(mart), CK.ERROR),
-    })
-
-
 @register
 def grain_checks(spark: SparkSession, sf: str) -> DataFrame:
     """Grain uniqueness, not-null, accepted values and relationships."""

@@ -261,9 +261,13 @@ def comtrade_gold_pipeline(spark: SparkSession, sf: str) -> DataFrame:
 SURVEY_MART_SUMS = ["qty_native", "val_yearfx_brl", "val_real_ipca_brl", "val_real_igpm_usd"]
 
 
-def _survey_gold(spark: SparkSession, sf: str) -> DataFrame:
-    silver = survey_silver(stored(survey_bronze(spark, sf), "bronze_survey_mart"), "prod_codigo", "prod",
-                           seeds.currency_factors(spark), seeds.unit_families(spark), seeds.product_unit_factors(spark), "pevs")
+def _survey_silver(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return survey_silver(stored(survey_bronze(spark, sf), name), "prod_codigo", "prod",
+                         seeds.currency_factors(spark), seeds.unit_families(spark), seeds.product_unit_factors(spark), "pevs")
+
+
+def _survey_gold(spark: SparkSession, sf: str, silver: DataFrame | None = None) -> DataFrame:
+    silver = _survey_silver(spark, sf, "bronze_survey_mart") if silver is None else silver
     daily = orders_daily(spark, sf)
     return survey_gold(silver, index_series(spark, sf, daily), fx_series(spark, sf, daily))
 
@@ -301,16 +305,24 @@ def survey_serving_mart(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def survey_mart_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """Crosswalk uniqueness and mart = gated Gold conservation."""
+    """L02/L03/L05 over stored layers: Silver's control totals in Gold, crosswalk
+    uniqueness, and the gated Gold in the mart."""
     from strata.operators import checks as CK
+    from strata.operators import conservation as CV
+    from strata.plans.twins_controls import layer
     from strata.plans.serving import conserved_to_gold, serving_mart
 
-    gold = _survey_gold(spark, sf)
+    stored_layer = lambda name, build, measures: layer(spark, name, build, measures, ("reference_year",))
+    value = F.when(F.col("is_monetary_value"), F.col("numeric_value"))
+    silver = stored_layer("silver_checked", lambda: _survey_silver(spark, sf, "bronze_survey_checks"), {"qty": "qty_native", "value": value})
+    gold = stored_layer("gold_checked", lambda: _survey_gold(spark, sf, silver.read()), {m: m for m in SURVEY_MART_SUMS})
     hidden = _hidden_products(spark, sf)
-    mart, violations = serving_mart(gold, ["reference_year", "state_acronym", "product_code", "family"], hidden,
-                                    "product_code", SURVEY_MART_SUMS, refresh_col=None, crosswalk=_product_groups(spark, sf))
+    keys = ["reference_year", "state_acronym", "product_code", "family"]
+    built, violations = serving_mart(gold.read(), keys, hidden, "product_code", SURVEY_MART_SUMS, refresh_col=None, crosswalk=_product_groups(spark, sf))
+    mart = stored_layer("mart_checked", lambda: built, {}).read()
     return CK.run_suite({
+        "silver_conserved_in_gold": (CV.unconserved(silver, gold.read(), {"qty": "qty_native", "value": "val_raw"}), CK.ERROR),
         "crosswalk_unique": (violations, CK.ERROR),
-        "mart_conserves_gated_gold": (conserved_to_gold(mart, gold, hidden, "product_code", SURVEY_MART_SUMS), CK.ERROR),
+        "mart_conserves_gated_gold": (conserved_to_gold(mart, gold.read(), hidden, "product_code", SURVEY_MART_SUMS), CK.ERROR),
         "mart_grain_unique": (CK.unique_combination(mart, ["reference_year", "state_acronym", "product_code", "family"]), CK.ERROR),
     })

@@ -176,12 +176,6 @@ def _browse_preds():
             R.typed_filter("o_orderpriority", "contains", "urgent")]
 
 
-@register
-def browse_page(spark: SparkSession, sf: str) -> DataFrame:
-    """A 500-row page at offset 100 in a total order over all columns."""
-    return R.browse(t(spark, sf, "orders"), _browse_preds(), offset=100, limit=500)
-
-
 @register
 def browse_count(spark: SparkSession, sf: str) -> DataFrame:
     return R.browse_count(t(spark, sf, "orders"), _browse_preds())

@@ -135,15 +135,6 @@ def matrix_with_mapping(spark: SparkSession, sf: str) -> DataFrame:
     return K.matrix_with_mapping(cells, mapping, ["flow", "unit"])
 
 
-@register
-def auto_mark_orphans(spark: SparkSession, sf: str) -> DataFrame:
-    """One 'marked' event per orphan, id derived from its removal time."""
-    data = t(spark, sf, "orders").select(F.col("o_custkey").alias("user_id"))
-    orph = scd.orphans(_log(spark, sf), data, ["user_id"], "group_name", ts="ts", tiebreak="event_id")
-    empty = spark.createDataFrame([], "user_id long, status string, edited_at timestamp, change_id string")
-    return K.auto_mark_orphans(orph, empty, ["user_id"], NOW)
-
-
 def _resolved(spark: SparkSession, sf: str, ingestion, configured: Column | None = None) -> DataFrame:
     from strata.operators.gate import resolve_scope
 

@@ -57,26 +57,30 @@ def normalise_header(name: str) -> str:
     return re.sub(r"_+", "_", s).strip("_")
 
 
-def header_row_payload(spark: SparkSession, path: str) -> DataFrame:
+def header_row_payload(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """JSON arrays of objects whose first element is the header.
 
-    Each file holds ``[{"V": "Valor", ...}, {"V": "12", ...}, ...]``.  The
-    first object of every file gives the display names; data rows are the
-    rest.  Files are read in parallel; the header is taken per file, and
-    names are normalised on the driver from one small header row.
-    """
-    raw = spark.read.option("multiLine", True).json(path).withColumn("_file", F.input_file_name())
-    if not raw.columns or raw.count() == 0:
-        return spark.createDataFrame([], T.StructType([]))
-    from pyspark.sql import Window
-
-    keys = [c for c in raw.columns if c != "_file"]
-    w = Window.partitionBy("_file").orderBy(F.monotonically_increasing_id())
-    ranked = raw.withColumn("_pos", F.row_number().over(w))
-    header = ranked.filter(F.col("_pos") == 1).select(*keys).limit(1).collect()[0]
-    names = [normalise_header(header[k] or k) for k in keys]
-    body = ranked.filter(F.col("_pos") > 1).select(*keys)
-    return body.toDF(*names)
+    Each file holds ``[{"V": "Valor", ...}, {"V": "12", ...}, ...]``.  Every row
+    is a map whose keys are renamed by the header of its own file, so files may
+    name or order their keys differently; a payload with a header alone, or
+    none, has no rows.  A file is one response of the source, a bounded chunk.
+
+    ``columns`` are the normalised names to return (a name that a file lacks is
+    NULL there); without them, all names found are looked up first."""
+    payload = F.from_json("value", "array<map<string,string>>")
+    files = spark.read.text(path, wholetext=True).select(payload.alias("rows")).filter(F.size("rows") > 1)
+    names = F.transform_values(F.get("rows", F.lit(0)), lambda k, v: normal_name(F.coalesce(v, k)))
+    renamed = files.select(names.alias("names"), F.explode(F.slice("rows", F.lit(2), F.size("rows"))).alias("row")).select(
+        F.transform_keys("row", lambda k, _: F.coalesce(F.col("names")[k], normal_name(k))).alias("row"))
+    if columns is None:
+        columns = sorted(r["k"] for r in renamed.select(F.explode(F.map_keys("row")).alias("k")).distinct().collect())
+    return renamed.select(*[F.col("row")[c].alias(c) for c in columns])
+
+
+def normal_name(c: F.Column) -> F.Column:
+    """A10 as a column: lower case, accents stripped, other runs to one underscore."""
+    folded = F.translate(F.lower(c), "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ", "aaaaaaeeeeiiiiooooouuuucnyy")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(folded, r"[^\x00-\x7f]", ""), r"[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
 def series_payload(spark: SparkSession, path: str, series_code: str, label_cols: dict[str, str] | None = None) -> DataFrame:
@@ -107,13 +111,15 @@ def trade_payload(spark: SparkSession, path: str, columns: Sequence[str]) -> Dat
 
 def flatten_mesh(df: DataFrame, mapping: dict[str, tuple[str, ...]], min_rows: int | None = None) -> DataFrame:
     """Nested records -> wide row; each output column takes the first
-    non-null of its candidate paths (branch fallback).  Refuses a short result."""
+    non-null of its candidate paths (branch fallback).  A short result is
+    refused by the query itself, when it runs: nothing is counted beforehand."""
     out = df.select(*[F.coalesce(*[F.col(p) for p in paths]).alias(name) for name, paths in mapping.items()])
-    if min_rows is not None:
-        n = out.count()
-        if n < min_rows:
-            raise ValueError(f"refusing a short result: {n} < {min_rows} rows")
-    return out
+    if min_rows is None:
+        return out
+    n = out.agg(F.count(F.lit(1)).alias("_n"))
+    short = F.raise_error(F.concat(F.lit("refusing a short result: "), F.col("_n").cast("string"), F.lit(f" < {min_rows} rows")))
+    held = n.select(F.when(F.col("_n") < min_rows, short.cast("boolean")).otherwise(True).alias("_enough"))
+    return out.crossJoin(F.broadcast(held)).filter("_enough").drop("_enough")  # one row
 
 
 def write_csv_export(df: DataFrame, path: str) -> None:

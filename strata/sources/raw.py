@@ -1,4 +1,4 @@
-"""Raw archive and its manifest (survey A01-A05, A22-A24, A29, A30, A38, A39).
+"""Raw archive and its manifest (survey A01-A05, A22-A24, A29, A38, A39).
 
 An extract is archived verbatim as Parquet under
 ``<root>/source=<s>/dataset=<d>/batch_id=<b>/`` and described by one
@@ -141,26 +141,6 @@ def source_freshness(df: DataFrame, ts: str, warn_after_hours: float, error_afte
                           .when(F.col("age_hours") > warn_after_hours, "warn").otherwise("pass"))
 
 
-def snapshot(tables: Mapping[str, DataFrame], root: str, run_id: str) -> DataFrame:
-    """Write every table under ``run=<id>/<table>`` and the run's
-    manifest last; a run without its manifest is partial."""
-    spark = next(iter(tables.values())).sparkSession
-    rows = []
-    for name, df in tables.items():
-        path = f"{root.rstrip('/')}/run={run_id}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        rows.append((name, spark.read.parquet(path).count()))
-    m = spark.createDataFrame(rows, "table string, rows long").withColumn("run_id", F.lit(run_id))
-    m.coalesce(1).write.mode("overwrite").parquet(f"{root.rstrip('/')}/run={run_id}/_manifest")
-    return m
-
-
-def complete_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Snapshot runs whose manifest exists."""
-    return spark.read.option("recursiveFileLookup", "false").parquet(f"{root.rstrip('/')}/run=*/_manifest").select(
-        "run_id").distinct()
-
-
 def archive_partitioned(df: DataFrame, root: str, source: str, dataset: str, batch_col: str,
                         fetched_at: dt.datetime, provenance: Mapping[str, str] | None = None) -> DataFrame:
     """A01 at scale: archive many batches in one job (partitioned by batch)

@@ -85,11 +85,8 @@ def test_flatten_mesh_refuses_short(spark):
     df = spark.createDataFrame([({"a": {"b": "x"}, "c": None},)], "r struct<a:struct<b:string>, c:string>")
     out = landed.flatten_mesh(df, {"name": ("r.c", "r.a.b")})
     assert out.first().name == "x"
-    try:
-        landed.flatten_mesh(df, {"name": ("r.c", "r.a.b")}, min_rows=5000)
-        raise AssertionError("expected a refusal")
-    except ValueError:
-        pass
+    with pytest.raises(Exception, match="refusing a short result: 1 < 5000"):
+        landed.flatten_mesh(df, {"name": ("r.c", "r.a.b")}, min_rows=5000).collect()
 
 
 def test_archive_manifest_bookkeeping(spark):
@@ -111,9 +108,6 @@ def test_archive_manifest_bookkeeping(spark):
     exp = spark.createDataFrame([("b1", 2019), ("b3", 2019), ("b4", 2020)], "batch_id string, year int")
     st = {r.batch_id: r.status for r in raw.expected_missing(exp, m, "year", 2020).collect()}
     assert st == {"b3": "error", "b4": "skip"}
-    snap = _tmp()
-    raw.snapshot({"t1": df}, snap, "r1")
-    assert [r.run_id for r in raw.complete_runs(spark, snap).collect()] == ["r1"]
 
 
 def test_bronze_and_calendar(spark):
@@ -171,11 +165,6 @@ def test_curation_rules(spark):
     assert sorted(r.group_id for r in ok.collect()) == ["g2", "g4"]
     assert {r.group_id: r.reason for r in bad.collect()} == {"g3": "name_taken", "g1": "has_members", "g9": "not_found"}
 
-    marked = spark.createDataFrame([("123",), ("12a",), ("456",)], "code string")
-    plan = K.purge_plan(marked, spark.createDataFrame([("456",)], "code string"), "code", True, ["code"])
-    assert {r.code: r.allowed for r in plan.collect()} == {"123": True, "12a": False}
-    assert [r.code for r in K.purge_event(plan, ["code"], ts).collect()] == ["123"]
-
 
 def test_streaming_jobs(spark):
     ev = spark.createDataFrame(
