@@ -1722,5 +1722,74 @@ ORACLE["stream_scd2"] = ORACLE["scd2_timeline"]
 ORACLE["stream_freshness"] = "SELECT CAST(ts AS DATE) AS day, event_type, max(ts) AS newest, count(*) AS n_rows FROM events GROUP BY 1, 2"
 
 
+# --- annual marts ------------------------------------------------------------
+
+
+def _mart_sql(gold: str, source: str, code: str, grain: str, labels: list[str], sums: list[str], values: list[str], states: bool, cities: bool) -> str:
+    from strata.functions.columns import REGIONS, STATES
+
+    width = {"comex": 8, "comtrade": 6}.get(source)
+    form = lambda x: f"lpad({x}, {width}, '0')" if width else x
+    brand = "substr(p_brand, 7)"
+    aggs = [f"max({c}) AS {c}" for c in labels] + [f"round(sum({c}), 6) AS {c}" if c == "qty_base" else f"sum({c}) AS {c}" for c in sums] + [f"round(sum({c}), 2) AS {c}" for c in values]
+    aggs += ["count(DISTINCT city_code) AS n_cities"] if cities else []
+    abbrev = {n: a for n, a, _ in REGIONS}
+    rows = ", ".join(f"('{a}', '{n}', '{r}', '{abbrev[r]}')" for a, n, r in ((a, n.replace("'", "''"), r) for a, n, r in STATES))
+    return f"""
+WITH {LOG_CTE},
+gold AS ({gold}),
+hid AS (SELECT {form('CAST(user_id AS VARCHAR)')} AS c FROM hidden),
+m AS (SELECT {grain}, {', '.join(aggs)}, count(*) AS source_rows FROM gold WHERE {code} NOT IN (SELECT c FROM hid) GROUP BY {grain}),
+b AS (SELECT DISTINCT {form(brand)} AS {code}, CAST(trunc((CAST({brand} AS INTEGER) - 1) / 4) AS INTEGER) AS g FROM part),
+st AS (SELECT * FROM (VALUES {rows}) s(state_acronym, state_name, region, region_abbrev))
+SELECT m.*, make_date(m.reference_year, 12, 31) AS reference_date, 'grp_' || b.g AS group_id, 'Group ' || b.g AS group_name
+       {', st.state_name, st.region, st.region_abbrev' if states else ''}
+FROM m LEFT JOIN b ON m.{code} = b.{code} {'LEFT JOIN st ON m.state_acronym = st.state_acronym' if states else ''}"""
+
+
+_SURVEY_GRAIN = "reference_year, state_acronym, product_code, family"
+_SURVEY_VALUES = ["val_yearfx_brl", "val_yearfx_usd", "val_real_ipca_brl", "val_real_igpdi_eur"]
+ORACLE["crop_serving_mart"] = _mart_sql(ORACLE["crop_pipeline"], "pam", "product_code", _SURVEY_GRAIN, ["product_description", "base_unit", "unit_native"],
+                                        ["qty_native", "qty_base", "area_planted_ha", "area_harvested_ha"], _SURVEY_VALUES, True, True)
+ORACLE["livestock_serving_mart"] = _mart_sql(ORACLE["livestock_pipeline"], "ppm", "product_code", _SURVEY_GRAIN, ["product_description", "measure_kind", "base_unit", "unit_native"],
+                                             ["qty_native", "qty_base"], _SURVEY_VALUES, True, True)
+ORACLE["livestock_overview"] = f"""
+SELECT reference_year, round(sum(CASE WHEN measure_kind = 'flow' THEN val_real_ipca_brl END), 2) AS value,
+       sum(CASE WHEN measure_kind = 'stock' THEN qty_native END) AS heads, count(*) AS n_rows
+FROM ({ORACLE["livestock_serving_mart"]}) GROUP BY 1"""
+ORACLE["comex_serving_mart"] = _mart_sql(f"SELECT * REPLACE (CASE flow WHEN 'EXP' THEN 'export' ELSE 'import' END AS flow), val_fob_usd AS val_yearfx_usd FROM ({ORACLE['comex_pipeline']})", "comex", "ncm_code",
+                                         "reference_year, flow, ncm_code, state_acronym, country_code, family", ["unit_native"],
+                                         ["qty_native", "qty_base", "net_weight_kg", "freight_usd", "insurance_usd"],
+                                         ["val_yearfx_usd", "val_yearfx_brl", "val_yearfx_eur", "val_real_ipca_brl"], True, False)
+_COMTRADE_MART = _mart_sql(f"SELECT *, substr(reporter_name, 1, 3) AS reporter_iso_a3, substr(partner_name, 1, 3) AS partner_iso_a3 FROM ({ORACLE['comtrade_gold_pipeline']})",
+                           "comtrade", "cmd_code", "reference_year, flow, customs_code, cmd_code, reporter_code, partner_code, family",
+                           ["hs_chapter", "cmd_description", "reporter_name", "reporter_iso_a3", "partner_name", "partner_iso_a3", "unit_native"],
+                           ["qty_native", "qty_base", "net_weight_kg"],
+                           ["val_yearfx_usd", "val_yearfx_brl", "val_yearfx_eur", "val_real_ipca_brl", "val_real_igpdi_eur"], False, False)
+ORACLE["comtrade_serving_mart"] = f"""
+WITH e AS (SELECT 'C00' AS cc, CASE WHEN user_id % 2 = 0 THEN 'export' ELSE 'import' END AS fl, event_type, ts, event_id FROM events),
+fm AS (SELECT * FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY cc, fl ORDER BY ts DESC, event_id DESC) = 1) WHERE event_type <> 'error')
+SELECT x.*, fm.event_type AS market_nature FROM ({_COMTRADE_MART}) x LEFT JOIN fm ON x.customs_code = fm.cc AND x.flow = fm.fl"""
+_METRICS = [  # metric, mart, measure, filter
+    ("mdic_comex:exp_value", "cx", "val_yearfx_usd", "flow = 'export'"), ("mdic_comex:imp_value", "cx", "val_yearfx_usd", "flow = 'import'"),
+    ("mdic_comex:exp_weight", "cx", "net_weight_kg", "flow = 'export'"),
+    ("un_comtrade:exp_value", "ct", "val_yearfx_usd", "flow = 'export' AND reporter_iso_a3 = 'BRA'"),
+    ("un_comtrade:imp_value", "ct", "val_yearfx_usd", "flow = 'import' AND reporter_iso_a3 = 'BRA'"),
+    ("un_comtrade:partner_exp", "ct", "val_yearfx_usd", "flow = 'import' AND partner_iso_a3 = 'BRA'"),
+    ("un_comtrade:world_exp", "ct", "val_yearfx_usd", "flow = 'export'")]
+ORACLE["cross_metric_registry"] = f"WITH cx AS ({ORACLE['comex_serving_mart']}), ct AS ({_COMTRADE_MART}) " + " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, reference_year, round(sum({v}), 2) AS value FROM {f} WHERE {w} GROUP BY 2" for m, f, v, w in _METRICS)
+ORACLE["product_registry"] = f"""
+SELECT 'mdic_comex' AS source, ncm_code AS code, CAST(NULL AS VARCHAR) AS name, count(DISTINCT reference_year) AS n_years, round(sum(val_yearfx_usd), 2) AS value
+FROM ({ORACLE['comex_serving_mart']}) GROUP BY 2
+UNION ALL SELECT 'un_comtrade', cmd_code, max(cmd_description), count(DISTINCT reference_year), round(sum(val_yearfx_usd), 2) FROM ({_COMTRADE_MART}) GROUP BY 2"""
+ORACLE["productivity_states"] = f"""
+WITH m AS ({ORACLE['crop_serving_mart']}),
+y AS (SELECT product_code, max(reference_year) AS reference_year FROM m GROUP BY 1),
+s AS (SELECT product_code, reference_year, state_acronym, round(sum(qty_base) / NULLIF(sum(area_harvested_ha), 0), 6) AS yield_t_ha, sum(area_harvested_ha) AS area
+      FROM m JOIN y USING (product_code, reference_year) GROUP BY 1, 2, 3)
+SELECT *, CAST(row_number() OVER (PARTITION BY product_code ORDER BY yield_t_ha DESC NULLS LAST, state_acronym) AS INTEGER) AS rank FROM s"""
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -199,41 +199,53 @@ def browse_count(df: DataFrame, preds: Sequence[Column | None] = ()) -> DataFram
 # columns.  They are configuration (a handful of rows), resolved on the
 # driver into column names; the data work stays in the reads above.
 # ---------------------------------------------------------------------------
-SOURCE_REGISTRY: dict[str, dict[str, str]] = {
-    "pevs": {"mart": "serving_pevs_annual", "code": "product_code", "name": "product_description",
-             "value": "val_real_ipca_brl"},
-    "pam": {"mart": "serving_pam_annual", "code": "product_code", "name": "product_description",
-            "value": "val_real_ipca_brl"},
-    "ppm": {"mart": "serving_ppm_annual", "code": "product_code", "name": "product_description",
-            "value": "val_real_ipca_brl"},
-    "comex": {"mart": "serving_comex_annual", "code": "ncm_code", "name": "ncm_description", "value": "val_fob_usd"},
-    "comtrade": {"mart": "serving_comtrade_annual", "code": "cmd_code", "name": "cmd_description",
-                 "value": "val_fob_usd"},
+# Mart, code column, name column and default value column of each source.
+SOURCE_REGISTRY: dict[str, tuple[str, str, str, str]] = {
+    "ibge_pevs": ("serving_pevs_annual", "product_code", "product_description", "val_real_ipca_brl"),
+    "ibge_pam": ("serving_pam_annual", "product_code", "product_description", "val_real_ipca_brl"),
+    "ibge_ppm": ("serving_ppm_annual", "product_code", "product_description", "val_real_ipca_brl"),
+    "mdic_comex": ("serving_comex_annual", "ncm_code", "ncm_description", "val_yearfx_usd"),
+    "un_comtrade": ("serving_comtrade_annual", "cmd_code", "cmd_description", "val_yearfx_usd"),
 }
 
-CROSS_METRICS: dict[str, dict[str, str]] = {
-    "production_value": {"source": "pevs", "measure": "val_real_ipca_brl", "flow": "", "reporter": ""},
-    "production_qty": {"source": "pevs", "measure": "qty_base", "flow": "", "reporter": ""},
-    "exports_value": {"source": "comex", "measure": "val_fob_usd", "flow": "export", "reporter": ""},
-    "exports_weight": {"source": "comex", "measure": "net_weight_kg", "flow": "export", "reporter": ""},
-    "imports_value": {"source": "comex", "measure": "val_fob_usd", "flow": "import", "reporter": ""},
-    "world_exports_value": {"source": "comtrade", "measure": "val_fob_usd", "flow": "export", "reporter": "all"},
-    "partner_imports_value": {"source": "comtrade", "measure": "val_fob_usd", "flow": "import", "reporter": "partners"},
+# Mart, measure, flow, code column and the side pinned to the home country of each metric.
+CROSS_METRICS: dict[str, tuple[str, str, str, str, str | None]] = {
+    "mdic_comex:exp_value": ("serving_comex_annual", "val_yearfx_usd", "export", "ncm_code", None),
+    "mdic_comex:imp_value": ("serving_comex_annual", "val_yearfx_usd", "import", "ncm_code", None),
+    "mdic_comex:exp_weight": ("serving_comex_annual", "net_weight_kg", "export", "ncm_code", None),
+    "un_comtrade:exp_value": ("serving_comtrade_annual", "val_yearfx_usd", "export", "cmd_code", "reporter_iso_a3"),
+    "un_comtrade:imp_value": ("serving_comtrade_annual", "val_yearfx_usd", "import", "cmd_code", "reporter_iso_a3"),
+    "un_comtrade:partner_exp": ("serving_comtrade_annual", "val_yearfx_usd", "import", "cmd_code", "partner_iso_a3"),
+    "un_comtrade:world_exp": ("serving_comtrade_annual", "val_yearfx_usd", "export", "cmd_code", None),
 }
 
 
-def source_spec(source: str) -> dict[str, str]:
-    """The mart, code, name and default value column of a source."""
+def product_source(source: str) -> tuple[str, str, str, str]:
+    """Mart, code, name and default value column of a source."""
     if source not in SOURCE_REGISTRY:
         raise InvalidIdentifier(f"unknown source: {source!r}")
     return SOURCE_REGISTRY[source]
 
 
-def cross_metric_spec(metric: str) -> dict[str, str]:
-    """The source, measure, flow and reporter rule of a cross metric."""
+def product_totals(marts: Mapping[str, DataFrame], source: str, value: str | None = None) -> DataFrame:
+    """H24/H25 through H28: each product of a source with its name, years and value."""
+    mart, code, name, default = product_source(source)
+    return marts[mart].groupBy(F.col(code).alias("code")).agg(
+        F.max(name).alias("name") if name in marts[mart].columns else F.lit(None).cast("string").alias("name"),
+        F.count_distinct("reference_year").alias("n_years"), F.sum(value or default).alias("value"))
+
+
+def cross_series(marts: Mapping[str, DataFrame], metric: str, home: str = "BRA", year_from: int | None = None,
+                 year_to: int | None = None, codes: Sequence[str] = (), states: Sequence[str] = ()) -> DataFrame:
+    """H27 through H29: one metric by year.  The home country is pinned on the
+    metric's side; states narrow only marts that have them."""
     if metric not in CROSS_METRICS:
-        raise InvalidIdentifier(f"unknown metric: {metric!r}")
-    return CROSS_METRICS[metric]
+        raise InvalidIdentifier(f"unknown cross metric: {metric!r}")
+    mart, measure, flow, code, pinned = CROSS_METRICS[metric]
+    preds = [F.col("flow") == flow, year_between("reference_year", year_from, year_to), in_list(code, list(codes)) if codes else None]
+    preds += [F.col(pinned) == home] if pinned else []
+    preds += [in_list("state_acronym", list(states))] if states and "state_acronym" in marts[mart].columns else []
+    return apply(marts[mart], *preds).groupBy("reference_year").agg(F.sum(measure).alias("value"))
 
 
 def cross_annual(df: DataFrame, year: str, measure: str, flow_col: str | None = None, flow: str | None = None,

@@ -195,10 +195,10 @@ def test_registries_bundle_overrides_and_layout(spark):
     from strata.plans.layout import write_clustered
     from strata.sources import seeds
 
-    assert R.source_spec("comex")["code"] == "ncm_code"
-    assert R.cross_metric_spec("exports_value")["flow"] == "export"
+    assert R.product_source("mdic_comex") == ("serving_comex_annual", "ncm_code", "ncm_description", "val_yearfx_usd")
+    assert R.CROSS_METRICS["un_comtrade:partner_exp"][2:] == ("import", "cmd_code", "partner_iso_a3")
     try:
-        R.source_spec("nope")
+        R.product_source("nope")
         raise AssertionError("expected a rejection")
     except R.InvalidIdentifier:
         pass
