@@ -770,18 +770,6 @@ UNION ALL SELECT 'discount_bounded', 'warn', (SELECT count(*) FROM lineitem WHER
 UNION ALL SELECT 'unit_price_bounded', 'warn',
        (SELECT count(*) FROM lineitem WHERE {_out('l_extendedprice / NULLIF(l_quantity, 0)', 900.0, 2000.0)})"""
 
-ORACLE["reconcile_cells"] = """
-WITH live AS (SELECT l_orderkey, sum(l_quantity) AS qty FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1),
-src AS (SELECT l_orderkey, sum(l_quantity) AS qty FROM lineitem WHERE l_shipdate < TIMESTAMP '2001-01-01 00:00:00' GROUP BY 1),
-j AS (SELECT live.l_orderkey AS lk, src.l_orderkey AS sk, live.qty AS lv, src.qty AS sv
-      FROM live FULL OUTER JOIN src ON live.l_orderkey = src.l_orderkey)
-SELECT count(*) FILTER (WHERE lk IS NOT NULL AND sk IS NOT NULL) AS compared,
-       count(*) FILTER (WHERE lk IS NOT NULL AND sk IS NOT NULL AND lv IS DISTINCT FROM sv
-                        AND NOT (lv IS NOT NULL AND sv IS NOT NULL AND abs(lv - sv) <= 1e-9 * greatest(abs(lv), abs(sv)))) AS diverged,
-       count(*) FILTER (WHERE lk IS NULL) AS only_source,
-       count(*) FILTER (WHERE sk IS NULL) AS only_live
-FROM j"""
-
 ORACLE["incremental_equals_full"] = ORACLE["mart_seasonality"]
 
 ORACLE["stream_latest_equals_batch"] = """
@@ -799,9 +787,6 @@ SELECT o_orderpriority AS series_code, {_HWM} AS hwm,
        greatest(DATE '1996-01-01', CAST({_HWM} - INTERVAL 12 MONTH AS DATE)) AS window_start
 FROM orders GROUP BY 1"""
 
-ORACLE["new_codes"] = """
-SELECT p_partkey AS code FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE year(l_shipdate) = 1995)"""
-
 ORACLE["scope_fingerprint"] = """
 WITH d AS (SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS year, CAST(l_suppkey AS VARCHAR) AS c FROM lineitem)
 SELECT year, bit_xor(CAST(('0x' || substr(sha256(c), 1, 15)) AS BIGINT)) AS fingerprint, count(*) AS n_codes FROM d GROUP BY 1"""
@@ -849,7 +834,7 @@ FROM cells FULL OUTER JOIN mp ON cells.flow = mp.flow AND cells.unit = mp.unit""
 ORACLE["auto_mark_orphans"] = f"""WITH {LOG_CTE},
 o AS (SELECT user_id, ts AS removed_at FROM cur WHERE NOT active AND user_id IN (SELECT o_custkey FROM orders)),
 g AS (SELECT user_id, max_by(group_name, (ts, event_id)) FILTER (WHERE group_name IS NOT NULL) AS grp FROM log GROUP BY 1),
-p AS (SELECT user_id, max(CASE WHEN user_id < 500 THEN TIMESTAMP '2024-02-01 00:00:00' ELSE ts END) AS at FROM events WHERE event_type = 'purchase' GROUP BY 1)
+p AS (SELECT user_id, max(CASE WHEN value > 95 THEN TIMESTAMP '2024-02-01 00:00:00' ELSE ts END) AS at FROM events WHERE event_type = 'purchase' GROUP BY 1)
 SELECT 'comex' AS banco, CAST(user_id AS VARCHAR) AS code, 'descontinuado' AS status,
        'Removida do cadastro; dados em Gold pendentes (agrupamento ' || coalesce(grp, '—') || ').' AS reason,
        'Descontinuada: será removida do Gold por um operador (com backup), nunca automaticamente.' AS purge_note,
@@ -926,13 +911,6 @@ WHERE p.p_brand = 'Brand#7' GROUP BY 1, 2"""
 ORACLE["current_flow_market"] = f"""WITH {TIMELINE_CTE}
 SELECT user_id, event_type AS market, version, valid_from FROM tl WHERE valid_to IS NULL AND event_type <> 'error'"""
 
-ORACLE["comex_by_partner_latest"] = f"""
-WITH li AS (SELECT c.c_nationkey AS partner, {YEAR} AS year, l.l_returnflag AS flow, l.l_quantity AS qty, {REV} AS v
-            FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey),
-f AS (SELECT * FROM li WHERE flow IN ('A', 'N') AND year <= 2000)
-SELECT partner, round(sum(v) / 100.0::DOUBLE, 2) AS value, sum(qty) AS weight FROM f
-WHERE year = (SELECT max(year) FROM f) GROUP BY 1"""
-
 ORACLE["flow_market_values"] = f"""
 SELECT o.o_orderpriority AS regime, l.l_returnflag AS flow, round(sum({REV}) / 100.0::DOUBLE, 2) AS value, count(*) AS n_rows
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE o.o_orderpriority <> '5-LOW' GROUP BY 1, 2"""
@@ -952,16 +930,6 @@ WITH m AS (SELECT {YEAR} AS year, s.s_nationkey AS reporter, c.c_nationkey AS pa
 SELECT m.year, r.n_name AS reporter_name, p.n_name AS partner_name, round(cents / 100.0::DOUBLE, 2) AS value
 FROM m JOIN nation r ON m.reporter = r.n_nationkey JOIN nation p ON m.partner = p.n_nationkey"""
 
-ORACLE["codes_present_catalog"] = f"""
-WITH totals AS (SELECT p.p_brand AS product, sum({REV}) AS cents FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
-                WHERE l.l_returnflag = 'A' GROUP BY 1),
-cat AS (SELECT p_brand AS product, max(p_name) AS name FROM part WHERE p_size > 10 GROUP BY 1),
-named AS (SELECT t.product, cat.name FROM (SELECT DISTINCT product FROM totals) t JOIN cat ON t.product = cat.product)
-SELECT totals.product, named.name, round(cents / 100.0::DOUBLE, 2) AS value FROM totals LEFT JOIN named ON totals.product = named.product"""
-
-ORACLE["catalog_without_data"] = f"""WITH {LOG_CTE}
-SELECT user_id FROM cur WHERE active AND user_id NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 2001)"""
-
 ORACLE["seasonality_calendar"] = f"""
 WITH m AS (SELECT l_returnflag AS flow, {YEAR} AS year, {MONTH} AS month, sum({REV}) AS cents FROM lineitem GROUP BY 1, 2, 3)
 SELECT flow, year, month,
@@ -995,13 +963,6 @@ WITH m AS (SELECT {YEAR} AS year, count(DISTINCT {MONTH}) AS n_months FROM linei
 l AS (SELECT arg_max(n_months, year) AS n_last, max(year) AS latest_year FROM m)
 SELECT latest_year, n_last, CASE WHEN n_last = 12 THEN latest_year ELSE latest_year - 1 END AS latest_complete_year FROM l"""
 
-ORACLE["export_unit_price"] = f"""
-WITH v AS (SELECT {YEAR} AS year, sum({REV}) AS cents FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),
-w AS (SELECT {YEAR} AS year, sum(l_quantity) AS weight FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'F' GROUP BY 1)
-SELECT v.year, round(cents / 1e8, 2) AS value_musd, weight / 1e3 AS weight_kt,
-       round((cents / 100.0::DOUBLE) / NULLIF(weight, 0), 6) AS unit_price
-FROM v LEFT JOIN w ON v.year = w.year"""
-
 ORACLE["quality_shares"] = f"""WITH {_FLAGGED},
 c AS (SELECT year, data_quality_flag, count(*) AS n_rows FROM fl GROUP BY 1, 2)
 SELECT year, data_quality_flag, n_rows, round(n_rows / sum(n_rows) OVER (PARTITION BY year), 6) AS share FROM c"""
@@ -1070,7 +1031,7 @@ nf AS (SELECT cells.* FROM cells LEFT JOIN r ON lower(cells.unit) = lower(r.unit
 areas AS (SELECT product, year, sum(round(l_discount * 100)) AS planted, sum(round(l_tax * 100)) AS harvested FROM li GROUP BY 1, 2),
 fam AS (SELECT product FROM li GROUP BY 1 HAVING count(DISTINCT CASE WHEN unit = 'F' THEN 'massa' ELSE 'volume' END) > 1),
 cat AS (SELECT user_id AS code FROM cur WHERE active),
-conf AS (SELECT c_custkey AS code FROM customer WHERE c_mktsegment = 'BUILDING'),
+conf AS (SELECT c_custkey AS code FROM customer),
 side AS (SELECT 1 FROM cat FULL OUTER JOIN conf ON cat.code = conf.code WHERE cat.code IS NULL OR conf.code IS NULL),
 orph AS (SELECT user_id FROM cur WHERE NOT active AND user_id IN (SELECT o_custkey FROM orders))
 SELECT 'monetary_unit_has_factor' AS "check", 'error' AS severity, (SELECT count(*) FROM nf) AS n_failing
@@ -1087,11 +1048,10 @@ cat AS (SELECT user_id AS code FROM cur WHERE active AND coalesce({ingestion}, '
 n AS (SELECT count(*) AS n FROM cat)
 SELECT code, 'catalog' AS origin FROM cat, n WHERE n.n >= 1
 UNION ALL
-SELECT c_custkey AS code, 'configured' AS origin FROM customer, n WHERE c_mktsegment = 'BUILDING' AND n.n = 0"""
+SELECT c_custkey AS code, 'configured' AS origin FROM customer, n WHERE n.n = 0"""
 
 
 ORACLE["resolved_scope"] = _resolved_sql("CASE WHEN event_type = 'signup' THEN 'pausada' END")
-ORACLE["resolved_scope_fallback"] = _resolved_sql("'pausada'")
 
 
 ORACLE["dedup_prefer_real"] = """
@@ -1402,14 +1362,14 @@ FROM dd WHERE reference_date IS NOT NULL AND monthly_pct_change IS NOT NULL"""
 
 ORACLE["fx_silver_from_strings"] = f"""
 WITH g AS (SELECT o_orderpriority AS pr, CAST(o_orderdate AS DATE) AS day, CAST(max(floor(o_totalprice)) AS BIGINT) AS p
-           FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY 1, 2),
+           FROM orders GROUP BY 1, 2),
 d AS (SELECT *, CASE WHEN p % 50 = 0 THEN 'X' ELSE CAST(p // 1000 AS VARCHAR) || ',' || lpad(CAST(p % 1000 AS VARCHAR), 3, '0') END AS vs FROM g),
 b AS (SELECT *, TIMESTAMP '2024-01-01 00:00:00' AS ingestion_timestamp FROM d
       UNION ALL SELECT pr, day, p, '5,125', TIMESTAMP '2024-02-01 00:00:00' FROM d WHERE year(day) = 1996 AND month(day) = 1)
 SELECT CASE pr WHEN '1-URGENT' THEN '1' ELSE '21619' END AS series_code, CASE pr WHEN '1-URGENT' THEN 'USD' ELSE 'EUR' END AS currency,
        day AS reference_date, CAST(year(day) AS INTEGER) AS reference_year, CAST(month(day) AS INTEGER) AS reference_month,
        {_typed('vs')} AS brl_per_foreign_unit, ingestion_timestamp
-FROM b WHERE pr <> '3-MEDIUM'
+FROM b WHERE pr IN ('1-URGENT', '2-HIGH')
 QUALIFY row_number() OVER (PARTITION BY pr, day ORDER BY ingestion_timestamp DESC) = 1"""
 
 
@@ -1709,11 +1669,12 @@ SELECT year, round(cents / 1e8, 2) AS value_musd, weight / 1e3 AS weight_kt,
 FROM v"""
 
 ORACLE["resolved_scope_fallback_whole"] = "SELECT c_custkey AS code, 'configured' AS origin FROM customer"
-ORACLE["domain_checks_whole"] = ORACLE["domain_checks"].replace(" WHERE c_mktsegment = 'BUILDING'", "")
+ORACLE["domain_checks_whole"] = ORACLE["domain_checks"]
+for _name in [k for k in ORACLE if k.endswith("_whole")]:
+    ORACLE[_name.removesuffix("_whole")] = ORACLE[_name]
 
 
 # Loaded in steps, the result is that of the full build.
-ORACLE["survey_incremental"] = ORACLE["survey_pipeline"]
 ORACLE["livestock_incremental"] = ORACLE["livestock_pipeline"]
 ORACLE["comtrade_incremental"] = ORACLE["comtrade_pipeline"]
 ORACLE["stream_affected_partitions"] = ORACLE["comtrade_pipeline"]
@@ -1791,5 +1752,11 @@ s AS (SELECT product_code, reference_year, state_acronym, round(sum(qty_base) /
 SELECT *, CAST(row_number() OVER (PARTITION BY product_code ORDER BY yield_t_ha DESC NULLS LAST, state_acronym) AS INTEGER) AS rank FROM s"""
 
 
+# The Gold facts have their outlier levels on.
+ORACLE["survey_pipeline"] = ORACLE["survey_incremental"] = ORACLE["survey_outlier_pipeline"]
+ORACLE["comex_pipeline"] = ORACLE["comex_outlier_pipeline"]
+ORACLE["comtrade_gold_pipeline"] = ORACLE["comtrade_outlier_pipeline"]
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)

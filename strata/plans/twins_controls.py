@@ -80,11 +80,11 @@ def _orphans(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def auto_mark_orphans(spark: SparkSession, sf: str) -> DataFrame:
     """A 'descontinuado' event per orphan whose latest lifecycle event is older than its removal."""
-    events = t(spark, sf, "events").filter(F.col("event_type") == "purchase").select(
-        F.lit("comex").alias("banco"), F.col("user_id").cast("string").alias("code"), F.lit(K.PURGED).alias("status"),
-        F.col("ts").alias("edited_at"), F.col("event_id").cast("string").alias("change_id"))
     # of some users a purge was recorded after the removal
-    log = events.withColumn("edited_at", F.when(F.col("code").cast("long") < 500, F.lit(NOW).cast("timestamp_ntz")).otherwise(F.col("edited_at")))
+    log = t(spark, sf, "events").filter(F.col("event_type") == "purchase").select(
+        F.lit("comex").alias("banco"), F.col("user_id").cast("string").alias("code"), F.lit(K.PURGED).alias("status"),
+        F.when(F.col("value") > 95, F.lit(NOW).cast("timestamp_ntz")).otherwise(F.col("ts")).alias("edited_at"),
+        F.col("event_id").cast("string").alias("change_id"))
     return K.auto_mark_orphans(_orphans(spark, sf), log, ["banco", "code"], NOW, group_col="last_group_name")
 
 

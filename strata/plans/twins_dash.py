@@ -58,12 +58,6 @@ def unit_price(spark: SparkSession, sf: str, weighed: F.Column) -> DataFrame:
                     r6(F.try_divide(_usd("cents"), F.col("weight"))).alias("unit_price"))
 
 
-@register
-def export_unit_price(spark: SparkSession, sf: str) -> DataFrame:
-    """I04/I05 with the weight of unit F alone, as in its SQL (whole: export_unit_price_whole)."""
-    return unit_price(spark, sf, F.col("unit") == "F")
-
-
 def _flags(spark: SparkSession, sf: str) -> DataFrame:
     g = gold(spark, sf)
     return g.withColumn("data_quality_flag", C.quality_flag_basic(C.zero_as_missing("tax"), F.col("value_cents")))
@@ -212,12 +206,6 @@ def domain_suite(spark: SparkSession, sf: str, configured: F.Column) -> DataFram
     })
 
 
-@register
-def domain_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """The suite with L22 against BUILDING customers alone, as in its SQL (whole: domain_checks_whole)."""
-    return domain_suite(spark, sf, F.col("c_mktsegment") == "BUILDING")
-
-
 @register
 def value_matrix_checks(spark: SparkSession, sf: str) -> DataFrame:
     """L06/L18 on the flagship output: the euro year-FX value is NULL before

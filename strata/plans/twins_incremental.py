@@ -50,7 +50,7 @@ def survey_incremental(spark: SparkSession, sf: str) -> DataFrame:
     build = lambda b: survey_silver(b, "prod_codigo", "prod", *_seed_args(spark), "pevs")
     silver = loaded(spark, "survey", "ano", deliveries(survey_bronze(spark, sf)), build).read()
     daily = orders_daily(spark, sf)
-    gold = survey_gold(silver, index_series(spark, sf, daily), fx_series(spark, sf, daily), outliers=False)
+    gold = survey_gold(silver, index_series(spark, sf, daily), fx_series(spark, sf, daily), **CROP_BOUNDS)
     return gold.select(*SURVEY_GOLD_COLS, *[r2(c).alias(c) for c in SURVEY_MONEY_COLS])
 
 

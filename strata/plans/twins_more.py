@@ -69,14 +69,6 @@ def current_flow_market(spark: SparkSession, sf: str) -> DataFrame:
     return cur.select("user_id", F.col("event_type").alias("market"), "version", "valid_from")
 
 
-@register
-def comex_by_partner_latest(spark: SparkSession, sf: str) -> DataFrame:
-    """Trade by partner nation at the latest year under the filters."""
-    li = R.apply(trade_lines(spark, sf, partner=True), R.in_list("flow", ["A", "N"]), R.year_between("year", None, 2000))
-    d = R.latest_year_only(li, "year")
-    return d.groupBy("partner").agg(r2(F.sum("value_cents") / 100.0).alias("value"), F.sum("qty").alias("weight"))
-
-
 @register
 def flow_market_values(spark: SparkSession, sf: str) -> DataFrame:
     """(regime = order priority, flow) totals, excluding one regime."""
@@ -136,21 +128,6 @@ def named_totals(spark: SparkSession, sf: str, parts: DataFrame) -> DataFrame:
     return totals.join(named, "product", "left").select("product", "name", r2(F.col("cents") / 100.0).alias("value"))
 
 
-@register
-def codes_present_catalog(spark: SparkSession, sf: str) -> DataFrame:
-    """C13 with a catalogue of the larger parts alone, as in its SQL (whole: codes_present_catalog_whole)."""
-    return named_totals(spark, sf, t(spark, sf, "part").filter(F.col("p_size") > 10))
-
-
-@register
-def catalog_without_data(spark: SparkSession, sf: str) -> DataFrame:
-    """C20: catalogued codes (current users) with no data in the latest
-    order year (2001)."""
-    cur = scd.current_catalog(_log(spark, sf), ["user_id"], ts="ts", tiebreak="event_id").select("user_id")
-    data = t(spark, sf, "orders").filter(F.year("o_orderdate") == 2001).select(F.col("o_custkey").alias("user_id"))
-    return cur.join(data, "user_id", "left_anti")
-
-
 @register
 def seasonality_calendar(spark: SparkSession, sf: str) -> DataFrame:
     """The seasonality mart joined to the month dimension on the

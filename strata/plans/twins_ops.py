@@ -51,18 +51,6 @@ def bounded_checks(spark: SparkSession, sf: str) -> DataFrame:
     })
 
 
-@register
-def reconcile_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Per-order quantities in the live table (returned lines excluded)
-    against a source snapshot taken before 2001: compared, diverged,
-    only_source, only_live."""
-    li = t(spark, sf, "lineitem")
-    live = li.filter(F.col("l_returnflag") != "R").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("qty"))
-    source = li.filter(F.col("l_shipdate") < F.lit("2001-01-01 00:00:00").cast("timestamp_ntz")).groupBy(
-        "l_orderkey").agg(F.sum("l_quantity").alias("qty"))
-    return reconcile_summary(_cells(live, source, ["l_orderkey"], "qty"))
-
-
 def _seasonality(lines: DataFrame) -> DataFrame:
     return lines.groupBy("flow", "year", "month").agg(
         F.sum("value_cents").alias("cents"), F.sum("qty").alias("weight"), F.count(F.lit(1)).alias("source_rows"),

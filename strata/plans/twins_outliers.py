@@ -1,27 +1,10 @@
-"""Survey and trade facts with the implied-price levels (J16/B31) on."""
+"""The facts with outlier levels, also under their names of the round that brought the levels."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from strata.plans.base import REGISTRY
+from strata.plans.twins_pipelines import comex_pipeline, comtrade_gold_pipeline, survey_pipeline
 
-from strata.plans.base import register
-from strata.plans.twins_crops import CROP_BOUNDS
-from strata.plans.twins_pipelines import comex_facts, comtrade_facts, survey_facts
-
-
-@register
-def survey_outlier_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    """Bronze -> Silver -> Gold survey facts with outlier levels."""
-    return survey_facts(spark, sf, **CROP_BOUNDS)
-
-
-@register
-def comex_outlier_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    """National trade facts with outlier levels."""
-    return comex_facts(spark, sf, **CROP_BOUNDS)
-
-
-@register
-def comtrade_outlier_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    """Bilateral trade facts with outlier levels."""
-    return comtrade_facts(spark, sf, **CROP_BOUNDS)
+REGISTRY["survey_outlier_pipeline"] = survey_pipeline
+REGISTRY["comex_outlier_pipeline"] = comex_pipeline
+REGISTRY["comtrade_outlier_pipeline"] = comtrade_gold_pipeline

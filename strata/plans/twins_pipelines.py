@@ -29,6 +29,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
+# Parameters under which every quality flag occurs on the driver tables.
+CROP_BOUNDS = {"min_obs": 10, "value_floor": 1000.0, "price_k": 1.2, "outlier_k": 1.5}
 DELIVERY_1, DELIVERY_2 = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
 
 
@@ -84,9 +86,8 @@ def survey_facts(spark: SparkSession, sf: str, **levels) -> DataFrame:
 
 @register
 def survey_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    """Bronze -> Silver -> Gold survey pipeline with the reference seeds;
-    flags without outlier levels (its SQL has none)."""
-    return survey_facts(spark, sf, outliers=False)
+    """Bronze -> Silver -> Gold survey pipeline with the reference seeds and outlier levels."""
+    return survey_facts(spark, sf, **CROP_BOUNDS)
 
 
 # National trade: lineitem rendered as one verbatim file per (flow, year).
@@ -162,8 +163,8 @@ def comex_facts(spark: SparkSession, sf: str, **levels) -> DataFrame:
 
 @register
 def comex_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    """National trade facts, flags without outlier levels (its SQL has none)."""
-    return comex_facts(spark, sf, outliers=False)
+    """National trade facts with outlier levels."""
+    return comex_facts(spark, sf, **CROP_BOUNDS)
 
 
 # Bilateral trade: one verbatim chunk per (year, reporter), all strings.
@@ -254,8 +255,8 @@ def comtrade_facts(spark: SparkSession, sf: str, **levels) -> DataFrame:
 
 @register
 def comtrade_gold_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    """Bilateral trade facts, flags without outlier levels (its SQL has none)."""
-    return comtrade_facts(spark, sf, outliers=False)
+    """Bilateral trade facts with outlier levels."""
+    return comtrade_facts(spark, sf, **CROP_BOUNDS)
 
 
 SURVEY_MART_SUMS = ["qty_native", "val_yearfx_brl", "val_real_ipca_brl", "val_real_igpm_usd"]

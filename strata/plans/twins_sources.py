@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.operators import curation as K
@@ -48,14 +48,6 @@ def bronze_high_water(spark: SparkSession, sf: str) -> DataFrame:
     return h.select("series_code", "hwm", start.alias("window_start"))
 
 
-@register
-def new_codes(spark: SparkSession, sf: str) -> DataFrame:
-    """Configured codes (all parts) with no Bronze rows in 1995."""
-    conf = t(spark, sf, "part").select(F.col("p_partkey").alias("code"))
-    bronze = t(spark, sf, "lineitem").filter(F.year("l_shipdate") == 1995).select(F.col("l_partkey").alias("code"))
-    return I.new_codes(conf, bronze, "code")
-
-
 @register
 def scope_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     """Per ship year, a fingerprint of the set of shipping suppliers
@@ -135,14 +127,12 @@ def matrix_with_mapping(spark: SparkSession, sf: str) -> DataFrame:
     return K.matrix_with_mapping(cells, mapping, ["flow", "unit"])
 
 
-def _resolved(spark: SparkSession, sf: str, ingestion, configured: Column | None = None) -> DataFrame:
+def _resolved(spark: SparkSession, sf: str, ingestion) -> DataFrame:
     from strata.operators.gate import resolve_scope
 
-    configured = F.col("c_mktsegment") == "BUILDING" if configured is None else configured
-
     log = _log(spark, sf).withColumn("ingestao", ingestion)
     cur = scd.current_catalog(log, ["user_id"], ts="ts", tiebreak="event_id")
-    conf = t(spark, sf, "customer").filter(configured).select(F.col("c_custkey").alias("user_id"))
+    conf = t(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
     return resolve_scope(cur, conf, "user_id")
 
 
@@ -152,7 +142,3 @@ def resolved_scope(spark: SparkSession, sf: str) -> DataFrame:
     return _resolved(spark, sf, F.when(F.col("event_type") == "signup", "pausada"))
 
 
-@register
-def resolved_scope_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    """With every code paused, the configured list is used instead."""
-    return _resolved(spark, sf, F.lit("pausada"))

@@ -1,5 +1,4 @@
-"""Operators whose first twins read a slice of their tables (their given SQL
-does too), here over the whole tables."""
+"""Operators over whole tables, each also under the name of a former twin that read a slice."""
 
 from __future__ import annotations
 
@@ -10,7 +9,7 @@ from strata.operators import incremental as I
 from strata.operators import scd
 from strata.operators.reconcile import reconcile_cells, reconcile_summary
 from strata.plans import reads as R
-from strata.plans.base import r2, register
+from strata.plans.base import REGISTRY, r2, register
 from strata.plans.inputs import t, trade_lines
 from strata.plans.twins_dash import domain_suite, unit_price
 from strata.plans.twins_logs import _log
@@ -18,21 +17,27 @@ from strata.plans.twins_more import named_totals
 from strata.plans.twins_sources import _resolved
 
 
-@register
+def whole(fn):
+    """Registers a twin under its name, and without the ending."""
+    REGISTRY[fn.__name__.removesuffix("_whole")] = fn
+    return register(fn)
+
+
+@whole
 def catalog_without_data_whole(spark: SparkSession, sf: str) -> DataFrame:
     """C20: catalogued codes (current users) with no order in any year."""
     cur = scd.current_catalog(_log(spark, sf), ["user_id"], ts="ts", tiebreak="event_id").select("user_id")
     return cur.join(t(spark, sf, "orders").select(F.col("o_custkey").alias("user_id")), "user_id", "left_anti")
 
 
-@register
+@whole
 def new_codes_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Configured codes (all parts) with no Bronze rows in any year."""
     conf = t(spark, sf, "part").select(F.col("p_partkey").alias("code"))
     return I.new_codes(conf, t(spark, sf, "lineitem").select(F.col("l_partkey").alias("code")), "code")
 
 
-@register
+@whole
 def comex_by_partner_latest_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Trade by partner nation at the latest year of the table."""
     li = R.apply(trade_lines(spark, sf, partner=True), R.in_list("flow", ["A", "N"]))
@@ -40,13 +45,13 @@ def comex_by_partner_latest_whole(spark: SparkSession, sf: str) -> DataFrame:
         r2(F.sum("value_cents") / 100.0).alias("value"), F.sum("qty").alias("weight"))
 
 
-@register
+@whole
 def codes_present_catalog_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Exported codes with names from the catalogue of all parts."""
     return named_totals(spark, sf, t(spark, sf, "part"))
 
 
-@register
+@whole
 def reconcile_cells_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Per-order quantities of all lines against a rendered source
     delivery of all lines, where every 7th order is one unit higher and every
@@ -58,19 +63,19 @@ def reconcile_cells_whole(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile_summary(reconcile_cells(live, source, ["l_orderkey"], "qty"))
 
 
-@register
+@whole
 def export_unit_price_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Export value over the weight of all units."""
     return unit_price(spark, sf, F.lit(True))
 
 
-@register
+@whole
 def resolved_scope_fallback_whole(spark: SparkSession, sf: str) -> DataFrame:
     """With every code paused, the configured list (all customers)."""
-    return _resolved(spark, sf, F.lit("pausada"), F.lit(True))
+    return _resolved(spark, sf, F.lit("pausada"))
 
 
-@register
+@whole
 def domain_checks_whole(spark: SparkSession, sf: str) -> DataFrame:
     """L13/L15/L19/L22/L23; L22 against all customers."""
     return domain_suite(spark, sf, F.lit(True))
