@@ -1758,5 +1758,16 @@ ORACLE["comex_pipeline"] = ORACLE["comex_outlier_pipeline"]
 ORACLE["comtrade_gold_pipeline"] = ORACLE["comtrade_outlier_pipeline"]
 
 
+ORACLE["product_top_states"] = f"""WITH {GOLD_CTE},
+s AS (SELECT product, state, sum(value_cents) AS v, sum(qty) AS q FROM g GROUP BY 1, 2),
+x AS (SELECT 'value' AS measure, product, state, v AS value FROM s UNION ALL SELECT 'heads', product, state, q FROM s),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY measure, product ORDER BY value DESC NULLS LAST, state) AS INTEGER) AS rank,
+             round(value / sum(value) OVER (PARTITION BY measure, product), 6) AS share, count(*) OVER (PARTITION BY measure, product) AS n_members FROM x)
+SELECT * FROM r WHERE rank <= 10"""
+ORACLE["flow_top_links"] = f"""WITH {PARTNER_LINES},
+l AS (SELECT reporter, partner, sum(v) AS v FROM pl GROUP BY 1, 2), t AS (SELECT sum(v) AS t FROM l)
+SELECT reporter, partner, round(v / 100.0::DOUBLE, 2) AS value, round(v / t.t, 6) AS share FROM l, t ORDER BY v DESC, reporter, partner LIMIT 8"""
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)

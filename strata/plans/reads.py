@@ -103,11 +103,13 @@ def apply(df: DataFrame, *preds: Column | None) -> DataFrame:
     return df
 
 
-def latest_year_only(df: DataFrame, year_col: str) -> DataFrame:
+def latest_year_only(df: DataFrame, year_col: str, fact: DataFrame | None = None) -> DataFrame:
     """Keep the latest year present under the same filters.
 
-    The max is a one-row aggregate joined back (broadcast of one row)."""
-    mx = df.agg(F.max(year_col).alias("_latest"))
+    The max is a one-row aggregate joined back (broadcast of one row).  ``fact``
+    is the filtered fact before its lookup joins, where these keep every row:
+    the year is then found in one column of it, and the joins run once."""
+    mx = (df if fact is None else fact).agg(F.max(year_col).alias("_latest"))
     return df.join(F.broadcast(mx), F.col(year_col) == F.col("_latest"), "inner").drop("_latest")
 
 
@@ -117,11 +119,12 @@ def overview(df: DataFrame, year: str, value: str, preds: Sequence[Column | None
 
 
 def by_state(df: DataFrame, state: str, year: str, value: str, family: str, qty: str,
-             preds: Sequence[Column | None] = (), latest: bool = True) -> DataFrame:
-    """Per state, optionally only the latest year, with family sums."""
+             preds: Sequence[Column | None] = (), latest: bool = True, fact: DataFrame | None = None) -> DataFrame:
+    """Per state, optionally only the latest year (of ``fact`` under the
+    same filters, see ``latest_year_only``), with family sums."""
     d = apply(df, *preds)
     if latest:
-        d = latest_year_only(d, year)
+        d = latest_year_only(d, year, None if fact is None else apply(fact, *preds))
     return d.groupBy(state).agg(F.sum(value).alias("value"), *family_sums(family, qty))
 
 
@@ -141,6 +144,17 @@ def ranking(df: DataFrame, key: str, value: str, preds: Sequence[Column | None]
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def top_per_key(df: DataFrame, key: str, member: str, value: str, k: int) -> DataFrame:
+    """The first ``k`` members of each key by a measure, with rank and
+    share of the key's total.  The rank window is limited to k rows a key in
+    every task before it is shuffled; totals are an aggregate of their own."""
+    g = df.groupBy(key, member).agg(F.sum(value).alias("value"))
+    w = Window.partitionBy(key).orderBy(F.col("value").desc_nulls_last(), F.col(member).asc())
+    top = g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    totals = g.groupBy(key).agg(F.sum("value").alias("_total"), F.count(F.lit(1)).alias("n_members"))
+    return top.join(totals, key).withColumn("share", F.try_divide(F.col("value"), F.col("_total"))).drop("_total")
+
+
 def distinct_per_year(df: DataFrame, year: str, col: str, out: str, preds: Sequence[Column | None] = ()) -> DataFrame:
     """D23/H09/H10."""
     return apply(df, *preds).groupBy(year).agg(F.count_distinct(col).alias(out))

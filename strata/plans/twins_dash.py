@@ -83,11 +83,9 @@ def quality_mix(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def partner_top3(spark: SparkSession, sf: str) -> DataFrame:
     """Per flow, partner totals with the top-3 partners' share."""
-    p = trade_lines(spark, sf, partner=True).groupBy("flow", "partner").agg(F.sum("value_cents").alias("v"))
-    w = Window.partitionBy("flow").orderBy(F.col("v").desc(), F.col("partner").asc())
-    r = p.withColumn("_r", F.row_number().over(w))
-    g = r.groupBy("flow").agg(F.sum(F.when(F.col("_r") <= 3, F.col("v"))).alias("_top"), F.sum("v").alias("_tot"),
-                              F.count(F.lit(1)).alias("n_partners"))
+    li = trade_lines(spark, sf, partner=True)
+    top = R.top_per_key(li, "flow", "partner", "value_cents", 3).groupBy("flow").agg(F.sum("value").alias("_top"), F.max("n_members").alias("n_partners"))
+    g = top.join(li.groupBy("flow").agg(F.sum("value_cents").alias("_tot")), "flow")
     return g.select("flow", "n_partners", r2(_usd("_tot")).alias("total"), r6(F.col("_top") / F.col("_tot")).alias("top3_share"))
 
 
@@ -156,6 +154,25 @@ def product_profile(spark: SparkSession, sf: str) -> DataFrame:
                     r6(F.col("v") / F.col("year_total")).alias("share_of_year"), "peak_year")
 
 
+@register
+def product_top_states(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten first states of every product, over all years, by value and by quantity."""
+    g = gold(spark, sf)
+    by = lambda m, name: R.top_per_key(g, "product", "state", m, 10).withColumn("measure", F.lit(name))
+    both = by("value_cents", "value").unionByName(by("qty", "heads"))
+    return both.select("measure", "product", "state", "rank", "value", r6("share").alias("share"), "n_members")
+
+
+@register
+def flow_top_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The eight largest links with their share of all flows."""
+    li = trade_lines(spark, sf, partner=True, reporter=True)
+    links = li.groupBy("reporter", "partner").agg(F.sum("value_cents").alias("v"))
+    total = links.agg(F.sum("v").alias("t"))
+    top = links.orderBy(F.col("v").desc(), "reporter", "partner").limit(8)
+    return top.crossJoin(F.broadcast(total)).select("reporter", "partner", r2(_usd("v")).alias("value"), r6(F.col("v") / F.col("t")).alias("share"))
+
+
 @register
 def flow_headline(spark: SparkSession, sf: str) -> DataFrame:
     """Total flow value, the top origin and the top destination."""

@@ -42,7 +42,7 @@ def read_overview(spark: SparkSession, sf: str) -> DataFrame:
 def latest_year_by_nation(spark: SparkSession, sf: str) -> DataFrame:
     """Latest year under the filters, per state, with family sums."""
     g = gold(spark, sf)
-    out = R.by_state(g, "state", "year", "value_cents", "family", "qty", [R.in_list("flow", ["A", "R"])], latest=True)
+    out = R.by_state(g, "state", "year", "value_cents", "family", "qty", [R.in_list("flow", ["A", "R"])], latest=True, fact=trade_lines(spark, sf))
     return _money(out)
 
 

@@ -41,7 +41,8 @@ def new_codes_whole(spark: SparkSession, sf: str) -> DataFrame:
 def comex_by_partner_latest_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Trade by partner nation at the latest year of the table."""
     li = R.apply(trade_lines(spark, sf, partner=True), R.in_list("flow", ["A", "N"]))
-    return R.latest_year_only(li, "year").groupBy("partner").agg(
+    fact = R.apply(trade_lines(spark, sf), R.in_list("flow", ["A", "N"]))
+    return R.latest_year_only(li, "year", fact).groupBy("partner").agg(
         r2(F.sum("value_cents") / 100.0).alias("value"), F.sum("qty").alias("weight"))
 
 

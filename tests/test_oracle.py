@@ -9,6 +9,9 @@ from scripts.check_oracle import canon, duck
 
 SF = os.environ.get("STRATA_TEST_SF", "/root/testdata/sf0.001")
 SQL = E.oracle_sql()
+# The training-data operators may run Python workers; the others run in the JVM alone.
+MAY_RUN_PYTHON = set(E._llm.QUERIES) if E._llm else set()
+PYTHON_NODES = ("EvalPython", "PythonUDF", "InPandas", "InArrow", "ArrowAggregate", "ArrowWindow")
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +23,9 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
+    if name not in MAY_RUN_PYTHON:
+        plan = df._jdf.queryExecution().toString()
+        assert not [x for x in PYTHON_NODES if x in plan]
     if name not in SQL:
         assert len(df.columns) > 0
         return

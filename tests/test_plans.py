@@ -50,15 +50,6 @@ def test_flagship_scan_is_pruned_and_preaggregated(spark):
     assert p.count("HashAggregate") >= 4
 
 
-def test_no_python_udfs_in_any_registered_query(spark):
-    bad = []
-    for name, fn in E.queries().items():
-        p = plan(fn(spark, SF))
-        if any(tok in p for tok in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas")):
-            bad.append(name)
-    assert bad == []
-
-
 def test_hot_key_is_spread_over_blocks(spark):
     rows = [(0 if i % 3 == 0 else i % 50 + 1, i) for i in range(6000)]  # key 0 holds a third of the rows
     df = spark.createDataFrame(rows, "k int, t int")
