@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from strata.plans.reads import apply
 
@@ -25,13 +26,19 @@ def write_pages(df: DataFrame, path: str, order: Sequence[str] | None = None, ro
     blocks = max(1, -(-df.count() // rows_per_block))
     cut = df.repartitionByRange(blocks, *cols).withColumn(BLOCK, F.spark_partition_id())
     cut.sortWithinPartitions(BLOCK, *cols).write.mode("overwrite").partitionBy(BLOCK).parquet(f"{path}/rows")
-    df.sparkSession.read.parquet(f"{path}/rows").groupBy(BLOCK).agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/index")
+    df.limit(0).write.mode("overwrite").parquet(f"{path}/schema")
+    _rows(df.sparkSession, path).groupBy(BLOCK).agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/index")
+
+
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    schema = spark.read.parquet(f"{path}/schema").schema
+    return spark.read.schema(StructType([*schema.fields, StructField(BLOCK, IntegerType())])).parquet(f"{path}/rows")
 
 
 def read_page(spark: SparkSession, path: str, preds: Sequence[Column | None] = (), order: Sequence[str] | None = None,
               offset: int = 0, limit: int = 500) -> DataFrame:
     """Rows offset .. offset + limit - 1 of the filtered table in its total order."""
-    rows = spark.read.parquet(f"{path}/rows")
+    rows = _rows(spark, path)
     wanted = [p for p in preds if p is not None]
     matches = apply(rows, *wanted)
     counts = matches.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("n")) if wanted else spark.read.parquet(f"{path}/index")
