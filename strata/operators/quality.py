@@ -9,6 +9,7 @@ group) are then joined back to the rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -142,7 +143,7 @@ def implied_price_levels(
     dev = F.abs(F.col("_lp") - F.col("_q_ln_med_price"))
     vex = safe_divide(F.col("_lv") - F.col("_q_ln_med_val"), F.nullif(F.col("_q_p75_val") - F.col("_q_ln_med_val"), F.lit(0.0)))
     qex = safe_divide(F.col("_lq") - F.col("_q_ln_med_qty"), F.nullif(F.col("_q_p75_qty") - F.col("_q_ln_med_qty"), F.lit(0.0)))
-    k = float(__import__("math").log(price_k))
+    k = math.log(price_k)
     val_level = (
         F.when(guard, F.lit(None).cast("string"))
         .when((dev >= k) & (F.abs(vex) >= F.abs(qex)), "problematic")
