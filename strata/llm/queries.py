@@ -19,6 +19,7 @@ OWN_URL_RULES = [url_filter.Rule("block", w, (f"**{w}**",), len(w)) for w in ("s
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every url of pages judged by the given rules, else by the method's own."""
     rules = [url_filter.host_rule(*r) for r in URL_RULES]
     return url_filter.judge(table(spark, sf_dir, "pages"), rules, OWN_URL_RULES)
 
@@ -44,17 +45,20 @@ FROM j
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of at most 1024 tokens in as few sequences as the method finds."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     pieces = packing.tokenize(table(spark, sf_dir, "documents"), path, end_id=2, capacity=1024, keep_ids=False)
     return packing.pack(pieces, 1024)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics of every whole text, the base rule and the forest's verdict."""
     d = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards whose row counts differ by one at most."""
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
@@ -65,6 +69,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every whole text, learnt from labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
     d = toxicity.score(docs, model)
@@ -89,6 +94,7 @@ LICENSES = [
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the given phrases and the method's labels in every whole text."""
     d = licenses.scan(table(spark, sf_dir, "documents"), LICENSES, block=64)
     base = F.filter("spans", lambda s: s["phrase"])
     # blocks overlap, so a place is found once or twice
@@ -103,10 +109,12 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document that bring each source near its target."""
     return mixing.mix(table(spark, sf_dir, "documents"), [5, 2, 1], 3.0).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat 50 bytes of an earlier one, removed."""
     d = suffix_dedup.dedup(table(spark, sf_dir, "documents"), least=50)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
     return d.select(
@@ -114,6 +122,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and their likeness."""
     d = winnowing.compare_with_next(table(spark, sf_dir, "documents"))
     return d.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
@@ -121,6 +130,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by a similarity of 0.85 of their 4-word shingles."""
     return ngram_join.join(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 

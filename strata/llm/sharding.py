@@ -56,7 +56,8 @@ def shard_rows(docs: DataFrame, shards: int, seed: int = 0, order: list[str] | N
 
     Rows are numbered by a hash of ``order[0]``, then by the order columns.
     Null ids are numbered like any other; rows equal in all order columns are
-    interchangeable.  An empty table gives an empty result.
+    interchangeable.  An empty table gives an empty result.  Columns named row,
+    place, shard or slot are replaced; all others stay.
     """
     n = docs.count()
     d = row_numbers(docs, order or ["doc_id"], n)
