@@ -10,9 +10,10 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.functions.columns import LEGACY_HIDDEN_PROSE, LEGACY_VISIBLE_PROSE, slug
 from strata.operators.dedup import first_seen, latest_wins
 
 
@@ -42,6 +43,32 @@ def idempotent_intake(log: DataFrame, incoming: DataFrame, keys: Sequence[str],
     return accepted, conflicts
 
 
+# Sources of the catalogue, the vocabularies of its axes, the longest code.
+SOURCES = ("pevs", "pam", "ppm", "comex", "comtrade")
+INGESTION_VALUES = ("ativa", "pausada")
+VISIBILITY_VALUES = ("visivel", "oculto")
+MAX_CODE_LEN = 32
+
+
+def validate_catalog_edits(edits: DataFrame, code: str = "codigo_produto", source: str = "banco", ingestion: str = "ingestao",
+                           visibility: str = "visibilidade", lifecycle: str = "ciclo_de_vida") -> DataFrame:
+    """Each edit with the first rule it breaks (``rejected``; NULL: none).
+
+    A key is needed; a code is digits alone, 32 at most; the source is one of
+    the catalogue's; ingestion, visibility and the retired lifecycle prose are of
+    their vocabularies, or absent.  An unknown word would read as visible, so it
+    is refused rather than stored."""
+    c, s = F.coalesce(F.trim(code), F.lit("")), F.coalesce(F.trim(source), F.lit(""))
+    known = lambda col, values: F.col(col).isNull() | F.col(col).isin(*values)
+    return edits.withColumns({code: c, source: s}).withColumn("rejected", F.when((F.col(code) == "") | (F.col(source) == ""), "key_missing")
+        .when(F.length(code) > MAX_CODE_LEN, "code_too_long")
+        .when(~F.col(code).rlike(r"\A[0-9]+\z"), "code_not_digits")
+        .when(~F.col(source).isin(*SOURCES), "unknown_source")
+        .when(~known(ingestion, INGESTION_VALUES), "unknown_ingestion")
+        .when(~known(visibility, VISIBILITY_VALUES), "unknown_visibility")
+        .when((F.col(lifecycle) != "") & ~known(lifecycle, (LEGACY_VISIBLE_PROSE, LEGACY_HIDDEN_PROSE)), "unknown_lifecycle"))
+
+
 def catalog_upsert(log: DataFrame, incoming: DataFrame, keys: Sequence[str], attrs: Sequence[str],
                    ts: str = "edited_at", tiebreak: str = "change_id", active: str = "active") -> DataFrame:
     """Rows to append.  NULL attributes inherit the key's current row,
@@ -62,10 +89,21 @@ def tombstones(current: DataFrame, keys: Sequence[str], active: str = "active")
 def group_guards(groups: DataFrame, members: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Validate create / rename / delete requests of groups.
 
-    ``requests``: (op, group_id, group_name).  Rules: a name must be unique
-    among active groups; rename/delete need an existing group; delete needs
-    a group without active members.  Returns (accepted, rejected with reason).
+    ``requests``: (op, group_id, group_name[, seq]).  Rules: a create without an
+    id gets the slug of its name, which must not be empty, nor an active
+    group's; of the creates of one id in a batch the first by ``seq`` stands; a
+    name must be unique among active groups; rename/delete need an existing
+    group; delete needs a group without active members.  Requests are judged on
+    the groups before the batch.  Returns (accepted, rejected with reason).
     """
+    seq = "seq" in requests.columns
+    made = F.when(F.col("op") == "create", F.coalesce("group_id", F.nullif(slug("group_name"), F.lit("")))).otherwise(F.col("group_id"))
+    requests = requests.withColumn("group_id", made)
+    if seq:
+        w = Window.partitionBy("op", "group_id").orderBy("seq")
+        requests = requests.withColumn("_again", (F.col("op") == "create") & F.col("group_id").isNotNull() & (F.row_number().over(w) > 1))
+    else:
+        requests = requests.withColumn("_again", F.lit(False))
     names = groups.filter("active").select(F.lower(F.trim("group_name")).alias("_n"), F.col("group_id").alias("_owner"))
     exists = groups.filter("active").select(F.col("group_id").alias("_gid"))
     counts = members.groupBy(F.col("group_id").alias("_mg")).agg(F.count(F.lit(1)).alias("_members"))
@@ -73,12 +111,14 @@ def group_guards(groups: DataFrame, members: DataFrame, requests: DataFrame) ->
          .join(exists, F.col("group_id") == F.col("_gid"), "left")
          .join(counts, F.col("group_id") == F.col("_mg"), "left"))
     reason = (
-        F.when(F.col("op").isin("create", "rename") & F.col("_n").isNotNull() & ~F.col("_owner").eqNullSafe(F.col("group_id")),
+        F.when((F.col("op") == "create") & F.col("group_id").isNull(), "no_id")
+        .when((F.col("op") == "create") & (F.col("_gid").isNotNull() | F.col("_again")), "exists")
+        .when(F.col("op").isin("create", "rename") & F.col("_n").isNotNull() & ~F.col("_owner").eqNullSafe(F.col("group_id")),
                "name_taken")
         .when(F.col("op").isin("rename", "delete") & F.col("_gid").isNull(), "not_found")
         .when((F.col("op") == "delete") & (F.coalesce(F.col("_members"), F.lit(0)) > 0), "has_members")
     )
-    r = r.withColumn("reason", reason).drop("_n", "_owner", "_gid", "_mg", "_members")
+    r = r.withColumn("reason", reason).drop("_n", "_owner", "_gid", "_mg", "_members", "_again")
     return r.filter(F.col("reason").isNull()).drop("reason"), r.filter(F.col("reason").isNotNull())
 
 

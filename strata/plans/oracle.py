@@ -1769,5 +1769,12 @@ l AS (SELECT reporter, partner, sum(v) AS v FROM pl GROUP BY 1, 2), t AS (SELECT
 SELECT reporter, partner, round(v / 100.0::DOUBLE, 2) AS value, round(v / t.t, 6) AS share FROM l, t ORDER BY v DESC, reporter, partner LIMIT 8"""
 
 
+ORACLE["catalog_edit_validation"] = """
+SELECT CASE WHEN n % 11 = 0 THEN 'code_not_digits' WHEN n % 13 = 0 THEN 'key_missing' WHEN n % 17 = 0 THEN 'code_too_long'
+            WHEN n % 7 = 0 THEN 'unknown_source' WHEN n % 3 = 0 THEN 'unknown_ingestion' WHEN n % 5 = 0 THEN 'unknown_visibility'
+            WHEN n % 19 = 0 THEN 'unknown_lifecycle' END AS rejected, count(*) AS n
+FROM (SELECT p_partkey AS n FROM part) GROUP BY 1"""
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)

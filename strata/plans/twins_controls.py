@@ -105,6 +105,17 @@ def purge_plan(spark: SparkSession, sf: str) -> DataFrame:
     return K.purge_plan(asked, marked, active, "banco", "code", backup).drop("backup_msg")
 
 
+@register
+def catalog_edit_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """An edit of every part, by kinds of malformed ones, and how many of each are refused."""
+    n, key = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    edits = t(spark, sf, "part").select(
+        F.when(n % 11 == 0, F.concat(key, F.lit("a"))).when(n % 13 == 0, F.lit("  ")).when(n % 17 == 0, F.lpad(key, 33, "0")).otherwise(F.concat(F.lit(" "), key)).alias("codigo_produto"),
+        F.when(n % 7 == 0, "anvisa").otherwise("comex").alias("banco"), F.when(n % 5 == 0, "ocluto").when(n % 5 == 1, "oculto").alias("visibilidade"),
+        F.when(n % 3 == 0, "parada").when(n % 3 == 1, "pausada").alias("ingestao"), F.when(n % 19 == 0, "Outra").when(n % 19 == 1, "").alias("ciclo_de_vida"))
+    return K.validate_catalog_edits(edits).groupBy("rejected").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- A36, J03, D24, A31 -------------------------------------------------------
 
 

@@ -157,3 +157,24 @@ def test_reconcile_compares_text_and_samples_the_smallest_keys(spark):
     assert got["equal"] == (10, None) and got["diverged"][0] == 7 and got["only_live"] == (4, "0: source=- live=1.0; 1: source=- live=1.0; 2: source=- live=1.0; 4: source=- live=1.0")
     assert got["diverged"][1] == "; ".join(f"{k}: source=1.00 live=1.0" for k in (6, 8, 10, 12, 14))
     assert got["only_source"][0] == 10 and got["only_source"][1].startswith("20: source=1.00 live=-; 21:")
+
+
+def test_creates_of_one_name_in_a_batch(spark):
+    groups = spark.createDataFrame([("frutas", "Frutas", True), ("velho", "Velho", False)], "group_id string, group_name string, active boolean")
+    members = spark.createDataFrame([("frutas", "11")], "group_id string, code string")
+    req = spark.createDataFrame([(1, "create", None, "Grãos & Cia"), (2, "create", None, "graos cia"), (3, "create", None, "Frutas"), (4, "create", None, "!!!"),
+                                 (5, "create", None, "Velho"), (6, "rename", "frutas", "Frutas finas"), (7, "delete", "frutas", None), (8, "create", "frutas", "Outras")],
+                                "seq int, op string, group_id string, group_name string")
+    ok, bad = K.group_guards(groups, members, req)
+    assert sorted((r.seq, r.group_id) for r in ok.collect()) == [(1, "graos_cia"), (5, "velho"), (6, "frutas")]
+    assert {r.seq: r.reason for r in bad.collect()} == {2: "exists", 3: "exists", 4: "no_id", 7: "has_members", 8: "exists"}
+
+
+def test_catalogue_edits_are_validated(spark):
+    rows = [("1", "pevs", None, None, None, None), (" 7 ", "pam", "pausada", "oculto", "", None), (None, "pevs", None, None, None, "key_missing"), ("1", " ", None, None, None, "key_missing"),
+            ("1" * 33, "pevs", None, None, None, "code_too_long"), ("1.5", "pevs", None, None, None, "code_not_digits"), ("1", "ibge", None, None, None, "unknown_source"),
+            ("1", "pevs", "x", None, None, "unknown_ingestion"), ("1", "pevs", None, "ocluto", None, "unknown_visibility"), ("1", "pevs", None, None, "prosa", "unknown_lifecycle"),
+            ("1", "pevs", None, None, "Fazer Ingestão e deixar disponível", None)]
+    df = spark.createDataFrame(rows, "codigo_produto string, banco string, ingestao string, visibilidade string, ciclo_de_vida string, want string")
+    for r in K.validate_catalog_edits(df).collect():
+        assert r.rejected == r.want, r
