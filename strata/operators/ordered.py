@@ -26,6 +26,7 @@ from strata.session import cut_lineage
 
 _BLK = "_blk"
 BLOCK = _BLK  # public name of the block-id column
+_KEY = "_okey"
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
@@ -62,8 +63,8 @@ def _block_summary(b: DataFrame, keys: Sequence[str], order: Sequence[str], valu
         ]
         if with_sum:
             aggs.append(F.sum(F.col(value)).alias("_bsum"))
-    s = b.groupBy(_BLK, *keys).agg(*aggs)
-    wk = Window.partitionBy(*keys).orderBy(_BLK)
+    s = b.groupBy(_BLK, _KEY).agg(*aggs)
+    wk = Window.partitionBy(_KEY).orderBy(_BLK)
     before = wk.rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     if value is not None:
@@ -94,8 +95,10 @@ def ordered_columns(
     ``running_sum``: cumulative sum of ``value`` up to and including the row
     (NULL values are skipped, as SQL ``sum`` does).
     """
-    b = blocked(df, keys, order, parts)
-    w = Window.partitionBy(_BLK, *keys).orderBy(*_cols(order))
+    # A key may be null and is then a group of its own, as in a window: structs
+    # are equal where their nulls are, so the summary joins without a reshuffle.
+    b = blocked(df, keys, order, parts).withColumn(_KEY, F.struct(*_cols(keys)))
+    w = Window.partitionBy(_BLK, _KEY).orderBy(*_cols(order))
     local = b.withColumn("_lrn", F.row_number().over(w))
     if value is not None:
         local = local.withColumn("_lcnt", F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
@@ -106,12 +109,7 @@ def ordered_columns(
         if running_sum:
             local = local.withColumn("_lsum", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     summary = _block_summary(b, keys, order, value, with_sum=bool(running_sum))
-    # keys may be null: a group of its own, as in a window
-    renamed = summary.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate([_BLK, *keys])], *[c for c in summary.columns if c not in (_BLK, *keys)])
-    same = F.col(_BLK) == F.col("_s0")
-    for i, c in enumerate(keys, 1):
-        same = same & F.col(c).eqNullSafe(F.col(f"_s{i}"))
-    out = local.join(renamed, same, "inner").drop(*[f"_s{i}" for i in range(len(keys) + 1)])
+    out = local.join(summary, [_BLK, _KEY], "inner")
     if row_number:
         out = out.withColumn(row_number, (F.col("_off") + F.col("_lrn")).cast("int"))
     if value is not None:
@@ -129,5 +127,5 @@ def ordered_columns(
                 .when(F.col("_lsum").isNull(), before)
                 .otherwise(before + F.col("_lsum")),
             )
-    return out.drop(_BLK, "_lrn", "_lcnt", "_llead", "_llag", "_lsum", "_n", "_head", "_tail", "_bsum",
+    return out.drop(_BLK, _KEY, "_lrn", "_lcnt", "_llead", "_llag", "_lsum", "_n", "_head", "_tail", "_bsum",
                     "_off", "_next_head", "_prev_tail", "_sum_before")
