@@ -295,7 +295,7 @@ def dedup(docs: DataFrame, least: int = 50, gram: int | None = None, characters:
     after all others and count as one.  An empty table gives an empty result.
     """
     bounded_batches(docs)
-    gram = gram or max(8, min(28, least // 2 + 3))
+    gram = gram or max(8, min(28, least // 2 - 1))
     if least < gram + 1:
         raise ValueError("least must be over 8 bytes")
     rest = [F.col(c) for c in docs.columns if carry and c not in ("doc_id", "text")]
