@@ -3,11 +3,11 @@
 Which documents are packed together depends on their token counts alone, and
 there are at most ``capacity`` different counts.  So the plan is made from a
 table of counts (bounded by the capacity, whatever the corpus): patterns of
-lengths, each with the number of sequences that follow it.  First every gap
-that a longest piece leaves is filled exactly by one, two or three lengths,
-found in an index of available lengths and pair sums; what is left is packed
-best-fit.  Each pattern uses up a length, so there are few of them.  Pieces
-then find their places by their rank within their length, in parallel.
+lengths, each with the number of sequences that follow it.  The gap that a
+longest piece leaves is filled exactly by one, two or three lengths, found
+in an index of available lengths and pair sums; where none do, by the best
+fit.  Each pattern uses up a length, so there are few of them.  Pieces then
+find their places by their rank within their length, in parallel.
 """
 
 from __future__ import annotations
@@ -130,70 +130,68 @@ class Available:
     def times(self, pattern: Counter) -> int:
         return min(int(self.n[x]) // m for x, m in pattern.items())
 
-    def pair(self, gap: int) -> tuple[int, int] | None:
-        """The pair a >= b that fills the gap, with the largest a."""
-        a = np.arange(gap - 1, (gap - 1) // 2, -1)
-        if not len(a):
-            return None
+    def pairs(self, gap: int, least: int = 1) -> np.ndarray:
+        """Every a >= gap - a >= least whose pair with gap - a is available, ascending."""
+        a = np.arange((gap + 1) // 2, gap - least + 1)
         b = gap - a
-        ok = (self.n[a] > (a == b)) & (self.n[b] > 0)
-        i = int(np.argmax(ok))
-        return (int(a[i]), int(b[i])) if ok[i] else None
+        return a[(self.n[a] > (a == b)) & (self.n[b] > 0)]
 
-    def complement(self, gap: int) -> tuple[int, ...] | None:
-        """One, two or three lengths that fill the gap exactly, the fewest and largest first."""
-        if self.n[gap] > 0:
-            return (gap,)
-        if two := self.pair(gap):
-            return two
-        for c in np.flatnonzero(self.n[1 : max(gap - 1, 1)])[::-1] + 1:
+    def triple(self, gap: int) -> tuple[int, int, int] | None:
+        """Three lengths that fill the gap, with the largest smallest one."""
+        for c in np.flatnonzero(self.n[1 : gap // 3 + 1])[::-1] + 1:
             self.n[c] -= 1
-            two = self.pair(gap - int(c))
+            two = self.pairs(gap - int(c), int(c))
             self.n[c] += 1
-            if two:
-                return (int(c), *two)
+            if len(two):
+                return int(two[0]), gap - int(c) - int(two[0]), int(c)
         return None
 
+    def complement(self, gap: int, least: float) -> tuple[int, ...] | None:
+        """One, two or three lengths that fill the gap exactly, the longest of them at least ``least``.
+
+        Of pairs and triples the evenest, so that short pieces are left for
+        gaps that nothing else fills.
+        """
+        if self.n[gap] > 0:
+            return (gap,)
+        two = self.pairs(gap)
+        two = two[two >= least]
+        if len(two):
+            return int(two[0]), gap - int(two[0])
+        three = self.triple(gap)
+        return three if three and three[0] >= least else None
+
+
+# An exact complement may pass over a longer piece that would fit, but by no more than this share of it.
+SHARE = 0.75
+
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, sequences) of each pattern; together they use up all counts."""
-    have, out = Available(counts, capacity), []
+    """(lengths, sequences) of each pattern; together they use up all counts.
 
-    def use(pattern: tuple[int, ...]) -> None:
+    A sequence starts with the longest piece left.  Its gap is filled by an
+    exact complement; without one, by the best fit, and the gap that this
+    leaves by an exact complement again, and so on.
+    """
+    have, out = Available(counts, capacity), []
+    while have.n.any():
+        pattern, gap = [int(np.flatnonzero(have.n)[-1])], capacity
+        have.n[pattern[0]] -= 1
+        gap -= pattern[0]
+        while len(fits := np.flatnonzero(have.n[: gap + 1])):
+            best = int(fits[-1])
+            parts = have.complement(gap, SHARE * best) or (best,)
+            for x in parts:
+                have.n[x] -= 1
+            pattern += parts
+            gap -= sum(parts)
         c = Counter(pattern)
+        for x, m in c.items():
+            have.n[x] += m
         t = have.times(c)
         for x, m in c.items():
             have.n[x] -= m * t
         out.append((tuple(sorted(pattern, reverse=True)), t))
-
-    if have.n[capacity]:
-        use((capacity,))
-    left = capacity - 1
-    while left > 0:  # from the longest: exact fits
-        if not have.n[left]:
-            left -= 1
-            continue
-        have.n[left] -= 1
-        rest = have.complement(capacity - left)
-        have.n[left] += 1
-        if rest:
-            use((left, *rest))
-        else:
-            left -= 1
-    while have.n.any():  # what has no exact complement: longest first, then the best fit of each gap
-        pattern, gap = [], capacity
-        taken: Counter = Counter()
-        x = int(np.flatnonzero(have.n)[-1])
-        while x:
-            pattern.append(x)
-            taken[x] += 1
-            gap -= x
-            x = 0
-            for y in np.flatnonzero(have.n[: gap + 1])[::-1]:
-                if have.n[y] > taken[int(y)]:
-                    x = int(y)
-                    break
-        use(tuple(pattern))
     return out
 
 
@@ -201,7 +199,8 @@ def pack(pieces: DataFrame, capacity: int, per_block: int = 5_000) -> DataFrame:
     """Adds sequence_id and offset to every piece (doc_id, piece, length and any other columns).
 
     Lengths must lie between 1 and the capacity.  Rows equal in doc_id and
-    piece are pieces of their own.  An empty table gives an empty result.
+    piece (copies of a document) are pieces of their own.  An empty table gives
+    an empty result.  The columns sequence_id, offset, _block and _rank must be free.
     Pieces are ranked within their length in blocks by a hash of their ids, so
     that one length may hold any share of all rows.
     """

@@ -114,17 +114,39 @@ def check_packing(rows, texts, capacity):
     return len(seqs), sum(r.length for r in rows)
 
 
+def best_fit_decreasing(counts, capacity):
+    """Sequences that plain best fit of the longest pieces first takes."""
+    gaps, n = Counter(), 0
+    for x in sorted(counts.elements(), reverse=True):
+        g = min((g for g in gaps if g >= x), default=None)
+        if g is None:
+            n, g = n + 1, capacity
+        else:
+            gaps[g] -= 1
+            gaps += Counter()  # without those used up
+        gaps[g - x] += 1
+    return n
+
+
 def test_packing(edge, corpus, nothing):
     for d, capacity in ((edge, 1024), (edge, 64), (corpus, 1024)):
         pieces = packing.tokenize(d, TOKENIZER, 2, capacity)
         packed = packing.pack(pieces, capacity)
         n, total = check_packing(packed.collect(), [(r.doc_id, r.text) for r in d.collect()], capacity)
-        assert n <= 1.05 * total / capacity + 3
+        lengths = Counter(r.length for r in packed.select("length").collect())
+        assert total / capacity <= n <= best_fit_decreasing(lengths, capacity)
         whole = {r.sequence_id: len(r.ids) for r in packing.sequences(packed).collect()}
         assert sum(whole.values()) == total and len(whole) == n
     assert packing.pack(packing.tokenize(nothing, TOKENIZER, 2, 1024), 1024).count() == 0
 
 
+def test_packing_clashing_names(spark):
+    d = spark.createDataFrame([(1, 0, 5, "x"), (1, 0, 5, "y"), (2, 0, 9, "z")], "doc_id long, piece int, length long, row string")
+    assert sorted((r.length, r.offset, r.row) for r in packing.pack(d, 10).collect())[-1] == (9, 0, "z")
+    with pytest.raises(ValueError):
+        packing.pack(d, 8)
+
+
 def test_packing_plan_is_exact_and_uses_all():
     rng = random.Random(3)
     for capacity in (7, 40, 200):
@@ -135,7 +157,7 @@ def test_packing_plan_is_exact_and_uses_all():
             n += times
             used.update({x: m * times for x, m in Counter(lengths).items()})
         assert used == counts
-        assert n <= 1.1 * sum(x * c for x, c in counts.items()) / capacity + 2
+        assert n <= best_fit_decreasing(counts, capacity) + 1
     assert packing.plan({}, 8) == []
     # 6 is filled exactly by a pair, 5 by a triple
     assert (6, 3, 1) in [p for p, _ in packing.plan({6: 1, 3: 1, 1: 1}, 10)]
@@ -363,6 +385,13 @@ def test_ngram_join(edge, corpus, nothing):
     assert ngram_join.join(nothing).count() == 0
 
 
+def test_strip_texts_keeps_columns_of_any_name(spark, edge):
+    d = edge.withColumn("_", F.lit("mine")).withColumn("rest", F.lit(3))
+    got = suffix_dedup.strip_texts(d, least=100)
+    assert got.columns == d.columns and got.count() == d.count()
+    assert got.where("_ = 'mine' AND rest = 3").count() == d.count()
+
+
 def test_pipeline(spark, corpus):
     import corpus_pipeline
 
