@@ -299,7 +299,8 @@ def dedup(docs: DataFrame, least: int = 50, gram: int | None = None, characters:
     if least < gram + 1:
         raise ValueError("least must be over 8 bytes")
     rest = [F.col(c) for c in docs.columns if carry and c not in ("doc_id", "text")]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*rest, F.lit(0).alias("_")).alias("rest"))
+    spare = "_" * (1 + max(map(len, docs.columns)))  # a struct needs a field, of a name that no column has
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*rest, F.lit(0).alias(spare)).alias("rest"))
     rest_kind = docs.schema["rest"].dataType.simpleString()
     group, _ = id_groups(docs, group_bytes)
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -350,6 +351,6 @@ def dedup(docs: DataFrame, least: int = 50, gram: int | None = None, characters:
 
 
 def strip_texts(docs: DataFrame, least: int) -> DataFrame:
-    """The documents with what repeats cut out of their texts; columns and rows stay (null texts become empty)."""
+    """The documents with what repeats cut out of their texts; columns, whatever their names, and rows stay (null texts become empty)."""
     d = dedup(docs, least, characters=True, carry=True)
     return d.select(*[F.col("kept").cast("string").alias(c) if c == "text" else F.col(c) if c == "doc_id" else F.col("rest").getField(c).alias(c) for c in docs.columns])
