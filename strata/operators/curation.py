@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from strata.functions.columns import LEGACY_HIDDEN_PROSE, LEGACY_VISIBLE_PROSE, slug
 from strata.operators.dedup import first_seen, latest_wins
+from strata.operators.ordered import last_before, ordered_columns
+from strata.session import cut_lineage
 
 
 def stamp_edits(edits: DataFrame, author: str, server_ts: dt.datetime, id_col: str = "change_id") -> DataFrame:
@@ -122,6 +124,89 @@ def group_guards(groups: DataFrame, members: DataFrame, requests: DataFrame) ->
     return r.filter(F.col("reason").isNull()).drop("reason"), r.filter(F.col("reason").isNotNull())
 
 
+# Fixed value: the longest name of a group.
+MAX_NAME_LEN = 2000
+
+
+def replay_group_requests(groups: DataFrame, members: DataFrame, requests: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """The requests in their order, each with the rule it breaks (``reason``; NULL: accepted).
+
+    ``groups``: group_id, group_name, active; ``members``: the active members'
+    group_id; ``requests``: seq, op (create, rename, delete), group_id,
+    group_name, change_id; ``log``: change_id, group_id, active of earlier
+    edits.  Every request meets the state that the accepted ones before it
+    leave: a name freed in the batch can be taken, a deleted group made again,
+    of two creates the first stands.  A create without an id gets its name's
+    slug.  A change id that an accepted request had is a no-op ('repeated'), or
+    a conflict if it was for another group or another end state; a refused
+    request's may be used again.  Names are compared without case and outer
+    blanks and are unique among the active groups before the batch.  Rows of one
+    ``seq`` go by op, id, name and change id.
+
+    The decisions are a fixed point: with a guess of which requests are
+    accepted, ordered last values give each group's state and each name's
+    holder before every request, and these the next guess.  Each decision
+    depends on earlier requests alone, so the fixed point is the sequential
+    result, and a round settles at least one more request; in practice a few
+    rounds settle all.  No group and no name is held in one task.
+    """
+    name, op = F.trim("group_name"), F.col("op")
+    naming = op.isin("create", "rename")
+    given = F.nullif(F.trim("group_id"), F.lit(""))
+    r = requests.select("seq", "op", "group_id", "group_name", "change_id").withColumns({
+        "_all": F.lit(0), "_key": F.when(naming, F.lower(name)),
+        "_gid": F.when(naming, F.coalesce(given, F.nullif(slug(name), F.lit("")))).otherwise(given)})
+    order = ["seq", "op", "_gid", "_key", "change_id"]
+    r = ordered_columns(r, ["_all"], order, row_number="_at").drop("_all")
+    fault = (F.when(~F.coalesce(op.isin("create", "rename", "delete"), F.lit(False)), "unknown_op")
+             .when(naming & (F.coalesce(name, F.lit("")) == ""), "name_missing")
+             .when(naming & (F.length(name) > MAX_NAME_LEN), "name_too_long")
+             .when(F.col("_gid").isNull(), "no_id"))
+    held = members.groupBy(F.col("group_id").alias("_gid")).agg(F.count(F.lit(1)).alias("_members"))
+    r = r.withColumn("_fault", fault).join(held, "_gid", "left")
+    if log is not None:
+        seen = log.groupBy("change_id").agg(F.max(F.struct(F.col("group_id").alias("g"), F.col("active").alias("a"))).alias("_logged"))
+        r = r.join(seen, "change_id", "left")
+    else:
+        r = r.withColumn("_logged", F.lit(None).cast("struct<g:string,a:boolean>"))
+    state = cut_lineage(r.withColumn("_ok", F.col("_fault").isNull()))
+    before = groups.filter("active").select(F.trim("group_id").alias("_gid"), F.lower(F.trim("group_name")).alias("_key"))
+    ok = F.col("_ok")
+    while True:
+        life = F.when(ok & (op == "create"), F.struct(F.lit(True).alias("x"))).when(ok & (op == "delete"), F.struct(F.lit(False).alias("x")))
+        rows = state.withColumns({"_life": life, "_named": F.when(ok & naming, F.struct(F.col("_key").alias("x")))})
+        start = before.withColumns({"_at": F.lit(0), "_life": F.struct(F.lit(True).alias("x")), "_named": F.struct(F.col("_key").alias("x"))})
+        s = last_before(rows.unionByName(start, allowMissingColumns=True), ["_gid"], ["_at"], {"_was": "_life", "_had": "_named"}).filter("_at > 0")
+        s = s.withColumn("_active", F.coalesce(F.col("_was")["x"], F.lit(False))).withColumn("_old", F.when(F.col("_active"), F.col("_had")["x"]))
+        # a name's events: asked for (0), let go (1), taken (2)
+        holder = lambda who: F.struct(who.alias("g"))
+        nobody, me = holder(F.lit(None).cast("string")), holder(F.col("_gid"))
+        event = lambda when, kind, key, who: F.when(when, F.struct(F.lit(kind).alias("kind"), key.alias("name"), who.alias("holder")))
+        events = F.array(event(naming & F.col("_key").isNotNull(), 0, F.col("_key"), F.lit(None).cast("struct<g:string>")),
+                         event(ok & F.col("_old").isNotNull(), 1, F.col("_old"), nobody), event(ok & naming, 2, F.col("_key"), me))
+        e = s.select("_at", F.explode(F.filter(events, lambda x: x.isNotNull())).alias("e")).select("_at", "e.*")
+        e = e.unionByName(before.select(F.lit(0).alias("_at"), F.lit(2).alias("kind"), F.col("_key").alias("name"), me.alias("holder")))
+        e = last_before(e, ["name"], ["_at", "kind"], {"_by": "holder"}).filter("kind = 0 AND _at > 0").select("_at", "_by")
+        ids = state.filter("change_id IS NOT NULL").select("_at", "change_id", F.when(ok, F.struct(F.col("_gid").alias("g"), (op != "delete").alias("a"))).alias("_done"))
+        ids = last_before(ids, ["change_id"], ["_at"], {"_earlier": "_done"}).select("_at", "_earlier")
+        s = s.join(e, "_at", "left").join(ids, "_at", "left")
+        known = F.coalesce("_logged", "_earlier")
+        same = known["g"].eqNullSafe(F.col("_gid")) & known["a"].eqNullSafe(op != "delete")
+        holder_id = F.col("_by")["g"]
+        reason = (F.when(F.col("_fault").isNotNull(), F.col("_fault"))
+                  .when(known.isNotNull(), F.when(same, "repeated").otherwise("change_id_conflict"))
+                  .when((op == "create") & F.col("_active"), "exists")
+                  .when((op != "create") & ~F.col("_active"), "not_found")
+                  .when(naming & holder_id.isNotNull() & (holder_id != F.col("_gid")), "name_taken")
+                  .when((op == "delete") & (F.col("_members") > 0), "has_members"))
+        s = s.withColumn("reason", reason).withColumn("_next", F.col("reason").isNull())
+        s = cut_lineage(s.select(*[c for c in state.columns if c != "reason"], "reason", "_next"))
+        settled = s.filter(~F.col("_ok").eqNullSafe(F.col("_next"))).isEmpty()
+        state = s.withColumn("_ok", F.col("_next")).drop("_next")
+        if settled:
+            return state.select("seq", "op", F.col("_gid").alias("group_id"), "group_name", "change_id", "reason")
+
+
 def rename_restamp(current_members: DataFrame, renamed: DataFrame, group_col: str = "group_id",
                    name_col: str = "group_name") -> DataFrame:
     """Active members of renamed groups re-appended with the new name."""

@@ -1,4 +1,4 @@
-"""Skew-safe ordered windows: row number, lead, lag and running sums per key.
+"""Skew-safe ordered windows: row number, lead, lag, running sums and last values per key.
 
 A plain ``Window.partitionBy(key).orderBy(t)`` sends every row of a key to
 one task, so a key holding a third of the rows becomes a third of the job
@@ -16,7 +16,7 @@ assignment instead of re-sampling range bounds.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -129,3 +129,24 @@ def ordered_columns(
             )
     return out.drop(_BLK, _KEY, "_lrn", "_lcnt", "_llead", "_llag", "_lsum", "_n", "_head", "_tail", "_bsum",
                     "_off", "_next_head", "_prev_tail", "_sum_before")
+
+
+def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str],
+                parts: int | None = None) -> DataFrame:
+    """Adds, for each (new column: column), the key's last non-null value before the row.
+
+    The state that earlier rows leave behind, without a whole-key task: within
+    a block by a window, across blocks by the blocks' own last values.  A null
+    key is a group of its own; of rows equal in ``order`` any may come first."""
+    b = blocked(df, keys, order, parts).withColumn(_KEY, F.struct(*_cols(keys)))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    w = earlier(Window.partitionBy(_BLK, _KEY).orderBy(*_cols(order)))
+    at = F.struct(*_cols(order))
+    own = {f"_own_{new}": F.last(c, ignorenulls=True).over(w) for new, c in values.items()}
+    ends = [F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_end_{new}") for new, c in values.items()]
+    wk = earlier(Window.partitionBy(_KEY).orderBy(_BLK))
+    carried = [F.last(f"_end_{new}", ignorenulls=True).over(wk).alias(f"_car_{new}") for new in values]
+    summary = b.groupBy(_BLK, _KEY).agg(*ends).select(_BLK, _KEY, *carried)
+    out = b.withColumns(own).join(summary, [_BLK, _KEY])
+    out = out.withColumns({new: F.coalesce(f"_own_{new}", f"_car_{new}") for new in values})
+    return out.drop(_BLK, _KEY, *[f"{p}{new}" for new in values for p in ("_own_", "_car_")])
