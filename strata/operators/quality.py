@@ -26,10 +26,11 @@ OUTLIER_K = 4.0
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-                      method: str = "auto") -> DataFrame:
+                      method: str = "auto", count: str | None = None) -> DataFrame:
     """Exact linear-interpolated percentiles of ``value`` per group.
 
-    Returns one row per group with one column per entry of ``probs``.
+    Returns one row per group with one column per entry of ``probs``, and the
+    number of its values as ``count`` if named.
     NULL values are ignored; a group with no values gets no row.
 
     Both paths start from distinct (group, value) counts, combined map-side.
@@ -42,18 +43,18 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Map
     dist = (df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
             .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
     if method == "aggregate":
-        return _percentiles_aggregate(dist, keys, probs)
-    return _percentiles_blocks(dist, keys, probs)
+        return _percentiles_aggregate(dist, keys, probs, count)
+    return _percentiles_blocks(dist, keys, probs, count)
 
 
-def _percentiles_aggregate(dist: DataFrame, keys: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+def _percentiles_aggregate(dist: DataFrame, keys: Sequence[str], probs: Mapping[str, float], count: str | None = None) -> DataFrame:
     names = list(probs)
     p = dist.groupBy(*keys).agg(
-        F.percentile("_v", F.array(*[F.lit(float(probs[n])) for n in names]), F.col("_c")).alias("_p"))
-    return p.select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
+        F.percentile("_v", F.array(*[F.lit(float(probs[n])) for n in names]), F.col("_c")).alias("_p"), F.sum("_c").alias("_n"))
+    return p.select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)], *[F.col("_n").alias(c) for c in [count] if c])
 
 
-def _percentiles_blocks(dist: DataFrame, keys: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+def _percentiles_blocks(dist: DataFrame, keys: Sequence[str], probs: Mapping[str, float], count: str | None = None) -> DataFrame:
     """Skew-safe exact percentiles over distinct (group, value, count) rows.
 
     Plan: range-partitioned blocks pinned by a checkpoint -> one small
@@ -80,8 +81,8 @@ def _percentiles_blocks(dist: DataFrame, keys: Sequence[str], probs: Mapping[str
             F.max(F.when((first <= hi) & (hi < F.col("_cum")), F.col("_v"))).alias(f"_{name}_hi"),
             F.max(pos - lo).alias(f"_{name}_d"),
         ]
-    g = j.groupBy(*keys).agg(*aggs)
-    cols = []
+    g = j.groupBy(*keys).agg(*aggs, F.max("_n").alias("_n"))
+    cols = [F.col("_n").alias(count)] if count else []
     for name in probs:
         lo, hi, d = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col(f"_{name}_d")
         cols.append((lo + d * (hi - lo)).alias(name))
@@ -112,27 +113,28 @@ def implied_price_levels(
         .withColumn("_lv", safe_ln(value))
         .withColumn("_lq", safe_ln(qty))
     )
-    # One ranked pass for all three measures: rows are stacked as
-    # (group, measure id, value) so a single range-partitioned scan serves them
-    # (0 = implied price, 1 = value, 2 = quantity, all as natural logs).
+    # One ranked pass for all measures: rows are stacked as (group, measure id,
+    # value) so a single range-partitioned scan serves them (0 = implied price,
+    # 1 = value, 2 = quantity, all as natural logs; 3 = a constant for each row
+    # that has a price, whose count is that of the priced rows).
     stacked = d.select(
         *group,
         F.explode(F.array(
             F.struct(F.lit(0).alias("_m"), F.col("_lp").alias("_x")),
             F.struct(F.lit(1).alias("_m"), F.col("_lv").alias("_x")),
             F.struct(F.lit(2).alias("_m"), F.col("_lq").alias("_x")),
+            F.struct(F.lit(3).alias("_m"), F.when(safe_divide(value, qty).isNotNull(), F.lit(0.0)).alias("_x")),
         )).alias("_s"),
     ).select(*group, "_s._m", "_s._x")
-    pct = exact_percentiles(stacked, [*group, "_m"], "_x", {"_p50": 0.5, "_p75": 0.75})
-    med = pct.groupBy(*group).agg(
+    pct = exact_percentiles(stacked, [*group, "_m"], "_x", {"_p50": 0.5, "_p75": 0.75}, count="_rows")
+    stats = pct.groupBy(*group).agg(
         F.max(F.when(F.col("_m") == 0, F.col("_p50"))).alias("_q_ln_med_price"),
         F.max(F.when(F.col("_m") == 1, F.col("_p50"))).alias("_q_ln_med_val"),
         F.max(F.when(F.col("_m") == 1, F.col("_p75"))).alias("_q_p75_val"),
         F.max(F.when(F.col("_m") == 2, F.col("_p50"))).alias("_q_ln_med_qty"),
         F.max(F.when(F.col("_m") == 2, F.col("_p75"))).alias("_q_p75_qty"),
+        F.max(F.when(F.col("_m") == 3, F.col("_rows"))).alias("_q_n"),
     )
-    n = d.groupBy(*group).agg(F.count(safe_divide(value, qty)).alias("_q_n"))
-    stats = n.join(med, list(group), "left")
     s = d.join(stats, list(group), "left")
 
     v, q = F.col(value), F.col(qty)
