@@ -1776,5 +1776,56 @@ SELECT CASE WHEN n % 11 = 0 THEN 'code_not_digits' WHEN n % 13 = 0 THEN 'key_mis
 FROM (SELECT p_partkey AS n FROM part) GROUP BY 1"""
 
 
+# --- the five Gold tables ------------------------------------------------------
+_LATER = "TIMESTAMP '2024-02-01 00:00:00'"
+_GOLDS = [  # catalogue word, source, table, cadence, code, rows that came with the second delivery, facts
+    ("pevs", "ibge_pevs", "gold_pevs_production", "annual", "product_code", "reference_year = 2001", "survey_pipeline"),
+    ("pam", "ibge_pam", "gold_pam_production", "annual", "product_code", "reference_year = 1996", "crop_pipeline"),
+    ("ppm", "ibge_ppm", "gold_ppm_production", "annual", "product_code", "false", "livestock_pipeline"),
+    ("comex", "mdic_comex", "gold_comex_flows", "monthly", "ncm_code", "reference_year = 2001 AND flow = 'EXP'", "comex_pipeline"),
+    ("comtrade", "un_comtrade", "gold_comtrade_flows", "annual", "cmd_code", "reference_year = 2001 AND reporter_code = '7'", "comtrade_gold_pipeline")]
+_CODE_WIDTH = {"comex": 8, "comtrade": 6}
+_form = lambda word, x: f"lpad({x}, {_CODE_WIDTH[word]}, '0')" if word in _CODE_WIDTH else x
+_visible = lambda word, code: f"{code} NOT IN (SELECT {_form(word, 'CAST(user_id AS VARCHAR)')} FROM hidden)"
+ORACLE["gold_source_metadata"] = f"WITH {LOG_CTE} " + " UNION ALL ".join(
+    f"""SELECT '{name}' AS source, '{table}' AS gold_table, '{cadence}' AS cadence, min(reference_year) AS year_start, max(reference_year) AS year_end,
+       count(*) AS total_rows, count(DISTINCT {code}) AS products_total,
+       {'CAST(NULL AS BIGINT)' if word == 'comtrade' else 'count(DISTINCT CASE WHEN state_name IS NOT NULL THEN state_acronym END)'} AS ufs_total,
+       max(CASE WHEN {later} THEN {_LATER} ELSE TIMESTAMP '2024-01-01 00:00:00' END) AS last_refresh
+FROM ({ORACLE[facts]}) WHERE {_visible(word, code)} HAVING count(*) > 0""" for word, name, table, cadence, code, later, facts in _GOLDS)
+ORACLE["gold_quality_by_source"] = f"WITH {LOG_CTE}, f AS (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS source, data_quality_flag FROM ({ORACLE[facts]}) WHERE {_visible(word, code)}" for word, name, _, _, code, _, facts in _GOLDS) + """)
+SELECT source, data_quality_flag, count(*) AS n_rows, round(count(*) / sum(count(*)) OVER (PARTITION BY source), 6) AS share FROM f GROUP BY 1, 2"""
+ORACLE["gold_product_bridge"] = "WITH b AS (SELECT DISTINCT substr(p_brand, 7) AS b, CAST(trunc((CAST(substr(p_brand, 7) AS INTEGER) - 1) / 4) AS INTEGER) AS g FROM part WHERE CAST(substr(p_brand, 7) AS INTEGER) % 7 <> 0) " + " UNION ALL ".join(
+    f"SELECT DISTINCT '{word}' AS source, {code} AS code, 'grp_' || g AS group_id, 'Group ' || g AS group_name FROM ({ORACLE[facts]}) JOIN b ON {code} = {_form(word, 'b')}"
+    for word, _, _, _, code, _, facts in _GOLDS)
+# One request after the other; pairs of parts do not touch each other's groups and names, so a step takes all pairs.
+ORACLE["group_replay"] = """
+WITH RECURSIVE pair AS (SELECT DISTINCT p_partkey // 2 AS c FROM part),
+member AS (SELECT 'part_' || p_partkey AS g FROM part WHERE p_partkey % 5 = 0 OR p_partkey % 7 = 0),
+ask AS (
+  SELECT c, step, op, CASE who WHEN 'even' THEN 'part_' || 2 * c ELSE 'part_' || (2 * c + 1) END AS g,
+         CASE word WHEN 'odd' THEN 'part ' || (2 * c + 1) WHEN 'even' THEN 'part ' || 2 * c WHEN 'another' THEN 'another ' || (2 * c + 1) END AS name
+  FROM pair, (VALUES (1, 'create', 'odd', 'odd'), (2, 'rename', 'even', 'odd'), (3, 'delete', 'odd', NULL), (4, 'rename', 'even', 'odd'),
+                     (5, 'create', 'odd', 'odd'), (6, 'create', 'odd', 'another'), (7, 'delete', 'even', NULL), (8, 'create', 'even', 'even')) v(step, op, who, word)
+  WHERE (c + step) % 11 <> 0),
+start AS (SELECT p_partkey // 2 AS c, max(CASE WHEN p_partkey % 2 = 0 THEN 'part ' || p_partkey END) AS even_name,
+                 max(CASE WHEN p_partkey % 2 = 1 AND p_partkey % 3 = 0 THEN 'part ' || p_partkey END) AS odd_name FROM part GROUP BY 1),
+run AS (
+  SELECT c, 0 AS step, even_name, odd_name, CAST(NULL AS VARCHAR) AS op, CAST(NULL AS VARCHAR) AS g, CAST(NULL AS VARCHAR) AS reason FROM start
+  UNION ALL
+  SELECT c, step, CASE WHEN reason IS NULL AND mine = 'even' THEN to_name ELSE even_name END, CASE WHEN reason IS NULL AND mine = 'odd' THEN to_name ELSE odd_name END, op, g, reason
+  FROM (
+    SELECT r.c, r.step + 1 AS step, r.even_name, r.odd_name, a.op, a.g, CASE WHEN a.op <> 'delete' THEN a.name END AS to_name,
+           CASE WHEN a.g = 'part_' || 2 * r.c THEN 'even' WHEN a.g IS NOT NULL THEN 'odd' ELSE 'none' END AS mine,
+           CASE WHEN a.op IS NULL THEN 'skipped'
+                WHEN a.op = 'create' AND CASE WHEN a.g = 'part_' || 2 * r.c THEN r.even_name ELSE r.odd_name END IS NOT NULL THEN 'exists'
+                WHEN a.op <> 'create' AND CASE WHEN a.g = 'part_' || 2 * r.c THEN r.even_name ELSE r.odd_name END IS NULL THEN 'not_found'
+                WHEN a.op <> 'delete' AND CASE WHEN a.g = 'part_' || 2 * r.c THEN r.odd_name ELSE r.even_name END = a.name THEN 'name_taken'
+                WHEN a.op = 'delete' AND a.g IN (SELECT g FROM member) THEN 'has_members' END AS reason
+    FROM run r LEFT JOIN ask a ON a.c = r.c AND a.step = r.step + 1 WHERE r.step < 8))
+SELECT CAST(c * 10 + step AS BIGINT) AS seq, op, g AS group_id, reason FROM run WHERE op IS NOT NULL"""
+
+
 def all_sql() -> dict[str, str]:
     return dict(ORACLE)

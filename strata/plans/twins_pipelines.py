@@ -75,12 +75,16 @@ SURVEY_MONEY_COLS = ["val_yearfx_brl", "val_yearfx_usd", "val_yearfx_eur", "val_
                      "val_real_igpm_brl", "val_real_igpdi_eur"]
 
 
-def survey_facts(spark: SparkSession, sf: str, **levels) -> DataFrame:
+def survey_gold_facts(spark: SparkSession, sf: str, **levels) -> DataFrame:
     """``levels``: parameters of the outlier levels."""
     silver = survey_silver(stored(survey_bronze(spark, sf), "bronze_survey"), "prod_codigo", "prod", seeds.currency_factors(spark),
                            seeds.unit_families(spark), seeds.product_unit_factors(spark), "pevs")
     daily = orders_daily(spark, sf)
-    gold = survey_gold(silver, index_series(spark, sf, daily), fx_series(spark, sf, daily), **levels)
+    return survey_gold(silver, index_series(spark, sf, daily), fx_series(spark, sf, daily), **levels)
+
+
+def survey_facts(spark: SparkSession, sf: str, **levels) -> DataFrame:
+    gold = survey_gold_facts(spark, sf, **levels)
     return gold.select(*SURVEY_GOLD_COLS, *[r2(c).alias(c) for c in SURVEY_MONEY_COLS])
 
 
@@ -147,7 +151,7 @@ COMEX_MONEY_COLS = ["val_fob_usd", "freight_usd", "insurance_usd", "val_yearfx_b
                     "val_real_ipca_brl", "val_real_igpm_usd"]
 
 
-def comex_facts(spark: SparkSession, sf: str, **levels) -> DataFrame:
+def comex_gold_facts(spark: SparkSession, sf: str, **levels) -> DataFrame:
     """National trade Bronze -> Silver -> Gold: batch replacement per
     (flow, year), unit and succession lookups, dominant-unit cells and
     monthly deflation."""
@@ -157,7 +161,11 @@ def comex_facts(spark: SparkSession, sf: str, **levels) -> DataFrame:
     succ = seeds.seed_frame(spark, [("00000001", "00000010", "merged")], seeds.SUCCESSION_SCHEMA)
     silver = comex_silver(stored(comex_bronze(spark, sf), "bronze_comex"), units, seeds.unit_families(spark), seeds.product_unit_factors(spark), succ)
     daily = orders_daily(spark, sf)
-    gold = comex_gold(silver, index_series(spark, sf, daily), fx_series(spark, sf, daily), **levels)
+    return comex_gold(silver, index_series(spark, sf, daily), fx_series(spark, sf, daily), **levels)
+
+
+def comex_facts(spark: SparkSession, sf: str, **levels) -> DataFrame:
+    gold = comex_gold_facts(spark, sf, **levels)
     return gold.select(*COMEX_GOLD_COLS, *[r2(c).alias(c) for c in COMEX_MONEY_COLS])
 
 
@@ -235,7 +243,7 @@ COMTRADE_MONEY_COLS = ["val_yearfx_usd", "val_yearfx_brl", "val_yearfx_eur", "va
                        "val_real_igpdi_eur", "val_fob_usd"]
 
 
-def comtrade_facts(spark: SparkSession, sf: str, **levels) -> DataFrame:
+def comtrade_gold_facts(spark: SparkSession, sf: str, **levels) -> DataFrame:
     """Bilateral trade Bronze -> Silver -> Gold with annual deflation and
     reporter/partner names from the nation table (region 0 marks a group)."""
     from strata.plans.trade import comtrade_gold, comtrade_silver
@@ -249,7 +257,11 @@ def comtrade_facts(spark: SparkSession, sf: str, **levels) -> DataFrame:
     hs = t(spark, sf, "part").select(F.lpad(F.substring("p_brand", 7, 10), 6, "0").alias("cmd_code"),
                                      F.col("p_brand").alias("description")).distinct()
     daily = orders_daily(spark, sf)
-    gold = comtrade_gold(silver, index_series(spark, sf, daily), fx_series(spark, sf, daily), countries, hs, **levels)
+    return comtrade_gold(silver, index_series(spark, sf, daily), fx_series(spark, sf, daily), countries, hs, **levels)
+
+
+def comtrade_facts(spark: SparkSession, sf: str, **levels) -> DataFrame:
+    gold = comtrade_gold_facts(spark, sf, **levels)
     return gold.select(*COMTRADE_GOLD_COLS, *[r2(c).alias(c) for c in COMTRADE_MONEY_COLS])
 
 
