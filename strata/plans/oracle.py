@@ -1673,6 +1673,21 @@ ORACLE["domain_checks_whole"] = ORACLE["domain_checks"]
 for _name in [k for k in ORACLE if k.endswith("_whole")]:
     ORACLE[_name.removesuffix("_whole")] = ORACLE[_name]
 
+# The snapshot comparison, and beside it the delivery of all lines.
+ORACLE["reconcile_cells"] = f"""
+WITH live AS (SELECT l_orderkey, sum(l_quantity) AS qty FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1),
+src AS (SELECT l_orderkey, sum(l_quantity) AS qty FROM lineitem WHERE l_shipdate < TIMESTAMP '2001-01-01 00:00:00' GROUP BY 1),
+j AS (SELECT live.l_orderkey AS lk, src.l_orderkey AS sk, live.qty AS lv, src.qty AS sv
+      FROM live FULL OUTER JOIN src ON live.l_orderkey = src.l_orderkey),
+snapshot AS (SELECT count(*) FILTER (WHERE lk IS NOT NULL AND sk IS NOT NULL) AS compared,
+       count(*) FILTER (WHERE lk IS NOT NULL AND sk IS NOT NULL AND lv IS DISTINCT FROM sv) AS diverged,
+       count(*) FILTER (WHERE lk IS NULL) AS only_source,
+       count(*) FILTER (WHERE sk IS NULL) AS only_live
+FROM j)
+SELECT snapshot.*, d.compared AS delivery_compared, d.diverged AS delivery_diverged, d.only_source AS delivery_only_source,
+       d.only_live AS delivery_only_live
+FROM snapshot, ({ORACLE["reconcile_cells_whole"]}) d"""
+
 
 # Loaded in steps, the result is that of the full build.
 ORACLE["livestock_incremental"] = ORACLE["livestock_pipeline"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.operators import incremental as I
 from strata.operators import scd
-from strata.operators.reconcile import reconcile_cells, reconcile_summary
+from strata.operators import reconcile as RC
 from strata.plans import reads as R
 from strata.plans.base import REGISTRY, r2, register
 from strata.plans.inputs import t, trade_lines
@@ -52,7 +52,7 @@ def codes_present_catalog_whole(spark: SparkSession, sf: str) -> DataFrame:
     return named_totals(spark, sf, t(spark, sf, "part"))
 
 
-@whole
+@register
 def reconcile_cells_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Per-order quantities of all lines against a rendered source
     delivery of all lines, where every 7th order is one unit higher and every
@@ -61,7 +61,22 @@ def reconcile_cells_whole(spark: SparkSession, sf: str) -> DataFrame:
     source = live.select(
         F.when(F.col("l_orderkey") % 11 == 0, -F.col("l_orderkey") - 1).otherwise(F.col("l_orderkey")).alias("l_orderkey"),
         F.when(F.col("l_orderkey") % 7 == 0, F.col("qty") + 1).otherwise(F.col("qty")).alias("qty"))
-    return reconcile_summary(reconcile_cells(live, source, ["l_orderkey"], "qty"))
+    return RC.reconcile_summary(RC.reconcile_cells(live, source, ["l_orderkey"], "qty"))
+
+
+@register
+def reconcile_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """A31, both comparisons: per-order quantities in the live table (returned lines
+    excluded) against a source snapshot taken before 2001, and (``delivery_``) all
+    lines against a rendered delivery of all lines."""
+    li = t(spark, sf, "lineitem")
+    live = li.filter(F.col("l_returnflag") != "R").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("qty"))
+    source = li.filter(F.col("l_shipdate") < F.lit("2001-01-01 00:00:00").cast("timestamp_ntz")).groupBy(
+        "l_orderkey").agg(F.sum("l_quantity").alias("qty"))
+    snapshot = RC.reconcile_summary(RC.reconcile_cells(live, source, ["l_orderkey"], "qty"))
+    delivery = reconcile_cells_whole(spark, sf)
+    # one row each
+    return snapshot.crossJoin(F.broadcast(delivery.select(*[F.col(c).alias(f"delivery_{c}") for c in delivery.columns])))
 
 
 @whole
