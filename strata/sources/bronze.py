@@ -28,8 +28,8 @@ def append_bronze(df: DataFrame, path: str, period: str | None = None) -> None:
     new rows, the other the rebuild of the periods they belong to."""
     days = df.withColumn("ingestion_date", F.to_date("ingestion_timestamp"))
     parts = ["ingestion_date", *([period] if period else [])]
-    # a folder's rows come from one task, whatever the upstream partitioning
-    days = days.repartition(*parts) if period else days
+    # a folder's rows come from few tasks: one, or as many as its measured size needs
+    days = days.hint("rebalance", *[F.col(p) for p in parts]) if period else days
     days.write.mode("append").partitionBy(*parts).parquet(path)
 
 
